@@ -50,7 +50,7 @@ class _Known(dict):
         self.bits = bits
 
     def __missing__(self, word: bytes) -> bool:
-        if len(self) > 2_000_000:
+        if len(self) > 300_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word) % MAP_BITS
         hit = self[word] = bool(self.bits[h >> 3] >> (h & 7) & 1)

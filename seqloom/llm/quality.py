@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import cut, let, words
 
 WINDOW = 8
 FEATURES = ("symbols", "upper", "marks", "dup_lines", "repeats", "word_len")
@@ -166,11 +166,19 @@ def cover(cells: list[tuple[tuple[int, ...], bool, int, int]], edges: dict[str,
     return rules
 
 
+def measures_table(docs: DataFrame) -> DataFrame:
+    """doc_id and the measures of every text, written to scratch."""
+    return cut(measured(docs.select("doc_id", "text")).select("doc_id", "_quality.*"))
+
+
+def learn_from(measures: DataFrame, labels: DataFrame) -> list[Rule]:
+    known = labels.select(F.col("doc_id").alias("_labelled"), "quality")
+    return learn(measures.join(known, F.col("doc_id") == F.col("_labelled")))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """Learn from every labelled document of ``docs``."""
-    known = labels.select(F.col("doc_id").alias("_labelled"), F.col("quality").alias("_label"))
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_labelled"))
-    return learn(measured(rows).select("doc_id", F.col("_label").alias("quality"), "_quality.*"))
+    return learn_from(measures_table(docs), labels)
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -184,10 +192,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Measures are computed once, over all texts, and written to scratch; learning joins them
     with the labels."""
-    from .common import cut
-
-    rows = cut(measured(docs.select("doc_id", "text")).select("doc_id", "_quality.*"))
-    known = labels.select(F.col("doc_id").alias("_labelled"), "quality")
-    rules = learn(rows.join(known, F.col("doc_id") == F.col("_labelled")))
+    rows = measures_table(docs)
+    rules = learn_from(rows, labels)
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(rules, F.col))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
