@@ -60,7 +60,8 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, with_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, the kept text."""
     lines = cut(line_keys(docs, min_chars))
-    common = lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs).drop("n")
+    # written, so that both sides of the join below are dealt for it alone and a common line's rows can be split
+    common = cut(lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).filter(F.col("n") >= min_docs).drop("n"))
     dropped = lines.join(common, ["h1", "h2"]).filter("doc_id < holder").groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drop"))
     rows = _keyed_rows(docs).join(dropped, ["doc_id", "row"], "left").select("doc_id", "text", "drop")
 
