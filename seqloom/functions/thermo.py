@@ -46,7 +46,7 @@ def _packed(s: Column, table: Table) -> Column:
     known |= {_partner(p): v for p, v in known.items()}
     n, last = F.length(s), F.right(s, F.lit(1))
     end = lambda c: F.when(c.isin("A", "T"), pack(table.end_at)).otherwise(pack(table.end_gc))
-    begin_at = n - F.length(F.translate(s, "AT", "")) - last.isin("A", "T").cast("int")
+    begin_at = n - F.length(F.replace(F.replace(s, F.lit("A"), F.lit("")), F.lit("T"), F.lit(""))) - last.isin("A", "T").cast("int")
     total = F.lit(pack(table.start)) + end(F.substring(s, 1, 1)) + end(last) + begin_at * (equal_at - equal_gc) + (n - 1) * equal_gc
     for p, v in sorted(known.items()):
         if p[0] != p[1]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import gc_junction, gc_percent, has_dimer, poly_n_ok, reverse_complement
 from ..functions.thermo import NN4, Table, tm
+from ..sources.scratch import written
 from .kmers import explode_kmers, repeat_kmers
 
 
@@ -98,7 +99,8 @@ def _probe(start: Column, end: Column) -> Column:
 
 def feasible(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     """gene_id, n, start, left_end, [middle_end,] right_start, right_end and the probes, reverse-complemented."""
-    first = first_valid(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end"))
+    # joined with itself, so it is written: a row for each position, small next to the windows behind it
+    first = written(first_valid(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end")))
     left = first.select("gene_id", "start", F.col("end").alias("left_end"))
     if config.arity == 3:
         middle = first.select("gene_id", F.col("start").alias("left_end"), F.col("end").alias("middle_end"))
@@ -120,16 +122,19 @@ def accept(sets: DataFrame, config: Config = DUAL) -> DataFrame:
     Only feasible starts of one gene meet in a fold (a sequence is a row already)."""
     if config.inner_gap >= config.max_length:
         raise ValueError("an inner gap of a window's length or more would let sets start inside it; it is not supported")
-    keys = F.sort_array(F.collect_list(F.struct("start", "left_end", "right_end", "n")))
-    state = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("left"), F.array().cast("array<int>").alias("taken"))
+    columns = ["start", *[c for c in sets.columns if c not in ("gene_id", "start")]]
+    ordered = F.sort_array(F.collect_list(F.struct(*columns)))
+    grouped = sets.groupBy("gene_id").agg(ordered.alias("sets"))
+    none = F.array().cast(grouped.schema["sets"].dataType.simpleString())
+    state = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("left"), none.alias("taken"))
 
     def step(a, s):
         bound = s["n"] - 3 * config.min_length
         ok = (s["start"] >= a["end"]) & ((s["start"] < bound) | ((s["start"] == a["end"]) & (a["left"] >= 0) & (a["left"] < bound)))
-        return F.when(ok, F.struct(s["right_end"].alias("end"), s["left_end"].alias("left"), F.array_append(a["taken"], s["start"]).alias("taken"))).otherwise(a)
+        return F.when(ok, F.struct(s["right_end"].alias("end"), s["left_end"].alias("left"), F.array_append(a["taken"], s).alias("taken"))).otherwise(a)
 
-    taken = sets.groupBy("gene_id").agg(F.aggregate(keys, state, step, lambda a: a["taken"]).alias("taken")).select("gene_id", F.posexplode("taken").alias("i", "start"))
-    return sets.join(taken, ["gene_id", "start"]).withColumn("set_id", F.col("i") + 1).drop("i")
+    taken = grouped.select("gene_id", F.posexplode(F.aggregate("sets", state, step, lambda a: a["taken"])).alias("i", "s"))
+    return taken.select("gene_id", (F.col("i") + 1).alias("set_id"), "s.*")
 
 
 def design(genes: DataFrame, config: Config = DUAL) -> DataFrame:

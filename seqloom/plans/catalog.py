@@ -11,6 +11,7 @@ from ..functions import sequence as S
 from ..functions.thermo import NN3, NN4, is_valid_probe, tm, tm_between
 from ..operators import assembly, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
 from ..sources import derived
+from ..sources.scratch import written
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,7 +262,7 @@ _SET_PROBES = f"{Q.GENES}, {Q.SUBJECTS}, {Q.designed(designer.DUAL)}, probes AS
 
 
 def _scored(spark, sf):
-    sets = designer.design(derived.genes(spark, sf), designer.DUAL)
+    sets = written(designer.design(derived.genes(spark, sf), designer.DUAL))
     probes = sets.select(F.explode(F.array("left_seq", "right_seq")).alias("probe_seq")).distinct()
     return offtarget.set_scores(sets, offtarget.evidence(probes, offtarget.search(probes, derived.subjects(spark, sf))), ["left_seq", "right_seq"])
 
@@ -289,7 +290,7 @@ _PAIR = _CLOSE([("a.start", "a.left_end"), ("a.right_start", "a.right_end")], [(
 
 @register(f"{Q.GENES}, {Q.designed(designer.DUAL)} SELECT a.gene_id, a.set_id, b.set_id other FROM designed a JOIN designed b ON a.gene_id = b.gene_id AND a.set_id < b.set_id WHERE {_PAIR}", recursive=True)
 def too_close_pairs(spark, sf):
-    return selection.too_close_pairs(_with_intervals(designer.design(derived.genes(spark, sf), designer.DUAL)).select("gene_id", "set_id", "intervals"))
+    return selection.too_close_pairs(written(_with_intervals(designer.design(derived.genes(spark, sf), designer.DUAL)).select("gene_id", "set_id", "intervals")))
 
 
 @register(f"{Q.GENES}, {Q.designed(designer.DUAL)}, gaps AS (SELECT gene_id, start, right_end, start - lag(right_end) OVER (PARTITION BY gene_id ORDER BY start) gap FROM designed), ideal AS (SELECT gene_id, count(*) n, (max(right_end) - min(start))::double / nullif(count(*) - 1, 0) ideal FROM gaps GROUP BY 1) SELECT gene_id, round(CASE WHEN any_value(n) = 1 THEN 1.0 ELSE 1 / (1 + avg((gap - ideal) * (gap - ideal)) / 10000) END, 6) coverage FROM gaps JOIN ideal USING (gene_id) GROUP BY 1", recursive=True)

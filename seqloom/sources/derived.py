@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 HEX, DNA = "0123456789abcdef", "ACGTACGTACGTACGT"
 GENE_PARTS = 20
 
@@ -20,7 +22,7 @@ def dna(text: Column) -> Column:
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     parts = [dna(F.concat(key, F.lit(f"-{i}"))) for i in range(GENE_PARTS)]
-    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.concat(*parts).alias("seq"))
+    return spread(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.concat(*parts).alias("seq")), "gene_id")
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,6 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "supplier").agg(F.count("*").alias("n"))
     gene = (k % (F.col("n") + 3)).cast("string")
     return (
-        read(spark, sf_dir, "orders").filter("o_orderkey < 2000").join(F.broadcast(n))
+        read(spark, sf_dir, "orders").join(F.broadcast(n))
         .select(F.concat(F.lit("T"), k.cast("string")).alias("task"), F.concat(F.lit("BP_"), F.lpad((k % 2500).cast("string"), 5, "0")).alias("bp_id"), F.when(k % 4 == 0, F.concat(F.lit("SYM"), gene)).when(k % 9 == 0, F.concat(F.lit("l"), gene)).otherwise(F.concat(F.lit("L"), gene)).alias("gene_id"), F.when(k % 3 == 0, (k % 7 + 1).cast("string")).when(k % 3 == 1, "many").alias("max_selected"))
     )
