@@ -65,10 +65,25 @@ def is_complementary(a: Column | str, b: Column | str) -> Column:
     return (F.length(col(a)) == F.length(col(b))) & col(a).rlike("^[ATCG]*$") & (complement(a) == col(b))
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once for an inner loop."""
+    return F.transform(F.array(value), body)[0]
+
+
 def kmers(s: Column | str, k: int) -> Column:
-    """All k-mers in order; none when the sequence is shorter."""
+    """All k-mers in order; none when the sequence is shorter.
+
+    Cut from bytes, where a piece is found at once; in a string each would be searched for from its start, which
+    makes long sequences quadratic.  Sequences are ASCII."""
     s = col(s)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    cut = lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - k + 1), lambda i: F.substring(b, i, F.lit(k)).cast("string"))
+    return F.when(F.length(s) >= k, let(s.cast("binary"), cut)).otherwise(F.array().cast("array<string>"))
+
+
+def once(value: Column, name: str) -> Column:
+    """A computed column that later filters use by value: without it, the optimizer would copy its
+    expression into every filter above it."""
+    return F.explode(F.array(value)).alias(name)
 
 
 def distinct_kmers(s: Column | str, k: int) -> Column:

@@ -1,8 +1,7 @@
 """Nearest-neighbour melting temperature as column expressions.
 
-Dinucleotides are counted by replacing literals, which is exact for two different bases (they cannot
-overlap themselves); pairs of equal bases follow from the base counts.  All sums are
-integers, divided once, so that other engines get the same bits.
+The values of neighbouring pairs are integers, added and divided once, so that other engines get the same bits.
+Windows of one sequence share the values of its pairs (:func:`pair_values`, once for each position).
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import col, count_of, gc_percent, poly_n_ok
+from .sequence import col, gc_percent, let, poly_n_ok
 
 
 @dataclass(frozen=True)
@@ -36,33 +35,35 @@ def _partner(pair: str) -> str:
     return pair[::-1].translate(str.maketrans("ACGT", "TGCA"))
 
 
-def _packed(s: Column, table: Table) -> Column:
-    """Both sums in one integer, enthalpy * 65536 + entropy, so that every pair is counted once.
+def _pack(v: tuple[int, int]) -> int:
+    """Both sums in one integer, enthalpy * 65536 + entropy, so that sequences are walked once."""
+    return v[0] * 65536 + v[1]
 
-    Pairs of equal bases are what is left: those that begin with A or T, and the others."""
-    pack = lambda v: v[0] * 65536 + v[1]
-    equal_at, equal_gc = pack(table.pairs["AA"]), pack(table.pairs["GG"])
-    known = {p: pack(v) for p, v in table.pairs.items()}
-    known |= {_partner(p): v for p, v in known.items()}
-    n, last = F.length(s), F.right(s, F.lit(1))
-    end = lambda c: F.when(c.isin("A", "T"), pack(table.end_at)).otherwise(pack(table.end_gc))
-    begin_at = n - F.length(F.replace(F.replace(s, F.lit("A"), F.lit("")), F.lit("T"), F.lit(""))) - last.isin("A", "T").cast("int")
-    total = F.lit(pack(table.start)) + end(F.substring(s, 1, 1)) + end(last) + begin_at * (equal_at - equal_gc) + (n - 1) * equal_gc
-    for p, v in sorted(known.items()):
-        if p[0] != p[1]:
-            total = total + count_of(s, p) * (v - equal_gc - (equal_at - equal_gc if p[0] in "AT" else 0))
-    return total
+
+def _pair_value(pair: Column, table: Table) -> Column:
+    known = dict(table.pairs) | {_partner(p): v for p, v in table.pairs.items()}
+    names = sorted(known)
+    return F.element_at(F.array(*[F.lit(_pack(known[p])) for p in names]), ((F.instr(F.lit(" ".join(names)), pair) + 2) / 3).cast("int"))
+
+
+def pair_values(data: Column, table: Table = NN4) -> Column:
+    """Packed value of each pair of neighbours of an ACGT sequence, given as bytes."""
+    return let(data, lambda b: F.transform(F.sequence(F.lit(1), F.octet_length(b) - 1), lambda i: _pair_value(F.substring(b, i, F.lit(2)).cast("string"), table)))
+
+
+def tm_of_pairs(pairs: Column, first: Column, last: Column, n: Column, table: Table = NN4) -> Column:
+    """Temperature of n bases from the packed values of their pairs and their ends."""
+    end = lambda c: F.when(c.isin("A", "T"), _pack(table.end_at)).otherwise(_pack(table.end_gc))
+    packed = F.aggregate(pairs, F.lit(_pack(table.start)), lambda a, v: a + v) + end(first) + end(last)
+    # the entropy sum is negative and above -65536
+    salted = lambda p: (p.bitwiseAND(F.lit(65535)) - 65536) / F.lit(10.0) + F.lit(0.368) * (n - 1) * F.log(F.lit(SALT))
+    return let(packed, lambda p: F.lit(1000.0) * ((F.shiftright(p, 16) + 1) / F.lit(10.0)) / (salted(p) + F.lit(GAS) * F.log(F.lit(STRANDS))) - F.lit(273.15))
 
 
 def tm(s: Column | str, table: Table = NN4) -> Column:
     """Melting temperature in degrees Celsius of an ACGT sequence of two bases or more."""
     s = col(s)
-    packed = _packed(s, table)
-    # the entropy sum is negative and above -65536
-    enthalpy = F.shiftright(packed, 16) + 1
-    entropy = packed.bitwiseAND(F.lit(65535)) - 65536
-    salted = entropy / F.lit(10.0) + F.lit(0.368) * (F.length(s) - 1) * F.log(F.lit(SALT))
-    return F.lit(1000.0) * (enthalpy / F.lit(10.0)) / (salted + F.lit(GAS) * F.log(F.lit(STRANDS))) - F.lit(273.15)
+    return tm_of_pairs(pair_values(s.cast("binary"), table), F.substring(s, 1, 1), F.right(s, F.lit(1)), F.length(s), table)
 
 
 def tm_between(s: Column | str, low: float, high: float, table: Table = NN4) -> Column:

@@ -16,9 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import gc_junction, gc_percent, has_dimer, poly_n_ok, reverse_complement
-from ..functions.thermo import NN4, Table, tm
-from ..sources.scratch import written
+from ..functions.sequence import gc_junction, gc_percent, has_dimer, once, poly_n_ok, reverse_complement
+from ..functions.thermo import NN4, Table, pair_values, tm_of_pairs
+from ..sources.scratch import spread, written
 from .kmers import explode_kmers, repeat_kmers
 
 
@@ -53,24 +53,37 @@ class Config:
             raise ValueError("a set has two or three probes")
 
 
+#: Window starts in a block of a sequence.
+BLOCK = 1024
+
 DUAL = Config()
 TRIPLE = Config(tm_min=47.0, tm_max=53.0, poly_n=4, arity=3)
 
 
+def blocks(genes: DataFrame, reach: int) -> DataFrame:
+    """gene_id, offset, b: sequences as bytes, in overlapping blocks of ``BLOCK`` starts, dealt over the
+    cores: however long a sequence is, a row stays small and its windows spread."""
+    n = F.octet_length("b")
+    raw = genes.select("gene_id", F.col("seq").cast("binary").alias("b")).filter(n > 0)
+    cut = raw.select("gene_id", "b", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).alias("offset"))
+    return spread(cut.select("gene_id", "offset", F.substring("b", F.col("offset") + 1, F.lit(BLOCK + reach - 1)).alias("b")), "gene_id", "offset")
+
+
 def windows(genes: DataFrame, config: Config = DUAL) -> DataFrame:
-    """gene_id, start, len, w of every window of every length."""
-    last = F.length("seq") - config.min_length
-    at = genes.filter(last >= 0).select("gene_id", "seq", F.explode(F.sequence(F.lit(0), last)).alias("start"))
-    lengths = F.explode(F.sequence(F.lit(config.min_length), F.lit(config.max_length))).alias("len")
-    sized = at.select("gene_id", F.substring("seq", F.col("start") + 1, F.lit(config.max_length)).alias("w"), "start", lengths)
-    return sized.filter(F.col("len") <= F.length("w")).select("gene_id", "start", "len", F.substring("w", F.lit(1), F.col("len")).alias("w"))
+    """gene_id, start, len, w of every window of every length, and the packed values of its pairs."""
+    at = blocks(genes, config.max_length).filter(F.octet_length("b") >= config.min_length).withColumn("values", pair_values(F.col("b"), config.table))
+    last = F.least(F.octet_length("b") - config.min_length, F.lit(BLOCK - 1))
+    at = at.select("gene_id", "offset", "b", once(F.col("values"), "values"), last.alias("last")).select("gene_id", "offset", "b", "values", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
+    pieces = at.select("gene_id", (F.col("offset") + F.col("at")).alias("start"), "at", "values", once(F.substring("b", F.col("at") + 1, F.lit(config.max_length)).cast("string"), "piece"))
+    sized = pieces.select("gene_id", "start", "at", "values", "piece", F.explode(F.sequence(F.lit(config.min_length), F.lit(config.max_length))).alias("len"))
+    return sized.filter(F.col("len") <= F.length("piece")).select("gene_id", "start", "len", once(F.substring("piece", F.lit(1), F.col("len")), "w"), "at", "values")
 
 
 def _thermodynamic(w: DataFrame, config: Config) -> DataFrame:
     """Cheap predicates first; temperature behind them."""
     cheap = w.filter(gc_percent("w").between(config.gc_min, config.gc_max) & poly_n_ok("w", config.poly_n))
-    # a generator keeps the filter from being pushed below it and the temperature from being computed twice
-    warm = cheap.select("gene_id", "start", "len", "w", F.explode(F.array(tm("w", config.table))).alias("tm"))
+    heat = tm_of_pairs(F.slice("values", F.col("at") + 1, F.col("len") - 1), F.substring("w", 1, 1), F.right("w", F.lit(1)), F.col("len"), config.table)
+    warm = cheap.select("gene_id", "start", "len", "w", once(heat, "tm"))
     return warm.filter(F.col("tm").between(config.tm_min, config.tm_max))
 
 

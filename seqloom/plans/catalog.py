@@ -130,7 +130,7 @@ def probe_max_kmer(spark, sf):
 def low_complexity_windows(spark, sf):
     genes = derived.genes(spark, sf)
     near = designer._first_repeat(genes, designer.DUAL)
-    return designer.windows(genes).join(near, ["gene_id", "start"]).filter(F.col("repeat") + 8 <= F.col("start") + F.col("len")).select("gene_id", "start", "len")
+    return designer.windows(genes).select("gene_id", "start", "len").join(near, ["gene_id", "start"]).filter(F.col("repeat") + 8 <= F.col("start") + F.col("len")).select("gene_id", "start", "len")
 
 
 # ---- bridge library
@@ -334,12 +334,15 @@ def set_metrics(spark, sf):
 
 
 def _arms(spark, sf, size: int, arm: int, gc: tuple[float, float], heat: tuple[float, float], poly: int):
-    at = derived.genes(spark, sf).select("gene_id", F.explode(F.sequence(F.lit(0), F.length("seq") - size)).alias("start"), "seq").select("gene_id", "start", F.substring("seq", F.col("start") + 1, F.lit(size)).alias("w"))
-    parts = [F.substring("w", F.lit(1), F.lit(arm)), F.right("w", F.lit(arm))]
-    for p in parts:
+    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - size)).alias("start")
+    at = derived.genes(spark, sf).filter(F.length("seq") >= size).select("gene_id", F.col("seq").cast("binary").alias("b"), starts)
+    at = at.select("gene_id", "start", S.once(F.substring("b", F.col("start") + 1, F.lit(size)).cast("string"), "w"))
+    at = at.select("*", S.once(F.substring("w", F.lit(1), F.lit(arm)), "first")).select("*", S.once(F.right("w", F.lit(arm)), "second"))
+    for p in ("first", "second"):
         at = at.filter(S.gc_percent(p).between(*gc) & S.poly_n_ok(p, poly))
-    for p in parts:
+    for p in ("first", "second"):
         at = at.filter(tm_between(p, *heat, NN3))
+    at = written(at.select("gene_id", "start", "w"))
     picked = designer.disjoint_intervals(at.select("gene_id", "start", (F.col("start") + size).alias("end")), "gene_id")
     number = F.row_number().over(Window.partitionBy("gene_id").orderBy("start"))
     return at.join(picked.select("gene_id", "start"), ["gene_id", "start"], "left_semi").withColumn("number", number)
