@@ -104,6 +104,6 @@ def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequenc
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: one row per taken copy with all columns of ``docs``, range-sorted by
     training position.  doc_id names a document: rows sharing one are taken alike."""
-    taken = assign(docs, **options).filter("n_copies > 0").groupBy("doc_id").agg(F.first("positions").alias("_positions")).withColumnRenamed("doc_id", "_mixed_id")
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_mixed_id"])).select(*[docs[c] for c in docs.columns], F.explode("_positions").alias("_position"))
-    return copies.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").drop("_position")
+    taken = assign(docs, **options).filter("n_copies > 0").groupBy("doc_id").agg(F.first("positions").alias("__seqloom_positions")).withColumnRenamed("doc_id", "__seqloom_mixed_id")
+    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__seqloom_mixed_id"])).select(*[docs[c] for c in docs.columns], F.explode("__seqloom_positions").alias("__seqloom_position"))
+    return copies.repartitionByRange("__seqloom_position", "doc_id").sortWithinPartitions("__seqloom_position", "doc_id").drop("__seqloom_position")

@@ -60,7 +60,7 @@ def _repeated(ws: Column) -> Column:
 
 def base_measures(text: Column) -> dict[str, Column]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words as columns over ``ws`` and the text."""
-    ws, text = F.col("_ws"), F.coalesce(text, F.lit(""))
+    ws, text = F.col("__seqloom_ws"), F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, r"(?s)^[\x20\x09-\x0D]+", "")) > 0)
     return {
         "n_words": F.size(ws).cast("long"),
@@ -74,16 +74,16 @@ def base_measures(text: Column) -> dict[str, Column]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base measures, base_failed and the learner's features in a struct ``_quality``."""
-    out = docs.withColumn("_ws", words(F.col("text")))
+    """``docs`` with the base measures, base_failed and the learner's features in a struct ``__seqloom_quality``."""
+    out = docs.withColumn("__seqloom_ws", words(F.col("text")))
     measures = base_measures(F.col("text"))
-    out = out.withColumn("_m", F.struct(*[c.alias(k) for k, c in measures.items()]))
-    m = F.col("_m")
+    out = out.withColumn("__seqloom_m", F.struct(*[c.alias(k) for k, c in measures.items()]))
+    m = F.col("__seqloom_m")
     failed = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     per = lambda top, of: F.round(m[top] / F.greatest(m[of], F.lit(1)), 4)
     features = {"symbols": per("n_symbols", "n_words"), "upper": per("n_upper", "word_chars"), "marks": per("n_marks", "n_words"), "dup_lines": per("n_dup_lines", "n_words"), "repeats": per("n_repeat_words", "n_words"), "word_len": per("word_chars", "n_words")}
     fields = [m[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.withColumn("_quality", F.struct(*fields, failed.alias("base_failed"), *[features[k].alias(k) for k in FEATURES])).drop("_ws", "_m")
+    return out.withColumn("__seqloom_quality", F.struct(*fields, failed.alias("base_failed"), *[features[k].alias(k) for k in FEATURES])).drop("__seqloom_ws", "__seqloom_m")
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def cover(cells: list[tuple[tuple[int, ...], bool, int, int]], edges: dict[str,
 
 def measures_table(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of every text, written to scratch."""
-    return cut(measured(docs.select("doc_id", "text")).select("doc_id", "_quality.*"))
+    return cut(measured(docs.select("doc_id", "text")).select("doc_id", "__seqloom_quality.*"))
 
 
 def learn_from(measures: DataFrame, labels: DataFrame) -> list[Rule]:
@@ -182,9 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """``docs`` with ``_quality`` and ``_kept``."""
+    """``docs`` with ``__seqloom_quality`` and ``__seqloom_kept``."""
     out = measured(docs)
-    return out.withColumn("_kept", F.when(F.col("_quality.base_failed"), F.lit(False)).otherwise(verdict(rules, lambda f: F.col(f"_quality.{f}"))))
+    return out.withColumn("__seqloom_kept", F.when(F.col("__seqloom_quality.base_failed"), F.lit(False)).otherwise(verdict(rules, lambda f: F.col(f"__seqloom_quality.{f}"))))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
