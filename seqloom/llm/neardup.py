@@ -65,7 +65,7 @@ def _throw(elements, weights, owner, reach, k, n, out_rank, out_dart):
         cells = np.ceil(reach[owner[inside]] * width).astype(np.int64)
         element = np.repeat(inside, cells)
         j = np.arange(len(element)) - np.repeat(np.cumsum(cells) - cells, cells)
-        base = mix(elements[element] + _CELL * (j.astype(U) + U(1)) + U(v) * _GOLDEN)
+        base = mix(elements[element] + _CELL * (j.astype(U) + U(1)) + U(v * int(_GOLDEN) % 2**64))
         darts = np.searchsorted(_POISSON, base)
         cell = np.repeat(np.arange(len(element)), darts)
         d = np.arange(len(cell)) - np.repeat(np.cumsum(darts) - darts, darts)
