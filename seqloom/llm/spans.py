@@ -41,6 +41,8 @@ EDGE = 6
 BUCKETS = 16
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
 CHUNK = 250_000
+#: Words whose runs a task deals over the buckets at once.
+DEALT = 2_000_000
 
 _BLOCK = "bucket int, n int, edge binary, doc binary, row binary, start binary, count binary, print binary"
 
@@ -61,46 +63,49 @@ def _runs(texts: list[list[bytes]], cache: WordHashes):
     return mix(edges[at[new]]), text[new], (ok[new] - first[text[new]]).astype(np.uint32), count.astype(np.uint8), prints
 
 
+def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The runs of some texts as one column block for each bucket of edges."""
+    edge, text, start, count, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bucket = ((edge & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
+    order = np.lexsort((ids[text], bucket))
+    offset = np.cumsum(count, dtype=np.int64) - count
+    edge, text, start, bucket, count, offset = edge[order], text[order], start[order], bucket[order], count[order], offset[order]
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
+    out = {k: [] for k in ("bucket", "n", "edge", "doc", "row", "start", "count", "print")}
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        c = count[a:b].astype(np.int64)
+        windows = np.repeat(offset[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        out["bucket"].append(int(bucket[a]))
+        out["n"].append(int(b - a))
+        out["edge"].append((edge[a:b] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        out["doc"].append(planes(np.diff(ids[text[a:b]], prepend=np.int64(0))))
+        out["row"].append(planes(rows[text[a:b]]))
+        out["start"].append(planes(start[a:b]))
+        out["count"].append(count[a:b].tobytes())
+        out["print"].append(prints[windows].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("edge", "doc", "row", "start", "count", "print")]], list(out))
+
+
 def _blocks(buckets: int):
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            ids, rows = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            parts, held, size = [], [], 0
-            texts = batch.column(2)
+            ids, rows, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
+            parts, held, size, dealt = [], [], 0, 0
             for i in range(len(texts)):
                 tokens = texts[i].as_py().split()
                 if len(tokens) >= WINDOW:
                     held.append((i, tokens))
                     size += len(tokens)
-                if held and (size >= CHUNK or i == len(texts) - 1):
+                last = i == len(texts) - 1
+                if held and (size >= CHUNK or last):
                     edge, text, start, count, prints = _runs([t for _, t in held], cache)
                     parts.append((edge, np.array([k for k, _ in held])[text], start, count, prints))
+                    dealt += size
                     held, size = [], 0
-            if held:
-                edge, text, start, count, prints = _runs([t for _, t in held], cache)
-                parts.append((edge, np.array([k for k, _ in held])[text], start, count, prints))
-            if not parts:
-                continue
-            edge, text, start, count, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-            bucket = ((edge & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
-            order = np.lexsort((ids[text], bucket))
-            offset = np.cumsum(count, dtype=np.int64) - count
-            edge, text, start, bucket, count, offset = edge[order], text[order], start[order], bucket[order], count[order], offset[order]
-            bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-            out = {k: [] for k in ("bucket", "n", "edge", "doc", "row", "start", "count", "print")}
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                c = count[a:b].astype(np.int64)
-                windows = np.repeat(offset[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-                out["bucket"].append(int(bucket[a]))
-                out["n"].append(int(b - a))
-                out["edge"].append((edge[a:b] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                out["doc"].append(planes(np.diff(ids[text[a:b]], prepend=np.int64(0))))
-                out["row"].append(planes(rows[text[a:b]]))
-                out["start"].append(planes(start[a:b]))
-                out["count"].append(count[a:b].tobytes())
-                out["print"].append(prints[windows].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("edge", "doc", "row", "start", "count", "print")]], list(out))
+                if parts and (dealt >= DEALT or last):
+                    yield _dealt(parts, ids, rows, buckets)
+                    parts, dealt = [], 0
 
     return blocks
 
