@@ -235,7 +235,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
 
     for level in range(1, levels + 1):
         buckets = nodes.select("node", F.explode(_keys(level, bands)).alias("bucket"))
-        leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last")
+        # written, so that the join below is dealt for itself and the rows of a hot bucket can be split
+        leaders = cut(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
         shared = cut(buckets.join(leaders, "bucket"))
         if sets is None:
             sets = cut(_sets(docs, shared.select("node").distinct(), size))
