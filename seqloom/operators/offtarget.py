@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .kmers import explode_kmers
 
 
@@ -21,10 +22,12 @@ def mismatches(a: Column, b: Column) -> Column:
 
 def search(probes: DataFrame, subjects: DataFrame, seed: int = 10, identity: float = 0.8, max_mismatches: int | None = None) -> DataFrame:
     """probe_seq, subject_id, strand, start, mm. ``probes``: probe_seq; ``subjects``: subject_id, strand, seq."""
-    queries = probes.select("probe_seq").distinct()
+    # either side is used twice, and may be costly to derive
+    queries, subjects = written(probes.select("probe_seq").distinct()), written(subjects.select("subject_id", "strand", "seq"))
     seeds = explode_kmers(queries, seed, "probe_seq", seq="probe_seq").select("probe_seq", "kmer", F.col("pos").alias("probe_pos"))
     places = explode_kmers(subjects, seed, "subject_id", "strand").select("subject_id", "strand", "kmer", F.col("pos").alias("subject_pos"))
     diagonals = seeds.join(places, "kmer").select("probe_seq", "subject_id", "strand", (F.col("subject_pos") - F.col("probe_pos")).alias("start")).filter("start >= 0").distinct()
+    diagonals = written(diagonals)
     aligned = diagonals.join(subjects, ["subject_id", "strand"]).withColumn("w", F.substring("seq", F.col("start") + 1, F.length("probe_seq")))
     scored = aligned.filter(F.length("w") == F.length("probe_seq")).withColumn("mm", mismatches(F.col("probe_seq"), F.col("w")))
     most = F.floor(F.length("probe_seq") * F.lit(1 - identity) + 1e-9) if max_mismatches is None else F.lit(max_mismatches)
