@@ -12,8 +12,10 @@ so paths that branch inside a run are resolved window by window.  Spans of
 repeated windows then join the texts by coordinate.
 
 Runs travel as column blocks, one record for each (input batch, bucket of edges),
-in numpy; Spark partitions and shuffles them.  An edge can hold no more rows than
-its passage has occurrences, and a bucket holds thousands of edges.
+in numpy; Spark partitions and shuffles them.  A task first decides the windows that
+repeat among its own texts, ``DEALT`` words at a time, so a passage that a third of
+all documents hold reaches its edge once for each such portion, not once for each
+document; a bucket holds thousands of edges.
 
 Edge cases: a null or empty text, and one of fewer than ``WINDOW`` words, loses nothing; a null
 doc_id lies below all others; rows that share a doc_id never cost each other
@@ -63,26 +65,83 @@ def _runs(texts: list[list[bytes]], cache: WordHashes):
     return mix(edges[at[new]]), text[new], (ok[new] - first[text[new]]).astype(np.uint32), count.astype(np.uint8), prints
 
 
+def _hits(edge: np.ndarray, doc: np.ndarray, count: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Run and place in it of every window that a smaller document among these runs holds too, in order."""
+    offset = np.cumsum(count) - count
+    # edges that one document alone holds end here
+    order = np.argsort(edge, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], edge[order][1:] != edge[order][:-1]]))
+    shared = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+    group = np.repeat(np.arange(len(heads), dtype=U), np.diff(np.append(heads, len(order))))
+    keep = shared[group]
+    order, group = order[keep], group[keep]
+    if not len(order):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    c = count[order]
+    run = np.repeat(np.arange(len(order)), c)
+    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    key = (group[run] << U(32)) | prints[offset[order][run] + inner].astype(U)
+    by = np.argsort(key, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+    docs = doc[order][run]
+    least = np.repeat(np.minimum.reduceat(docs[by], heads), np.diff(np.append(heads, len(by))))
+    again = np.zeros(len(by), bool)
+    again[by] = docs[by] > least
+    hit = np.flatnonzero(again)
+    return order[run[hit]], inner[hit]
+
+
+def _joined(run: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and number of the windows of one run that follow each other."""
+    if not len(run):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (inner[1:] != inner[:-1] + 1)]))
+    return new, np.diff(np.append(new, len(run)))
+
+
 def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The runs of some texts as one column block for each bucket of edges."""
+    """The runs of some texts as one column block for each bucket of edges.
+
+    Windows that a smaller document of these texts holds too are decided here: they go on as spans, in a
+    block with a bucket below 0 drawn for these texts, so that of a frequent passage only the first
+    occurrence among them travels to its edge."""
     edge, text, start, count, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+    count = count.astype(np.int64)
+    out = {k: [] for k in ("bucket", "n", "edge", "doc", "row", "start", "count", "print")}
+
+    def block(bucket: int, edge, text, start, count, prints) -> None:
+        out["bucket"].append(bucket)
+        out["n"].append(len(text))
+        out["edge"].append((edge >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        out["doc"].append(planes(np.diff(ids[text], prepend=np.int64(0))))
+        out["row"].append(planes(rows[text]))
+        out["start"].append(planes(start.astype(np.uint32)))
+        out["count"].append(count.astype(np.uint8).tobytes())
+        out["print"].append(prints.tobytes())
+
+    run, inner = _hits(edge, ids[text], count, prints)
+    if len(run):
+        offset = np.cumsum(count) - count
+        new, length = _joined(run, inner)
+        own = run[new]
+        by = np.argsort(ids[text[own]], kind="stable")
+        block(-1 - int(mix(edge[:1] + start[:1].astype(U) + ids[text[:1]].view(U))[0] % U(buckets)), np.empty(0, U), text[own][by], (start[own] + inner[new])[by], length[by], np.empty(0, np.uint32))
+        gone = np.zeros(len(prints), bool)
+        gone[offset[run] + inner] = True
+        left = np.flatnonzero(~gone)
+        run = np.repeat(np.arange(len(count)), count)[left]
+        new, length = _joined(run, left)
+        own = run[new]
+        edge, text, start, count, prints = edge[own], text[own], start[own] + (left[new] - offset[own]), length, prints[left]
     bucket = ((edge & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
     order = np.lexsort((ids[text], bucket))
-    offset = np.cumsum(count, dtype=np.int64) - count
+    offset = np.cumsum(count) - count
     edge, text, start, bucket, count, offset = edge[order], text[order], start[order], bucket[order], count[order], offset[order]
     bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
-    out = {k: [] for k in ("bucket", "n", "edge", "doc", "row", "start", "count", "print")}
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        c = count[a:b].astype(np.int64)
+        c = count[a:b]
         windows = np.repeat(offset[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        out["bucket"].append(int(bucket[a]))
-        out["n"].append(int(b - a))
-        out["edge"].append((edge[a:b] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-        out["doc"].append(planes(np.diff(ids[text[a:b]], prepend=np.int64(0))))
-        out["row"].append(planes(rows[text[a:b]]))
-        out["start"].append(planes(start[a:b]))
-        out["count"].append(count[a:b].tobytes())
-        out["print"].append(prints[windows].tobytes())
+        block(int(bucket[a]), edge[a:b], text[a:b], start[a:b], c, prints[windows])
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("edge", "doc", "row", "start", "count", "print")]], list(out))
 
 
@@ -111,49 +170,27 @@ def _blocks(buckets: int):
 
 
 def _repeats(block: pa.Table) -> pa.Table:
-    """Spans of repeated windows among the runs of one bucket."""
+    """Spans of repeated windows among the runs of one bucket (below 0: spans that are decided)."""
+    decided = block.column("bucket")[0].as_py() < 0
     edge, doc, row, start, count, prints = [], [], [], [], [], []
     for r in block.to_pylist():
-        raw = np.zeros((r["n"], 8), np.uint8)
-        raw[:, :5] = np.frombuffer(r["edge"], np.uint8).reshape(-1, 5)
-        edge.append(raw.view(U).ravel())
+        if not decided:
+            raw = np.zeros((r["n"], 8), np.uint8)
+            raw[:, :5] = np.frombuffer(r["edge"], np.uint8).reshape(-1, 5)
+            edge.append(raw.view(U).ravel())
+            prints.append(np.frombuffer(r["print"], np.uint32))
         doc.append(np.cumsum(from_planes(r["doc"], np.int64)))
         row.append(from_planes(r["row"], np.int64))
         start.append(from_planes(r["start"], np.uint32))
         count.append(np.frombuffer(r["count"], np.uint8))
-        prints.append(np.frombuffer(r["print"], np.uint32))
-    edge, doc, row, start, prints = (np.concatenate(x) for x in (edge, doc, row, start, prints))
-    count = np.concatenate(count).astype(np.int64)
-    offset = np.cumsum(count) - count
-    # edges that one document alone holds end here
-    order = np.argsort(edge, kind="stable")
-    group = np.cumsum(np.concatenate([[0], edge[order][1:] != edge[order][:-1]]))
-    heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    shared = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
-    keep = shared[group]
-    order, group = order[keep], group[keep].astype(U)
-    none = pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("row", pa.int64()), ("span", pa.int64()))})
-    if not len(order):
-        return none
-    c = count[order]
-    run = np.repeat(np.arange(len(order)), c)
-    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    key = (group[run] << U(32)) | prints[offset[order][run] + inner].astype(U)
-    by = np.argsort(key, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
-    docs = doc[order][run]
-    least = np.repeat(np.minimum.reduceat(docs[by], heads), np.diff(np.append(heads, len(by))))
-    again = np.zeros(len(by), bool)
-    again[by] = docs[by] > least
-    hit = np.flatnonzero(again)
-    if not len(hit):
-        return none
-    # windows of one run that follow each other make one span
-    new = np.flatnonzero(np.concatenate([[True], (run[hit][1:] != run[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]))
-    length = np.diff(np.append(new, len(hit)))
-    runs = order[run[hit[new]]]
-    span = ((start[runs].astype(np.int64) + inner[hit[new]]) << 8) | length
-    return pa.table({"doc_id": doc[runs], "row": row[runs], "span": span})
+    doc, row, start, count = (np.concatenate(x) for x in (doc, row, start, count))
+    start, length = start.astype(np.int64), count.astype(np.int64)
+    if not decided:
+        run, inner = _hits(np.concatenate(edge), doc, length, np.concatenate(prints))
+        new, length = _joined(run, inner)
+        run = run[new]
+        doc, row, start = doc[run], row[run], start[run] + inner[new]
+    return pa.table({"doc_id": doc, "row": row, "span": start << 8 | length})
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
