@@ -177,8 +177,9 @@ def learn_from(measures: DataFrame, labels: DataFrame) -> list[Rule]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Learn from every labelled document of ``docs``."""
-    return learn_from(measures_table(docs), labels)
+    """Learn from every labelled document of ``docs``; the others are not measured."""
+    known = labels.select(F.col("doc_id").alias("_labelled"))
+    return learn_from(measures_table(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_labelled"), "left_semi")), labels)
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
