@@ -11,13 +11,17 @@ minhash.  Texts with empty coordinates look further up in rank.  Two signatures
 coordinate with the probability of their weighted Jaccard similarity.
 
 Copies (equal word sequences) fold into one node first.  In each band bucket the
-smallest node leads; members are compared with leaders, the most frequent pair
+node that meets most others over all its buckets leads, as the original of a family does;
+members are compared with leaders, the most frequent pair
 of each member first, by the exact Jaccard similarity of their shingles, and classes
 are the connected components.  A bucket that still holds several classes mixed texts that are
 similar, but not enough; its nodes go on to finer buckets, of two and then three
-bands joined, with leaders of their own.  So a bucket of n texts costs n comparisons a
-level and never n * n; a pair at the threshold shares some bucket of the second level with
-probability 1 - 2e-6 and of the third with 0.994, and its leader there is as near to both.
+bands joined, with leaders of their own.  That costs n comparisons a level for a bucket of n texts
+and joins most of what is similar.  The band buckets that even then hold several classes are finished
+exactly: every two of their texts that are in different classes are compared, in blocks of ``BLOCK`` texts
+dealt over the tasks, each pair in the first bucket that it shares.  So two similar texts are in one class
+unless they share no band at all, at the threshold 3e-6; only texts that share bands but are not similar
+can cost n * n comparisons.
 
 Edge cases: a text of 1 to ``size - 1`` words is one shingle; a text without words
 (null, empty, blank) is in a class of its own; rows that share a doc_id are in one
@@ -43,6 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Levels of buckets (bands joined in a key), and the distances of the bands that are joined.
 LEVELS, STEPS = 3, (1, 5, 11)
+#: Texts of an open bucket that a task compares with as many others.
+BLOCK = 256
 #: Shingles that a task lays out in arrays at once.
 CHUNK = 100_000
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -184,6 +190,67 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(verify, "a long, b long")
 
 
+def _links(nodes: list, labels: list, own: list, band: int, bands: list, items: list, least: float) -> list[tuple[int, int]]:
+    """Links that join the classes of some texts of one bucket, of blocks ``own``: of two blocks only pairs across,
+    and no pair that shares an earlier band, as that is compared there."""
+    sets = [np.frombuffer(x, np.uint32) for x in items]
+    size, block = np.array([len(x) for x in sets]), np.array(own)
+    across = block.min() < block.max()
+    label = np.unique(np.array(labels), return_inverse=True)[1]
+    earlier = np.array([b[:band] for b in bands], np.int64).reshape(len(nodes), band)
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids, np.cumsum(size)[:-1])
+    mark, out = np.zeros(len(words), bool), []
+    for i in range(len(nodes) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9]
+        if across:
+            j = j[block[j] != block[i]]
+        j = j[~(earlier[j] == earlier[i]).any(axis=1)]
+        if not len(j):
+            continue
+        mark[ids[i]] = True
+        both = np.add.reduceat(mark[np.concatenate([ids[k] for k in j])], np.cumsum(size[j]) - size[j], dtype=np.int64)
+        mark[ids[i]] = False
+        for k in j[both >= least * (size[i] + size[j] - both) - 1e-9]:
+            if label[k] != label[i]:
+                out.append((nodes[i], nodes[k]))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float, size: int = BLOCK) -> DataFrame:
+    """The edges (a, b) that still join classes, after comparing all texts of different classes that share a band."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def linked() -> list[tuple[int, int]]:
+            node, label, own, bands, items = zip(*held, strict=True)
+            return _links(node, label, own, key[3], bands, items, least) if len(held) > 1 else []
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            found = []
+            for bucket, lo, hi, band, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, lo, hi, band) != key:
+                    found += linked() if held else []
+                    key, held = (bucket, lo, hi, band), []
+                held.append(row)
+            yield out(found)
+        if held:
+            yield out(linked())
+
+    buckets = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = cut(buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
+    members = cut(buckets.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
+    each = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    laid = each.join(sets, "node").select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "node", "label", "own", "bands", "items")
+    return laid.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label of every node of the edges (a, b): label is the least node it is connected with.
 
@@ -224,6 +291,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     worded = sketched.filter("k1 is not null")
     copies = cut(worded.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")))
     nodes = worded.join(copies, ["k1", "k2"]).filter("doc_id = node").select("node", "bands")
+    first_nodes = None  # the nodes of band buckets that level 1 leaves open
     found = tested = labels = sets = None
 
     def across(edges: DataFrame) -> DataFrame:
@@ -236,14 +304,17 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     for level in range(1, levels + 1):
         buckets = nodes.select("node", F.explode(_keys(level, bands)).alias("bucket"))
         # written, so that the join below is dealt for itself and the rows of a hot bucket can be split
-        leaders = cut(buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter("leader < last").drop("last"))
-        shared = cut(buckets.join(leaders, "bucket"))
+        sizes = cut(buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).filter("x < y").drop("x", "y"))
+        shared = cut(buckets.join(sizes, "bucket"))
+        met = shared.groupBy("node").agg(F.sum("n").alias("met"))
+        leaders = cut(shared.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", F.bitwise_not("node"))).alias("leader")))
+        shared = cut(shared.drop("n").join(leaders, "bucket"))
         if sets is None:
             sets = cut(_sets(docs, shared.select("node").distinct(), size))
         pairs = shared.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes"))
         pairs = cut(across(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
         # each node with its most frequent leader first: that joins most of a group, and saves the other comparisons
-        best = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b")))
+        best = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", F.bitwise_not("b"))).alias("b")))
         first = cut(_similar(best, sets, similarity))
         found = first if found is None else found.union(first)
         labels = components(found)
@@ -251,14 +322,19 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         found = cut(found.union(_similar(rest, sets, similarity)))
         labels = components(found)
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        if level == levels:
+        if 1 < level == levels:
             break
         named = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
         open_ = named.join(mixed, "bucket", "left_semi").select("node").distinct()
         nodes = cut(nodes.join(open_, "node", "left_semi"))
+        if level == 1:
+            first_nodes = nodes
         if nodes.isEmpty():
             break
+    if not first_nodes.isEmpty():
+        found = cut(found.union(_finish(first_nodes, labels, sets, similarity)))
+        labels = components(found)
     named = copies.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("class_id"))
     own = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     out = worded.join(named, ["k1", "k2"]).select("doc_id", "class_id").union(sketched.filter("k1 is null").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -105,6 +105,40 @@ def test_near_duplicates(docs, rows, weights):
     assert {least(r.doc_id): least(r.class_id) for r in got} == jaccard_classes(rows)
 
 
+def changed(rng, words, n, tag):
+    """The words with ``n`` of them replaced by new ones, far from each other."""
+    out, step = list(words), len(words) // n
+    for k in range(n):
+        out[k * step + rng.randrange(5, step - 5)] = f"{tag}_{k}"
+    return out
+
+
+def test_near_duplicates_of_a_large_family(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(504)]
+    family = {i: changed(rng, base, 8, f"c{i}") for i in range(300)}  # about 0.85 to the original, 0.73 to each other
+    family[150] = base
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in family.items()], "doc_id long, text string")
+    assert {r.class_id for r in neardup.classes(frame).collect()} == {0}
+
+
+def test_near_duplicates_among_unlike_relatives(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(504)]
+    rows = []
+    for i in range(130):  # no text is near to the others, each but to its twin
+        one = changed(rng, base, 9, f"c{i}")
+        rows += [(i, " ".join(one)), (1000 - i, " ".join(changed(rng, one, 10, f"t{i}")))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    assert got == jaccard_classes(frame.collect()) and len(set(got.values())) == 130
+    sets = neardup._sets(frame, frame.select(F.col("doc_id").alias("node")), 5)
+    nodes = frame.select(F.col("doc_id").alias("node"), F.array(F.lit(7).cast("long")).alias("bands"))
+    alone = frame.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+    edges = neardup._finish(nodes, alone, sets, 0.8, 20).collect()  # one bucket of 13 blocks
+    assert {(min(e), max(e)) for e in edges} == {(i, 1000 - i) for i in range(130)}
+
+
 def test_signatures_estimate_weighted_similarity():
     import numpy as np
 
