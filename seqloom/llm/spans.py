@@ -5,10 +5,10 @@ A window is ``WINDOW`` consecutive words.  Its label in the graph is its minimiz
 equal labels, and neighbouring windows mostly share theirs, so a text falls into
 runs of windows around one edge - the compacted paths.  A run is the unit that
 travels: one record with its edge, its source coordinates (doc_id, first word)
-and a 32-bit print of each window.  Runs meet by edge.  An edge that one
+and a 64-bit print of each window.  Runs meet by edge.  An edge that one
 document alone holds ends there; in the others a window repeats when edge and
-print agree (over 70 bits, and the coordinates tell which document is first),
-so paths that branch inside a run are resolved window by window.  Spans of
+the 64-bit prints agree, which no two windows of the same edge do by chance below billions of
+windows (N * N / 2^65 pairs; the coordinates tell which document is first), so paths that branch inside a run are resolved window by window.  Spans of
 repeated windows then join the texts by coordinate.
 
 Runs travel as column blocks, one record for each (input batch, bucket of edges),
@@ -61,7 +61,7 @@ def _runs(texts: list[list[bytes]], cache: WordHashes):
     new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     count = np.diff(np.append(new, len(at)))
     edges = window_hashes(words, EDGE)
-    prints = (window_hashes(words, WINDOW)[ok] >> U(32)).astype(np.uint32)
+    prints = window_hashes(words, WINDOW)[ok]
     return mix(edges[at[new]]), text[new], (ok[new] - first[text[new]]).astype(np.uint32), count.astype(np.uint8), prints
 
 
@@ -80,9 +80,9 @@ def _hits(edge: np.ndarray, doc: np.ndarray, count: np.ndarray, prints: np.ndarr
     c = count[order]
     run = np.repeat(np.arange(len(order)), c)
     inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    key = (group[run] << U(32)) | prints[offset[order][run] + inner].astype(U)
-    by = np.argsort(key, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+    of, key = group[run], prints[offset[order][run] + inner]
+    by = np.lexsort((key, of))
+    heads = np.flatnonzero(np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (of[by][1:] != of[by][:-1])]))
     docs = doc[order][run]
     least = np.repeat(np.minimum.reduceat(docs[by], heads), np.diff(np.append(heads, len(by))))
     again = np.zeros(len(by), bool)
@@ -125,7 +125,7 @@ def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.R
         new, length = _joined(run, inner)
         own = run[new]
         by = np.argsort(ids[text[own]], kind="stable")
-        block(-1 - int(mix(edge[:1] + start[:1].astype(U) + ids[text[:1]].view(U))[0] % U(buckets)), np.empty(0, U), text[own][by], (start[own] + inner[new])[by], length[by], np.empty(0, np.uint32))
+        block(-1 - int(mix(edge[:1] + start[:1].astype(U) + ids[text[:1]].view(U))[0] % U(buckets)), np.empty(0, U), text[own][by], (start[own] + inner[new])[by], length[by], np.empty(0, U))
         gone = np.zeros(len(prints), bool)
         gone[offset[run] + inner] = True
         left = np.flatnonzero(~gone)
@@ -178,7 +178,7 @@ def _repeats(block: pa.Table) -> pa.Table:
             raw = np.zeros((r["n"], 8), np.uint8)
             raw[:, :5] = np.frombuffer(r["edge"], np.uint8).reshape(-1, 5)
             edge.append(raw.view(U).ravel())
-            prints.append(np.frombuffer(r["print"], np.uint32))
+            prints.append(np.frombuffer(r["print"], U))
         doc.append(np.cumsum(from_planes(r["doc"], np.int64)))
         row.append(from_planes(r["row"], np.int64))
         start.append(from_planes(r["start"], np.uint32))

@@ -334,6 +334,19 @@ def test_substring_dedup(docs, rows):
     assert sum(w[2] > 0 for w in want) > 5
 
 
+def test_windows_that_agree_in_half_a_print_stay(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    whole = spans.window_hashes
+    monkeypatch.setattr(spans, "window_hashes", lambda w, n: whole(w, n) & np.uint64(0xFFFFFFFF) if n == spans.WINDOW else whole(w, n))
+    phrase = " ".join(f"shared{i}" for i in range(12))
+    texts_ = [" ".join([*(f"{c}{i}" for i in range(12)), phrase, *(f"{c}{i}" for i in range(12, 24))]).encode() for c in "ab"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([0, 0], pa.int64()), pa.array(texts_, pa.binary())], ["doc_id", "row", "text"])
+    blocks = [b for out in spans._blocks(64)(iter([batch])) for b in out.column(0).to_pylist()]
+    assert blocks and min(blocks) >= 0  # no window of the one is decided as a window of the other
+
+
 def test_substring_dedup_of_an_id_with_two_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
     frame = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
