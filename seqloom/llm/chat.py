@@ -39,8 +39,6 @@ SCHEMAS: dict[str, dict] = {
     "calculator": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
     "fetch": {"type": "object", "properties": {"url": {"type": "string"}}, "required": ["url"]},
 }
-#: Rounds of peeling; longer chains of calls than this are a cycle for all purposes.
-MAX_LEVELS = 64
 
 _NEEDS = re.compile(r"\$\{([^{}]+)\}")
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -131,9 +129,8 @@ def _levels(calls: DataFrame) -> DataFrame:
     needs = cut(open_.select("conv", "call_id", F.explode("needs").alias("need")).join(known, ["conv", "need"]).distinct())
     done = open_.join(needs, ["conv", "call_id"], "left_anti").drop("needs")
     left = open_.join(needs.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_semi").drop("needs")
-    for _ in range(MAX_LEVELS):
-        if left.isEmpty():
-            break
+    # a round that frees no call leaves only cycles and what needs them
+    while not left.isEmpty():
         met = needs.join(done.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"), F.col("level").alias("need_level")), ["conv", "need"], "left")
         ready = met.groupBy("conv", "call_id").agg(F.max("need_at").alias("need_at"), F.max("need_level").alias("need_level"), F.min(F.col("need_level").isNotNull()).alias("met")).filter("met")
         new = cut(left.join(ready, ["conv", "call_id"]).select("conv", "call_id", F.greatest("at", "need_at").alias("at"), (F.col("need_level") + 1).alias("level")))

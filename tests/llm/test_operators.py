@@ -385,6 +385,14 @@ def test_chat(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_chat_with_a_long_chain_of_calls(spark):
+    call = lambda i: json.dumps({"tool_calls": [{"id": f"c{i}", "name": "q", "arguments": {"v": f"${{c{i - 1}}}"}}]})
+    n = 67
+    frame = spark.createDataFrame([(1, n - i, "assistant", call(i)) for i in range(n)], "conv_id long, turn long, role string, text string")
+    got = chat.format_chats(frame).collect()
+    assert [(r.status, r.level, r.turn) for r in got] == [("unanswered", i, n - i) for i in range(n)]
+
+
 def test_schema_faults():
     schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["a"], "additionalProperties": False}
     cases = [({"a": 1}, None), ({"a": True}, "$.a: not integer"), ({}, "$.a: missing"), ({"a": 1, "c": 1}, "$.c: unknown"), ({"a": 1, "b": [1, 3]}, "$.b[1]: not in enum"), ([], "$: not object"), ({"a": 2.0}, None)]
