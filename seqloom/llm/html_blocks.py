@@ -2,7 +2,9 @@
 
 Scripts, styles, comments and the head never make blocks. Unclosed elements
 end where a browser ends them: a paragraph at the next block, an item at the
-next item, anything at the end of an element around it.
+next item, anything at the end of an element around it, the head at the first text or element
+that is not its own. A dropped element without its end tag ends at the next block tag or the end of an
+element around it; only scripts and styles run to the end of the page.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ from dataclasses import dataclass, field
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas head title textarea select".split())
+RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas title textarea select".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+#: What the head may hold, dropped elements that swallow the page, and those that do not nest.
+HEAD = frozenset("base link meta noscript script style template title".split())
+SWALLOW = frozenset("script style".split())
+FLAT = frozenset("noscript canvas select".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
@@ -23,6 +29,19 @@ _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 _PARTS = re.compile(r"[a-z]+")
 
 
+def _raw_end(page: str, at: int, name: str, stack: list) -> int:
+    """Where a dropped element that was opened before ``at`` ends."""
+    end = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*>?", re.I).search(page, at)
+    if name in SWALLOW:
+        return end.end() if end else len(page)
+    if end and not (name in FLAT and re.compile(rf"<{name}(?![^\s/>])", re.I).search(page, at, end.start())):
+        return end.end()
+    tags = "|".join(sorted(BLOCK - {"option"}))
+    around = "|".join(sorted({re.escape(s[0]) for s in stack} | {"head"}))
+    stop = re.compile(rf"<(?:/?(?:{tags}|{re.escape(name)})|/(?:{around}))(?![^\s/>])", re.I).search(page, at)
+    return stop.start() if stop else len(page)
+
+
 @dataclass
 class Block:
     text: str
@@ -59,6 +78,10 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             piece = m[0]
             if piece[0] != "<" or len(piece) == 1:
+                if stack and stack[-1][0] == "head":
+                    if not piece.strip():
+                        continue
+                    stack.pop()
                 parts.append(piece)
                 if in_link:
                     links.append(piece)
@@ -74,9 +97,10 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 in_link = 0
             continue
+        if stack and stack[-1][0] == "head" and name not in HEAD:
+            stack.pop()
         if name in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = _raw_end(page, at, name, stack)
             parts.append(" ")
             continue
         if name == "br":

@@ -255,6 +255,17 @@ def test_extraction_generalises():
     assert right / total > 0.97
 
 
+def test_blocks_of_pages_with_omitted_end_tags():
+    text = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert text("<html><head><title>t</title><script>x='<p>'</script><body><article><p>One<p>two</article>") == ["One", "two"]
+    assert text("<head><meta name=a><title>t</title><h1>One</h1>two") == ["One", "two"]
+    for name in ("select", "noscript", "object", "svg", "canvas", "textarea"):
+        assert text(f"<body><div>a<{name}><b>gone</b></div><p>kept</p>") == ["a", "kept"]
+    assert text("<div><select><option>x</div><p>kept</p><select><option>y</select><p>more") == ["kept", "more"]
+    assert text("<p>with <math><mi>x</mi><mo>=</mo><mn>2</mn></math> kept") == ["with x=2 kept"]
+    assert text("<p>a<script>swallows <p>b") == ["a"]
+
+
 def test_extraction_edges(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><article><h1>A  title &amp; more</h1><p><b>One\n two.<br>three <script>var x='</p>'</script><p>Four &lt;five&gt; six seven eight.</article><footer>&copy; me</footer>"
     frame = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (3, "v", "", 5), (4, "w", "<p></p><!-- x", 5)], "page_id long, url string, html string, text int")
