@@ -1,21 +1,27 @@
-"""Substring dedup over a compacted De Bruijn graph of words.
-
-A window is ``WINDOW`` consecutive words.  Its label in the graph is its minimizer, the
-``EDGE``-word edge with the least hash among those it holds: equal windows have
-equal labels, and neighbouring windows mostly share theirs, so a text falls into
-runs of windows around one edge - the compacted paths.  A run is the unit that
-travels: one record with its edge, its source coordinates (doc_id, first word)
-and a 64-bit print of each window.  Runs meet by edge.  An edge that one
-document alone holds ends there; in the others a window repeats when edge and
-the 64-bit prints agree, which no two windows of the same edge do by chance below billions of
-windows (N * N / 2^65 pairs; the coordinates tell which document is first), so paths that branch inside a run are resolved window by window.  Spans of
-repeated windows then join the texts by coordinate.
-
-Runs travel as column blocks, one record for each (input batch, bucket of edges),
-in numpy; Spark partitions and shuffles them.  A task first decides the windows that
-repeat among its own texts, ``DEALT`` words at a time, so a passage that a third of
-all documents hold reaches its edge once for each such portion, not once for each
-document; a bucket holds thousands of edges.
+"""Substring dedup over the compacted De Bruijn graph of the corpus's words.
+
+Edges are the token k-mers: ``WINDOW`` consecutive words.  Two edges meet in the node of the
+``WINDOW - 1`` words that they share; the distinct edges before an edge, and behind it, are its in- and
+out-degree, where the start and the end of a text count as an edge of their own.  Edges that one
+document alone holds are dropped before any compaction.  A link from an edge to the next does not branch
+if it is the only one out of the first and the only one into the second; then both have the same
+occurrences, so a nonbranching path has one set of holders, and its first holder's coordinates (doc_id, row,
+first word) name it.
+
+1. Edges travel by minimizer (the ``LABEL``-word label with the least hash among those an edge holds), so that
+   neighbouring edges mostly travel together, as runs: one record with source coordinates, a 64-bit
+   print of each edge, and 32 bits of the edge before and behind the run.
+2. In a bucket of labels, edges of several documents get their degrees and number of occurrences, and nonbranching
+   links inside a run join edges to pieces.
+3. Pieces join across buckets on coordinates: the end of one is the start of the next in the first holder's
+   text, with the same number of occurrences.  Linked pieces make the paths.
+4. Occurrences in larger documents join the paths, and both sides are verified on the words at their source
+   coordinates (a 128-bit print of the words there); a span whose words are not the first holder's stays.
+
+Runs travel as column blocks, one record for each (task portion, bucket), in numpy; Spark
+partitions and shuffles them.  A task first merges the edges that repeat among its own texts, ``DEALT`` words at a
+time: those of a larger document are verified word by word there and then, so that of a passage that a third of all
+documents hold one record a portion reaches its bucket, not one a document.
 
 Edge cases: a null or empty text, and one of fewer than ``WINDOW`` words, loses nothing; a null
 doc_id lies below all others; rows that share a doc_id never cost each other
@@ -30,119 +36,121 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own_id, row_id
+from .common import cut, own_id, row_id
 from .hashing import U, WordHashes, from_planes, mix, planes, sliding_argmin, window_hashes
 
 WINDOW = 13
-#: Words of an edge; a window then holds WINDOW - EDGE + 1 = 8 of them.
-EDGE = 6
-#: Buckets of edges for each partition of the input.
-BUCKETS = 16
+#: Words of a label; an edge then holds WINDOW - LABEL + 1 = 8 of them.
+LABEL = 6
+#: Buckets of labels: this many for each partition of the input, within bounds that keep the blocks of a
+#: portion long and a bucket within a task's memory.
+BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 17
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
 CHUNK = 250_000
-#: Words whose runs a task deals over the buckets at once.
+#: Words whose edges a task merges and deals over the buckets at once.
 DEALT = 2_000_000
 
-_BLOCK = "bucket int, n int, edge binary, doc binary, row binary, start binary, count binary, print binary"
+_BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary"
+#: What a bucket returns: spans that a task decided, occurrences of pieces in larger documents, pieces.
+_DECIDED, _OCCURRENCE, _PIECE = 0, 1, 2
+_FOUND = "kind int, doc_id long, row long, start int, holder long, holder_row long, holder_start int, n int, occurrences long, into boolean, out boolean"
+_HOLDER = ["holder", "holder_row", "holder_start"]
 
 
-def _runs(texts: list[list[bytes]], cache: WordHashes):
-    """Of some texts' words: edge, text number, first window, windows, and the windows' prints."""
+def _edges(texts: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, ...]:
+    """The word hashes of some texts, and of every edge: its label, the label's place, text number, first word,
+    print and place of the first word among all words."""
     lens = np.array([len(t) for t in texts])
     words = np.concatenate([cache.of(t) for t in texts])
-    at = sliding_argmin(window_hashes(words, EDGE), WINDOW - EDGE + 1)
+    labels = window_hashes(words, LABEL)
+    at = sliding_argmin(labels, WINDOW - LABEL + 1)
     first = np.cumsum(lens) - lens
     text = np.repeat(np.arange(len(texts)), lens)[: len(at)]
-    ok = np.flatnonzero(np.arange(len(at)) + WINDOW <= (first + lens)[text])
-    at, text = at[ok], text[ok]
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.append(new, len(at)))
-    edges = window_hashes(words, EDGE)
-    prints = window_hashes(words, WINDOW)[ok]
-    return mix(edges[at[new]]), text[new], (ok[new] - first[text[new]]).astype(np.uint32), count.astype(np.uint8), prints
-
-
-def _hits(edge: np.ndarray, doc: np.ndarray, count: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Run and place in it of every window that a smaller document among these runs holds too, in order."""
-    offset = np.cumsum(count) - count
-    # edges that one document alone holds end here
-    order = np.argsort(edge, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], edge[order][1:] != edge[order][:-1]]))
+    off = np.flatnonzero(np.arange(len(at)) + WINDOW <= (first + lens)[text])
+    at, text = at[off], text[off]
+    return words, mix(labels[at]), at, text, (off - first[text]).astype(np.uint32), window_hashes(words, WINDOW)[off], off
+
+
+def _several(label: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records whose label several documents hold, by label, and the number of their label."""
+    order = np.argsort(label, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
     shared = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
-    group = np.repeat(np.arange(len(heads), dtype=U), np.diff(np.append(heads, len(order))))
+    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
     keep = shared[group]
-    order, group = order[keep], group[keep]
+    return order[keep], group[keep]
+
+
+def _merged(words: np.ndarray, label: np.ndarray, doc: np.ndarray, prints: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The edges that a smaller document of these texts holds too, word by word."""
+    gone = np.zeros(len(label), bool)
+    order, group = _several(label, doc)
     if not len(order):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    c = count[order]
-    run = np.repeat(np.arange(len(order)), c)
-    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    of, key = group[run], prints[offset[order][run] + inner]
-    by = np.lexsort((key, of))
-    heads = np.flatnonzero(np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (of[by][1:] != of[by][:-1])]))
-    docs = doc[order][run]
-    least = np.repeat(np.minimum.reduceat(docs[by], heads), np.diff(np.append(heads, len(by))))
-    again = np.zeros(len(by), bool)
-    again[by] = docs[by] > least
-    hit = np.flatnonzero(again)
-    return order[run[hit]], inner[hit]
+        return gone
+    by = np.lexsort((prints[order], group))
+    order, group = order[by], group[by]
+    key, d = prints[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
+    size = np.diff(np.append(heads, len(order)))
+    least = np.repeat(np.minimum.reduceat(d, heads), size)
+    source = np.repeat(np.minimum.reduceat(np.where(d == least, np.arange(len(d)), len(d)), heads), size)
+    hit = np.flatnonzero(d > least)
+    own, other = off[order[hit]], off[order[source[hit]]]
+    same = np.ones(len(hit), bool)
+    for k in range(WINDOW):
+        same &= words[own + k] == words[other + k]
+    gone[order[hit[same]]] = True
+    return gone
 
 
-def _joined(run: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and number of the windows of one run that follow each other."""
-    if not len(run):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (inner[1:] != inner[:-1] + 1)]))
-    return new, np.diff(np.append(new, len(run)))
+def _follows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each edge but the first lies one word behind the edge before it."""
+    return (text[1:] == text[:-1]) & (start[1:] == start[:-1] + 1)
 
 
 def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The runs of some texts as one column block for each bucket of edges.
+    """The edges of some texts as runs, one column block for each bucket of labels; the merged ones as spans, in
+    a block with a bucket below 0 drawn for these texts."""
+    base = np.cumsum([0, *[len(p[0]) for p in parts]])
+    words, label, at, text, start, prints, off = (np.concatenate(x) for x in zip(*[(p[0], p[1], p[2] + b, p[3], p[4], p[5], p[6] + b) for p, b in zip(parts, base, strict=False)], strict=True))
+    out: dict[str, list] = {k: [] for k in ("bucket", "n", "label", "doc", "row", "start", "count", "before", "after", "print")}
 
-    Windows that a smaller document of these texts holds too are decided here: they go on as spans, in a
-    block with a bucket below 0 drawn for these texts, so that of a frequent passage only the first
-    occurrence among them travels to its edge."""
-    edge, text, start, count, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
-    count = count.astype(np.int64)
-    out = {k: [] for k in ("bucket", "n", "edge", "doc", "row", "start", "count", "print")}
-
-    def block(bucket: int, edge, text, start, count, prints) -> None:
+    def block(bucket: int, text, start, count, label=b"", before=b"", after=b"", prints=b"") -> None:
         out["bucket"].append(bucket)
         out["n"].append(len(text))
-        out["edge"].append((edge >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
         out["doc"].append(planes(np.diff(ids[text], prepend=np.int64(0))))
         out["row"].append(planes(rows[text]))
-        out["start"].append(planes(start.astype(np.uint32)))
-        out["count"].append(count.astype(np.uint8).tobytes())
-        out["print"].append(prints.tobytes())
-
-    run, inner = _hits(edge, ids[text], count, prints)
-    if len(run):
-        offset = np.cumsum(count) - count
-        new, length = _joined(run, inner)
-        own = run[new]
-        by = np.argsort(ids[text[own]], kind="stable")
-        block(-1 - int(mix(edge[:1] + start[:1].astype(U) + ids[text[:1]].view(U))[0] % U(buckets)), np.empty(0, U), text[own][by], (start[own] + inner[new])[by], length[by], np.empty(0, U))
-        gone = np.zeros(len(prints), bool)
-        gone[offset[run] + inner] = True
-        left = np.flatnonzero(~gone)
-        run = np.repeat(np.arange(len(count)), count)[left]
-        new, length = _joined(run, left)
-        own = run[new]
-        edge, text, start, count, prints = edge[own], text[own], start[own] + (left[new] - offset[own]), length, prints[left]
-    bucket = ((edge & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
-    order = np.lexsort((ids[text], bucket))
-    offset = np.cumsum(count) - count
-    edge, text, start, bucket, count, offset = edge[order], text[order], start[order], bucket[order], count[order], offset[order]
+        out["start"].append(planes(start))
+        for k, v in (("count", count), ("label", label), ("before", before), ("after", after), ("print", prints)):
+            out[k].append(bytes(v))
+
+    gone = _merged(words, label, ids[text], prints, off)
+    if gone.any():
+        t, s = text[gone], start[gone]
+        heads = np.flatnonzero(np.concatenate([[True], ~_follows(t, s)]))
+        count = np.diff(np.append(heads, len(t))).astype(np.uint32)
+        by = np.argsort(ids[t[heads]], kind="stable")
+        block(-1 - int(mix(prints[:1] + ids[text[:1]].view(U))[0] % U(buckets)), t[heads][by], s[heads][by], planes(count[by]))
+        label, at, text, start, prints = (x[~gone] for x in (label, at, text, start, prints))
+    follows = _follows(text, start)
+    low = np.maximum((prints & U(0xFFFFFFFF)).astype(np.uint32), 1)  # 0: no edge there
+    before = np.concatenate([[0], np.where(follows, low[:-1], 0)]).astype(np.uint32)
+    after = np.concatenate([np.where(follows, low[1:], 0), [0]]).astype(np.uint32)
+    heads = np.flatnonzero(np.concatenate([[True], ~follows | (at[1:] != at[:-1])]))
+    count = np.diff(np.append(heads, len(text)))
+    bucket = ((label[heads] & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
+    order = np.lexsort((ids[text[heads]], bucket))
+    heads, count, bucket = heads[order], count[order], bucket[order]
     bounds = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(bucket))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        c = count[a:b]
-        windows = np.repeat(offset[a:b] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        block(int(bucket[a]), edge[a:b], text[a:b], start[a:b], c, prints[windows])
-    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in ("edge", "doc", "row", "start", "count", "print")]], list(out))
+        h, c = heads[a:b], count[a:b]
+        each = np.repeat(h - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        block(int(bucket[a]), text[h], start[h], c.astype(np.uint8).tobytes(), (label[h] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), before[h].tobytes(), after[h + c - 1].tobytes(), prints[each].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in list(out)[2:]]], list(out))
 
 
 def _blocks(buckets: int):
@@ -158,8 +166,8 @@ def _blocks(buckets: int):
                     size += len(tokens)
                 last = i == len(texts) - 1
                 if held and (size >= CHUNK or last):
-                    edge, text, start, count, prints = _runs([t for _, t in held], cache)
-                    parts.append((edge, np.array([k for k, _ in held])[text], start, count, prints))
+                    words, label, at, text, *rest = _edges([t for _, t in held], cache)
+                    parts.append((words, label, at, np.array([k for k, _ in held])[text], *rest))
                     dealt += size
                     held, size = [], 0
                 if parts and (dealt >= DEALT or last):
@@ -169,36 +177,134 @@ def _blocks(buckets: int):
     return blocks
 
 
-def _repeats(block: pa.Table) -> pa.Table:
-    """Spans of repeated windows among the runs of one bucket (below 0: spans that are decided)."""
+def _result(kind: int, doc, row, start, **more: np.ndarray) -> pa.Table:
+    zero = np.zeros(len(doc), np.int64)
+    whole = {"kind": zero + kind, "doc_id": doc, "row": row, "start": start, "holder": zero, "holder_row": zero, "holder_start": zero, "n": zero, "occurrences": zero, "into": zero, "out": zero} | more
+    types = {"kind": pa.int32(), "start": pa.int32(), "holder_start": pa.int32(), "n": pa.int32(), "into": pa.bool_(), "out": pa.bool_()}
+    return pa.table({k: pa.array(v.astype(bool) if types.get(k) == pa.bool_() else v).cast(types.get(k, pa.int64())) for k, v in whole.items()})
+
+
+def _graph(block: pa.Table) -> pa.Table:
+    """Pieces of one bucket and their occurrences (a bucket below 0: spans that are decided)."""
     decided = block.column("bucket")[0].as_py() < 0
-    edge, doc, row, start, count, prints = [], [], [], [], [], []
-    for r in block.to_pylist():
-        if not decided:
-            raw = np.zeros((r["n"], 8), np.uint8)
-            raw[:, :5] = np.frombuffer(r["edge"], np.uint8).reshape(-1, 5)
-            edge.append(raw.view(U).ravel())
-            prints.append(np.frombuffer(r["print"], U))
-        doc.append(np.cumsum(from_planes(r["doc"], np.int64)))
-        row.append(from_planes(r["row"], np.int64))
-        start.append(from_planes(r["start"], np.uint32))
-        count.append(np.frombuffer(r["count"], np.uint8))
-    doc, row, start, count = (np.concatenate(x) for x in (doc, row, start, count))
-    start, length = start.astype(np.int64), count.astype(np.int64)
-    if not decided:
-        run, inner = _hits(np.concatenate(edge), doc, length, np.concatenate(prints))
-        new, length = _joined(run, inner)
-        run = run[new]
-        doc, row, start = doc[run], row[run], start[run] + inner[new]
-    return pa.table({"doc_id": doc, "row": row, "span": start << 8 | length})
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, row and the spans (first window << 8 | windows) that start in a smaller doc_id too.
-    ``docs``: doc_id, row, text (binary)."""
-    buckets = max(64, BUCKETS * docs.rdd.getNumPartitions())
-    found = docs.mapInArrow(_blocks(buckets), _BLOCK).groupBy("bucket").applyInArrow(_repeats, "doc_id long, row long, span long")
-    return found.groupBy("doc_id", "row").agg(F.collect_list("span").alias("spans"))
+    columns: dict[str, list] = {k: [] for k in ("doc", "row", "start", "count", "label", "before", "after", "print")}
+    for r in zip(*(block.column(k).to_pylist() for k in ("n", *columns)), strict=True):
+        n, doc, row, start, count, label, before, after, prints = r
+        columns["doc"].append(np.cumsum(from_planes(doc, np.int64)))
+        columns["row"].append(from_planes(row, np.int64))
+        columns["start"].append(from_planes(start, np.uint32).astype(np.int64))
+        columns["count"].append((from_planes(count, np.uint32) if decided else np.frombuffer(count, np.uint8)).astype(np.int64))
+        raw = np.zeros((0 if decided else n, 8), np.uint8)
+        raw[:, :5] = np.frombuffer(label, np.uint8).reshape(-1, 5)
+        columns["label"].append(raw.view(U).ravel())
+        for k, v, kind in (("before", before, np.uint32), ("after", after, np.uint32), ("print", prints, U)):
+            columns[k].append(np.frombuffer(v, kind))
+    doc, row, start, count, label, before, after, prints = (np.concatenate(columns[k]) for k in columns)
+    if decided:
+        return _result(_DECIDED, doc, row, start, n=count)
+    # labels that one document alone holds end here
+    some, _ = _several(label, doc)
+    if not len(some):
+        return _result(_PIECE, doc[:0], row[:0], start[:0])
+    first = (np.cumsum(count) - count)[some]
+    by = np.lexsort((start[some], row[some], doc[some]))
+    some, first = some[by], first[by]
+    c = count[some]
+    run = np.repeat(np.arange(len(some)), c)
+    inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+    key = prints[first[run] + inner]
+    low = np.maximum((key & U(0xFFFFFFFF)).astype(np.uint32), 1)
+    left, right = np.roll(low, 1), np.roll(low, -1)
+    left[inner == 0], right[inner == c[run] - 1] = before[some], after[some]
+    # edges: sorted by coordinates within, so the first of an edge is its first holder
+    of = label[some][run]
+    by = np.lexsort((key, of))
+    heads = np.flatnonzero(np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (of[by][1:] != of[by][:-1])]))
+    size = np.diff(np.append(heads, len(by)))
+    d = doc[some][run]
+
+    def of_edge(values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(by), values.dtype)
+        out[by] = np.repeat(values, size)
+        return out
+
+    def degree_one(neighbour: np.ndarray) -> np.ndarray:
+        x = neighbour[by]
+        least = np.minimum.reduceat(x, heads)
+        return of_edge((least > 0) & (least == np.maximum.reduceat(x, heads)))
+
+    source = of_edge(by[heads])
+    shared, n_all = of_edge(d[by[heads]] < d[by[heads + size - 1]]), of_edge(size)
+    into, out = degree_one(left), degree_one(right)
+    linked = np.zeros(len(by), bool)
+    linked[1:] = (inner[1:] > 0) & shared[1:] & shared[:-1] & out[:-1] & into[1:] & (n_all[1:] == n_all[:-1])
+    begin = np.flatnonzero(shared & ~linked)
+    if not len(begin):
+        return _result(_PIECE, doc[:0], row[:0], start[:0])
+    n = np.bincount(np.cumsum(shared & ~linked)[shared] - 1)
+    coordinates = lambda w: (doc[some][run[w]], row[some][run[w]], start[some][run[w]] + inner[w])
+    own, held = coordinates(begin), coordinates(source[begin])
+    later, lead = own[0] > held[0], source[begin] == begin
+    tail = begin + n - 1
+    # inside a run a link that branches has been tested
+    across = (tail + 1 == len(by)) | np.append(inner[1:] == 0, True)[tail]
+    pieces = _result(_PIECE, *(x[lead] * 0 for x in own), holder=held[0][lead], holder_row=held[1][lead], holder_start=held[2][lead], n=n[lead], occurrences=n_all[begin][lead], into=(into[begin] & (inner[begin] == 0))[lead], out=(out[tail] & across)[lead])
+    return pa.concat_tables([_result(_OCCURRENCE, *(x[later] for x in own), holder=held[0][later], holder_row=held[1][later], holder_start=held[2][later]), pieces])
+
+
+def _paths(pieces: DataFrame) -> DataFrame:
+    """The holder's coordinates and the number of edges of every maximal nonbranching path: the start of a piece
+    joins the end of another, on coordinates."""
+    ends = pieces.filter("out").select("holder", "holder_row", (F.col("holder_start") + F.col("n")).alias("holder_start"), "occurrences", F.lit(True).alias("linked"))
+    joined = pieces.join(ends, [*_HOLDER, "occurrences"], "left").withColumn("head", ~(F.col("into") & F.coalesce("linked", F.lit(False))))
+    # the pieces of a path follow each other in the text of its first holder
+    number = F.sum(F.col("head").cast("int")).over(Window.partitionBy("holder", "holder_row").orderBy("holder_start"))
+    return joined.withColumn("number", number).groupBy("holder", "holder_row", "number").agg(F.min("holder_start").alias("holder_start"), F.sum("n").cast("int").alias("n")).drop("number")
+
+
+def _print(tokens: list[bytes], start: int, n: int) -> tuple[int, int]:
+    h = xxhash.xxh3_128_digest(b" ".join(tokens[start : start + n + WINDOW - 1]))
+    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+
+
+def _unlike(placed: DataFrame) -> DataFrame:
+    """doc_id, row and first words of the spans whose words are not those at their first holder's coordinates."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = text.split()
+                for s in spans:
+                    if s["holder"] is not None:
+                        out.append((s["holder"], s["holder_row"], s["holder_start"], doc, row, s["start"], *_print(tokens, s["start"], s["n"])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k in (2, 5) else pa.int64()) for k in range(8)], names)
+
+    names = [*_HOLDER, "doc_id", "row", "start", "p1", "p2"]
+    prints = cut(placed.filter("spans is not null").select("doc_id", "row", "text", "spans").mapInArrow(look, "holder long, holder_row long, holder_start int, doc_id long, row long, start int, p1 long, p2 long"))
+    source = (F.col("doc_id") == F.col("holder")) & (F.col("row") == F.col("holder_row")) & (F.col("start") == F.col("holder_start"))
+    held = prints.filter(source).select(*_HOLDER, F.col("p1").alias("q1"), F.col("p2").alias("q2"))
+    return prints.filter(~source).join(held, _HOLDER).filter("p1 <> q1 or p2 <> q2").select("doc_id", "row", F.col("start").alias("unlike")).distinct()
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, row, text) with the spans (start, n, holder) that start in a smaller doc_id too, verified,
+    and the spans that are first holders themselves (holder = the row itself)."""
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS * rows.rdd.getNumPartitions()))
+    found = cut(rows.mapInArrow(_blocks(buckets), _BLOCK).groupBy("bucket").applyInArrow(_graph, _FOUND))
+    paths = _paths(found.filter(F.col("kind") == _PIECE))
+    occurrences = found.filter(F.col("kind") == _OCCURRENCE).select("doc_id", "row", "start", *_HOLDER).join(paths, _HOLDER)
+    spans = cut(occurrences.select("doc_id", "row", "start", "n", *_HOLDER))
+    # dealt by first holder, each of them once
+    sources = spans.select(F.col("holder").alias("doc_id"), F.col("holder_row").alias("row"), F.col("holder_start").alias("start"), "n", *_HOLDER).distinct()
+    decided = found.filter(F.col("kind") == _DECIDED).select("doc_id", "row", "start", "n", *[F.lit(None).cast(t).alias(c) for c, t in zip(_HOLDER, ("long", "long", "int"), strict=True)])
+    per = spans.unionByName(sources).unionByName(decided).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", *_HOLDER)).alias("spans"))
+    placed = cut(rows.join(per, ["doc_id", "row"], "left").select("doc_id", "row", "text", "spans"))
+    unlike = cut(_unlike(placed).groupBy("doc_id", "row").agg(F.collect_set("unlike").alias("unlike")))
+    if unlike.isEmpty():
+        return placed
+    kept = F.filter("spans", lambda s: s["holder"].isNull() | ~F.array_contains(F.coalesce("unlike", F.array().cast("array<int>")), s["start"]))
+    return placed.join(unlike, ["doc_id", "row"], "left").select("doc_id", "row", "text", kept.alias("spans"))
 
 
 def dedup_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -209,19 +315,20 @@ def dedup_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b")
     if several.isEmpty():
         rows = rows.withColumn("row", F.lit(0).cast("long"))
-    joined = rows.join(repeated_spans(rows), ["doc_id", "row"], "left").select("doc_id", "text", "spans")
+    again = F.filter("spans", lambda s: s["holder"].isNull() | (s["holder"] < F.col("doc_id")))
+    joined = repeated_spans(rows).select("doc_id", "text", F.transform(again, lambda s: s["start"]).alias("starts"), F.transform(again, lambda s: s["n"]).alias("counts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, shas, texts = [], [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                tokens, spans = text.as_py().split(), spans.as_py()
+            for text, starts, counts in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                tokens, starts = text.as_py().split(), starts.as_py()
                 n_words.append(len(tokens))
-                if spans:
-                    s = np.array(spans)
+                if starts:
+                    begin = np.array(starts)
                     edges = np.zeros(len(tokens) + 1, np.int64)
-                    np.add.at(edges, s >> 8, 1)
-                    np.add.at(edges, (s >> 8) + (s & 255) + WINDOW - 1, -1)
+                    np.add.at(edges, begin, 1)
+                    np.add.at(edges, begin + np.array(counts.as_py()) + WINDOW - 1, -1)
                     tokens = [tokens[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
                 kept = b" ".join(tokens)
                 n_removed.append(n_words[-1] - len(tokens))

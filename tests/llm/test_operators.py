@@ -345,17 +345,60 @@ def test_substring_dedup(docs, rows):
     assert sum(w[2] > 0 for w in want) > 5
 
 
-def test_windows_that_agree_in_half_a_print_stay(monkeypatch):
-    import numpy as np
-    import pyarrow as pa
-
-    whole = spans.window_hashes
-    monkeypatch.setattr(spans, "window_hashes", lambda w, n: whole(w, n) & np.uint64(0xFFFFFFFF) if n == spans.WINDOW else whole(w, n))
-    phrase = " ".join(f"shared{i}" for i in range(12))
-    texts_ = [" ".join([*(f"{c}{i}" for i in range(12)), phrase, *(f"{c}{i}" for i in range(12, 24))]).encode() for c in "ab"]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([0, 0], pa.int64()), pa.array(texts_, pa.binary())], ["doc_id", "row", "text"])
-    blocks = [b for out in spans._blocks(64)(iter([batch])) for b in out.column(0).to_pylist()]
-    assert blocks and min(blocks) >= 0  # no window of the one is decided as a window of the other
+def brute_spans(rows):
+    """(doc_id, n_removed, kept words) by the contract, in plain Python."""
+    first = {}
+    for i, text in rows:
+        w = words(text)
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), least(i)), least(i))
+    out = []
+    for i, text in rows:
+        w, hit = words(text), set()
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < least(i):
+                hit.update(range(k, k + 13))
+        out.append((least(i), len(hit), b" ".join(x for k, x in enumerate(w) if k not in hit).decode()))
+    return sorted(out)
+
+
+def branching_texts(n=150):
+    """Texts of passages that start, end and branch within each other, with loops, over few words."""
+    rng = random.Random(11)
+    pool = [[f"p{j}_{i}" for i in range(rng.choice((14, 30, 90)))] for j in range(8)]
+    out = []
+    for i in range(n):
+        w = []
+        for _ in range(rng.randint(0, 6)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p))
+            w += p[a : a + rng.randint(3, 90)] if rng.random() < 0.7 else [rng.choice("xy") for _ in range(rng.randint(1, 40))]
+            if rng.random() < 0.3:
+                w += [f"own{i}_{rng.random()}"]
+        out.append((rng.randrange(n) if i % 9 == 0 else i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("dealt", [spans.DEALT, 1])
+def test_substring_dedup_of_branching_passages(spark, monkeypatch, dealt):
+    rows = branching_texts()
+    if dealt == 1:  # no text meets another in its task: all goes through the graph
+        whole = spans._merged
+        monkeypatch.setattr(spans, "_merged", lambda w, label, *rest: whole(w, label, *rest) & False)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spans.dedup_spans(frame.repartition(7)).collect()
+    assert sorted((least(r.doc_id), r.n_removed, r.text) for r in got) == brute_spans(rows)
+
+
+def test_paths_are_compacted_and_unlike_words_stay(spark, monkeypatch):
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join([*(f"a{i}_{k}" for k in range(20)), *passage, *(f"b{i}_{k}" for k in range(20))])) for i in range(3)]
+    monkeypatch.setattr(spans, "_merged", lambda w, label, *rest: label != label)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
+    placed = spans.repeated_spans(frame).collect()
+    assert [[(s["start"], s["n"], s["holder"]) for s in r.spans] for r in sorted(placed)] == [[(20, 188, 0)]] * 3  # one path of 188 edges
+    wrong = spark.createDataFrame([(1, 0, rows[1][1].encode(), [(20, 188, 0, 0, 20), (5, 10, 0, 0, 5)]), (0, 0, rows[0][1].encode(), [(20, 188, 0, 0, 20), (5, 10, 0, 0, 5)])], "doc_id long, row long, text binary, spans array<struct<start:int,n:int,holder:long,holder_row:long,holder_start:int>>")
+    assert [tuple(r) for r in spans._unlike(wrong).collect()] == [(1, 0, 5)]
 
 
 def test_substring_dedup_of_an_id_with_two_texts(spark):
