@@ -52,7 +52,7 @@ BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 17
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
 CHUNK = 250_000
 #: Words whose edges a task merges and deals over the buckets at once.
-DEALT = 2_000_000
+DEALT = 1_000_000
 
 _BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary"
 #: What a bucket returns: spans that a task decided, occurrences of pieces in larger documents, pieces.
@@ -72,7 +72,8 @@ def _edges(texts: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, ...
     text = np.repeat(np.arange(len(texts)), lens)[: len(at)]
     off = np.flatnonzero(np.arange(len(at)) + WINDOW <= (first + lens)[text])
     at, text = at[off], text[off]
-    return words, mix(labels[at]), at, text, (off - first[text]).astype(np.uint32), window_hashes(words, WINDOW)[off], off
+    small = lambda x: x.astype(np.int32)
+    return words, mix(labels[at]), small(at), small(text), (off - first[text]).astype(np.uint32), window_hashes(words, WINDOW)[off], small(off)
 
 
 def _several(label: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +81,7 @@ def _several(label: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(label, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
     shared = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
-    group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    group = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
     keep = shared[group]
     return order[keep], group[keep]
 
@@ -93,6 +94,7 @@ def _merged(words: np.ndarray, label: np.ndarray, doc: np.ndarray, prints: np.nd
         return gone
     by = np.lexsort((prints[order], group))
     order, group = order[by], group[by]
+    del by
     key, d = prints[order], doc[order]
     heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
     size = np.diff(np.append(heads, len(order)))
@@ -115,8 +117,9 @@ def _follows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
 def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     """The edges of some texts as runs, one column block for each bucket of labels; the merged ones as spans, in
     a block with a bucket below 0 drawn for these texts."""
-    base = np.cumsum([0, *[len(p[0]) for p in parts]])
+    base = np.cumsum([0, *[len(p[0]) for p in parts]], dtype=np.int32)
     words, label, at, text, start, prints, off = (np.concatenate(x) for x in zip(*[(p[0], p[1], p[2] + b, p[3], p[4], p[5], p[6] + b) for p, b in zip(parts, base, strict=False)], strict=True))
+    parts.clear()
     out: dict[str, list] = {k: [] for k in ("bucket", "n", "label", "doc", "row", "start", "count", "before", "after", "print")}
 
     def block(bucket: int, text, start, count, label=b"", before=b"", after=b"", prints=b"") -> None:
@@ -167,12 +170,12 @@ def _blocks(buckets: int):
                 last = i == len(texts) - 1
                 if held and (size >= CHUNK or last):
                     words, label, at, text, *rest = _edges([t for _, t in held], cache)
-                    parts.append((words, label, at, np.array([k for k, _ in held])[text], *rest))
+                    parts.append((words, label, at, np.array([k for k, _ in held], np.int32)[text], *rest))
                     dealt += size
                     held, size = [], 0
                 if parts and (dealt >= DEALT or last):
                     yield _dealt(parts, ids, rows, buckets)
-                    parts, dealt = [], 0
+                    dealt = 0
 
     return blocks
 
@@ -272,13 +275,20 @@ def _unlike(placed: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, row, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = text.split()
-                for s in spans:
-                    if s["holder"] is not None:
-                        out.append((s["holder"], s["holder_row"], s["holder_start"], doc, row, s["start"], *_print(tokens, s["start"], s["n"])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int32() if k in (2, 5) else pa.int64()) for k in range(8)], names)
+            bounds, spans = np.asarray(batch.column(3).offsets), batch.column(3).flatten()
+            start, n = np.asarray(spans.field("start")).tolist(), np.asarray(spans.field("n")).tolist()
+            held = np.asarray(spans.field("holder").is_valid())
+            bounds = bounds - bounds[0]
+            p = np.zeros((len(start), 2), np.int64)
+            for i, text in enumerate(batch.column(2)):
+                at = (bounds[i] + np.flatnonzero(held[bounds[i] : bounds[i + 1]])).tolist()
+                if at:
+                    tokens = text.as_py().split()
+                    for k in at:
+                        p[k] = _print(tokens, start[k], n[k])
+            of, keep = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), pa.array(held)
+            columns = [*(spans.field(c) for c in _HOLDER), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), spans.field("start"), pa.array(p[:, 0]), pa.array(p[:, 1])]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names)
 
     names = [*_HOLDER, "doc_id", "row", "start", "p1", "p2"]
     prints = cut(placed.filter("spans is not null").select("doc_id", "row", "text", "spans").mapInArrow(look, "holder long, holder_row long, holder_start int, doc_id long, row long, start int, p1 long, p2 long"))
