@@ -1,20 +1,24 @@
 """Chat formatting with tool-call linking.
 
-Turns whose text is a JSON object may carry tool traffic: ``{"content"?,
-"tool_calls": [{"id", "name", "arguments"}]}`` (arguments an object, or its JSON in a string) or, in
-role ``tool``, ``{"tool_call_id", "content"}``.  Every other text is content as it stands.
+Turns whose text is a JSON object of exactly these keys carry tool traffic: in role ``assistant`` ``{"content"?,
+"tool_calls": [{"id", "name", "arguments"?}, ...]}`` (arguments a value, or its JSON in a string), in
+role ``tool`` ``{"tool_call_id", "content"?}``.  Every other text is content as it stands: of other roles, with other
+keys, with keys twice, with NaN or infinite numbers, nested too deep, without calls.
 
 Calls and results are hash-joined by (conv_id, identifier).  A call that names
 other calls in its arguments as ``"${id}"`` comes after their results, a result right after its
-call; levels follow by peeling off the calls whose needs are met, round by round over
-written tables, and calls on a cycle keep their own turn.  Arguments are checked against the
+call.  Its level is the length of its longest chain of needs: conversations of up to ``LINKS`` needs are ordered each in
+a task; in larger ones needs are joined to what is done, round by round over written tables, and a need of a call that
+has one need alone is replaced by that one, so that a chain halves with each round.  Only calls on a cycle, and those that
+need one, are ``cyclic`` and keep their own turn.  Arguments are checked against the
 tool's schema.  Every piece becomes one canonical JSON message: keys sorted, no
-spaces, text unescaped.
+spaces, text unescaped (but lone surrogates).
 
 Messages are rows, range-sorted by conversation and place, never collected: a
 conversation may be longer than a task's memory.
 
-Edge cases: a null role is ``""`` and a null text is content null; null conv_id or turn sort first and are kept, their
+Edge cases: a null role is ``""`` and a null text is content null; a conv_id that is no whole number stays a string; a
+turn that is none is null; null conv_id or turn sort first and are kept, their
 calls and results linked as in any conversation; of equal call identifiers, and of
 several results for one call, the earliest links and the others are ``repeated``; a result without
 call is an ``orphan`` and stays at its turn; repeated rows are messages of their own; an empty
@@ -24,12 +28,14 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import cut
 
@@ -42,11 +48,32 @@ SCHEMAS: dict[str, dict] = {
 
 _NEEDS = re.compile(r"\$\{([^{}]+)\}")
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
-_PIECE = "conv_id long, turn long, seq int, kind string, role string, call_id string, name string, body string, fault string, needs array<string>"
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Needs of a conversation that one task orders.
+LINKS = 100_000
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _once(pairs: list[tuple]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key twice")
+    return found
+
+
+def _not_json(name: str) -> None:
+    raise ValueError(name)
+
+
+def _parsed(text: str):
+    return json.loads(text, object_pairs_hook=_once, parse_constant=_not_json)
+
+
+def _named(value) -> bool:
+    return isinstance(value, str) and not _SURROGATE.search(value)
 
 
 def schema_fault(value, schema: dict, at: str = "$") -> str | None:
@@ -80,33 +107,42 @@ def schema_fault(value, schema: dict, at: str = "$") -> str | None:
 
 def pieces_of(role: str, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
     """(kind, call_id, name, body, fault, needs) of one turn: kind is message, call or result."""
-    found = None
-    if text and text.lstrip()[:1] == "{":
+    if text and role in ("assistant", "tool") and text.lstrip()[:1] == "{":
         try:
-            found = json.loads(text)
+            if found := _traffic(role, _parsed(text), schemas):
+                return found
         except (ValueError, RecursionError):
-            found = None
-    if isinstance(found, dict) and role == "tool" and isinstance(found.get("tool_call_id"), str):
-        return [("result", found["tool_call_id"], None, canonical(found.get("content")), None, [])]
-    if isinstance(found, dict) and isinstance(found.get("tool_calls"), list) and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in found["tool_calls"]):
-        out = []
-        if found.get("content") is not None or not found["tool_calls"]:
-            out.append(("message", None, None, canonical(found.get("content")), None, []))
-        for c in found["tool_calls"]:
-            name, args, fault = str(c.get("name")), c.get("arguments"), None
-            if isinstance(args, str):
-                try:
-                    args = json.loads(args)
-                except (ValueError, RecursionError):
-                    fault = "$: not JSON"
-            if fault is None and name in schemas:
-                fault = schema_fault(args, schemas[name])
-            body = canonical(args)
-            out.append(("call", c["id"], name, body, fault, sorted(set(_NEEDS.findall(body)))))
-        return out
+            pass
     return [("message", None, None, canonical(text), None, [])]
 
 
+def _traffic(role: str, found: dict, schemas: dict[str, dict]) -> list[tuple]:
+    if role == "tool":
+        if not found.keys() <= {"tool_call_id", "content"} or not _named(found.get("tool_call_id")):
+            return []
+        return [("result", found["tool_call_id"], None, canonical(found.get("content")), None, [])]
+    calls = found.get("tool_calls")
+    if not found.keys() <= {"tool_calls", "content"} or not isinstance(calls, list):
+        return []
+    if not all(isinstance(c, dict) and c.keys() <= {"id", "name", "arguments"} and _named(c.get("id")) and _named(c.get("name")) for c in calls):
+        return []
+    out = []
+    if calls and found.get("content") is not None:
+        out.append(("message", None, None, canonical(found["content"]), None, []))
+    for c in calls:
+        args, fault = c.get("arguments"), None
+        if isinstance(args, str):
+            try:
+                args = _parsed(args)
+            except (ValueError, RecursionError):
+                fault = "$: not JSON"
+        if fault is None and c["name"] in schemas:
+            fault = schema_fault(args, schemas[c["name"]])
+        body = canonical(args)
+        out.append(("call", c["id"], c["name"], body, fault and _SURROGATE.sub("?", fault), sorted(set(_NEEDS.findall(body)))))
+    return out
+
+
 def _pieces(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,28 +153,71 @@ def _pieces(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                     out.append({"conv_id": conv, "turn": turn, "seq": seq, "kind": kind, "role": role, "call_id": call_id, "name": name, "body": body, "fault": fault, "needs": needs})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    text = pa.string()
-    schema = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int32()), *[(k, text) for k in ("kind", "role", "call_id", "name", "body", "fault")], ("needs", pa.list_(text))])
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(parse, _PIECE)
+    text, whole = pa.string(), isinstance(turns.schema["conv_id"].dataType, IntegralType)
+    schema = pa.schema([("conv_id", pa.int64() if whole else text), ("turn", pa.int64()), ("seq", pa.int32()), *[(k, text) for k in ("kind", "role", "call_id", "name", "body", "fault")], ("needs", pa.list_(text))])
+    ddl = f"conv_id {'long' if whole else 'string'}, turn long, seq int, kind string, role string, call_id string, name string, body string, fault string, needs array<string>"
+    return turns.select(F.col("conv_id").cast("long" if whole else "string"), F.col("turn").try_cast("long"), F.col("role").cast("string"), F.col("text").cast("string")).mapInArrow(parse, ddl)
+
+
+def _order(block: pa.Table) -> pa.Table:
+    """Turn and level of the calls of one conversation that have needs, given as (conv, call_id, at, need, need_at)."""
+    rows = block.to_pylist()
+    at, level, needs, waiting = {}, {}, {}, {}
+    for r in rows:
+        at[r["call_id"]] = r["at"]
+        needs.setdefault(r["call_id"], []).append(r["need"])
+    for r in rows:
+        if r["need"] not in needs:
+            at[r["need"]], level[r["need"]] = r["need_at"], 0
+        waiting.setdefault(r["need"], []).append(r["call_id"])
+    open_ = {c: len(n) for c, n in needs.items()}
+    ready, placed = list(level), []
+    while ready:
+        done = ready.pop()
+        for c in waiting.get(done, ()):
+            open_[c] -= 1
+            if not open_[c]:
+                level[c] = 1 + max(level[n] for n in needs[c])
+                at[c] = max((at[x] for x in (c, *needs[c]) if at[x] is not None), default=None)
+                placed.append(c)
+                ready.append(c)
+    calls = [*placed, *(c for c in needs if c not in level)]
+    conv = block.column("conv")[0].as_py()
+    return pa.table({"conv": pa.array([conv] * len(calls), pa.string()), "call_id": pa.array(calls, pa.string()), "at": pa.array([at[c] for c in calls], pa.int64()), "level": pa.array([level.get(c, 0) for c in calls], pa.int32()), "cyclic": pa.array([c not in level for c in calls], pa.bool_())})
+
+
+def _order_large(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for conversations of any size, in rounds. ``calls``: conv, call_id, at; ``edges``: conv, call_id, need."""
+    edges = cut(edges.select("conv", "call_id", "need", F.lit(1).alias("steps"), F.lit(None).cast("long").alias("over")))
+    linked = edges.select("conv", "call_id").distinct()
+    done = cut(calls.join(edges.select("conv", F.col("need").alias("call_id")).distinct(), ["conv", "call_id"], "left_semi").join(linked, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
+    left = cut(calls.join(linked, ["conv", "call_id"], "left_semi"))
+    # a chain is folded after so many rounds: what frees no call for longer is a cycle
+    patience = idle = math.ceil(math.log2(edges.count() + 2)) + 1
+    while idle and not left.isEmpty():
+        met = edges.join(done.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"), F.col("level").alias("need_level")), ["conv", "need"], "left")
+        ready = met.groupBy("conv", "call_id").agg(F.max(F.greatest("over", "need_at")).alias("need_at"), F.max(F.col("need_level") + F.col("steps")).alias("level"), F.min(F.col("need_level").isNotNull()).alias("met")).filter("met")
+        new = cut(left.join(ready, ["conv", "call_id"]).select("conv", "call_id", F.greatest("at", "need_at").alias("at"), "level"))
+        idle = idle - 1 if new.isEmpty() else patience
+        done, left = cut(done.unionByName(new)), cut(left.join(new, ["conv", "call_id"], "left_anti"))
+        edges = edges.join(new, ["conv", "call_id"], "left_anti")
+        single = edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.first("need").alias("next"), F.first("steps").alias("more"), F.first("over").alias("also")).filter("n = 1")
+        single = single.join(left, ["conv", "call_id"]).select("conv", F.col("call_id").alias("need"), "next", "more", F.greatest("also", "at").alias("also"))
+        edges = cut(edges.join(single, ["conv", "need"], "left").select("conv", "call_id", F.coalesce("next", "need").alias("need"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.greatest("over", "also").alias("over")))
+    return done.join(linked, ["conv", "call_id"], "left_semi").withColumn("cyclic", F.lit(False)).unionByName(left.select("conv", "call_id", "at", F.lit(0).alias("level"), F.lit(True).alias("cyclic")))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
     """conv, call_id, at (turn it can run in), level (length of its chain of needs), cyclic."""
-    open_ = cut(calls.select("conv", "call_id", F.col("turn").alias("at"), F.lit(0).alias("level"), "needs"))
-    known = open_.select("conv", F.col("call_id").alias("need")).distinct()
-    needs = cut(open_.select("conv", "call_id", F.explode("needs").alias("need")).join(known, ["conv", "need"]).distinct())
-    done = open_.join(needs, ["conv", "call_id"], "left_anti").drop("needs")
-    left = open_.join(needs.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_semi").drop("needs")
-    # a round that frees no call leaves only cycles and what needs them
-    while not left.isEmpty():
-        met = needs.join(done.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"), F.col("level").alias("need_level")), ["conv", "need"], "left")
-        ready = met.groupBy("conv", "call_id").agg(F.max("need_at").alias("need_at"), F.max("need_level").alias("need_level"), F.min(F.col("need_level").isNotNull()).alias("met")).filter("met")
-        new = cut(left.join(ready, ["conv", "call_id"]).select("conv", "call_id", F.greatest("at", "need_at").alias("at"), (F.col("need_level") + 1).alias("level")))
-        if new.isEmpty():
-            break
-        done = cut(done.unionByName(new))
-        left = cut(left.join(new, ["conv", "call_id"], "left_anti"))
-    return done.withColumn("cyclic", F.lit(False)).unionByName(left.withColumn("cyclic", F.lit(True)))
+    calls = cut(calls.select("conv", "call_id", F.col("turn").alias("at"), "needs"))
+    known = calls.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"))
+    edges = cut(calls.select("conv", "call_id", "at", F.explode("needs").alias("need")).join(known, ["conv", "need"]))
+    free = calls.join(edges.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti").select("conv", "call_id", "at", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
+    large = cut(edges.groupBy("conv").agg(F.count("*").alias("n")).filter(F.col("n") > LINKS).select("conv"))
+    ordered = edges.join(large, "conv", "left_anti").select("conv", "call_id", "at", "need", "need_at").groupBy("conv").applyInArrow(_order, "conv string, call_id string, at long, level int, cyclic boolean")
+    if not large.isEmpty():
+        ordered = ordered.unionByName(_order_large(calls.drop("needs").join(large, "conv", "left_semi"), edges.join(large, "conv", "left_semi")))
+    return free.unionByName(ordered)
 
 
 def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -147,7 +226,7 @@ def format_chats(turns: DataFrame, schemas: dict[str, dict] | None = None) -> Da
     Place is (at, message before traffic, level, turn and seq of the call, call before result).
     status: plain, linked, unanswered, cyclic, orphan or repeated."""
     pieces = cut(_pieces(turns, SCHEMAS if schemas is None else schemas))
-    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))
+    conv = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-"))
     plain = pieces.filter("kind = 'message'")
     traffic = cut(pieces.filter("kind <> 'message'").withColumn("conv", conv).withColumn("first", F.row_number().over(Window.partitionBy("conv", "call_id", "kind").orderBy("turn", "seq", "body")) == 1))
     calls, results = traffic.filter("kind = 'call' and first"), traffic.filter("kind = 'result' and first")

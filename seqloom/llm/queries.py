@@ -100,6 +100,8 @@ ORACLES: dict[str, str] = {
  rules(verdict, host, path) AS (VALUES {', '.join(str(r) for r in url_rules.RULES)}),
  fits AS (SELECT u.page_id, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC, r.verdict DESC) k FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
  SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') verdict FROM urls u LEFT JOIN fits f ON f.page_id = u.page_id AND f.k = 1""",
+    # for tables without tool traffic, as the test tables are
+    "op10_format_chats": """SELECT conv_id, turn, 0 AS seq, 'message' AS kind, 'plain' AS status, CAST(NULL AS varchar) AS fault, turn AS "at", 0 AS "level", '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || to_json(coalesce(role, ''))::varchar || '}' AS message FROM conversations""",
     "op9_substring_dedup": f"""WITH docs AS (SELECT doc_id, {_WORDS} ws FROM documents), windows AS (SELECT doc_id, i, hash(ws[i : i + 12]) || md5(array_to_string(ws[i : i + 12], ' ')) w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) i FROM docs WHERE len(ws) >= 13)),
  firsts AS (SELECT w, min(doc_id) holder FROM windows GROUP BY 1), hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (w) WHERE holder < doc_id),
  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) i FROM hits), placed AS (SELECT doc_id, i, ws[i] word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) i FROM docs)),

@@ -439,12 +439,66 @@ def test_chat(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
-def test_chat_with_a_long_chain_of_calls(spark):
-    call = lambda i: json.dumps({"tool_calls": [{"id": f"c{i}", "name": "q", "arguments": {"v": f"${{c{i - 1}}}"}}]})
-    n = 67
-    frame = spark.createDataFrame([(1, n - i, "assistant", call(i)) for i in range(n)], "conv_id long, turn long, role string, text string")
+def brute_levels(turns):
+    """(turn, call) -> (status, level, at) of well-formed conversations of calls alone, by recursion over needs."""
+    calls = {}
+    for conv, turn, _, text in turns:
+        for c in json.loads(text)["tool_calls"]:
+            calls.setdefault((conv, c["id"]), []).append((turn, c["arguments"]))
+    first = {k: min(v, key=lambda x: x[0]) for k, v in calls.items()}
+    out = {}
+    cyclic = set()
+    needs = {k: sorted({(k[0], n) for n in re.findall(r"\$\{([^{}]+)\}", json.dumps(a)) if (k[0], n) in first}) for k, (_, a) in first.items()}
+    left = dict(needs)
+    while True:
+        free = [k for k, n in left.items() if all(x in out for x in n)]
+        if not free:
+            break
+        for k in free:
+            n = left.pop(k)
+            out[k] = (1 + max((out[x][0] for x in n), default=-1), max([first[k][0], *(out[x][1] for x in n)]))
+    cyclic = set(left)
+    return {k: ("cyclic", 0, first[k][0]) if k in cyclic else ("unanswered", *out[k]) for k in first}
+
+
+def conversations_of_calls(rng):
+    call = lambda i, *needs: {"id": f"c{i}", "name": "q", "arguments": {"v": [f"${{c{n}}}" for n in needs]}}
+    turns = [(1, 520 - i, "assistant", json.dumps({"tool_calls": [call(i, i - 1)]})) for i in range(500)]  # a chain of 500
+    for conv in range(2, 30):
+        n = rng.randint(1, 14)
+        for i in range(n):
+            some = [rng.randrange(n) if rng.random() < 0.1 else rng.randrange(i) for _ in range(rng.choice((0, 1, 1, 2, 3))) if i]
+            turns.append((conv, rng.randint(0, 20), "assistant", json.dumps({"tool_calls": [call(i, *some, *[99] * (rng.random() < 0.1))]})))
+    return turns
+
+
+@pytest.mark.parametrize("links", [chat.LINKS, 12])
+def test_chat_orders_calls(spark, monkeypatch, links):
+    monkeypatch.setattr(chat, "LINKS", links)
+    turns = conversations_of_calls(random.Random(3))
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = chat.format_chats(frame).collect()
-    assert [(r.status, r.level, r.turn) for r in got] == [("unanswered", i, n - i) for i in range(n)]
+    want = brute_levels(turns)
+    assert {(r.conv_id, json.loads(r.message)["tool_call"]["id"]): (r.status, r.level, r.at) for r in got} == want and len(got) == len(want)
+    assert [r.level for r in got if r.conv_id == 1] == list(range(500)) and any(v[0] == "cyclic" for v in want.values())
+    assert [(r.conv_id, r.at, r.level) for r in got] == sorted((r.conv_id, r.at, r.level) for r in got)
+
+
+def test_chat_loses_no_text(spark):
+    texts_ = [
+        ("user", '{"tool_calls":[],"note":"keep me"}'), ("user", '{"tool_calls":[{"id":"a","name":"q"}]}'), ("assistant", '{"tool_calls":[{"id":"a","name":"q","extra":1}]}'),
+        ("assistant", '{"tool_calls":[]}'), ("tool", '{"tool_call_id":"a","content":1,"more":2}'), ("tool", '{"tool_call_id":7}'), ("assistant", '{"tool_calls":[{"id":"a","name":null}]}'),
+        ("assistant", '{"tool_calls":[{"id":"a","name":"q","arguments":{"x":NaN}}]}'), ("assistant", '{"tool_calls":[{"id":"a","name":"q","arguments":{"x":1e999}}]}'),
+        ("assistant", '{"tool_calls":[{"id":"a","name":"q","arguments":{"x":1,"x":2}}]}'), ("assistant", '{"tool_calls":[{"id":"\\ud800","name":"q"}]}'),
+        ("assistant", '{"tool_calls":' + "[" * 5000), ("assistant", '{"a":' * 20000 + "1" + "}" * 20000), ("user", "w " * 500_000), ("tool", ""),
+    ]
+    rows = [(f"x{i % 3}", str(i) if i else "first", *t) for i, t in enumerate(texts_)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")).collect()
+    assert {r.kind for r in got} == {"message"} and Counter((r.conv_id, json.loads(r.message)["content"]) for r in got) == Counter((r[0], r[3]) for r in rows)
+    assert [r.turn for r in got if r.conv_id == "x0"][0] is None
+    odd = '{"tool_calls":[{"id":"a","name":"q","arguments":{"x":"\\ud800","b":"é","a":"{\\"y\\":1}"}},{"id":"b","name":"q","arguments":"[NaN]"}]}'
+    got = chat.format_chats(spark.createDataFrame([(1, 0, "assistant", odd)], "conv_id long, turn long, role string, text string")).collect()
+    assert [(r.fault, json.loads(r.message)["tool_call"]["arguments"]) for r in got] == [(None, {"x": "\ud800", "b": "é", "a": '{"y":1}'}), ("$: not JSON", "[NaN]")]
 
 
 def test_schema_faults():
