@@ -6,6 +6,8 @@ conditional likelihood of labelled pages, and pages are decoded by Viterbi.
 Training sees ``TRAINING_PAGES`` pages, whatever the input; the weights go to the tasks
 with the function.  Pages are independent: no shuffle.
 
+Parsing takes time and memory in proportion to the page's length, however it is nested or broken.
+
 Edge cases: a null or empty page, or one without text, gives the empty text; pages repeat as given;
 a page with one block is decided by that block; an empty table gives no rows; other columns are ignored.
 """
@@ -19,12 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .html_blocks import BLOCK, Block, blocks
+from .html_blocks import Block, Node, blocks
 from .html_pages import labelled_pages
 
 TRAINING_PAGES = 400
 STEPS, RATE, L2 = 120, 0.15, 1e-3
-_LANDMARKS = frozenset("article main nav header footer aside form section table ul ol dl blockquote figure".split())
+
+
+def _inherited(within: Node | None) -> list[str]:
+    if within is None:
+        return ["own -", "near -"]
+    return [f"own {within.own or '-'}", f"near {within.mark or '-'}", *(f"in {t}" for t in within.tags), *(f"two {a} {b}" for a, b in within.turns), *(f"named {w}" for w in within.names)]
 
 
 def features(page: Sequence[Block]) -> list[list[str]]:
@@ -32,17 +39,11 @@ def features(page: Sequence[Block]) -> list[list[str]]:
     n = len(page)
     longest = max((len(b.text) for b in page), default=1)
     for i, b in enumerate(page):
-        tags = [t for t, _ in b.path]
-        marks = [t for t in tags if t in _LANDMARKS]
-        own = next((t for t in reversed(tags) if t in BLOCK), "-")
         size = len(b.text.split())
         share = b.linked / max(1, len(b.text))
-        found = {"bias", f"own {own}", f"near {marks[-1] if marks else '-'}", f"words {min(8, size.bit_length())}", f"links {0 if not share else 1 if share < 0.4 else 2 if share < 0.8 else 3}", f"ends {'stop' if b.text[-1] in '.!?:”»' else 'open'}", f"place {'first' if i == 0 else 'last' if i == n - 1 else 'inside'}", f"against longest {min(4, int(5 * len(b.text) / longest))}"}
-        found.update(f"in {t}" for t in set(tags) if t in BLOCK or t == "a")
-        found.update(f"two {a} {b}" for a, b in zip(marks, marks[1:], strict=False))
-        found.update(f"named {w}" for _, names in b.path for w in names)
+        found = ["bias", f"words {min(8, size.bit_length())}", f"links {0 if not share else 1 if share < 0.4 else 2 if share < 0.8 else 3}", f"ends {'stop' if b.text[-1] in '.!?:”»' else 'open'}", f"place {'first' if i == 0 else 'last' if i == n - 1 else 'inside'}", f"against longest {min(4, int(5 * len(b.text) / longest))}", *_inherited(b.within)]
         if "©" in b.text or "copyright" in b.text.lower():
-            found.add("copyright")
+            found.append("copyright")
         out.append(sorted(found))
     return out
 
@@ -52,6 +53,7 @@ class Tagger:
 
     def __init__(self, weights: dict[str, tuple[float, float]], steps: np.ndarray, first: np.ndarray):
         self.weights, self.steps, self.first = weights, steps.tolist(), first.tolist()
+        self.known = frozenset(n.removeprefix("named ") for n in weights if n.startswith("named "))
 
     def decode(self, page: Sequence[Block]) -> list[bool]:
         """Viterbi."""
@@ -79,7 +81,7 @@ class Tagger:
         return [bool(v) for v in reversed(labels)]
 
     def text(self, page: str | None) -> str:
-        found = blocks(page) if page else []
+        found = blocks(page, self.known) if page else []
         return " ".join(b.text for b, keep in zip(found, self.decode(found), strict=True) if keep)
 
 
