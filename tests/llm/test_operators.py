@@ -3,6 +3,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,6 +267,18 @@ def test_blocks_of_pages_with_omitted_end_tags():
     assert text("<p>a<script>swallows <p>b") == ["a"]
 
 
+@pytest.mark.parametrize("page", ["<p>x</p>" + "<a " * 300_000 + '"', "<div class=c>t" * 60_000, "<b>" * 100_000 + "<p>x" * 20_000, "<ul>" + "<li><div>x" * 50_000, "<select>x" * 60_000, "<div>" * 50_000 + "</p></li>" * 50_000, "<!--" * 100_000, "<p a=\"x'>y" * 60_000, "".join(f"<div class=w{'abcde'[i % 5] * (i % 400)}>t" for i in range(4000)), "<title>" * 90_000])
+def test_broken_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    extraction.default_tagger().text(page)
+    assert time.process_time() - began < 10
+
+
+def test_quotes_count_in_attribute_values_alone():
+    text = lambda page: [b.text for b in html_blocks.blocks(page)]
+    assert text("<p class=x\">one</p><p title='a>b'>two</p><p title=\"a>three</p>") == ["one", "two", "three"]
+
+
 def test_extraction_edges(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a><li><a href=/x>More</a></ul></nav><article><h1>A  title &amp; more</h1><p><b>One\n two.<br>three <script>var x='</p>'</script><p>Four &lt;five&gt; six seven eight.</article><footer>&copy; me</footer>"
     frame = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (3, "v", "", 5), (4, "w", "<p></p><!-- x", 5)], "page_id long, url string, html string, text int")
