@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
  SELECT d.doc_id, len(d.ws)::bigint n_words, coalesce(h.n_hit, 0)::bigint n_hit, coalesce(n.n_items, 0)::bigint n_items, sha256(coalesce(n.items, '')) items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)""",
     # for pages that mark their article as such, as those of the test tables do
     "op6_extract_html": r"""WITH plain AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') body FROM pages),
- decoded AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) "text" FROM plain)
+ decoded AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) "text" FROM plain)
  SELECT page_id, url, "text", length("text") n_chars FROM decoded""",
     "op8_url_filters": rf"""WITH urls AS (SELECT page_id, {_LOWER.format(r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path FROM pages),
  rules(verdict, host, path) AS (VALUES {', '.join(str(r) for r in url_rules.RULES)}),
