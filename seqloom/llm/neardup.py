@@ -1,7 +1,8 @@
 """Near duplicates by DartMinHash signatures and banded joins.
 
-Elements of a text are its word shingles, weighted 1 (``weights="set"``) or by
-their count (``"count"``).  Darts fall on the plane (weight, rank) of every
+Elements of a text are its word shingles, weighted by their count (``weights="count"``) or 1 each
+(``"set"``); similarity is the weighted Jaccard one, the sum of the lesser weights over the sum of the
+greater.  Darts fall on the plane (weight, rank) of every
 element as a Poisson process drawn from the element's hash alone, cell by cell:
 strip ``v`` of weight covers ``[2**v - 1, 2**(v + 1) - 1)`` and its cells have area 1.
 A text sees the darts below its element's weight and below rank
@@ -12,8 +13,7 @@ coordinate with the probability of their weighted Jaccard similarity.
 
 Copies (equal word sequences) fold into one node first.  In each band bucket the
 node that meets most others over all its buckets leads, as the original of a family does;
-members are compared with leaders, the most frequent pair
-of each member first, by the exact Jaccard similarity of their shingles, and classes
+members are compared with leaders by the exact similarity of their weighted shingles, and classes
 are the connected components.  A bucket that still holds several classes mixed texts that are
 similar, but not enough; its nodes go on to finer buckets, of two and then three
 bands joined, with leaders of their own.  That costs n comparisons a level for a bucket of n texts
@@ -110,7 +110,7 @@ def signatures(texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray
     return dart.reshape(n, k)
 
 
-def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, weights: str = "count") -> DataFrame:
     """doc_id, k1, k2 (print of the word sequence; null without words), bands (hash of each)."""
     k = bands * rows
 
@@ -155,13 +155,23 @@ def sketches(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int
     return rows_.mapInArrow(sketch, "doc_id long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """node, its shingles: sorted distinct 32-bit prints, as bytes."""
+def elements(tokens: np.ndarray, size: int, weights: str) -> np.ndarray:
+    """Sorted distinct 32-bit prints of a text's shingles; weighted by count, the j-th of equal shingles is an element
+    of its own, so that the weighted similarity of two texts is the similarity of these sets."""
+    s = np.sort(shingles(tokens, size))
+    if weights == "count":
+        heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))[: len(s)]
+        s = mix(s + _CELL * (np.arange(len(s)) - np.repeat(heads, np.diff(np.append(heads, len(s))))).astype(U))
+    return np.unique((s >> U(32)).astype(np.uint32))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, size: int, weights: str = "count") -> DataFrame:
+    """node, items (:func:`elements`, as bytes)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            out = [np.unique((shingles(cache.of(t.as_py().split()), size) >> U(32)).astype(np.uint32)).tobytes() for t in batch.column(1)]
+            out = [elements(cache.of(t.as_py().split()), size, weights).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "items"])
 
     texts = docs.select(row_id().alias("node"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -285,7 +295,7 @@ def _keys(level: int, bands: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i * 64 + s), *[at(i + s * k) for k in range(level)]) for i in range(bands) for s in STEPS])
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "set", levels: int = LEVELS) -> DataFrame:
+def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weights: str = "count", levels: int = LEVELS) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) for every row."""
     sketched = cut(sketches(docs, size, bands, rows, weights))
     worded = sketched.filter("k1 is not null")
@@ -310,18 +320,13 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         leaders = cut(shared.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", F.bitwise_not("node"))).alias("leader")))
         shared = cut(shared.drop("n").join(leaders, "bucket"))
         if sets is None:
-            sets = cut(_sets(docs, shared.select("node").distinct(), size))
-        pairs = shared.filter("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("votes"))
+            sets = cut(_sets(docs, shared.select("node").distinct(), size, weights))
+        pairs = shared.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
         pairs = cut(across(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")))
-        # each node with its most frequent leader first: that joins most of a group, and saves the other comparisons
-        best = cut(pairs.groupBy("a").agg(F.max_by("b", F.struct("votes", F.bitwise_not("b"))).alias("b")))
-        first = cut(_similar(best, sets, similarity))
-        found = first if found is None else found.union(first)
-        labels = components(found)
-        rest = across(pairs.select("a", "b")).join(best, ["a", "b"], "left_anti")
-        found = cut(found.union(_similar(rest, sets, similarity)))
+        similar = _similar(pairs, sets, similarity)
+        found = cut(similar if found is None else found.union(similar))
         labels = components(found)
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        tested = pairs if tested is None else tested.union(pairs)
         if 1 < level == levels:
             break
         named = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
