@@ -14,8 +14,10 @@ meets in one task.
 
 Edge cases: a null or wordless text has size 0 and takes nothing; a null source
 is a source of its own, sorted last; a null doc_id keeps its row; repeated rows
-are streamed one after the other; no rows give no rows; other columns of the
+are streamed one after the other, equal ones in any order; no rows give no rows; other columns of the
 input are ignored, whatever their names.
+
+The table of sources, one row each, is sorted whole in one task: it is meant for up to a million sources or so.
 """
 
 from __future__ import annotations
@@ -76,17 +78,19 @@ def invert_demand(fraction: Column, rates: Column) -> Column:
     return F.aggregate(rates, start, spend, lambda s: s["t"]) / F.size(rates)
 
 
-def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[int]] = SCHEDULES, cap: int = 3, share: int = 100) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, n_copies, taken and positions
-    (training position of each copy, in 0..1)."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key")))
-    sized = sized.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    targets = source_targets(sized, weights, schedules, cap, share)
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+def _placed(docs: DataFrame, carried: Sequence[str], weights: Sequence[int], schedules: Sequence[Sequence[int]], cap: int, share: int) -> DataFrame:
+    """Of each row: doc_id, source, size, source_size, target, n_copies, taken, positions, and ``row``, a struct of
+    the ``carried`` columns."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text))))
+    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("print"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"), (F.struct(*carried) if carried else F.lit(0)).alias("row"))
+    if not carried:
+        sized = cut(sized)  # used twice
+    sums = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
+    targets = source_targets(sums, weights, schedules, cap, share)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         sized.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
@@ -98,12 +102,19 @@ def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequenc
     copies = F.when(F.col("size") > 0, F.least(F.greatest(F.ceil(room), F.lit(0)), F.lit(cap))).otherwise(0).cast("long")
     middle = lambda e: (e * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target")
     positions = F.when(F.col("n_copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1), lambda e: invert_demand(middle(e), F.col("rates")))).otherwise(F.array().cast("array<double>"))
-    return placed.withColumn("n_copies", copies).select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"), positions.alias("positions"))
+    return placed.withColumn("n_copies", copies).select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"), positions.alias("positions"), "row")
+
+
+def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[int]] = SCHEDULES, cap: int = 3, share: int = 100) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, n_copies, taken and positions
+    (training position of each copy, in 0..1)."""
+    return _placed(docs, [], weights, schedules, cap, share).drop("row")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[int]] = SCHEDULES, cap: int = 3, share: int = 100) -> DataFrame:
     """The mixed corpus: one row per taken copy with all columns of ``docs``, range-sorted by
-    training position.  doc_id names a document: rows sharing one are taken alike."""
-    taken = assign(docs, **options).filter("n_copies > 0").groupBy("doc_id").agg(F.first("positions").alias("__seqloom_positions")).withColumnRenamed("doc_id", "__seqloom_mixed_id")
-    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__seqloom_mixed_id"])).select(*[docs[c] for c in docs.columns], F.explode("__seqloom_positions").alias("__seqloom_position"))
-    return copies.repartitionByRange("__seqloom_position", "doc_id").sortWithinPartitions("__seqloom_position", "doc_id").drop("__seqloom_position")
+    training position.  Rows travel with their positions, so each row is taken as :func:`assign` says,
+    also where several share a doc_id."""
+    taken = _placed(docs, docs.columns, weights, schedules, cap, share).filter("n_copies > 0")
+    copies = taken.select("row", "doc_id", F.explode("positions").alias("position"))
+    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -3,7 +3,7 @@
 Base measures are column expressions over the words and lines of a text.  For
 learning, every labelled row is binned per feature at quantile edges; Spark
 counts labels per cell of bins, and the driver gets those counts - at most
-``(BINS + 1) ** len(FEATURES)`` cells, whatever the corpus size.  Sequential
+``2 * (BINS + 1) ** len(FEATURES)`` cells, whatever the corpus size.  Sequential
 covering then grows conjunctions of thresholds on one half of the cells' rows by
 FOIL gain, prunes each on the other half, and stops at a conjunction that is not
 right often enough.  The ordered list becomes one Spark ``when`` chain.
@@ -21,6 +21,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,42 +128,49 @@ def learn(labelled: DataFrame) -> list[Rule]:
 
 
 def cover(cells: list[tuple[tuple[int, ...], bool, int, int]], edges: dict[str, list[float]]) -> list[Rule]:
-    """Sequential covering over counted cells (bins, held out, bad, good)."""
+    """Sequential covering over counted cells (bins, held out, bad, good), all tests of a step at once."""
     tests = [(j, way, k) for j, f in enumerate(FEATURES) for k in range(len(edges[f])) for way in ("above", "at most")]
-    fits = lambda bins, term: bins[term[0]] > term[2] if term[1] == "above" else bins[term[0]] <= term[2]
+    if not cells or not tests:
+        return []
+    cells = sorted(cells)
+    bins = np.array([c[0] for c in cells])
+    held, bad, good = (np.array([c[k] for c in cells], kind) for k, kind in ((1, bool), (2, float), (3, float)))
+    fits = np.array([bins[:, j] > k if way == "above" else bins[:, j] <= k for j, way, k in tests])
+    left, rules = np.ones(len(cells), bool), []
 
-    def counts(terms, held):
-        inside = [c for c in left if c[1] == held and all(fits(c[0], t) for t in terms)]
-        return sum(c[2] for c in inside), sum(c[3] for c in inside)
+    def inside(terms: list[int]) -> np.ndarray:
+        return left & fits[terms].all(axis=0)
 
-    def precision(terms):
-        bad, good = counts(terms, True)
-        return (bad - good) / (bad + good) if bad + good else -1.0
+    def counts(terms: list[int]) -> tuple[float, float]:
+        rows = inside(terms) & held
+        return bad[rows].sum(), good[rows].sum()
+
+    def precision(terms: list[int]) -> float:
+        b, g = counts(terms)
+        return (b - g) / (b + g) if b + g else -1.0
 
-    left, rules = sorted(cells), []
     while len(rules) < MAX_RULES:
-        terms: list = []
-        bad, good = counts(terms, False)
-        while good and bad and len(terms) < MAX_TERMS:
-            best, gain = None, 1e-9
-            for t in tests:
-                b, g = counts([*terms, t], False)
-                if b and (x := b * (math.log2(b / (b + g)) - math.log2(bad / (bad + good)))) > gain:
-                    best, gain = t, x
-            if best is None:
+        terms: list[int] = []
+        while len(terms) < MAX_TERMS:
+            rows = inside(terms) & ~held
+            n_bad, n_good = bad[rows].sum(), good[rows].sum()
+            if not n_bad or not n_good:
+                break
+            b, g = fits[:, rows] @ bad[rows], fits[:, rows] @ good[rows]
+            gain = np.where(b > 0, b * (np.log2(np.maximum(b, 1) / np.maximum(b + g, 1)) - math.log2(n_bad / (n_bad + n_good))), 0.0)
+            if gain.max() <= 1e-9:
                 break
-            terms.append(best)
-            bad, good = counts(terms, False)
+            terms.append(int(np.argmax(gain)))
         while len(terms) > 1:
             shorter = max((terms[:i] + terms[i + 1 :] for i in range(len(terms))), key=precision)
             if precision(shorter) < precision(terms):
                 break
             terms = shorter
-        b, g = counts(terms, True)
+        b, g = counts(terms)
         if not terms or b + g < MIN_COVER or b < MIN_PRECISION * (b + g):
             break
-        rules.append(Rule(tuple((FEATURES[j], way, edges[FEATURES[j]][k]) for j, way, k in terms)))
-        left = [c for c in left if not all(fits(c[0], t) for t in terms)]
+        rules.append(Rule(tuple((FEATURES[tests[t][0]], tests[t][1], edges[FEATURES[tests[t][0]]][tests[t][2]]) for t in terms)))
+        left &= ~fits[terms].all(axis=0)
     return rules
 
 

@@ -73,7 +73,7 @@ def _phases(rates: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "op1_mix_sources": f"""WITH sized AS (SELECT doc_id, source, len({_WORDS})::bigint size, md5(coalesce(cast(doc_id AS varchar), '')) key FROM documents),
+    "op1_mix_sources": f"""WITH sized AS (SELECT doc_id, source, len({_WORDS})::bigint size, md5(coalesce(cast(doc_id AS varchar), '-' || md5(coalesce(text, '')))) key FROM documents),
  ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM (SELECT source, sum(size)::bigint source_size FROM sized GROUP BY 1)),
  weighed AS (SELECT *, [5,2,1][rank % 3 + 1] weight, [[4.0,3.0,2.0,1.0],[1.0,2.0,3.0,4.0],[1.0,1.0,1.0,1.0]][rank % 3 + 1]::double[] rates FROM ranked),
  ratios AS (SELECT *, (source_size * 3)::double / weight ratio, (sum(source_size) OVER ())::double total FROM weighed),
@@ -94,7 +94,7 @@ ORACLES: dict[str, str] = {
  places AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) i FROM docs, lens WHERE len(ws) >= n),
  found AS (SELECT p.doc_id, p.i, p.n, w.item_id FROM places p JOIN windows w ON w.w = p.ws[p.i : p.i + p.n - 1]),
  hit AS (SELECT doc_id, count(DISTINCT place) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY 1),
- named AS (SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) items FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
+ named AS (SELECT doc_id, count(item_id) n_items, string_agg(item_id, ',' ORDER BY item_id) items FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY 1)
  SELECT d.doc_id, len(d.ws)::bigint n_words, coalesce(h.n_hit, 0)::bigint n_hit, coalesce(n.n_items, 0)::bigint n_items, sha256(coalesce(n.items, '')) items_sha256, coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated FROM docs d LEFT JOIN hit h USING (doc_id) LEFT JOIN named n USING (doc_id)""",
     # for pages that mark their article as such, as those of the test tables do
     "op6_extract_html": r"""WITH plain AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') body FROM pages),

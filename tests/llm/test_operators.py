@@ -4,8 +4,10 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,10 +70,46 @@ def test_mixing(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.assign(docs).collect()))
 
 
-def test_mixed_rows(docs, rows):
+def copies(rows):
+    """(position, doc_id, text) of every copy that the mix takes, in order, in plain Python."""
+    sizes, streams, out = defaultdict(int), defaultdict(list), []
+    for r in rows:
+        sizes[r.source] += len(words(r.text))
+        key = str(r.doc_id) if r.doc_id is not None else "-" + hashlib.md5((r.text or "").encode()).hexdigest()
+        streams[r.source].append((hashlib.md5(key.encode()).hexdigest(), least(r.doc_id), len(words(r.text)), r))
+    targets = fill(sizes)
+    for rank, source in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode()))):
+        rates, at = ((4, 3, 2, 1), (1, 2, 3, 4), (1, 1, 1, 1))[rank % 3], 0
+        for _, i, size, r in sorted(streams[source], key=lambda x: x[:3]):
+            for epoch in range(3):
+                middle = (epoch * sizes[source] + at + size / 2) / targets[source]
+                if size and middle < 1:
+                    spent, t = middle * sum(rates), 0.0
+                    for rate in rates:
+                        t += min(max(spent, 0), rate) / rate
+                        spent -= rate
+                    out.append((t / 4, i, r.text))
+            at += size
+    return sorted(out, key=lambda x: x[:2])
+
+
+def test_mixed_rows(spark, docs, rows):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
-    assert {r.text for r in mixed.collect()} <= {r.text for r in rows}
+    assert [(least(r.doc_id), r.text) for r in mixed.collect()] == [x[1:] for x in copies(rows)]
+
+
+def test_mixed_rows_of_repeated_ids(spark):
+    frame = spark.createDataFrame([(i % 7 if i % 5 else None, f"text {i} " * (i % 11 + 1), f"s{i % 3}") for i in range(90)], "doc_id long, text string, source string")
+    want = Counter()
+    for r in frame.collect():
+        want[(r.doc_id, len(words(r.text)))] += 0
+    taken = Counter()
+    for r in mixing.assign(frame).collect():
+        taken[(r.doc_id, r.size)] += r.n_copies
+    got = mixing.mix(frame).collect()
+    assert Counter((r.doc_id, len(words(r.text))) for r in got) == +taken
+    assert [(least(r.doc_id), r.text) for r in got] == [x[1:] for x in copies(frame.collect())]
 
 
 # 2
@@ -204,6 +242,37 @@ def measures(text):
     return len(ws), sum(map(len, ws)), len(re.findall(r"[#*$%&|<>]", text or "")), len(ls) - len(set(ls)), len(hit), len(ws) < 20 or 100 * len(hit) > 30 * len(ws)
 
 
+def kept_by(rules, text):
+    """The verdict of a printed decision list, in plain Python."""
+    n, chars, symbols, dup, repeats, failed = measures(text)
+    share = lambda a, b: float(Decimal(repr(a / max(b, 1))).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+    text = text or ""
+    found = {"symbols": share(symbols, n), "upper": share(sum(unicodedata.category(c) == "Lu" for c in text), chars), "marks": share(len(re.findall("[!?]", text)), n), "dup_lines": share(dup, n), "repeats": share(repeats, n), "word_len": share(chars, n)}
+    fits = lambda term: found[term[0]] > term[2] if term[1] == "above" else found[term[0]] <= term[2]
+    return not failed and not any(all(fits(t) for t in rule.terms) for rule in rules)
+
+
+def test_quality_verdicts(spark):
+    frame, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(frame, labels)
+    texts_ = {r.doc_id: r.text for r in frame.collect()}
+    got = {r.doc_id: r.kept for r in quality.score(frame, labels).collect()}
+    assert rules and got == {i: kept_by(rules, t) for i, t in texts_.items()}
+
+
+def test_covering_finds_a_conjunction():
+    """Bad where the first bin is high and the second low, but for some noise."""
+    rng = random.Random(5)
+    cells = Counter()
+    for _ in range(4000):
+        bins = tuple(rng.randrange(5) for _ in quality.FEATURES)
+        bad = (bins[0] > 2 and bins[1] <= 1) != (rng.random() < 0.03)
+        cells[(bins, rng.random() < 0.3, bad)] += 1
+    keys = {(b, h) for b, h, _ in cells}
+    rules = quality.cover([(b, h, cells[b, h, True], cells[b, h, False]) for b, h in sorted(keys)], {f: [0.5, 1.5, 2.5, 3.5] for f in quality.FEATURES})
+    assert rules and {("symbols", "above", 2.5), ("upper", "at most", 1.5)} <= set(rules[0].terms)
+
+
 def test_quality_measures(spark, docs, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.score(docs, labels).collect()
@@ -265,11 +334,24 @@ def test_decontamination(spark, docs, rows):
                     found |= windows[tuple(w[k : k + n])]
         want[r.doc_id] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     got = decontam.decontaminate(docs, bench).collect()
-    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(want)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)  # repeated rows too
     assert any(v[4] for v in want.values()) and rng
     assert not decontam.decontaminate(docs, bench.limit(0)).filter("contaminated or n_hit > 0").count()
 
 
+def test_decontamination_by_items_without_id(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    frame = spark.createDataFrame([(1, passage), (1, "clean words"), (2, "other " + passage)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), ("x", "unseen " * 20)], "item_id string, text string")
+    got = decontam.decontaminate(frame, bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == [(1, 2, 0, 0, False), (1, 20, 20, 0, True), (2, 21, 20, 0, True)]
+
+
+def test_words_of_items():
+    text = bytes(range(256)) * 2
+    assert decontam.words_of(text) == re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text))
+
+
 # 6
 
 
@@ -328,6 +410,26 @@ def test_sharding(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, sharding.shard(docs, 8).collect()))
 
 
+def test_packing_is_the_largest_dot_product():
+    import numpy as np
+
+    rng = random.Random(7)
+    items = [(rng.randint(1, 900), rng.randint(1, 200), rng.randint(1, 9)) for _ in range(300)]
+    total = [sum(x[k] for x in items) for k in range(3)]
+    part = [[x[k] / total[k] * 6 for k in range(3)] for x in items]
+    left, want = [[1.0] * 3 for _ in range(6)], {}
+    for j in sorted(range(300), key=lambda j: (-max(part[j]), j)):
+        dot = [sum(a * b for a, b in zip(left[s], part[j], strict=True)) for s in range(6)]
+        open_ = [s for s in range(6) if all(a >= b for a, b in zip(left[s], part[j], strict=True))]
+        want[j] = max(open_, key=lambda s: (dot[s], -s)) if open_ else max(range(6), key=lambda s: (left[s][0], -s))
+        left[want[j]] = [a - b for a, b in zip(left[want[j]], part[j], strict=True)]
+    got = sharding.pack(np.array(items, float), 6).tolist()
+    assert sum(got[j] == want[j] for j in range(300)) > 295  # sums in another order may part ties
+    for k in range(3):
+        sums = [sum(items[j][k] for j in range(300) if got[j] == s) for s in range(6)]
+        assert max(sums) < 1.1 * total[k] / 6
+
+
 def test_sharding_balances_a_hot_text(spark):
     rows = [(i, "hot text " * 50 if i % 3 == 0 else f"text {i} " * (i % 40 + 1)) for i in range(6000)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
