@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, mixing, neardup, quality, sharding
-from seqloom.llm.common import cut, table
+from seqloom.llm.common import cut, numbered, row_id, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,15 +20,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each near-duplicate class stays."""
-    first = neardup.classes(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("__seqloom_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["__seqloom_first"]), "left_semi")
+    """The row of the least doc_id of each near-duplicate class stays, and no other."""
+    rows = numbered(docs)
+    first = neardup.classes(rows.withColumn("doc_id", F.col("__seqloom_number"))).filter("doc_id = class_id").select(F.col("doc_id").alias("__seqloom_number"))
+    return rows.join(first, "__seqloom_number", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark passages go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__seqloom_found"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__seqloom_found"]), "left_anti")
+    found = decontam.judged(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("__seqloom_id"), F.col("row").alias("__seqloom_row"))
+    return docs.join(found, (row_id() == F.col("__seqloom_id")) & (decontam.text_print() == F.col("__seqloom_row")), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
