@@ -67,13 +67,17 @@ def own_id(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")
 
 
+#: A column that tells the rows of a table apart.
+NUMBER = "__seqloom_number"
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__seqloom_number``, unlike in all rows and in the order of (doc_id, text): doc_id itself
+    """``docs`` with the column ``NUMBER``, unlike in all rows and in the order of (doc_id, text): doc_id itself
     where it is so, a running number, written to scratch, where ids are null or repeat."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
     if ids.isEmpty():
-        return docs.withColumn("__seqloom_number", F.col("doc_id").cast("long"))
-    return cut(docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn("__seqloom_number", F.monotonically_increasing_id()))
+        return docs.withColumn(NUMBER, F.col("doc_id").cast("long"))
+    return cut(docs.orderBy(F.col("doc_id").asc_nulls_first(), "text").withColumn(NUMBER, F.monotonically_increasing_id()))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

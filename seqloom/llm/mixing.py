@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import NUMBER, cut, numbered, words
 
 #: Weights and phase rates by source rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -79,13 +79,11 @@ def invert_demand(fraction: Column, rates: Column) -> Column:
 
 
 def _placed(docs: DataFrame, carried: Sequence[str], weights: Sequence[int], schedules: Sequence[Sequence[int]], cap: int, share: int) -> DataFrame:
-    """Of each row: doc_id, source, size, source_size, target, n_copies, taken, positions, and ``row``, a struct of
-    the ``carried`` columns."""
+    """Of each row: doc_id, source, size, source_size, target, n_copies, taken, positions and the ``carried`` columns.
+    Texts are read for their sizes alone and do not travel."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text))))
-    sized = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("print"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"), (F.struct(*carried) if carried else F.lit(0)).alias("row"))
-    if not carried:
-        sized = cut(sized)  # used twice
+    sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("print"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"), *carried))
     sums = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     targets = source_targets(sums, weights, schedules, cap, share)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -102,19 +100,20 @@ def _placed(docs: DataFrame, carried: Sequence[str], weights: Sequence[int], sch
     copies = F.when(F.col("size") > 0, F.least(F.greatest(F.ceil(room), F.lit(0)), F.lit(cap))).otherwise(0).cast("long")
     middle = lambda e: (e * F.col("source_size") + F.col("at") + F.col("size") / 2) / F.col("target")
     positions = F.when(F.col("n_copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1), lambda e: invert_demand(middle(e), F.col("rates")))).otherwise(F.array().cast("array<double>"))
-    return placed.withColumn("n_copies", copies).select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"), positions.alias("positions"), "row")
+    return placed.withColumn("n_copies", copies).select("doc_id", "source", "size", "source_size", "target", "n_copies", (F.col("n_copies") * F.col("size")).alias("taken"), positions.alias("positions"), *carried)
 
 
 def assign(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[int]] = SCHEDULES, cap: int = 3, share: int = 100) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, n_copies, taken and positions
     (training position of each copy, in 0..1)."""
-    return _placed(docs, [], weights, schedules, cap, share).drop("row")
+    return _placed(docs, [], weights, schedules, cap, share)
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[int]] = SCHEDULES, cap: int = 3, share: int = 100) -> DataFrame:
     """The mixed corpus: one row per taken copy with all columns of ``docs``, range-sorted by
-    training position.  Rows travel with their positions, so each row is taken as :func:`assign` says,
-    also where several share a doc_id."""
-    taken = _placed(docs, docs.columns, weights, schedules, cap, share).filter("n_copies > 0")
-    copies = taken.select("row", "doc_id", F.explode("positions").alias("position"))
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    training position.  Rows meet their positions by a number of their own, so each row is taken as :func:`assign`
+    says, also where several share a doc_id."""
+    rows = numbered(docs)
+    taken = _placed(rows, [NUMBER], weights, schedules, cap, share).filter("n_copies > 0").select(NUMBER, F.col("positions").alias("__seqloom_positions"))
+    copies = rows.join(taken, NUMBER).select(*docs.columns, F.explode("__seqloom_positions").alias("__seqloom_position"))
+    return copies.repartitionByRange("__seqloom_position", "doc_id").sortWithinPartitions("__seqloom_position", "doc_id").drop("__seqloom_position")

@@ -47,7 +47,9 @@ def host_key(host: Column) -> Column:
 
 
 def rule_table(spark, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {values or '(NULL, NULL, NULL)'} AS t(verdict, host, path)").filter("host is not null").select(*[F.col(c).cast("string").alias(c) for c in ("verdict", "host", "path")])
 
 
 def _rule_stacks(rules: DataFrame) -> DataFrame:
