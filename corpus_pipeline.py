@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, mixing, neardup, quality, sharding
-from seqloom.llm.common import cut, numbered, row_id, table
+from seqloom.llm.common import NUMBER, cut, numbered, row_id, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least doc_id of each near-duplicate class stays, and no other."""
     rows = numbered(docs)
-    first = neardup.classes(rows.withColumn("doc_id", F.col("__seqloom_number"))).filter("doc_id = class_id").select(F.col("doc_id").alias("__seqloom_number"))
-    return rows.join(first, "__seqloom_number", "left_semi").select(*docs.columns)
+    first = neardup.classes(rows.withColumn("doc_id", F.col(NUMBER))).filter("doc_id = class_id").select(F.col("doc_id").alias(NUMBER))
+    return rows.join(first, NUMBER, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
