@@ -8,7 +8,7 @@ import xxhash
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 #: Words that a task remembers the hash of.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 class WordHashes(dict):

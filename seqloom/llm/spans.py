@@ -50,9 +50,9 @@ LABEL = 6
 #: portion long and a bucket within a task's memory.
 BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 17
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
-CHUNK = 250_000
+CHUNK = 125_000
 #: Words whose edges a task merges and deals over the buckets at once.
-DEALT = 1_000_000
+DEALT = 500_000
 
 _BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary"
 #: What a bucket returns: spans that a task decided, occurrences of pieces in larger documents, pieces.
