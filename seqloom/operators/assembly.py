@@ -1,12 +1,15 @@
-"""Assembly of the final oligos, and metrics of probe sets. Projections alone."""
+"""Assembly of the final oligos, and metrics of probe sets: projections, and windows for two-armed probes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import complement, gc_percent, reverse_complement
-from ..functions.thermo import NN3, tm
+from ..functions.sequence import complement, gc_percent, once, poly_n_ok, reverse_complement
+from ..functions.thermo import NN3, tm, tm_between
+from ..sources.scratch import spread, written
+from .designer import disjoint_intervals
+from .kmers import BLOCK, blocks
 
 # Linkers, fluorophore oligos (oligo, suffix) and initiators (up spacer, down spacer, up, down).
 ANCHOR, DUAL_TAIL, DUAL_HEAD = "TCTCGTTTTCTGAACTTAGC", "CGGTATCAAG", "CTGTTTAAGA"
@@ -56,6 +59,23 @@ def free_base(task: Column) -> Column:
     return F.substring(F.lit("ACGT"), (F.conv(F.substring(F.md5(task), 1, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
 
 
+def arm_windows(genes: DataFrame, size: int, arm: int, gc: tuple[float, float], heat: tuple[float, float], poly: int) -> DataFrame:
+    """gene_id, start, w, number: most windows of ``size`` bases that do not touch and whose two arms pass."""
+    cut = spread(blocks(genes, size, "gene_id", least=size), "gene_id", "offset")
+    last = F.least(F.octet_length("b") - size, F.lit(BLOCK - 1))
+    at = cut.select("gene_id", "offset", "b", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    at = at.select("gene_id", (F.col("offset") + F.col("at")).alias("start"), once(F.substring("b", F.col("at") + 1, F.lit(size)).cast("string"), "w"))
+    at = at.select("*", once(F.substring("w", F.lit(1), F.lit(arm)), "first")).select("*", once(F.right("w", F.lit(arm)), "second"))
+    for p in ("first", "second"):
+        at = at.filter(gc_percent(p).between(*gc) & poly_n_ok(p, poly))
+    for p in ("first", "second"):
+        at = at.filter(tm_between(p, *heat, NN3))
+    at = written(at.select("gene_id", "start", "w"))
+    picked = disjoint_intervals(at.select("gene_id", "start", (F.col("start") + size).alias("end")), "gene_id")
+    number = F.row_number().over(Window.partitionBy("gene_id").orderBy("start"))
+    return at.join(picked.select("gene_id", "start"), ["gene_id", "start"], "left_semi").withColumn("number", number)
+
+
 def hcr_oligos(windows: DataFrame, kit: DataFrame, arm: int = 25) -> DataFrame:
     """gene_id, probe_pos (from 1), names, oligos and temperatures. ``windows``: gene_id, start, w, number (from 1)."""
     p1, p2 = reverse_complement(F.substring("w", F.lit(1), F.lit(arm))), reverse_complement(F.right("w", F.lit(arm)))

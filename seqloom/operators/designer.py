@@ -13,13 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import gc_junction, gc_percent, has_dimer, once, poly_n_ok, reverse_complement
 from ..functions.thermo import NN4, Table, pair_values, tm_of_pairs
 from ..sources.scratch import spread, written
-from .kmers import explode_kmers, repeat_kmers
+from .kmers import BLOCK, blocks, explode_kmers, repeat_kmers
 
 
 @dataclass(frozen=True)
@@ -53,25 +53,14 @@ class Config:
             raise ValueError("a set has two or three probes")
 
 
-#: Window starts in a block of a sequence.
-BLOCK = 1024
-
 DUAL = Config()
 TRIPLE = Config(tm_min=47.0, tm_max=53.0, poly_n=4, arity=3)
 
 
-def blocks(genes: DataFrame, reach: int) -> DataFrame:
-    """gene_id, offset, b: sequences as bytes, in overlapping blocks of ``BLOCK`` starts, dealt over the
-    cores: however long a sequence is, a row stays small and its windows spread."""
-    n = F.octet_length("b")
-    raw = genes.select("gene_id", F.col("seq").cast("binary").alias("b")).filter(n > 0)
-    cut = raw.select("gene_id", "b", F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).alias("offset"))
-    return spread(cut.select("gene_id", "offset", F.substring("b", F.col("offset") + 1, F.lit(BLOCK + reach - 1)).alias("b")), "gene_id", "offset")
-
-
 def windows(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     """gene_id, start, len, w of every window of every length, and the packed values of its pairs."""
-    at = blocks(genes, config.max_length).filter(F.octet_length("b") >= config.min_length).withColumn("values", pair_values(F.col("b"), config.table))
+    # dealt over the cores before a block becomes thousands of windows
+    at = spread(blocks(genes, config.max_length, "gene_id"), "gene_id", "offset").filter(F.octet_length("b") >= config.min_length).withColumn("values", pair_values(F.col("b"), config.table))
     last = F.least(F.octet_length("b") - config.min_length, F.lit(BLOCK - 1))
     at = at.select("gene_id", "offset", "b", once(F.col("values"), "values"), last.alias("last")).select("gene_id", "offset", "b", "values", F.explode(F.sequence(F.lit(0), "last")).alias("at"))
     pieces = at.select("gene_id", (F.col("offset") + F.col("at")).alias("start"), "at", "values", once(F.substring("b", F.col("at") + 1, F.lit(config.max_length)).cast("string"), "piece"))
@@ -101,30 +90,29 @@ def candidates(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     return good.join(_first_repeat(genes, config), ["gene_id", "start"], "left").filter(F.col("repeat").isNull() | (F.col("repeat") + config.kmer_size > F.col("start") + F.col("len"))).drop("repeat")
 
 
-def first_valid(genes: DataFrame, config: Config = DUAL) -> DataFrame:
-    """gene_id, start, len: the shortest valid window of each position that has one."""
-    return candidates(genes, config).groupBy("gene_id", "start").agg(F.min("len").alias("len"))
+def _shortest(genes: DataFrame, config: Config) -> DataFrame:
+    """gene_id, start, len, w: the shortest valid window of each position that has one."""
+    return candidates(genes, config).groupBy("gene_id", "start").agg(F.min(F.struct("len", "w")).alias("x")).select("gene_id", "start", "x.len", "x.w")
 
 
-def _probe(start: Column, end: Column) -> Column:
-    return reverse_complement(F.substring(F.col("seq"), start + 1, end - start))
+def first_valid(genes: DataFrame, config: Config = DUAL) -> DataFrame:
+    """gene_id, start, len of these windows."""
+    return _shortest(genes, config).drop("w")
 
 
 def feasible(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     """gene_id, n, start, left_end, [middle_end,] right_start, right_end and the probes, reverse-complemented."""
-    # joined with itself, so it is written: a row for each position, small next to the windows behind it
-    first = written(first_valid(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end")))
-    left = first.select("gene_id", "start", F.col("end").alias("left_end"))
+    # joined with itself, so it is written: a row for each position, with the window's own text alone
+    first = written(_shortest(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end"), "w"))
+    left = first.select("gene_id", "start", F.col("end").alias("left_end"), F.col("w").alias("left_w"))
     if config.arity == 3:
-        middle = first.select("gene_id", F.col("start").alias("left_end"), F.col("end").alias("middle_end"))
+        middle = first.select("gene_id", F.col("start").alias("left_end"), F.col("end").alias("middle_end"), F.col("w").alias("middle_w"))
         left = left.join(middle, ["gene_id", "left_end"])
     inner = F.col("middle_end") if config.arity == 3 else F.col("left_end")
-    right = first.select("gene_id", F.col("start").alias("right_start"), F.col("end").alias("right_end"))
+    right = first.select("gene_id", F.col("start").alias("right_start"), F.col("end").alias("right_end"), F.col("w").alias("right_w"))
     chained = left.withColumn("right_start", inner + config.inner_gap).join(right, ["gene_id", "right_start"])
-    named = chained.join(genes.select("gene_id", "seq"), "gene_id").withColumn("n", F.length("seq")).filter(F.col("right_start") < F.col("n") - config.min_length)
-    probes = [("left_seq", _probe(F.col("start"), F.col("left_end"))), ("right_seq", _probe(F.col("right_start"), F.col("right_end")))]
-    if config.arity == 3:
-        probes.insert(1, ("middle_seq", _probe(F.col("left_end"), F.col("middle_end"))))
+    named = chained.join(genes.select("gene_id", F.length("seq").alias("n")), "gene_id").filter(F.col("right_start") < F.col("n") - config.min_length)
+    probes = [(f"{p}_seq", reverse_complement(f"{p}_w")) for p in ("left", *["middle"] * (config.arity == 3), "right")]
     out = named.select("gene_id", "n", "start", "left_end", *["middle_end"] * (config.arity == 3), "right_start", "right_end", *[c.alias(k) for k, c in probes])
     return out.filter(~has_dimer([k for k, _ in probes], config.min_complementary_length))
 

@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.sequence import kmers, reverse_complement
 
 
+#: Starts in a block of a sequence.
+BLOCK = 1024
+
+
+def blocks(seqs: DataFrame, reach: int, *keys: str, seq: str = "seq", least: int = 1) -> DataFrame:
+    """keys, offset, b: sequences of ``least`` bytes or more, as bytes, in overlapping blocks of ``BLOCK`` starts with
+    ``reach`` bytes each: however long a sequence is, a row stays small."""
+    raw = seqs.select(*keys, F.col(seq).cast("binary").alias("b")).filter(F.octet_length("b") >= least)
+    cut = raw.select(*keys, "b", F.explode(F.sequence(F.lit(0), F.octet_length("b") - least, F.lit(BLOCK))).alias("offset"))
+    return cut.select(*keys, "offset", F.substring("b", F.col("offset") + 1, F.lit(BLOCK + reach - 1)).alias("b"))
+
+
 def explode_kmers(seqs: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
-    """keys, pos (0-based), kmer. One row per k-mer; nothing is shuffled."""
-    return seqs.select(*keys, F.posexplode(kmers(seq, k)).alias("pos", "kmer"))
+    """keys, pos (0-based), kmer. One row per k-mer, cut block by block; nothing is shuffled."""
+    cut = blocks(seqs, k, *keys, seq=seq, least=k)
+    each = cut.select(*keys, "offset", F.posexplode(kmers(F.col("b").cast("string"), k)).alias("at", "kmer"))
+    return each.select(*keys, (F.col("offset") + F.col("at")).alias("pos"), "kmer")
 
 
 def both_strand_counts(seqs: DataFrame, k: int = 9) -> DataFrame:

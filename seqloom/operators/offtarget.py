@@ -7,11 +7,11 @@ ordinary skewed equi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .kmers import explode_kmers
+from .kmers import BLOCK, blocks, explode_kmers
 
 
 def mismatches(a: Column, b: Column) -> Column:
@@ -28,7 +28,11 @@ def search(probes: DataFrame, subjects: DataFrame, seed: int = 10, identity: flo
     places = explode_kmers(subjects, seed, "subject_id", "strand").select("subject_id", "strand", "kmer", F.col("pos").alias("subject_pos"))
     diagonals = seeds.join(places, "kmer").select("probe_seq", "subject_id", "strand", (F.col("subject_pos") - F.col("probe_pos")).alias("start")).filter("start >= 0").distinct()
     diagonals = written(diagonals)
-    aligned = diagonals.join(subjects, ["subject_id", "strand"]).withColumn("w", F.substring("seq", F.col("start") + 1, F.length("probe_seq")))
+    # a diagonal meets the block that holds it, not the subject: rows do not grow with the subjects
+    longest = queries.agg(F.max(F.length("probe_seq"))).first()[0] or 1
+    pieces = blocks(subjects, longest, "subject_id", "strand").select("subject_id", "strand", "offset", F.col("b").cast("string").alias("b"))
+    placed = diagonals.withColumn("offset", F.col("start") - F.col("start") % BLOCK)
+    aligned = placed.join(pieces, ["subject_id", "strand", "offset"]).withColumn("w", F.substring("b", F.col("start") - F.col("offset") + 1, F.length("probe_seq")))
     scored = aligned.filter(F.length("w") == F.length("probe_seq")).withColumn("mm", mismatches(F.col("probe_seq"), F.col("w")))
     most = F.floor(F.length("probe_seq") * F.lit(1 - identity) + 1e-9) if max_mismatches is None else F.lit(max_mismatches)
     return scored.filter(F.col("mm") <= most).select("probe_seq", "subject_id", "strand", "start", "mm")
@@ -55,3 +59,8 @@ def set_scores(sets: DataFrame, per_probe: DataFrame, probes: list[str]) -> Data
         score = score + F.coalesce(F.col(f"_{p}.min_mm"), F.lit(0)) * 10 + F.greatest(F.coalesce(F.col(f"_{p}.n_hits"), F.lit(0)) - 1, F.lit(0)) * 5
         specificity = specificity + F.coalesce(F.col(f"_{p}.exact"), F.lit(0)) * 10 + F.coalesce(F.col(f"_{p}.one"), F.lit(0)) * 2
     return out.withColumn("score", score.cast("long")).withColumn("specificity", specificity.cast("long")).drop(*[f"_{p}" for p in probes])
+
+
+def rank(sets: DataFrame) -> DataFrame:
+    """Sets of a gene numbered by ``score``, equal ones in the order they were designed."""
+    return sets.withColumn("set_id", F.row_number().over(Window.partitionBy("gene_id").orderBy("score", "set_id")))

@@ -49,6 +49,11 @@ def too_close_pairs(sets: DataFrame, distance: int = MIN_DISTANCE) -> DataFrame:
     return left.join(right, ["gene_id", "cell"]).filter(F.col("set_id") < F.col("other")).filter(sets_too_close(F.col("intervals"), F.col("other_intervals"), distance)).select("gene_id", "set_id", "other").distinct()
 
 
+def evidence_score(quality: Column, specificity: Column, junction: Column) -> Column:
+    """Quality and specificity together, 5 more where the junction is G or C, which hinders ligation."""
+    return quality + specificity + F.when(junction, 5).otherwise(0)
+
+
 def select_sets(sets: DataFrame, wanted: int = 5, distance: int = MIN_DISTANCE) -> DataFrame:
     """gene_id, set_id, keep, reason. ``sets``: gene_id, set_id, score, intervals (sorted array of start, end)."""
     item = F.struct(F.array_min(F.transform("intervals", lambda x: x["start"])).alias("start"), F.col("set_id"), F.array_max(F.transform("intervals", lambda x: x["end"])).alias("end"), F.col("score").cast("double").alias("score"), F.col("intervals"))

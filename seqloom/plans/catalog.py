@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..functions.thermo import NN3, NN4, is_valid_probe, tm, tm_between
+from ..functions.thermo import NN3, NN4, is_valid_probe, tm
 from ..operators import assembly, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
 from ..sources import derived
 from ..sources.scratch import written
@@ -299,13 +299,35 @@ def coverage_score(spark, sf):
     return selection.coverage_by_key(spans, "gene_id").select("gene_id", F.round("coverage", 6).alias("coverage"))
 
 
-@register()
+_RANKED = f"""{_SET_PROBES}, scored AS (SELECT d.*, CAST(coalesce(l.min_mm,0) * 10 + greatest(coalesce(l.n_hits,0) - 1, 0) * 5 + coalesce(r.min_mm,0) * 10 + greatest(coalesce(r.n_hits,0) - 1, 0) * 5 AS bigint) quality,
+ CAST(coalesce(l.exact_n,0) * 10 + coalesce(l.one_n,0) * 2 + coalesce(r.exact_n,0) * 10 + coalesce(r.one_n,0) * 2 AS bigint) specificity FROM designed d LEFT JOIN per l ON l.probe_seq = d.left_seq LEFT JOIN per r ON r.probe_seq = d.right_seq),
+ ranked AS (SELECT * EXCLUDE (set_id), row_number() OVER (PARTITION BY gene_id ORDER BY quality, set_id) set_id FROM scored)"""
+
+
+def _ranked(spark, sf):
+    return _with_intervals(offtarget.rank(_scored(spark, sf)))
+
+
+@register(f"{_RANKED}, {Q.selected('set_id - 1', _PAIR)} SELECT * FROM kept", recursive=True)
 def select_sets(spark, sf):
-    """No SQL: the choice among chains is held against a literal simulation in the tests."""
-    sets = _with_intervals(designer.design(derived.genes(spark, sf), designer.DUAL)).withColumn("score", F.col("set_id") - 1)
+    sets = _ranked(spark, sf).withColumn("score", F.col("set_id") - 1)
     return selection.select_sets(sets.select("gene_id", "set_id", "score", "intervals"))
 
 
+_EVIDENCE = "quality + specificity + CASE WHEN regexp_matches(left_seq, '^[GC]') THEN 5 ELSE 0 END"
+
+
+@register(f"{_RANKED}, {Q.selected(_EVIDENCE, _PAIR)} SELECT * FROM kept", recursive=True)
+def select_sets_evidence(spark, sf):
+    sets = _ranked(spark, sf).withColumn("score", selection.evidence_score(F.col("score"), F.col("specificity"), F.col("gc_junction")))
+    return selection.select_sets(sets.select("gene_id", "set_id", "score", "intervals"))
+
+
+@register(f"{_RANKED}, {Q.selected('set_id - 1', _PAIR)} SELECT gene_id, count(*) FILTER (keep) kept, count(*) FILTER (NOT keep) dropped FROM kept GROUP BY 1", recursive=True)
+def kept_counts(spark, sf):
+    return selection.kept_counts(select_sets(spark, sf))
+
+
 # ---- assembly
 
 
@@ -333,33 +355,18 @@ def set_metrics(spark, sf):
     return assembly.set_metrics(designer.design(derived.genes(spark, sf), designer.DUAL))
 
 
-def _arms(spark, sf, size: int, arm: int, gc: tuple[float, float], heat: tuple[float, float], poly: int):
-    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - size)).alias("start")
-    at = derived.genes(spark, sf).filter(F.length("seq") >= size).select("gene_id", F.col("seq").cast("binary").alias("b"), starts)
-    at = at.select("gene_id", "start", S.once(F.substring("b", F.col("start") + 1, F.lit(size)).cast("string"), "w"))
-    at = at.select("*", S.once(F.substring("w", F.lit(1), F.lit(arm)), "first")).select("*", S.once(F.right("w", F.lit(arm)), "second"))
-    for p in ("first", "second"):
-        at = at.filter(S.gc_percent(p).between(*gc) & S.poly_n_ok(p, poly))
-    for p in ("first", "second"):
-        at = at.filter(tm_between(p, *heat, NN3))
-    at = written(at.select("gene_id", "start", "w"))
-    picked = designer.disjoint_intervals(at.select("gene_id", "start", (F.col("start") + size).alias("end")), "gene_id")
-    number = F.row_number().over(Window.partitionBy("gene_id").orderBy("start"))
-    return at.join(picked.select("gene_id", "start"), ["gene_id", "start"], "left_semi").withColumn("number", number)
-
-
 _B1 = assembly.INITIATORS["B1"]
 
 
 @register(f"{Q.GENES}, {Q.arms(50, 25, 30, 70, 55, 65, 5)} SELECT gene_id, start + 1 AS probe_pos, gene_id || '-I1-' || (number * 2 - 1) p1_name, '{_B1[2]}{_B1[0]}' || {Q.rc('substr(w,1,25)')} p1, round({Q.tm('substr(w,1,25)', NN3)},4) p1_tm, gene_id || '-I1-' || (number * 2) p2_name, {Q.rc('substr(w,26,25)')} || '{_B1[1]}{_B1[3]}' p2, round({Q.tm('substr(w,26,25)', NN3)},4) p2_tm FROM arms", recursive=True)
 def hcr_oligos(spark, sf):
-    windows = _arms(spark, sf, 50, 25, (30.0, 70.0), (55.0, 65.0), 5).withColumn("initiator", F.lit("B1"))
+    windows = assembly.arm_windows(derived.genes(spark, sf), 50, 25, (30.0, 70.0), (55.0, 65.0), 5).withColumn("initiator", F.lit("B1"))
     return assembly.hcr_oligos(windows, assembly.initiators(spark))
 
 
 @register(f"{Q.GENES}, {Q.arms(42, 20, 30, 70, 50, 60, 5)} SELECT gene_id, start + 1 AS probe_pos, gene_id || '-' || number || '-5P1' p5_name, 'ACATTA' || {Q.rc('substr(w,1,20)')} || '{assembly.FLUOROPHORES['AF488'][0]}AAGATA' p5, round({Q.tm('substr(w,1,20)', NN3)},4) p5_tm, gene_id || '-' || number || '-3P1' p3_name, {Q.rc('substr(w,23,20)')} || 'TAATGTTATCTT' p3, round({Q.tm('substr(w,23,20)', NN3)},4) p3_tm FROM arms", recursive=True)
 def snail_oligos(spark, sf):
-    return assembly.snail_oligos(_arms(spark, sf, 42, 20, (30.0, 70.0), (50.0, 60.0), 5))
+    return assembly.snail_oligos(assembly.arm_windows(derived.genes(spark, sf), 42, 20, (30.0, 70.0), (50.0, 60.0), 5))
 
 
 # ---- curation

@@ -144,3 +144,23 @@ def arms(size: int, arm: int, gc_low: float, gc_high: float, tm_low: float, tm_h
  walk AS (SELECT gene_id, 0::bigint AS number, -1::bigint AS last, -1::bigint AS start FROM (SELECT DISTINCT gene_id FROM good)
  UNION ALL SELECT gene_id, number + 1, start + {size}, start FROM (SELECT w.gene_id, w.number, g.start, row_number() OVER (PARTITION BY w.gene_id ORDER BY g.start) r FROM walk w JOIN good g ON g.gene_id = w.gene_id AND g.start > w.last) WHERE r = 1),
  arms AS (SELECT k.gene_id, k.number, k.start, s.w FROM walk k JOIN spans s ON s.gene_id = k.gene_id AND s.start = k.start WHERE k.number > 0)"""
+
+
+def selected(score: str, too_close: str, wanted: int = 5) -> str:
+    """CTE kept: the selection among ``ranked`` sets, as walks over places; ``too_close`` compares the sets a and b."""
+    from ..operators.selection import DROPPED, KEPT
+
+    grow = f"CASE WHEN len(c.taken) < {wanted} AND NOT list_has_any(x.near, c.taken) THEN list_append(c.taken, x.p) ELSE c.taken END"
+    return f"""placed AS (SELECT *, CAST({score} AS double) score, row_number() OVER (PARTITION BY gene_id ORDER BY start, set_id) p FROM ranked),
+ pairs AS (SELECT a.gene_id, a.p, b.p other FROM placed a JOIN placed b ON a.gene_id = b.gene_id AND a.p <> b.p WHERE {too_close}),
+ sets AS (SELECT s.*, coalesce(n.near, []) near, row_number() OVER (PARTITION BY s.gene_id ORDER BY s.score, s.start, s.set_id) place, count(*) OVER (PARTITION BY s.gene_id) n_sets FROM placed s LEFT JOIN (SELECT gene_id, p, list(other) near FROM pairs GROUP BY 1, 2) n USING (gene_id, p)),
+ chains AS (SELECT gene_id, p first, p AS "at", [p] taken FROM sets UNION ALL SELECT c.gene_id, c.first, x.p, {grow} FROM chains c JOIN sets x ON x.gene_id = c.gene_id AND x.p = c."at" + 1),
+ whole AS (SELECT c.* FROM chains c JOIN (SELECT DISTINCT gene_id, n_sets FROM sets) s ON s.gene_id = c.gene_id AND c."at" = s.n_sets WHERE len(taken) = {wanted}),
+ links AS (SELECT w.gene_id, w.first, s.p, s.score, s.start, s.right_end, s.start - lag(s.right_end) OVER (PARTITION BY w.gene_id, w.first ORDER BY s.p) gap FROM (SELECT gene_id, first, unnest(taken) p FROM whole) w JOIN sets s USING (gene_id, p)),
+ ideals AS (SELECT gene_id, first, (max(right_end) - min(start))::double / (count(*) - 1) ideal, sum(score) score FROM links GROUP BY 1, 2),
+ evens AS (SELECT gene_id, first, any_value(i.score) score, 1.0::double / (1.0::double + list_sum(list((gap - ideal) * (gap - ideal) ORDER BY p) FILTER (gap IS NOT NULL)) / (count(*) - 1) / 10000.0::double) even FROM links JOIN ideals i USING (gene_id, first) GROUP BY 1, 2),
+ best AS (SELECT gene_id, arg_min(first, r) first FROM (SELECT gene_id, first, row_number() OVER (PARTITION BY gene_id ORDER BY even DESC, score, first) r FROM evens) GROUP BY 1),
+ greedy AS (SELECT gene_id, place, [p] taken FROM sets WHERE place = 1 UNION ALL SELECT c.gene_id, x.place, {grow} FROM greedy c JOIN sets x ON x.gene_id = c.gene_id AND x.place = c.place + 1),
+ chosen AS (SELECT g.gene_id, coalesce(w.taken, g.taken) taken FROM greedy g JOIN sets s ON s.gene_id = g.gene_id AND s.place = g.place AND s.place = s.n_sets LEFT JOIN best b ON b.gene_id = g.gene_id LEFT JOIN whole w ON w.gene_id = b.gene_id AND w.first = b.first),
+ judged AS (SELECT s.gene_id, s.set_id, list_contains(c.taken, s.p) keep, list_filter(c.taken, lambda t: list_contains(s.near, t))[1] blocker FROM sets s JOIN chosen c USING (gene_id)),
+ kept AS (SELECT j.gene_id, j.set_id, j.keep, CASE WHEN j.keep THEN '{KEPT}' WHEN b.set_id IS NOT NULL THEN printf('Too close to selected set %d.', b.set_id) ELSE '{DROPPED}' END reason FROM judged j LEFT JOIN sets b ON b.gene_id = j.gene_id AND b.p = j.blocker)"""
