@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import base_gene_id, header_id, invalid_characters, sequence_type
+from ..sources.scratch import numbered, written
 
 
 def longest_variant(records: DataFrame) -> DataFrame:
@@ -26,16 +27,20 @@ def removed_variants(records: DataFrame) -> DataFrame:
     return records.select("id", base_gene_id("id").alias("base_id"), "seq", "ord").withColumn("r", rank).filter("r > 1").select("id", "base_id")
 
 
-def drop_after_invalid(records: DataFrame, group: list[str] | None = None) -> DataFrame:
+def drop_after_invalid(records: DataFrame) -> DataFrame:
     """The compatibility rule: a record right after an invalid one that was itself read is dropped unseen.
 
     Within a run of records that follow invalid ones, drops alternate, so the parity of the place in the
-    run decides.  Records are dealt by ``group`` (a file); one file is read in order."""
-    by = Window.partitionBy(*(group or [])).orderBy("ord")
-    flagged = records.withColumn("_after", F.coalesce(F.lag("invalid").over(by), F.lit(False)))
-    runs = flagged.withColumn("_run", F.sum((~F.col("_after")).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(*(group or []), "_run").orderBy("ord"))
-    return runs.withColumn("_place", place).filter((~F.col("_after")) | (F.col("_place") % 2 == 1)).drop("_after", "_run", "_place")
+    run decides.  Places are numbered range by range; the last start of a run before a range comes from the table of
+    ranges, so no task reads all records."""
+    rows = written(numbered(records.select("ord", "invalid"), "ord", "n"))
+    after = rows.filter("invalid").select((F.col("n") + 1).alias("n"), F.lit(True).alias("after"))
+    placed = rows.join(after, "n", "left").withColumn("start", F.when(F.col("after").isNull(), F.col("n")))
+    ranges = placed.groupBy("part").agg(F.max("start").alias("last"))
+    carried = ranges.select("part", F.max("last").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = F.max("start").over(Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    dropped = placed.withColumn("inside", inside).join(carried, "part").filter((F.col("n") - F.greatest("inside", "carried")) % 2 == 1)
+    return records.join(dropped.select("ord"), "ord", "left_anti")
 
 
 def checked(records: DataFrame, clean_headers: bool = True, uppercase: bool = True) -> DataFrame:

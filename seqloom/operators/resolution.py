@@ -5,9 +5,11 @@ Library tables are small next to the requests in production or not; the planner
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import numbered
+
 
 def to_locus(requests: DataFrame, aliases: DataFrame) -> DataFrame:
     """``requests`` (gene_id) with ``locus``: upper-cased, and its alias's locus if it is one."""
@@ -55,5 +57,4 @@ def plan(requests: DataFrame, probes: DataFrame, default: int = 5) -> DataFrame:
 
 def number_genes(genes: DataFrame) -> DataFrame:
     """gene_id, bp_id: genes in order get BP_1001, BP_1002, ..."""
-    n = F.row_number().over(Window.orderBy("gene_id"))
-    return genes.select("gene_id", F.format_string("BP_%04d", n + 1000).alias("bp_id"))
+    return numbered(genes.select("gene_id"), "gene_id", "n").select("gene_id", F.format_string("BP_%04d", F.col("n") + 1000).alias("bp_id"))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..functions.thermo import NN3, NN4, is_valid_probe, tm
 from ..operators import assembly, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
-from ..sources import derived
-from ..sources.scratch import written
+from ..sources import derived, readers, writers
+from ..sources.scratch import scratch_dir, written
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +190,15 @@ def sequence_conflicts(spark, sf):
     return genes.join(per, "gene_id", "left").select("gene_id", F.coalesce("n", F.lit(0)).alias("n_conflicts"), F.coalesce("s", F.lit(0)).alias("n_shared"))
 
 
+_MIXED = "inputs(name, seq) AS (VALUES ('BP_00001', NULL), ('BP_00005', NULL), ('BP_00009', NULL), ('BP_99999', NULL), ('own 1', 'ACGTACGTACGTACGTACG'), ('own 2', 'TTACGTACGTACGAATTCC'))"
+
+
+@register(f"{Q.BRIDGE}, {_MIXED}, chosen AS (SELECT bp_id, b.seq FROM inputs i JOIN bridge b ON b.bp_id = i.name WHERE i.seq IS NULL UNION ALL SELECT name, seq FROM inputs WHERE seq IS NOT NULL), {Q.strand_kmers('chosen')} SELECT a.bp_id, b.bp_id other, count(*) n_shared, array_to_string(list_sort(list(a.kmer))[1:3], ',') examples FROM chosen_kmers a JOIN chosen_kmers b ON a.kmer = b.kmer AND a.bp_id <> b.bp_id GROUP BY 1, 2")
+def input_conflicts_mixed(spark, sf):
+    inputs = spark.sql(f"WITH {_MIXED.replace('(name, seq)', '')} SELECT col1 AS name, CAST(col2 AS string) AS seq FROM inputs")
+    return bridge.mixed_conflicts(derived.bridge(spark, sf), inputs)
+
+
 # ---- design
 
 
@@ -487,3 +496,57 @@ _STAGE = lambda s: f"CASE WHEN NOT {Q.gc(s, '1.0')} BETWEEN 0.4 AND 0.6 THEN 'gc
 @register(f"{Q.BRIDGE}, staged AS (SELECT {_STAGE('seq')} stage FROM bridge) SELECT stage, count(*) n FROM staged GROUP BY 1")
 def filter_stage_counts(spark, sf):
     return generator.stage_counts(generator.screen(derived.bridge(spark, sf), min_tm=45.0, max_tm=52.0))
+
+
+# ---- sources and sinks: written, and read again
+
+
+def _file(spark) -> str:
+    return scratch_dir(spark)
+
+
+@register(f"{Q.GENES} SELECT CAST(gene_id AS varchar) id, seq FROM genes")
+def io_fasta(spark, sf):
+    path = _file(spark)
+    writers.fasta(derived.genes(spark, sf).withColumn("gene_id", F.col("gene_id").cast("string")), path, header="gene_id")
+    return readers.fasta(spark, path).select("id", "seq")
+
+
+@register(f"{Q.BRIDGE} SELECT bp_id, seq FROM bridge")
+def io_bridge_table(spark, sf):
+    path = _file(spark)
+    derived.bridge(spark, sf).select(F.concat_ws("\t", "bp_id", "seq")).write.text(path)
+    return readers.bridge(spark, path).select("bp_id", "seq")
+
+
+@register(f"{Q.COUNTS} SELECT CAST(gene_id AS varchar) gene_id, count FROM counts")
+def io_counts(spark, sf):
+    path = _file(spark)
+    derived.counts(spark, sf).select(F.concat_ws(" ", F.col("gene_id").cast("string"), F.col("count").cast("string"))).write.text(path)
+    return readers.expression_counts(spark, path)
+
+
+@register(f"{Q.GENES}, {Q.LIBRARIES}, {Q.BATCH} SELECT task, bp_id, gene_id, coalesce(try_cast(max_selected AS int), 5) max_selected FROM batch")
+def io_batch_requests(spark, sf):
+    path = _file(spark)
+    derived.batch(spark, sf).select("task", "bp_id", "gene_id", "max_selected").write.csv(path)
+    return readers.batch_requests(spark, path)
+
+
+_PROBES = "probes AS (SELECT gene_id, set_id, 'L' side, start, left_end AS \"end\", left_seq seq FROM designed UNION ALL SELECT gene_id, set_id, 'R', right_start, right_end, right_seq FROM designed)"
+
+
+@register(f"{Q.GENES}, {Q.designed(designer.DUAL)}, {_PROBES} SELECT CAST(gene_id AS varchar) AS chrom, CAST(start AS varchar) AS start, CAST(\"end\" AS varchar) AS \"end\", side || '-' || set_id AS name FROM probes", recursive=True)
+def io_bed(spark, sf):
+    path = _file(spark)
+    writers.bed(designer.design(derived.genes(spark, sf), designer.DUAL), path)
+    return spark.read.csv(path, sep="\t").select(F.col("_c0").alias("chrom"), F.col("_c1").alias("start"), F.col("_c2").alias("end"), F.col("_c3").alias("name"))
+
+
+@register(f"{_RANKED}, {Q.selected('set_id - 1', _PAIR)}, sides AS (SELECT gene_id, set_id, 'L' side, start, left_end AS \"end\", left_seq seq FROM ranked UNION ALL SELECT gene_id, set_id, 'R', right_start, right_end, right_seq FROM ranked) SELECT CAST(gene_id AS varchar) gene_id, CAST(set_id AS varchar) set_id, side AS type, seq, CAST(start AS varchar) AS start, CAST(\"end\" AS varchar) AS \"end\", CAST(keep AS varchar) keep, reason FROM sides JOIN kept USING (gene_id, set_id)", recursive=True)
+def io_filtered_csv(spark, sf):
+    path = _file(spark)
+    sets = written(_ranked(spark, sf))
+    chosen = selection.select_sets(sets.withColumn("score", F.col("set_id") - 1).select("gene_id", "set_id", "score", "intervals"))
+    writers.filtered_csv(sets, chosen, path)
+    return spark.read.option("header", True).csv(path).select("gene_id", "set_id", "type", "seq", "start", "end", "keep", "reason")

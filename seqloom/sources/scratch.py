@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -29,3 +30,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     moving the rows is cheap next to what they become.  Inputs with enough partitions stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df``, written in the order of ``by``, with ``name`` (its place, from 1) and ``part``, the range it lies in.
+
+    Ranges are numbered each for itself behind the rows before it; the table of ranges alone, one row each, is
+    summed in one task."""
+    dealt = written(df.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(by))
+    return dealt.withColumn("_place", place).join(offsets, "part").withColumn(name, F.col("offset") + F.col("_place")).drop("offset", "_place")

@@ -72,3 +72,17 @@ def tpm_csv(rows: DataFrame, path: str) -> None:
 
 def pool_tsv(rows: DataFrame, path: str) -> None:
     rows.select("seq", F.format_string("%.2f", "tm"), F.format_string("%.2f", "gc")).write.option("sep", "\t").csv(path)
+
+
+def filtered_rows(sets: DataFrame, selected: DataFrame) -> DataFrame:
+    """The rows of the filtered probe file, with ``keep`` and ``reason`` of the set; positions from 0."""
+    return probe_rows(sets, one_based=False).join(selected, ["gene_id", "set_id"])
+
+
+def filtered_csv(sets: DataFrame, selected: DataFrame, path: str) -> None:
+    filtered_rows(sets, selected).write.option("header", True).csv(path)
+
+
+def filtered_bed(sets: DataFrame, selected: DataFrame, path: str) -> None:
+    """The BED file of the kept sets alone."""
+    bed(sets.join(selected.filter("keep"), ["gene_id", "set_id"], "left_semi"), path)
