@@ -8,7 +8,6 @@ import pytest
 
 from seqloom.plans import catalog
 
-SLOW = {"specificity", "coverage_score", "set_metrics", "triplet_oligos", "triple_feasible", "dual_feasible", "first_valid_window"}  # their parts run in the others
 
 
 def rows(frame, columns):
@@ -24,7 +23,7 @@ def db(sf_dir):
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, sf_dir, db, name):
     got, want = catalog.QUERIES[name](spark, sf_dir).toPandas(), db.execute(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
