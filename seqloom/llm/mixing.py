@@ -83,7 +83,7 @@ def _placed(docs: DataFrame, carried: Sequence[str], weights: Sequence[int], sch
     Texts are read for their sizes alone and do not travel."""
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(text))))
-    sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("print"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket"), *carried))
+    sized = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("print"), *carried)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     sums = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")))
     targets = source_targets(sums, weights, schedules, cap, share)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
