@@ -7,6 +7,8 @@ greedily by score.  The fold runs over the designed sets of one gene.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +56,11 @@ def evidence_score(quality: Column, specificity: Column, junction: Column) -> Co
     return quality + specificity + F.when(junction, 5).otherwise(0)
 
 
-def select_sets(sets: DataFrame, wanted: int = 5, distance: int = MIN_DISTANCE) -> DataFrame:
-    """gene_id, set_id, keep, reason. ``sets``: gene_id, set_id, score, intervals (sorted array of start, end)."""
+def select_sets(sets: DataFrame, wanted: int | Column = 5, distance: int = MIN_DISTANCE, keys: Sequence[str] = ("gene_id",)) -> DataFrame:
+    """The ``keys``, set_id, keep, reason. ``sets``: keys, set_id, score, intervals (sorted array of start, end);
+    ``wanted`` may be one of the keys, so that each request has its own number."""
     item = F.struct(F.array_min(F.transform("intervals", lambda x: x["start"])).alias("start"), F.col("set_id"), F.array_max(F.transform("intervals", lambda x: x["end"])).alias("end"), F.col("score").cast("double").alias("score"), F.col("intervals"))
-    per = sets.groupBy("gene_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
+    per = sets.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("s"))
     item_type = per.schema["s"].dataType.simpleString()
     empty = F.array().cast(item_type)
     clear = lambda taken, x: ~F.exists(taken, lambda t: sets_too_close(t["intervals"], x["intervals"], distance))
@@ -68,11 +71,11 @@ def select_sets(sets: DataFrame, wanted: int = 5, distance: int = MIN_DISTANCE)
     by_score = F.array_sort("s", lambda a, b: F.when(a["score"] < b["score"], -1).when(a["score"] > b["score"], 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["set_id"] < b["set_id"], -1).when(a["set_id"] > b["set_id"], 1).otherwise(0))
     fallback = F.aggregate(by_score, empty, grow)
     per = per.withColumn("chosen", F.when(F.size("full") > 0, F.array_max(ranked)["c"]).otherwise(fallback))
-    out = per.select("gene_id", "chosen", F.explode("s").alias("x"))
+    out = per.select(*keys, "chosen", F.explode("s").alias("x"))
     blocking = F.filter("chosen", lambda t: sets_too_close(t["intervals"], F.col("x")["intervals"], distance))
     keep = F.exists("chosen", lambda t: t["set_id"] == F.col("x")["set_id"])
     reason = F.when(keep, KEPT).when(F.size(blocking) > 0, F.format_string("Too close to selected set %d.", F.get(blocking, F.lit(0))["set_id"])).otherwise(DROPPED)
-    return out.select("gene_id", F.col("x.set_id").alias("set_id"), keep.alias("keep"), reason.alias("reason"))
+    return out.select(*keys, F.col("x.set_id").alias("set_id"), keep.alias("keep"), reason.alias("reason"))
 
 
 def kept_counts(selected: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.thermo import NN3, NN4, is_valid_probe, tm
-from ..operators import assembly, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
+from ..operators import assembly, batch, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
 from ..sources import derived, readers, writers
 from ..sources.scratch import scratch_dir, written
 from . import sql as Q
@@ -289,17 +289,13 @@ def specificity(spark, sf):
 # ---- selection
 
 
-def _with_intervals(sets: DataFrame) -> DataFrame:
-    return sets.withColumn("intervals", F.array(F.struct(F.col("start"), F.col("left_end").alias("end")), F.struct(F.col("right_start").alias("start"), F.col("right_end").alias("end"))))
-
-
 _CLOSE = lambda a, b: " OR ".join(f"NOT ({p[1]} < {q[0]} - 15 OR {q[1]} < {p[0]} - 15)" for p in a for q in b)
 _PAIR = _CLOSE([("a.start", "a.left_end"), ("a.right_start", "a.right_end")], [("b.start", "b.left_end"), ("b.right_start", "b.right_end")])
 
 
 @register(f"{Q.GENES}, {Q.designed(designer.DUAL)} SELECT a.gene_id, a.set_id, b.set_id other FROM designed a JOIN designed b ON a.gene_id = b.gene_id AND a.set_id < b.set_id WHERE {_PAIR}", recursive=True)
 def too_close_pairs(spark, sf):
-    return selection.too_close_pairs(written(_with_intervals(designer.design(derived.genes(spark, sf), designer.DUAL)).select("gene_id", "set_id", "intervals")))
+    return selection.too_close_pairs(written(batch.intervals(designer.design(derived.genes(spark, sf), designer.DUAL)).select("gene_id", "set_id", "intervals")))
 
 
 @register(f"{Q.GENES}, {Q.designed(designer.DUAL)}, gaps AS (SELECT gene_id, start, right_end, start - lag(right_end) OVER (PARTITION BY gene_id ORDER BY start) gap FROM designed), ideal AS (SELECT gene_id, count(*) n, (max(right_end) - min(start))::double / nullif(count(*) - 1, 0) ideal FROM gaps GROUP BY 1) SELECT gene_id, round(CASE WHEN any_value(n) = 1 THEN 1.0 ELSE 1 / (1 + avg((gap - ideal) * (gap - ideal)) / 10000) END, 6) coverage FROM gaps JOIN ideal USING (gene_id) GROUP BY 1", recursive=True)
@@ -314,7 +310,7 @@ _RANKED = f"""{_SET_PROBES}, scored AS (SELECT d.*, CAST(coalesce(l.min_mm,0) *
 
 
 def _ranked(spark, sf):
-    return _with_intervals(offtarget.rank(_scored(spark, sf)))
+    return batch.intervals(offtarget.rank(_scored(spark, sf)))
 
 
 @register(f"{_RANKED}, {Q.selected('set_id - 1', _PAIR)} SELECT * FROM kept", recursive=True)
@@ -482,6 +478,21 @@ def batch_plan(spark, sf):
     return resolution.plan(_resolved(spark, sf).filter("seq is not null"), derived.bridge(spark, sf)).select("task", "bp_id", "bridge", "locus", "max_selected")
 
 
+_FREE_TASK = "substr('ACGT', CAST(('0x' || md5(t.task)[1])::int % 4 + 1 AS int), 1)"
+
+
+@register(
+    f"""{_RESOLVE}, {Q.BRIDGE}, asked AS (SELECT task, bp_id, b.seq bridge, locus, r.seq, coalesce(try_cast(max_selected AS int), 5) wanted FROM resolved r JOIN bridge b USING (bp_id) WHERE r.seq IS NOT NULL),
+ sets_of AS (WITH RECURSIVE genes AS (SELECT locus gene_id, min(seq) seq FROM resolved WHERE seq IS NOT NULL GROUP BY 1), {Q.designed(designer.DUAL)} SELECT * FROM designed),
+ ranked AS (SELECT d.* REPLACE (w.locus || '/' || w.wanted AS gene_id), w.locus, w.wanted FROM sets_of d JOIN (SELECT DISTINCT locus, wanted FROM asked) w ON w.locus = d.gene_id), {Q.selected('set_id - 1', _PAIR, 'x.wanted')}
+ SELECT t.task, t.bp_id, t.locus, d.set_id, d.left_seq || '{assembly.ANCHOR}' || '{assembly.DUAL_TAIL}' left_oligo, '{assembly.DUAL_HEAD}' || {_FREE_TASK} || {_ARM.replace("b.seq", "t.bridge")} || d.right_seq right_oligo
+ FROM asked t JOIN ranked d ON d.locus = t.locus AND d.wanted = t.wanted JOIN kept k ON k.gene_id = d.gene_id AND k.set_id = d.set_id WHERE k.keep""",
+    recursive=True,
+)
+def batch_oligos(spark, sf):
+    return batch.kept_oligos(_resolved(spark, sf), derived.bridge(spark, sf))
+
+
 @register(f"{Q.GENES} SELECT gene_id, printf('BP_%04d', row_number() OVER (ORDER BY gene_id) + 1000) bp_id FROM genes")
 def gene_bp_ids(spark, sf):
     return resolution.number_genes(derived.genes(spark, sf))

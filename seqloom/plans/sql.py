@@ -146,8 +146,9 @@ def arms(size: int, arm: int, gc_low: float, gc_high: float, tm_low: float, tm_h
  arms AS (SELECT k.gene_id, k.number, k.start, s.w FROM walk k JOIN spans s ON s.gene_id = k.gene_id AND s.start = k.start WHERE k.number > 0)"""
 
 
-def selected(score: str, too_close: str, wanted: int = 5) -> str:
-    """CTE kept: the selection among ``ranked`` sets, as walks over places; ``too_close`` compares the sets a and b."""
+def selected(score: str, too_close: str, wanted: int | str = 5) -> str:
+    """CTE kept: the selection among ``ranked`` sets, as walks over places; ``too_close`` compares the sets a and b,
+    and ``wanted`` may be a column of the sets x."""
     from ..operators.selection import DROPPED, KEPT
 
     grow = f"CASE WHEN len(c.taken) < {wanted} AND NOT list_has_any(x.near, c.taken) THEN list_append(c.taken, x.p) ELSE c.taken END"
@@ -155,7 +156,7 @@ def selected(score: str, too_close: str, wanted: int = 5) -> str:
  pairs AS (SELECT a.gene_id, a.p, b.p other FROM placed a JOIN placed b ON a.gene_id = b.gene_id AND a.p <> b.p WHERE {too_close}),
  sets AS (SELECT s.*, coalesce(n.near, []) near, row_number() OVER (PARTITION BY s.gene_id ORDER BY s.score, s.start, s.set_id) place, count(*) OVER (PARTITION BY s.gene_id) n_sets FROM placed s LEFT JOIN (SELECT gene_id, p, list(other) near FROM pairs GROUP BY 1, 2) n USING (gene_id, p)),
  chains AS (SELECT gene_id, p first, p AS "at", [p] taken FROM sets UNION ALL SELECT c.gene_id, c.first, x.p, {grow} FROM chains c JOIN sets x ON x.gene_id = c.gene_id AND x.p = c."at" + 1),
- whole AS (SELECT c.* FROM chains c JOIN (SELECT DISTINCT gene_id, n_sets FROM sets) s ON s.gene_id = c.gene_id AND c."at" = s.n_sets WHERE len(taken) = {wanted}),
+ whole AS (SELECT c.* FROM chains c JOIN (SELECT DISTINCT gene_id, n_sets FROM sets) s ON s.gene_id = c.gene_id AND c."at" = s.n_sets JOIN sets x ON x.gene_id = c.gene_id AND x.p = c.first WHERE len(taken) = {wanted}),
  links AS (SELECT w.gene_id, w.first, s.p, s.score, s.start, s.right_end, s.start - lag(s.right_end) OVER (PARTITION BY w.gene_id, w.first ORDER BY s.p) gap FROM (SELECT gene_id, first, unnest(taken) p FROM whole) w JOIN sets s USING (gene_id, p)),
  ideals AS (SELECT gene_id, first, (max(right_end) - min(start))::double / (count(*) - 1) ideal, sum(score) score FROM links GROUP BY 1, 2),
  evens AS (SELECT gene_id, first, any_value(i.score) score, 1.0::double / (1.0::double + list_sum(list((gap - ideal) * (gap - ideal) ORDER BY p) FILTER (gap IS NOT NULL)) / (count(*) - 1) / 10000.0::double) even FROM links JOIN ideals i USING (gene_id, first) GROUP BY 1, 2),
