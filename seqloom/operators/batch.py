@@ -26,7 +26,7 @@ def kept_oligos(resolved: DataFrame, probes: DataFrame, config: designer.Config
     no rows.  With ``subjects`` (subject_id, strand, seq) sets are ranked by their off-target score, else they
     stay in the order of design."""
     known = resolved.filter("seq is not null")
-    plan = resolution.plan(known.drop("seq"), probes, default).select("task", "bp_id", "bridge", "locus", "max_selected")
+    plan = written(resolution.plan(known.drop("seq"), probes, default).select("task", "bp_id", "bridge", "locus", "max_selected"))
     genes = written(known.groupBy("locus").agg(F.min("seq").alias("seq")).withColumnRenamed("locus", "gene_id"))
     sides = [f"{p}_seq" for p in ("left", *["middle"] * (config.arity == 3), "right")]
     sets = written(designer.design(genes, config))

@@ -561,3 +561,34 @@ def io_filtered_csv(spark, sf):
     chosen = selection.select_sets(sets.withColumn("score", F.col("set_id") - 1).select("gene_id", "set_id", "score", "intervals"))
     writers.filtered_csv(sets, chosen, path)
     return spark.read.option("header", True).csv(path).select("gene_id", "set_id", "type", "seq", "start", "end", "keep", "reason")
+
+
+_ONE = lambda x: f"printf('%.1f', round({x}, 1))"
+_SIDE = "sequence string, position struct<start: bigint, end: bigint>, length int, gc_content string, tm string"
+
+
+def _columns(sides: dict[str, tuple[str, str]]) -> str:
+    """The figures of the probes, in SQL; ``sides``: name to start and end."""
+    return ", ".join(f"{s}_seq, CAST({a} + 1 AS bigint) {s}_from, CAST({b} AS bigint) {s}_to, {_ONE(Q.gc(f'{s}_seq'))} {s}_gc, {_ONE(Q.tm(f'{s}_seq'))} {s}_tm" for s, (a, b) in sides.items())
+
+
+def _read_documents(spark, path: str, sides: tuple[str, ...], evaluation: str, rest: str = ""):
+    schema = f"gene_id bigint, id bigint, {', '.join(f'{s}_probe struct<{_SIDE}>' for s in sides)}, evaluation struct<{evaluation}>{rest}"
+    probes = [F.col(f"{s}_probe.{c}").alias(f"{s}_{k}") for s in sides for c, k in (("sequence", "seq"), ("position.start", "from"), ("position.end", "to"), ("gc_content", "gc"), ("tm", "tm"))]
+    return spark.read.schema(schema).json(path).select("*", *probes, "evaluation.*").drop("evaluation", *[f"{s}_probe" for s in sides])
+
+
+@register(f"{_RANKED}, {Q.selected('set_id - 1', _PAIR)} SELECT gene_id, CAST(set_id AS bigint) id, {_columns({'left': ('start', 'left_end'), 'right': ('right_start', 'right_end')})}, CAST(right_start - left_end AS bigint) gap, CAST(right_end - start AS bigint) total_span, {_ONE(f'({Q.tm("left_seq")} + {Q.tm("right_seq")}) / 2')} average_tm, regexp_matches(left_seq, '^[GC]') has_gc_junction, {_ONE('quality::double')} quality_score, keep, reason FROM ranked JOIN kept USING (gene_id, set_id)", recursive=True)
+def io_filtered_json(spark, sf):
+    path = _file(spark)
+    sets = written(_ranked(spark, sf))
+    chosen = selection.select_sets(sets.withColumn("score", F.col("set_id") - 1).select("gene_id", "set_id", "score", "intervals"))
+    writers.filtered_json(sets, chosen, path)
+    return _read_documents(spark, path, ("left", "right"), "gap: bigint, total_span: bigint, average_tm: string, has_gc_junction: boolean, quality_score: string", ", keep boolean, reason string")
+
+
+@register(f"{Q.GENES}, {Q.designed(designer.TRIPLE)} SELECT gene_id, CAST(set_id AS bigint) id, {_columns({'left': ('start', 'left_end'), 'middle': ('left_end', 'middle_end'), 'right': ('right_start', 'right_end')})}, CAST(right_end - start AS bigint) total_span, {_ONE(f'({Q.tm("left_seq")} + {Q.tm("middle_seq")} + {Q.tm("right_seq")}) / 3')} average_tm FROM designed", recursive=True)
+def io_triple_json(spark, sf):
+    path = _file(spark)
+    writers.set_json(designer.design(derived.genes(spark, sf), designer.TRIPLE), path)
+    return _read_documents(spark, path, ("left", "middle", "right"), "total_span: bigint, average_tm: string")

@@ -59,11 +59,40 @@ def oligo_csv(oligos: DataFrame, path: str) -> None:
     oligo_rows(oligos).write.option("header", True).csv(path)
 
 
+def _document(sets: DataFrame) -> list[Column]:
+    """The parts of a set's document: id, probes (positions from 1), evaluation, and keep and reason of a selected set.
+    Figures are texts of one decimal; ``score``, where there is one, is the quality."""
+    from ..functions.sequence import gc_percent
+    from ..functions.thermo import tm
+
+    triple = "middle_seq" in sets.columns
+    spans = {"left": ("start", "left_end"), **({"middle": ("left_end", "middle_end")} if triple else {}), "right": ("right_start", "right_end")}
+    one = lambda x: F.format_string("%.1f", x)
+    mean = lambda f: one(sum((f(f"{p}_seq") for p in spans), F.lit(0.0)) / len(spans))
+    probes = [
+        F.struct(F.col(f"{p}_seq").alias("sequence"), F.struct((F.col(a) + 1).alias("start"), F.col(b).alias("end")).alias("position"), F.length(f"{p}_seq").alias("length"), one(gc_percent(f"{p}_seq")).alias("gc_content"), one(tm(f"{p}_seq")).alias("tm")).alias(f"{p}_probe")
+        for p, (a, b) in spans.items()
+    ]
+    gaps = F.struct(F.lit(0).alias("left_to_middle"), (F.col("right_start") - F.col("middle_end")).alias("middle_to_right")).alias("gaps") if triple else (F.col("right_start") - F.col("left_end")).alias("gap")
+    judged = [gaps, (F.col("right_end") - F.col("start")).alias("total_span"), mean(tm).alias("average_tm"), mean(gc_percent).alias("average_gc_content")]
+    judged += [] if triple else [F.col("gc_junction").alias("has_gc_junction")]
+    judged += [one(F.col("score").cast("double")).alias("quality_score")] if "score" in sets.columns else []
+    return [F.col("set_id").alias("id"), *probes, F.struct(*judged).alias("evaluation"), *[F.col(c) for c in ("keep", "reason") if c in sets.columns]]
+
+
 def set_documents(sets: DataFrame) -> DataFrame:
-    """One nested document per set: id, probes, evaluation."""
-    probe = lambda s, a, b: F.struct(F.col(s).alias("sequence"), F.struct(F.col(a).alias("start"), F.col(b).alias("end")).alias("position"), F.length(s).alias("length"))
-    evaluation = F.struct((F.col("right_start") - F.col("left_end")).alias("gap"), (F.col("right_end") - F.col("start")).alias("total_span"), F.col("gc_junction").alias("has_gc_junction"))
-    return sets.select("gene_id", F.to_json(F.struct(F.col("set_id").alias("id"), probe("left_seq", "start", "left_end").alias("left_probe"), probe("right_seq", "right_start", "right_end").alias("right_probe"), evaluation.alias("evaluation"))).alias("document"))
+    """gene_id and one nested document per dual or triple set, as a JSON text."""
+    return sets.select("gene_id", F.to_json(F.struct(*_document(sets))).alias("document"))
+
+
+def set_json(sets: DataFrame, path: str) -> None:
+    """A line for each set: its document and its gene."""
+    sets.select("gene_id", *_document(sets)).write.json(path)
+
+
+def filtered_json(sets: DataFrame, selected: DataFrame, path: str) -> None:
+    """The documents of all sets with ``keep`` and ``reason``."""
+    set_json(sets.join(selected, ["gene_id", "set_id"]), path)
 
 
 def tpm_csv(rows: DataFrame, path: str) -> None:
