@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, extraction, lines, mixing, neardup, quality, sharding, spans, url_rules
+from . import alignment, chat, decontam, extraction, lines, mixing, neardup, quality, runs, sharding, spans, toxicity, url_rules
 from .common import table
 
 
@@ -54,6 +54,18 @@ def op10_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op12_score_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_find_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find_runs(table(spark, sf_dir, "documents"), loops=True).drop("collapsed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
