@@ -20,10 +20,29 @@ def blocks(seqs: DataFrame, reach: int, *keys: str, seq: str = "seq", least: int
     return cut.select(*keys, "offset", F.substring("b", F.col("offset") + 1, F.lit(BLOCK + reach - 1)).alias("b"))
 
 
+def piece_blocks(pieces: DataFrame, reach: int, *keys: str, least: int = 1) -> DataFrame:
+    """The :func:`blocks` of sequences that come in pieces (keys, offset, piece): each piece goes to the blocks that
+    hold some of it, and only the pieces of one block meet."""
+    first = F.greatest(F.floor((F.col("offset") - (reach - 1)) / BLOCK), F.lit(0)).cast("long")
+    last = F.floor((F.col("offset") + F.length("piece") - 1) / BLOCK).cast("long")
+    laid = pieces.filter(F.length("piece") > 0).select(*keys, "offset", "piece", F.explode(F.sequence(first, last)).alias("block"))
+    from_ = F.greatest(F.col("block") * BLOCK - F.col("offset"), F.lit(0))
+    upto = F.least(F.col("block") * BLOCK + BLOCK + reach - 1 - F.col("offset"), F.length("piece"))
+    cut = laid.select(*keys, "block", "offset", F.substring("piece", (from_ + 1).cast("int"), (upto - from_).cast("int")).alias("piece")).filter("piece <> ''")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"]), "")
+    out = cut.groupBy(*keys, "block").agg(joined.alias("b")).filter(F.length("b") >= least)
+    return out.select(*keys, (F.col("block") * BLOCK).alias("offset"), F.col("b").cast("binary").alias("b"))
+
+
 def explode_kmers(seqs: DataFrame, k: int, *keys: str, seq: str = "seq") -> DataFrame:
     """keys, pos (0-based), kmer. One row per k-mer, cut block by block; nothing is shuffled."""
-    cut = blocks(seqs, k, *keys, seq=seq, least=k)
-    each = cut.select(*keys, "offset", F.posexplode(kmers(F.col("b").cast("string"), k)).alias("at", "kmer"))
+    return block_kmers(blocks(seqs, k, *keys, seq=seq, least=k), k, *keys)
+
+
+def block_kmers(cut: DataFrame, k: int, *keys: str) -> DataFrame:
+    """keys, pos, kmer of blocks with a reach of ``k`` or more."""
+    starts = F.substring(F.col("b").cast("string"), 1, BLOCK + k - 1)
+    each = cut.select(*keys, "offset", F.posexplode(kmers(starts, k)).alias("at", "kmer"))
     return each.select(*keys, (F.col("offset") + F.col("at")).alias("pos"), "kmer")
 
 

@@ -523,6 +523,40 @@ def io_fasta(spark, sf):
     return readers.fasta(spark, path).select("id", "seq")
 
 
+def _awkward_fasta(spark, sf) -> str:
+    """Genes as FASTA with ``>`` within headers, CRLF here and there, lines of many widths, blank lines, a repeated id, and files
+    that end without a line break."""
+    path = _file(spark)
+    cut = lambda width, end: F.regexp_replace("seq", f"(.{{{width}}})", f"$1{end}")
+    body = F.when(F.col("gene_id") % 3 == 0, cut(60, "\r\n")).when(F.col("gene_id") % 3 == 1, F.concat(cut(7, "\n"), F.lit("\n"))).otherwise(F.col("seq"))
+    header = F.concat(F.lit(">g"), F.col("gene_id").cast("string"), F.lit(" A->B >variant of "), F.col("gene_id").cast("string"))
+    first = F.when(F.col("gene_id") % 5 == 0, F.concat(F.lit(">g"), F.col("gene_id").cast("string"), F.lit("\nACGT\n"))).otherwise(F.lit(""))
+    records = derived.genes(spark, sf).orderBy("gene_id").select(F.concat(first, header, F.when(F.col("gene_id") % 3 == 0, "\r\n").otherwise("\n"), body).alias("value"))
+    records.repartitionByRange(3, "value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+@register(f"{Q.GENES} SELECT 'g' || gene_id id, 'g' || gene_id || ' A->B >variant of ' || gene_id AS header, seq FROM genes")
+def io_fasta_headers(spark, sf):
+    return readers.fasta(spark, _awkward_fasta(spark, sf)).select("id", "header", "seq")
+
+
+@register(f"""{Q.GENES}, uploads AS (SELECT gene_id % 10 AS "key", string_agg('>u' || gene_id % 70 || ' a>b' || chr(13) || chr(10) || seq, chr(10) ORDER BY gene_id) FROM genes GROUP BY 1),
+ placed AS (SELECT 'u' || gene_id % 70 AS id, seq, row_number() OVER (PARTITION BY gene_id % 70 ORDER BY gene_id % 10 DESC, gene_id DESC) r FROM genes)
+ SELECT id, 'u' || substr(id, 2) || ' a>b' AS header, seq FROM placed WHERE r = 1""")
+def io_fasta_texts(spark, sf):
+    record = F.concat(F.lit(">u"), (F.col("gene_id") % 70).cast("string"), F.lit(" a>b\r\n"), F.col("seq"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("gene_id", record.alias("r")))), lambda x: x["r"]), "\n")
+    uploads = derived.genes(spark, sf).groupBy((F.col("gene_id") % 10).alias("key")).agg(joined.alias("text"))
+    return readers.fasta_texts(uploads).select("id", "header", "seq")
+
+
+@register(f"{Q.GENES} SELECT 'g' || gene_id id, i - 1 AS pos, substr(seq, i, 12) kmer FROM (SELECT gene_id, seq, unnest(range(1, length(seq) - 10)) i FROM genes)")
+def io_fasta_pieces(spark, sf):
+    pieces = readers.fasta_pieces(spark, _awkward_fasta(spark, sf))
+    return kmers.block_kmers(kmers.piece_blocks(pieces, 12, "id", least=12), 12, "id").select("id", F.col("pos").cast("long").alias("pos"), "kmer")
+
+
 @register(f"{Q.BRIDGE} SELECT bp_id, seq FROM bridge")
 def io_bridge_table(spark, sf):
     path = _file(spark)

@@ -2,20 +2,73 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import written
+
+
+#: Bits of a line's number within its range of a file; bases in a row of :func:`fasta_pieces`.
+_LINE_BITS, PIECE = 33, 4096
+
+
+def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records of FASTA lines (file, block, line, value), as a segmented scan: names (record, id, header, ord) and
+    pieces (record, offset, piece) of the records that stay, of equal ids the last one at the first one's place.
+
+    A header is ``>`` at a line's start.  Each range of a file numbers its bases behind its own headers; the table of
+    ranges, one row each, carries the open record and its bases so far to the lines before a range's first header."""
+    head = F.startswith("value", F.lit(">"))
+    bare = lines.select("file", "block", "line", F.when(head, F.trim(F.substring(F.col("value"), F.lit(2), F.length("value")), F.lit("\r "))).alias("header"), F.when(~head, F.regexp_replace("value", r"\s+", "")).alias("piece")).filter("header is not null or piece <> ''")
+    within = Window.partitionBy("file", "block")
+    own = F.last(F.when(F.col("header").isNotNull(), F.col("line")), True).over(within.orderBy("line"))
+    before = F.sum(F.length("piece")).over(Window.partitionBy("file", "block", "own").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    placed = written(bare.withColumn("own", own).withColumn("at", F.coalesce(before, F.lit(0))))
+
+    ranges = placed.groupBy("file", "block").agg(F.max(F.struct(F.coalesce("own", F.lit(-1)).alias("own"), (F.col("at") + F.coalesce(F.length("piece"), F.lit(0))).alias("bases"))).alias("x")).select("file", "block", "x.*")
+    ordered, record = Window.partitionBy("file").orderBy("block"), lambda line: F.shiftleft("number", _LINE_BITS).bitwiseOR(F.col(line))
+    numbers = ranges.withColumn("number", F.row_number().over(Window.orderBy("file", "block")).cast("long"))
+    opened = numbers.withColumn("open", F.last(F.when(F.col("own") >= 0, record("own")), True).over(ordered))
+    summed = opened.withColumn("sum", F.sum("bases").over(Window.partitionBy("file", "open").orderBy("block")))
+    carried = summed.select("file", "block", "number", F.lag("open").over(ordered).alias("carried"), F.lag("sum").over(ordered).alias("carried_bases"))
+
+    full = placed.join(carried, ["file", "block"]).withColumn("record", F.when(F.col("own").isNotNull(), record("own")).otherwise(F.col("carried")))
+    headers = full.filter("header is not null").select("record", F.get(F.split("header", r"\s+"), F.lit(0)).alias("id"), "header")
+    names = headers.groupBy("id").agg(F.max_by(F.struct("record", "header"), "record").alias("x"), F.min("record").alias("ord")).select("x.record", "id", "x.header", "ord")
+    pieces = full.filter("piece is not null and record is not null").select("record", (F.col("at") + F.when(F.col("own").isNull(), F.col("carried_bases")).otherwise(0)).alias("offset"), "piece")
+    return names, pieces
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files with their range of the file and their number in it."""
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _LINE_BITS) - 1))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), number.alias("line"), "value")
+
+
+def _whole(names: DataFrame, pieces: DataFrame) -> DataFrame:
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "piece"))), lambda x: x["piece"]), "")
+    return names.join(pieces.groupBy("record").agg(joined.alias("seq")), "record", "left").select("id", "header", F.coalesce("seq", F.lit("")).alias("seq"), "ord")
+
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, header, seq, ord. A record is what stands between two ``>``; ord rises with its place in the file.
-    Of equal ids the last sequence wins, at the first one's place."""
-    raw = spark.read.option("lineSep", ">").text(path).select("value", F.monotonically_increasing_id().alias("ord"))
-    split = F.split(F.col("value"), "\n", 2)
-    header = F.rtrim(F.regexp_replace(F.get(split, F.lit(0)), "\r", ""))
-    body = F.regexp_replace(F.coalesce(F.get(split, F.lit(1)), F.lit("")), r"\s+", "")
-    rows = raw.filter(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").select(F.get(F.split(header, r"\s+"), F.lit(0)).alias("id"), header.alias("header"), body.alias("seq"), "ord")
-    return rows.groupBy("id").agg(F.max_by(F.struct("header", "seq"), "ord").alias("b"), F.min("ord").alias("ord")).select("id", "b.header", "b.seq", "ord")
+    """id, header, seq, ord: a row holds a whole sequence. ord rises with a record's place in the files; of equal ids the
+    last sequence wins, at the first one's place.  Lines before the first header are none's."""
+    return _whole(*_records(_lines(spark, path)))
+
+
+def fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """id, header, ord, offset, piece: the sequences of :func:`fasta` line by line, in pieces of ``PIECE`` bases at most, so
+    that a chromosome never is one row; ``kmers.piece_blocks`` makes windows of them."""
+    names, pieces = _records(_lines(spark, path))
+    cut = pieces.select("record", "offset", "piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1, F.lit(PIECE))).alias("at"))
+    return cut.join(names, "record").select("id", "header", "ord", (F.col("offset") + F.col("at")).alias("offset"), F.substring("piece", F.col("at") + 1, F.lit(PIECE)).alias("piece"))
+
+
+def fasta_texts(uploads: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """The records of FASTA texts held in rows, as :func:`fasta` gives those of files; rows are read in the order of ``key``."""
+    split = uploads.select(F.col(key).alias("file"), F.lit(0).alias("block"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("line", "value"))
+    return _whole(*_records(split.withColumn("line", F.col("line").cast("long"))))
 
 
 def gene_alias(spark: SparkSession, path: str) -> DataFrame:

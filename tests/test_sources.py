@@ -1,9 +1,10 @@
 import gzip
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from seqloom.operators import assembly, designer, generator
+from seqloom.operators import assembly, designer, generator, kmers
 from seqloom.sources import derived, readers, writers
 from seqloom.streaming import screen
 
@@ -22,6 +23,61 @@ def test_fasta_duplicates_and_gzip(spark, tmp_path):
     assert [(r.id, r.seq) for r in rows] == [("a", "CC"), ("b", "TT")]
 
 
+def literal_fasta(text):
+    """Headers at a line's start; of equal ids the last sequence at the first one's place."""
+    out, name = {}, None
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+        if line.startswith(">"):
+            header = line[1:].strip("\r ")
+            name = header.split()[0] if header.split() else ""
+            out[name] = [header, ""]
+        elif name is not None:
+            out[name][1] += "".join(line.split())
+    return [(k, *v) for k, v in out.items()]
+
+
+def test_fasta_line_by_line(spark, tmp_path):
+    """Ranges of a few bytes: headers and sequences lie across them."""
+    rng = random.Random(5)
+    text = "ACGT before any header\n"
+    for i in range(60):
+        text += f">g{i % 50} A->B >not a header {i}" + rng.choice(["\n", "\r\n"])
+        for _ in range(rng.randint(0, 6)):
+            text += "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 90))) + rng.choice(["\n", "\r\n", "\n\n", "  \n"])
+    text += ">last\n" + "ACGTT" * 2000 + "\nACG>T"
+    (tmp_path / "x.fa").write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("200b", "3k", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.fasta(spark, str(tmp_path / "x.fa")).orderBy("ord").collect()
+            pieces = readers.fasta_pieces(spark, str(tmp_path / "x.fa")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(r.id, r.header, r.seq) for r in rows] == literal_fasta(text)
+        assert max(len(r.piece) for r in pieces) <= readers.PIECE
+        for name, _, seq in literal_fasta(text):
+            mine = sorted((r.offset, r.piece) for r in pieces if r.id == name)
+            assert "".join(p for _, p in mine) == seq and [o for o, _ in mine] == [sum(len(p) for _, p in mine[:k]) for k in range(len(mine))]
+
+
+def test_piece_blocks_are_blocks(spark):
+    rng = random.Random(6)
+    seqs = [(i, "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, 5, 1023, 1024, 1035, 5000))]
+    pieces = []
+    for i, s in seqs:
+        at = 0
+        while at < len(s):
+            n = rng.choice([1, 7, 60, 3000])
+            pieces.append((i, at, s[at : at + n]))
+            at += n
+    whole = spark.createDataFrame(seqs, "id int, seq string")
+    for reach in (1, 12, 1500):
+        want = {(r.id, r.offset, bytes(r.b)) for r in kmers.blocks(whole, reach, "id", least=3).collect()}
+        got = {(r.id, r.offset, bytes(r.b)) for r in kmers.piece_blocks(spark.createDataFrame(pieces, "id int, offset long, piece string"), reach, "id", least=3).collect()}
+        assert got == want
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "b.txt").write_text("BP_0001  ACG\n\nBP_0002\tTTT extra\n# no\n")
     assert [(r.bp_id, r.seq) for r in readers.bridge(spark, str(tmp_path / "b.txt")).orderBy("ord").collect()][:2] == [("BP_0001", "ACG"), ("BP_0002", "TTT")]
