@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..functions.thermo import NN3, NN4, is_valid_probe, tm
-from ..operators import assembly, batch, bridge, curation, designer, expression, generator, kmers, offtarget, resolution, selection
+from ..operators import assembly, batch, bridge, curation, designer, expression, generator, hits, kmers, offtarget, resolution, selection
 from ..sources import derived, readers, writers
 from ..sources.scratch import scratch_dir, written
 from . import sql as Q
@@ -267,6 +267,59 @@ def offtarget_histogram(spark, sf):
     return offtarget.histogram(offtarget.search(_gene_probes(spark, sf), derived.subjects(spark, sf)))
 
 
+_GAPPED = f"{Q.GENES}, {Q.GAPPED_SUBJECTS}, {_ONE_PROBE}, {Q.local_hits('probes', 3)}, hits AS (SELECT probe_seq, subject_id, strand, start, mm + gapopen AS mm, mm AS mismatches, gapopen FROM aligned WHERE columns = length(probe_seq) AND matches >= 0.8::double * columns - 1e-9)"
+
+
+@register(f"{Q.GENES}, {Q.GAPPED_SUBJECTS}, {_ONE_PROBE}, {Q.local_hits('probes', 3)} SELECT * FROM aligned")
+def offtarget_local(spark, sf):
+    return hits.local(_gene_probes(spark, sf), derived.gapped_subjects(spark, sf))
+
+
+@register(f"{_GAPPED} SELECT * FROM hits")
+def offtarget_gapped(spark, sf):
+    return hits.gapped(_gene_probes(spark, sf), derived.gapped_subjects(spark, sf))
+
+
+@register(f"{_GAPPED}, {Q.evidence()} SELECT DISTINCT p.probe_seq, coalesce(n_hits, 0) n_hits, coalesce(min_mm, 0) min_mm, coalesce(exact_n, 0) exact, coalesce(one_n, 0) one FROM probes p LEFT JOIN per USING (probe_seq)")
+def offtarget_gapped_evidence(spark, sf):
+    probes = _gene_probes(spark, sf)
+    return offtarget.evidence(probes, hits.gapped(probes, derived.gapped_subjects(spark, sf)))
+
+
+@register(f'{Q.GENES}, {Q.SUBJECTS}, {_ONE_PROBE}, {Q.local_hits("probes", 0)} SELECT probe_seq, subject_id, strand, q_start, q_end, start, "end", score, mm FROM aligned')
+def offtarget_segments(spark, sf):
+    return hits.segments(_gene_probes(spark, sf), derived.subjects(spark, sf))
+
+
+def _detailed_sql(at: int) -> str:
+    return f"""{Q.GENES}, {Q.SUBJECTS}, probes AS (SELECT DISTINCT substr(seq,{at},20) probe_seq FROM genes), spans AS (SELECT subject_id, strand, start, substr(seq, CAST(start + 1 AS int), 20) w FROM (SELECT *, unnest(range(0, length(seq) - 19)) start FROM subjects))
+ SELECT probe_seq, subject_id, strand, start, hamming(probe_seq, w) mm, 'Query:  ' || probe_seq || chr(10) || 'Subject: ' || w AS alignment FROM probes JOIN spans ON hamming(probe_seq, w) <= 4"""
+
+
+@register(_detailed_sql(101))
+def offtarget_detailed(spark, sf):
+    return hits.detailed(_gene_probes(spark, sf), derived.subjects(spark, sf))
+
+
+@register(_detailed_sql(301))
+def offtarget_detailed_kept(spark, sf):
+    """Two searches against one kept index; the second one's rows."""
+    subjects, folder = written(derived.subjects(spark, sf)), scratch_dir(spark)
+    kept = lambda k, reach: hits.kept_index(spark, subjects, k, reach, folder)
+    hits.detailed(_gene_probes(spark, sf), subjects, index=kept)
+    return hits.detailed(derived.genes(spark, sf).select(F.substring("seq", 301, 20).alias("probe_seq")), subjects, index=kept)
+
+
+@register("""records AS (SELECT c_custkey % 900 AS id, CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN lower(s) WHEN c_custkey % 11 = 0 THEN s || 'N' ELSE s END AS seq FROM (SELECT c_custkey, substr(translate(md5(cast(c_custkey AS varchar)),'0123456789abcdef','ACGTACGTACGTACGT'),1,12) s FROM customer))
+ SELECT DISTINCT id AS subject_id, problem FROM (SELECT id, 'empty sequence' AS problem FROM records WHERE seq = '' UNION ALL SELECT id, 'lower case' FROM records WHERE regexp_matches(seq, '[a-z]')
+ UNION ALL SELECT id, 'letters other than ATCG' FROM records WHERE regexp_matches(upper(seq), '[^ATCG]') UNION ALL SELECT id, 'repeated id' FROM records GROUP BY 1 HAVING count(*) > 1)""")
+def subject_problems(spark, sf):
+    key = F.col("c_custkey")
+    s = F.substring(derived.dna(key.cast("string")), 1, 12)
+    seq = F.when(key % 7 == 0, "").when(key % 5 == 0, F.lower(s)).when(key % 11 == 0, F.concat(s, F.lit("N"))).otherwise(s)
+    return hits.problems(derived.read(spark, sf, "customer").select((key % 900).alias("subject_id"), seq.alias("seq")))
+
+
 _SET_PROBES = f"{Q.GENES}, {Q.SUBJECTS}, {Q.designed(designer.DUAL)}, probes AS (SELECT left_seq probe_seq FROM designed UNION SELECT right_seq FROM designed), {Q.hits('probes')}, {Q.evidence()}"
 
 

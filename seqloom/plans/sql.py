@@ -61,6 +61,8 @@ ISOFORMS = f"isoforms AS (SELECT 'G' || c_nationkey || '.' || c_custkey id, subs
 COUNTS = "counts AS (SELECT user_id % (SELECT count(*) + count(*) // 10 FROM supplier) gene_id, cast(sum(cast(round(value,2) AS decimal(18,2))) AS double) AS count FROM events GROUP BY 1)"
 _FLIP = "array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN (i + gene_id) % 13 = 0 THEN translate(substr(seq,i,1),'ACGT','TGCA') ELSE substr(seq,i,1) END),'')"
 SUBJECTS = f"forward AS (SELECT gene_id subject_id, '+' strand, {_FLIP} seq FROM genes), subjects AS (SELECT * FROM forward UNION ALL SELECT subject_id, '-', {rc('seq')} FROM forward)"
+_GAPS = "array_to_string(list_transform(range(1, length(seq) + 1), lambda i: CASE WHEN (i + gene_id) % 41 = 0 THEN '' WHEN (i + gene_id) % 43 = 0 THEN substr(seq,i,1) || 'T' ELSE substr(seq,i,1) END),'')"
+GAPPED_SUBJECTS = f"forward AS (SELECT gene_id subject_id, '+' strand, {_GAPS} seq FROM genes), subjects AS (SELECT * FROM forward UNION ALL SELECT subject_id, '-', {rc('seq')} FROM forward)"
 _PIECE = f"substr({dna('cast(c_custkey AS varchar)')},1,cast(8 + c_custkey % 24 AS int))"
 RECORDS = f"""records AS (SELECT 'G' || c_nationkey || CASE WHEN c_custkey % 2 = 0 THEN '.' ELSE '-' END || (c_custkey % 5) || ' from customer ' || c_custkey AS header,
  CASE WHEN c_custkey % 11 = 0 THEN {_PIECE} || '#?' WHEN c_custkey % 7 = 0 THEN translate({_PIECE},'ACGT','MKLV') WHEN c_custkey % 5 = 0 THEN lower({_PIECE})
@@ -132,6 +134,27 @@ def hits(probes: str) -> str:
  hits AS (SELECT probe_seq, subject_id, strand, start, hamming(probe_seq, w) mm FROM aligned WHERE length(w) = length(probe_seq) AND hamming(probe_seq, w) <= floor(length(probe_seq) * 0.2::double + 1e-9))"""
 
 
+def local_hits(probes: str, band: int) -> str:
+    """CTE aligned: of every seeded diagonal the best of all ungapped stretches, and of all pairs of them around one gap, in
+    the band.  Probes of 20 bases have no better alignment with two gaps: each of three stretches would need 7 matches."""
+    cand, order = "probe_seq, subject_id, strand, d", "score DESC, gapopen, gaps, mm, q_start, j_start, q_end, j_end"
+    return f"""seeds AS (SELECT probe_seq, i - 1 AS p, substr(probe_seq, i, 10) k FROM (SELECT DISTINCT probe_seq, unnest(range(1, length(probe_seq) - 8)) i FROM {probes})),
+ places AS (SELECT subject_id, strand, i - 1 AS p, substr(seq, i, 10) k FROM (SELECT subject_id, strand, seq, unnest(range(1, length(seq) - 8)) i FROM subjects)),
+ diagonals AS (SELECT DISTINCT probe_seq, subject_id, strand, places.p - seeds.p AS d FROM seeds JOIN places USING (k)),
+ cells AS (SELECT {cand}, j, i, CASE WHEN substr(probe_seq, CAST(i + 1 AS int), 1) = substr(seq, CAST(d + j + i + 1 AS int), 1) THEN 1 ELSE 0 END AS same
+  FROM (SELECT d.*, s.seq, unnest(range({-band}, {band + 1})) j FROM diagonals d JOIN subjects s USING (subject_id, strand)), range(0, 20) r(i) WHERE d + j + i >= 0 AND d + j + i < length(seq)),
+ sums AS (SELECT *, CAST(sum(same) OVER w AS bigint) n_same, count(*) OVER w AS n FROM cells WINDOW w AS (PARTITION BY {cand}, j ORDER BY i)),
+ stretches AS (SELECT probe_seq, subject_id, strand, d, j, a.i q_start, b.i + 1 AS q_end, b.n_same - a.n_same + a.same AS matches, (b.n - a.n + 1) - (b.n_same - a.n_same + a.same) AS mm FROM sums a JOIN sums b USING (probe_seq, subject_id, strand, d, j) WHERE b.i >= a.i),
+ scored AS (SELECT *, matches - 3 * mm AS score FROM stretches),
+ ahead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {cand}, j, q_end ORDER BY score DESC, mm, q_start) r FROM scored) WHERE r = 1),
+ behind AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {cand}, j, q_start ORDER BY score DESC, mm, q_end) r FROM scored) WHERE r = 1),
+ tried AS (SELECT {cand}, score, 0 AS gapopen, 0 AS gaps, matches, mm, q_start, j AS j_start, q_end, j AS j_end FROM ahead UNION ALL
+  SELECT a.probe_seq, a.subject_id, a.strand, a.d, a.score + b.score - 5 - 2 * abs(b.j - a.j), 1, abs(b.j - a.j), a.matches + b.matches, a.mm + b.mm, a.q_start, a.j, b.q_end, b.j
+  FROM ahead a JOIN behind b ON a.probe_seq = b.probe_seq AND a.subject_id = b.subject_id AND a.strand = b.strand AND a.d = b.d AND a.j <> b.j AND b.q_start = a.q_end + greatest(a.j - b.j, 0)),
+ aligned AS (SELECT DISTINCT probe_seq, subject_id, strand, q_start, q_end, d + j_start + q_start AS start, d + j_end + q_end AS "end", score, matches + mm + gaps AS columns, matches, mm, gapopen, gaps
+  FROM (SELECT *, row_number() OVER (PARTITION BY {cand} ORDER BY {order}) r FROM tried) WHERE r = 1 AND score >= 10)"""
+
+
 def evidence() -> str:
     return "per AS (SELECT probe_seq, count(*) n_hits, min(mm) min_mm, count(*) FILTER (mm = 0) exact_n, count(*) FILTER (mm = 1) one_n FROM hits GROUP BY 1)"
 

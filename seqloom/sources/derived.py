@@ -49,6 +49,15 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forward.union(forward.select("subject_id", F.lit("-"), F.reverse(F.translate("seq", "ACGT", "TGCA"))))
 
 
+def gapped_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes without every base i where (i + gene_id) % 41 = 0 and with a T more behind it where (i + gene_id) % 43 = 0, and
+    the other strand."""
+    at = F.sequence(F.lit(1), F.length("seq"))
+    letter = lambda i: F.when((i + F.col("gene_id")) % 41 == 0, "").when((i + F.col("gene_id")) % 43 == 0, F.concat(F.substring(F.col("seq"), i, F.lit(1)), F.lit("T"))).otherwise(F.substring(F.col("seq"), i, F.lit(1)))
+    forward = genes(spark, sf_dir).select(F.col("gene_id").alias("subject_id"), F.lit("+").alias("strand"), F.array_join(F.transform(at, letter), "").alias("seq"))
+    return forward.union(forward.select("subject_id", F.lit("-"), F.reverse(F.translate("seq", "ACGT", "TGCA"))))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FASTA-like records of mixed quality: gene pieces, protein-like letters, junk characters."""
     key = F.col("c_custkey")
