@@ -10,18 +10,23 @@ first word) name it.
 
 1. Edges travel by minimizer (the ``LABEL``-word label with the least hash among those an edge holds), so that
    neighbouring edges mostly travel together, as runs: one record with source coordinates, a 64-bit
-   print of each edge, and 32 bits of the edge before and behind the run.
+   print of each edge, and 32 bits of the edge before and behind the run.  A task first merges what repeats among its own
+   texts, ``DEALT`` words at a time, counted: an occurrence whose words a smaller document of the task has, word by word, stays
+   behind as an alias of the first one there, whose edge then says how many it stands for and whether all of them have
+   its neighbours.  So degrees and numbers of occurrences are those of the corpus, however the texts are dealt.
 2. In a bucket of labels, edges of several documents get their degrees and number of occurrences, and nonbranching
    links inside a run join edges to pieces.
 3. Pieces join across buckets on coordinates: the end of one is the start of the next in the first holder's
    text, with the same number of occurrences.  Linked pieces make the paths.
 4. Occurrences in larger documents join the paths, and both sides are verified on the words at their source
-   coordinates (a 128-bit print of the words there); a span whose words are not the first holder's stays.
+   coordinates (a 128-bit print of the words there); the edges of a span whose words are not the first holder's are
+   judged one by one.
+5. Aliases get the paths of the text that they are aliases of, cut to their own extent.  Every removed word lies in an
+   occurrence of a path.
 
 Runs travel as column blocks, one record for each (task portion, bucket), in numpy; Spark
-partitions and shuffles them.  A task first merges the edges that repeat among its own texts, ``DEALT`` words at a
-time: those of a larger document are verified word by word there and then, so that of a passage that a third of all
-documents hold one record a portion reaches its bucket, not one a document.
+partitions and shuffles them.  A passage that a third of all documents hold reaches its bucket as one record a
+portion, not one a document.
 
 Edge cases: a null or empty text, and one of fewer than ``WINDOW`` words, loses nothing; a null
 doc_id lies below all others; rows that share a doc_id never cost each other
@@ -36,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,15 +54,17 @@ WINDOW = 13
 LABEL = 6
 #: Buckets of labels: this many for each partition of the input, within bounds that keep the blocks of a
 #: portion long and a bucket within a task's memory.
-BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 17
+BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 20
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
 CHUNK = 125_000
 #: Words whose edges a task merges and deals over the buckets at once.
 DEALT = 500_000
 
-_BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary"
-#: What a bucket returns: spans that a task decided, occurrences of pieces in larger documents, pieces.
-_DECIDED, _OCCURRENCE, _PIECE = 0, 1, 2
+_BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary, more binary, flags binary"
+#: What a bucket returns: aliases, occurrences of pieces in larger documents, pieces.
+_ALIAS, _OCCURRENCE, _PIECE = 0, 1, 2
+#: What is known of an edge's aliases: that there are some, that one has another edge before it, or behind it.
+_HELD, _LEFT, _RIGHT = 1, 2, 4
 _FOUND = "kind int, doc_id long, row long, start int, holder long, holder_row long, holder_start int, n int, occurrences long, into boolean, out boolean"
 _HOLDER = ["holder", "holder_row", "holder_start"]
 
@@ -76,25 +84,28 @@ def _edges(texts: list[list[bytes]], cache: WordHashes) -> tuple[np.ndarray, ...
     return words, mix(labels[at]), small(at), small(text), (off - first[text]).astype(np.uint32), window_hashes(words, WINDOW)[off], small(off)
 
 
-def _several(label: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Records whose label several documents hold, by label, and the number of their label."""
+def _several(label: np.ndarray, doc: np.ndarray, held: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Records whose label several documents hold, or that are ``held`` by several, by label; the number of their label."""
     order = np.argsort(label, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]]))
     shared = np.minimum.reduceat(doc[order], heads) < np.maximum.reduceat(doc[order], heads)
+    if held is not None:
+        shared |= np.logical_or.reduceat(held[order], heads)
     group = np.repeat(np.arange(len(heads), dtype=np.int32), np.diff(np.append(heads, len(order))))
     keep = shared[group]
     return order[keep], group[keep]
 
 
-def _merged(words: np.ndarray, label: np.ndarray, doc: np.ndarray, prints: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """The edges that a smaller document of these texts holds too, word by word."""
-    gone = np.zeros(len(label), bool)
+def _merged(words: np.ndarray, label: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, prints: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each edge that a smaller document of these texts holds too, word by word, the first one there; else -1."""
+    out = np.full(len(label), -1, np.int64)
     order, group = _several(label, doc)
     if not len(order):
-        return gone
-    by = np.lexsort((prints[order], group))
+        return out
+    keys = (prints[order], group)
+    by = np.lexsort((start[order], row[order], *keys) if row.any() else keys)
     order, group = order[by], group[by]
-    del by
+    del by, keys
     key, d = prints[order], doc[order]
     heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]))
     size = np.diff(np.append(heads, len(order)))
@@ -105,8 +116,8 @@ def _merged(words: np.ndarray, label: np.ndarray, doc: np.ndarray, prints: np.nd
     same = np.ones(len(hit), bool)
     for k in range(WINDOW):
         same &= words[own + k] == words[other + k]
-    gone[order[hit[same]]] = True
-    return gone
+    out[order[hit[same]]] = order[source[hit[same]]]
+    return out
 
 
 def _follows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -115,35 +126,45 @@ def _follows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The edges of some texts as runs, one column block for each bucket of labels; the merged ones as spans, in
+    """The edges of some texts as runs, one column block for each bucket of labels; the merged ones as aliases, in
     a block with a bucket below 0 drawn for these texts."""
     base = np.cumsum([0, *[len(p[0]) for p in parts]], dtype=np.int32)
     words, label, at, text, start, prints, off = (np.concatenate(x) for x in zip(*[(p[0], p[1], p[2] + b, p[3], p[4], p[5], p[6] + b) for p, b in zip(parts, base, strict=False)], strict=True))
     parts.clear()
-    out: dict[str, list] = {k: [] for k in ("bucket", "n", "label", "doc", "row", "start", "count", "before", "after", "print")}
+    out: dict[str, list] = {k: [] for k in ("bucket", "n", "label", "doc", "row", "start", "count", "before", "after", "print", "more", "flags")}
 
-    def block(bucket: int, text, start, count, label=b"", before=b"", after=b"", prints=b"") -> None:
+    def block(bucket: int, text, start, count, label=b"", before=b"", after=b"", prints=b"", more=b"", flags=b"") -> None:
         out["bucket"].append(bucket)
         out["n"].append(len(text))
         out["doc"].append(planes(np.diff(ids[text], prepend=np.int64(0))))
         out["row"].append(planes(rows[text]))
         out["start"].append(planes(start))
-        for k, v in (("count", count), ("label", label), ("before", before), ("after", after), ("print", prints)):
+        for k, v in (("count", count), ("label", label), ("before", before), ("after", after), ("print", prints), ("more", more), ("flags", flags)):
             out[k].append(bytes(v))
 
-    gone = _merged(words, label, ids[text], prints, off)
-    if gone.any():
-        t, s = text[gone], start[gone]
-        heads = np.flatnonzero(np.concatenate([[True], ~_follows(t, s)]))
-        count = np.diff(np.append(heads, len(t))).astype(np.uint32)
-        by = np.argsort(ids[t[heads]], kind="stable")
-        block(-1 - int(mix(prints[:1] + ids[text[:1]].view(U))[0] % U(buckets)), t[heads][by], s[heads][by], planes(count[by]))
-        label, at, text, start, prints = (x[~gone] for x in (label, at, text, start, prints))
     follows = _follows(text, start)
     low = np.maximum((prints & U(0xFFFFFFFF)).astype(np.uint32), 1)  # 0: no edge there
     before = np.concatenate([[0], np.where(follows, low[:-1], 0)]).astype(np.uint32)
     after = np.concatenate([np.where(follows, low[1:], 0), [0]]).astype(np.uint32)
-    heads = np.flatnonzero(np.concatenate([[True], ~follows | (at[1:] != at[:-1])]))
+    source = _merged(words, label, ids[text], rows[text], start, prints, off)
+    del words, off, low
+    more, flags = np.zeros(len(text), np.uint32), np.zeros(len(text), np.uint8)
+    gone = np.flatnonzero(source >= 0)
+    if len(gone):
+        held = source[gone]
+        np.add.at(more, held, 1)
+        np.bitwise_or.at(flags, held, (_HELD | _LEFT * (before[gone] != before[held]) | _RIGHT * (after[gone] != after[held])).astype(np.uint8))
+        # an alias goes on while both texts do
+        on = np.append(follows, False)
+        heads = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | ~on[gone[:-1]] | (held[1:] != held[:-1] + 1) | ~on[held[:-1]]]))
+        count = np.diff(np.append(heads, len(gone))).astype(np.uint32)
+        by = np.argsort(ids[text[gone[heads]]], kind="stable")
+        t, h = gone[heads][by], held[heads][by]
+        drawn = -1 - int(mix(prints[:1] + ids[text[:1]].view(U))[0] % U(buckets))
+        block(drawn, text[t], start[t], planes(count[by]), planes(ids[text[h]]), planes(start[h]), planes(rows[text[h]]))
+        stay = source < 0
+        label, at, text, start, prints, before, after, more, flags = (x[stay] for x in (label, at, text, start, prints, before, after, more, flags))
+    heads = np.flatnonzero(np.concatenate([[True], ~_follows(text, start) | (at[1:] != at[:-1])]))
     count = np.diff(np.append(heads, len(text)))
     bucket = ((label[heads] & U(0xFFFFFF)) % U(buckets)).astype(np.int32)
     order = np.lexsort((ids[text[heads]], bucket))
@@ -152,7 +173,9 @@ def _dealt(parts: list, ids: np.ndarray, rows: np.ndarray, buckets: int) -> pa.R
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         h, c = heads[a:b], count[a:b]
         each = np.repeat(h - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        block(int(bucket[a]), text[h], start[h], c.astype(np.uint8).tobytes(), (label[h] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), before[h].tobytes(), after[h + c - 1].tobytes(), prints[each].tobytes())
+        f = flags[each]
+        some = (planes(more[each]), f.tobytes()) if f.any() else (b"", b"")
+        block(int(bucket[a]), text[h], start[h], c.astype(np.uint8).tobytes(), (label[h] >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes(), before[h].tobytes(), after[h + c - 1].tobytes(), prints[each].tobytes(), *some)
     return pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["n"], pa.int32()), *[pa.array(out[k], pa.binary()) for k in list(out)[2:]]], list(out))
 
 
@@ -187,26 +210,40 @@ def _result(kind: int, doc, row, start, **more: np.ndarray) -> pa.Table:
     return pa.table({k: pa.array(v.astype(bool) if types.get(k) == pa.bool_() else v).cast(types.get(k, pa.int64())) for k, v in whole.items()})
 
 
+def _aliases(block: pa.Table) -> pa.Table:
+    """The aliases of a block: their own coordinates, and those in the text that they are aliases of."""
+    columns: dict[str, list] = {k: [] for k in ("doc", "row", "start", "count", "label", "before", "after")}
+    kinds = {"doc": np.int64, "row": np.int64, "start": np.uint32, "count": np.uint32, "label": np.int64, "before": np.uint32, "after": np.int64}
+    for r in zip(*(block.column(k).to_pylist() for k in columns), strict=True):
+        for k, v in zip(columns, r, strict=True):
+            x = from_planes(v, kinds[k])
+            columns[k].append(np.cumsum(x) if k == "doc" else x.astype(np.int64))
+    doc, row, start, count, holder, holder_start, holder_row = (np.concatenate(columns[k]) for k in columns)
+    return _result(_ALIAS, doc, row, start, n=count, holder=holder, holder_row=holder_row, holder_start=holder_start)
+
+
 def _graph(block: pa.Table) -> pa.Table:
-    """Pieces of one bucket and their occurrences (a bucket below 0: spans that are decided)."""
-    decided = block.column("bucket")[0].as_py() < 0
-    columns: dict[str, list] = {k: [] for k in ("doc", "row", "start", "count", "label", "before", "after", "print")}
+    """Pieces of one bucket and their occurrences (a bucket below 0: aliases)."""
+    if block.column("bucket")[0].as_py() < 0:
+        return _aliases(block)
+    columns: dict[str, list] = {k: [] for k in ("doc", "row", "start", "count", "label", "before", "after", "print", "more", "flags")}
     for r in zip(*(block.column(k).to_pylist() for k in ("n", *columns)), strict=True):
-        n, doc, row, start, count, label, before, after, prints = r
+        n, doc, row, start, count, label, before, after, prints, more, flags = r
         columns["doc"].append(np.cumsum(from_planes(doc, np.int64)))
         columns["row"].append(from_planes(row, np.int64))
         columns["start"].append(from_planes(start, np.uint32).astype(np.int64))
-        columns["count"].append((from_planes(count, np.uint32) if decided else np.frombuffer(count, np.uint8)).astype(np.int64))
-        raw = np.zeros((0 if decided else n, 8), np.uint8)
+        columns["count"].append(np.frombuffer(count, np.uint8).astype(np.int64))
+        raw = np.zeros((n, 8), np.uint8)
         raw[:, :5] = np.frombuffer(label, np.uint8).reshape(-1, 5)
         columns["label"].append(raw.view(U).ravel())
         for k, v, kind in (("before", before, np.uint32), ("after", after, np.uint32), ("print", prints, U)):
             columns[k].append(np.frombuffer(v, kind))
-    doc, row, start, count, label, before, after, prints = (np.concatenate(columns[k]) for k in columns)
-    if decided:
-        return _result(_DECIDED, doc, row, start, n=count)
+        size = len(columns["print"][-1])
+        columns["more"].append(from_planes(more, np.uint32) if more else np.zeros(size, np.uint32))
+        columns["flags"].append(np.frombuffer(flags, np.uint8) if flags else np.zeros(size, np.uint8))
+    doc, row, start, count, label, before, after, prints, more, flags = (np.concatenate(columns.pop(k)) for k in list(columns))
     # labels that one document alone holds end here
-    some, _ = _several(label, doc)
+    some, _ = _several(label, doc, np.logical_or.reduceat(flags > 0, np.cumsum(count) - count))
     if not len(some):
         return _result(_PIECE, doc[:0], row[:0], start[:0])
     first = (np.cumsum(count) - count)[some]
@@ -215,7 +252,7 @@ def _graph(block: pa.Table) -> pa.Table:
     c = count[some]
     run = np.repeat(np.arange(len(some)), c)
     inner = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-    key = prints[first[run] + inner]
+    key, more, flags = (x[first[run] + inner] for x in (prints, more, flags))
     low = np.maximum((key & U(0xFFFFFFFF)).astype(np.uint32), 1)
     left, right = np.roll(low, 1), np.roll(low, -1)
     left[inner == 0], right[inner == c[run] - 1] = before[some], after[some]
@@ -231,14 +268,17 @@ def _graph(block: pa.Table) -> pa.Table:
         out[by] = np.repeat(values, size)
         return out
 
-    def degree_one(neighbour: np.ndarray) -> np.ndarray:
+    known = np.bitwise_or.reduceat(flags[by], heads)
+
+    def degree_one(neighbour: np.ndarray, other: int) -> np.ndarray:
         x = neighbour[by]
         least = np.minimum.reduceat(x, heads)
-        return of_edge((least > 0) & (least == np.maximum.reduceat(x, heads)))
+        return of_edge((least > 0) & (least == np.maximum.reduceat(x, heads)) & (known & other == 0))
 
     source = of_edge(by[heads])
-    shared, n_all = of_edge(d[by[heads]] < d[by[heads + size - 1]]), of_edge(size)
-    into, out = degree_one(left), degree_one(right)
+    shared = of_edge((d[by[heads]] < d[by[heads + size - 1]]) | (known & _HELD > 0))
+    n_all = of_edge(size + np.add.reduceat(more[by].astype(np.int64), heads))
+    into, out = degree_one(left, _LEFT), degree_one(right, _RIGHT)
     linked = np.zeros(len(by), bool)
     linked[1:] = (inner[1:] > 0) & shared[1:] & shared[:-1] & out[:-1] & into[1:] & (n_all[1:] == n_all[:-1])
     begin = np.flatnonzero(shared & ~linked)
@@ -277,7 +317,7 @@ def _unlike(placed: DataFrame) -> DataFrame:
         for batch in batches:
             bounds, spans = np.asarray(batch.column(3).offsets), batch.column(3).flatten()
             start, n = np.asarray(spans.field("start")).tolist(), np.asarray(spans.field("n")).tolist()
-            held = np.asarray(spans.field("holder").is_valid())
+            held = ~np.asarray(spans.field("sure"))
             bounds = bounds - bounds[0]
             p = np.zeros((len(start), 2), np.int64)
             for i, text in enumerate(batch.column(2)):
@@ -297,24 +337,77 @@ def _unlike(placed: DataFrame) -> DataFrame:
     return prints.filter(~source).join(held, _HOLDER).filter("p1 <> q1 or p2 <> q2").select("doc_id", "row", F.col("start").alias("unlike")).distinct()
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, row, text) with the spans (start, n, holder) that start in a smaller doc_id too, verified,
-    and the spans that are first holders themselves (holder = the row itself)."""
+def _expanded(group: pa.Table) -> pa.Table:
+    """The aliases of one text with the paths that lie in it."""
+    column = lambda c: np.asarray(pc.fill_null(group.column(c), 0))
+    alias = np.asarray(group.column("alias"))
+    at, n, start = column("at"), column("n"), column("start")
+    doc, row, holder, holder_row, holder_start = (column(c) for c in ("doc_id", "row", "path", "path_row", "path_start"))
+    some, paths = np.flatnonzero(alias), np.flatnonzero(~alias)
+    if len(some):
+        paths = paths[np.unique(at[paths], return_index=True)[1]]
+        first, last = at[paths], at[paths] + n[paths]
+        i, j = np.searchsorted(last, at[some], side="right"), np.searchsorted(first, at[some] + n[some], side="left")
+        each = np.repeat(np.arange(len(some)), j - i)
+        path = np.arange(len(each)) - np.repeat(np.cumsum(j - i) - (j - i), j - i) + np.repeat(i, j - i)
+        a = some[each]
+        lo, hi = np.maximum(at[a], first[path]), np.minimum(at[a] + n[a], last[path])
+        if (hi - lo).sum() != n[some].sum():
+            raise RuntimeError("a repeated edge lies in no path")
+        p = paths[path]
+    else:
+        a = p = lo = hi = np.empty(0, np.int64)
+    shift = lo - at[p]
+    values = [doc[a], row[a], (start[a] + lo - at[a]).astype(np.int32), (hi - lo).astype(np.int32), holder[p], holder_row[p], (holder_start[p] + shift).astype(np.int32)]
+    return pa.table([pa.array(v) for v in values], ["doc_id", "row", "start", "n", *_HOLDER])
+
+
+def _compacted(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc_id, row, text): the paths of the corpus, their occurrences that a bucket has seen, and the aliases."""
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, BUCKETS * rows.rdd.getNumPartitions()))
     found = cut(rows.mapInArrow(_blocks(buckets), _BLOCK).groupBy("bucket").applyInArrow(_graph, _FOUND))
     paths = _paths(found.filter(F.col("kind") == _PIECE))
-    occurrences = found.filter(F.col("kind") == _OCCURRENCE).select("doc_id", "row", "start", *_HOLDER).join(paths, _HOLDER)
-    spans = cut(occurrences.select("doc_id", "row", "start", "n", *_HOLDER))
-    # dealt by first holder, each of them once
+    occurrences = found.filter(F.col("kind") == _OCCURRENCE).select("doc_id", "row", "start", *_HOLDER).join(paths, _HOLDER).select("doc_id", "row", "start", "n", *_HOLDER)
+    return paths, occurrences, found.filter(F.col("kind") == _ALIAS).select("doc_id", "row", "start", "n", *_HOLDER)
+
+
+def _placed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """``rows`` with their spans (doc_id, row, start, n, holder, sure)."""
+    per = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", *_HOLDER, "sure")).alias("spans"))
+    return cut(rows.join(per, ["doc_id", "row"], "left").select("doc_id", "row", "text", "spans"))
+
+
+def _with_sources(spans: DataFrame) -> DataFrame:
+    """Spans and, once, the places of their first holders, all to be verified."""
     sources = spans.select(F.col("holder").alias("doc_id"), F.col("holder_row").alias("row"), F.col("holder_start").alias("start"), "n", *_HOLDER).distinct()
-    decided = found.filter(F.col("kind") == _DECIDED).select("doc_id", "row", "start", "n", *[F.lit(None).cast(t).alias(c) for c, t in zip(_HOLDER, ("long", "long", "int"), strict=True)])
-    per = spans.unionByName(sources).unionByName(decided).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n", *_HOLDER)).alias("spans"))
-    placed = cut(rows.join(per, ["doc_id", "row"], "left").select("doc_id", "row", "text", "spans"))
+    return spans.unionByName(sources).withColumn("sure", F.lit(False))
+
+
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, row, text) with the spans (start, n, holder) of the paths that lie in them and start in a smaller
+    doc_id too, verified, and of those that are first holders themselves (holder = the row itself)."""
+    paths, occurrences, aliases = _compacted(rows)
+    paths, spans = cut(paths), cut(occurrences)
+    # what lies in a text that has aliases: paths that it holds first, and its occurrences of others
+    mine = paths.select("holder", "holder_row", F.col("holder_start").alias("at"), "n", F.col("holder").alias("path"), F.col("holder_row").alias("path_row"), F.col("holder_start").alias("path_start"))
+    theirs = spans.select(F.col("doc_id").alias("holder"), F.col("row").alias("holder_row"), F.col("start").alias("at"), "n", F.col("holder").alias("path"), F.col("holder_row").alias("path_row"), F.col("holder_start").alias("path_start"))
+    lying = mine.unionByName(theirs).join(aliases.select("holder", "holder_row").distinct(), ["holder", "holder_row"], "left_semi").withColumn("alias", F.lit(False))
+    both = aliases.withColumnRenamed("holder_start", "at").withColumn("alias", F.lit(True)).unionByName(lying, allowMissingColumns=True)
+    sure = both.groupBy("holder", "holder_row").applyInArrow(_expanded, "doc_id long, row long, start int, n int, holder long, holder_row long, holder_start int").withColumn("sure", F.lit(True))
+    placed = _placed(rows, _with_sources(spans).unionByName(sure))
     unlike = cut(_unlike(placed).groupBy("doc_id", "row").agg(F.collect_set("unlike").alias("unlike")))
     if unlike.isEmpty():
         return placed
-    kept = F.filter("spans", lambda s: s["holder"].isNull() | ~F.array_contains(F.coalesce("unlike", F.array().cast("array<int>")), s["start"]))
-    return placed.join(unlike, ["doc_id", "row"], "left").select("doc_id", "row", "text", kept.alias("spans"))
+    # edges of a path whose prints are equal and words are not: those of such a span are judged one by one
+    listed = placed.join(unlike, ["doc_id", "row"])
+    wrong = lambda s: ~s["sure"] & F.array_contains("unlike", s["start"])
+    single = listed.select("doc_id", "row", F.explode(F.filter("spans", wrong)).alias("s")).select("doc_id", "row", "s.*", F.explode(F.sequence(F.lit(0), F.col("s.n") - 1)).alias("i"))
+    edges = cut(single.select("doc_id", "row", (F.col("start") + F.col("i")).alias("start"), F.lit(1).alias("n"), "holder", "holder_row", (F.col("holder_start") + F.col("i")).alias("holder_start")))
+    still = _unlike(_placed(rows, _with_sources(edges))).withColumnRenamed("unlike", "start")
+    right = edges.join(still, ["doc_id", "row", "start"], "left_anti").withColumn("sure", F.lit(True))
+    kept = listed.select("doc_id", "row", F.explode(F.filter("spans", lambda s: ~wrong(s))).alias("s")).select("doc_id", "row", "s.*")
+    touched = _placed(rows.join(unlike, ["doc_id", "row"], "left_semi"), kept.unionByName(right))
+    return placed.join(unlike, ["doc_id", "row"], "left_anti").unionByName(touched)
 
 
 def dedup_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -325,7 +418,7 @@ def dedup_spans(docs: DataFrame, with_text: bool = True) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("row").alias("a"), F.max("row").alias("b")).filter("a < b")
     if several.isEmpty():
         rows = rows.withColumn("row", F.lit(0).cast("long"))
-    again = F.filter("spans", lambda s: s["holder"].isNull() | (s["holder"] < F.col("doc_id")))
+    again = F.filter("spans", lambda s: s["holder"] < F.col("doc_id"))
     joined = repeated_spans(rows).select("doc_id", "text", F.transform(again, lambda s: s["start"]).alias("starts"), F.transform(again, lambda s: s["n"]).alias("counts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -520,28 +520,102 @@ def branching_texts(n=150):
     return out
 
 
-@pytest.mark.parametrize("dealt", [spans.DEALT, 1])
-def test_substring_dedup_of_branching_passages(spark, monkeypatch, dealt):
+def literal_paths(rows):
+    """(holder, first word, edges) of the maximal nonbranching paths of the corpus's graph, by the definition: edges of two
+    documents or more; a link is no branch if it is the only one out of one edge and into the other, and both
+    have the same number of occurrences."""
+    texts = [(i, words(t)) for i, t in rows]
+    holders, places, left, right = {}, {}, {}, {}
+    for at, (i, w) in enumerate(texts):
+        e = [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+        for k, x in enumerate(e):
+            holders.setdefault(x, set()).add(i)
+            places.setdefault(x, []).append((i, at, k))
+            left.setdefault(x, set()).add(e[k - 1] if k else ("start",))
+            right.setdefault(x, set()).add(e[k + 1] if k + 1 < len(e) else ("end",))
+    shared = {x for x, h in holders.items() if len(h) > 1}
+    after = {}
+    for x in shared:
+        (y,) = right[x] if len(right[x]) == 1 else (None,)
+        if y in shared and left[y] == {x} and len(places[x]) == len(places[y]):
+            after[x] = y
+    heads = shared - set(after.values())
+    out = []
+    for x in heads:
+        n, y = 1, x
+        while y in after:
+            y = after[y]
+            n += 1
+        i, _, k = min(places[x])
+        out.append((i, k, n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_dedup_of_branching_passages(spark, parts):
     rows = branching_texts()
-    if dealt == 1:  # no text meets another in its task: all goes through the graph
-        whole = spans._merged
-        monkeypatch.setattr(spans, "_merged", lambda w, label, *rest: whole(w, label, *rest) & False)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = spans.dedup_spans(frame.repartition(7)).collect()
+    got = spans.dedup_spans(frame.repartition(parts)).collect()
     assert sorted((least(r.doc_id), r.n_removed, r.text) for r in got) == brute_spans(rows)
 
 
-def test_paths_are_compacted_and_unlike_words_stay(spark, monkeypatch):
+def as_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_paths_are_those_of_the_corpus_however_it_is_dealt(spark, parts):
+    """Degrees and numbers of occurrences of a literal graph, with texts merged in their task and without."""
+    rows = [(i, t) for i, (_, t) in enumerate(branching_texts())]
+    paths, _, aliases = spans._compacted(as_rows(spark, rows).repartition(parts))
+    got, want = sorted((r.holder, r.holder_start, r.n) for r in paths.collect()), literal_paths(rows)
+    # a loop without a head is one path wherever it is begun
+    assert [g for g in got if g in set(want)] == want and sum(g[2] for g in got) >= sum(w[2] for w in want)
+    assert aliases.count() > 50
+
+
+def test_every_removed_word_lies_in_a_path(spark):
+    """On the tables, as they are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
+    paths, _, _ = spans._compacted(docs)
+    lying = {}
+    for r in paths.collect():
+        lying.setdefault(r.holder, []).append((r.holder_start, r.holder_start + r.n))
+    spanned = 0
+    for r in spans.repeated_spans(docs).collect():
+        for s in r.spans or []:
+            spanned += s["holder"] < r.doc_id
+            assert any(a <= s["holder_start"] and s["holder_start"] + s["n"] <= b for a, b in lying[s["holder"]])
+    removed = spans.dedup_spans(docs, with_text=False).agg(F.sum("n_removed")).first()[0]
+    assert spanned > 300 and removed > 10_000 and len(lying) > 20
+
+
+def test_paths_are_compacted_and_unlike_words_stay(spark):
     passage = [f"p{i}" for i in range(200)]
     rows = [(i, " ".join([*(f"a{i}_{k}" for k in range(20)), *passage, *(f"b{i}_{k}" for k in range(20))])) for i in range(3)]
-    monkeypatch.setattr(spans, "_merged", lambda w, label, *rest: label != label)
-    frame = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(0).cast("long").alias("row"), F.col("text").cast("binary").alias("text"))
-    placed = spans.repeated_spans(frame).collect()
-    assert [[(s["start"], s["n"], s["holder"]) for s in r.spans] for r in sorted(placed)] == [[(20, 188, 0)]] * 3  # one path of 188 edges
-    wrong = spark.createDataFrame([(1, 0, rows[1][1].encode(), [(20, 188, 0, 0, 20), (5, 10, 0, 0, 5)]), (0, 0, rows[0][1].encode(), [(20, 188, 0, 0, 20), (5, 10, 0, 0, 5)])], "doc_id long, row long, text binary, spans array<struct<start:int,n:int,holder:long,holder_row:long,holder_start:int>>")
+    for parts in (1, 3):
+        placed = spans.repeated_spans(as_rows(spark, rows).repartition(parts)).collect()
+        found = {r.doc_id: [(s["start"], s["n"], s["holder"]) for s in r.spans or [] if s["holder"] < r.doc_id] for r in placed}
+        assert found == {0: [], 1: [(20, 188, 0)], 2: [(20, 188, 0)]}  # one path of 188 edges
+    wrong = spark.createDataFrame([(i, 0, rows[i][1].encode(), [(20, 188, 0, 0, 20, False), (5, 10, 0, 0, 5, i == 2)]) for i in (0, 1, 2)], "doc_id long, row long, text binary, spans array<struct<start:int,n:int,holder:long,holder_row:long,holder_start:int,sure:boolean>>")
     assert [tuple(r) for r in spans._unlike(wrong).collect()] == [(1, 0, 5)]
 
 
+def test_edges_of_an_unlike_span_are_judged_one_by_one(spark, monkeypatch):
+    """A path that is one word too long."""
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"a{i}", *passage, f"b{i}"])) for i in range(3)]
+    whole = spans._compacted
+
+    def longer(frame):
+        paths, found, aliases = whole(frame)
+        return paths, found.withColumn("n", (F.col("n") + (F.col("doc_id") == 2).cast("int")).cast("int")), aliases
+
+    monkeypatch.setattr(spans, "_compacted", longer)
+    got = spans.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(0, 0, rows[0][1]), (1, 40, "a1 b1"), (2, 40, "a2 b2")]
+
+
 def test_substring_dedup_of_an_id_with_two_texts(spark):
     a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
     frame = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string")
