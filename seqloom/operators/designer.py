@@ -2,8 +2,8 @@
 
 ``first(p)`` is the end of the shortest valid window at p.  A set is feasible at s when the windows
 chain from s (left, then middle, then right after the inner gap) and do not dimerise.  The
-scan accepts feasible starts in order, each at or behind the end of the set before; that is one fold over
-the sorted feasible starts of a gene, the only part that is sequential.
+scan accepts feasible starts in order, each at or behind the end of the set before: an orbit of pointers from
+start to start, walked tile by tile.
 
 Windows are expressions over substrings of a row, so enumeration and filtering shuffle nothing; the
 self-joins are equi-joins on (gene, position).
@@ -13,13 +13,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import gc_junction, gc_percent, has_dimer, once, poly_n_ok, reverse_complement
 from ..functions.thermo import NN4, Table, pair_values, tm_of_pairs
 from ..sources.scratch import spread, written
 from .kmers import BLOCK, blocks, explode_kmers, repeat_kmers
+from .orbits import orbit
 
 
 @dataclass(frozen=True)
@@ -120,32 +122,149 @@ def feasible(genes: DataFrame, config: Config = DUAL) -> DataFrame:
 def accept(sets: DataFrame, config: Config = DUAL) -> DataFrame:
     """The scan: the feasible rows that it takes, with ``set_id`` from 1 in order.
 
-    Only feasible starts of one gene meet in a fold (a sequence is a row already)."""
+    With a gap narrower than a window nothing fits inside a set, so the scan goes on from a set's end: each feasible start
+    points to the next one, and the scan is the orbit of these pointers.  With wider gaps, see :func:`accept_nested`."""
     if config.inner_gap >= config.max_length:
-        raise ValueError("an inner gap of a window's length or more would let sets start inside it; it is not supported")
-    columns = ["start", *[c for c in sets.columns if c not in ("gene_id", "start")]]
-    ordered = F.sort_array(F.collect_list(F.struct(*columns)))
-    grouped = sets.groupBy("gene_id").agg(ordered.alias("sets"))
-    none = F.array().cast(grouped.schema["sets"].dataType.simpleString())
-    state = F.struct(F.lit(0).alias("end"), F.lit(-1).alias("left"), none.alias("taken"))
-
-    def step(a, s):
-        bound = s["n"] - 3 * config.min_length
-        ok = (s["start"] >= a["end"]) & ((s["start"] < bound) | ((s["start"] == a["end"]) & (a["left"] >= 0) & (a["left"] < bound)))
-        return F.when(ok, F.struct(s["right_end"].alias("end"), s["left_end"].alias("left"), F.array_append(a["taken"], s).alias("taken"))).otherwise(a)
-
-    taken = grouped.select("gene_id", F.posexplode(F.aggregate("sets", state, step, lambda a: a["taken"])).alias("i", "s"))
-    return taken.select("gene_id", (F.col("i") + 1).alias("set_id"), "s.*")
+        raise ValueError("with an inner gap of a window's length or more, sets start inside others: use accept_nested")
+    bound = F.col("n") - 3 * config.min_length
+    slim = written(sets.select(F.col("gene_id").cast("string").alias("key"), F.col("start").cast("long").alias("pos"), F.col("right_end").cast("long").alias("end"), (F.col("left_end") < bound).alias("on"), (F.col("start") < bound).alias("free")))
+    # the scan stops at the bound, but a set before it still reaches a start right at its end
+    asked = slim.select("key", F.col("end").alias("at"), F.lit(1).alias("asks"), "pos", "on", F.lit(None).cast("long").alias("any"), F.lit(None).cast("long").alias("free"))
+    there = slim.select("key", F.col("pos").alias("at"), F.lit(0).alias("asks"), "pos", "on", F.col("pos").alias("any"), F.when(F.col("free"), F.col("pos")).alias("free"))
+    behind = Window.partitionBy("key").orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    seen = asked.union(there).select("key", "at", "asks", "pos", "on", F.last("any", True).over(behind).alias("any"), F.last("free", True).over(behind).alias("free"))
+    pointed = seen.filter("asks = 1").select("key", "pos", F.when(F.col("on") & (F.col("any") == F.col("at")), F.col("any")).otherwise(F.col("free")).alias("next"))
+    first = slim.filter("free").groupBy("key").agg(F.min("pos").alias("pos"))
+    taken = orbit(pointed, first).select(F.col("key").alias("_key"), F.col("pos").alias("_pos"))
+    kept = sets.join(taken, (F.col("gene_id").cast("string") == F.col("_key")) & (F.col("start") == F.col("_pos"))).drop("_key", "_pos")
+    return _numbered(kept)
+
+
+def _numbered(kept: DataFrame) -> DataFrame:
+    columns = [c for c in kept.columns if c != "gene_id"]
+    return kept.select("gene_id", F.row_number().over(Window.partitionBy("gene_id").orderBy("start")).alias("set_id"), *columns)
+
+
+def accept_nested(first: DataFrame, genes: DataFrame, config: Config = DUAL) -> DataFrame:
+    """gene_id, number, start, left_end, [middle_end,] right_start, right_end: the scan of sets whose inner gap holds
+    others, from the shortest valid windows (gene_id, start, end, w) and the genes (gene_id, seq).
+
+    What the scan may take at a position depends on the bases that the last sets use ahead of it, so it is one walk over a
+    gene's positions; it keeps the used bases within reach alone.  A window must be free of used bases for the longest
+    window's length, and a right window moves on to the first place that is."""
+    triple, reach, gap, low = config.arity == 3, config.max_length, config.inner_gap, config.min_length
+    least = config.min_complementary_length
+    comp = bytes.maketrans(b"ACGT", b"TGCA")
+
+    def dimer(probes: list[bytes]) -> bool:
+        def meet(a: bytes, b: bytes) -> bool:
+            other = b.translate(comp)[::-1]
+            return any(a[i : i + least] in other for i in range(len(a) - least + 1))
+
+        halves = any(len(p) >= 2 * least and meet(p[: len(p) // 2], p[len(p) // 2 :]) for p in probes)
+        return halves or any(meet(a, b) for i, a in enumerate(probes) for b in probes[i + 1 :])
+
+    def scan(block: pa.Table) -> pa.Table:
+        n, gene = block.column("n")[0].as_py(), block.column("gene_id")[0].as_py()
+        window = {p: (e, w.encode()) for p, e, w in zip(block.column("start").to_pylist(), block.column("end").to_pylist(), block.column("w").to_pylist(), strict=True) if p is not None}
+        probe = lambda p: window[p][1].translate(comp)[::-1]
+        used: list[tuple[int, int]] = []  # of the last sets, in order
+
+        def free(p: int) -> int:
+            """The first place from ``p`` on whose ``reach`` bases are free."""
+            for a, b in used:
+                if a < p + reach and p < b:
+                    p = b
+            return p
+
+        out: list[tuple] = []
+        pos, upto = 0, n - low
+        while pos < n - 3 * low:
+            left = free(pos)
+            found = None
+            if left <= upto and left in window:
+                end = window[left][0]
+                inner = end
+                if triple:
+                    inner = window[end][0] if end <= upto and end in window and free(end) == end and not dimer([probe(left), probe(end)]) else None
+                if inner is not None and inner + gap < n - low:
+                    right = free(inner + gap)
+                    if right <= upto and right in window and not dimer([probe(left), *([probe(end)] if triple else []), probe(right)]):
+                        found = (left, end, inner, right, window[right][0])
+            if found is None:
+                pos += 1
+                used = [u for u in used if u[1] > pos]
+                continue
+            out.append(found)
+            used = sorted([*used, (left, inner), (found[3], found[4])])
+            pos = end
+            used = [u for u in used if u[1] > pos]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        values = [pa.array([gene] * len(out), block.schema.field("gene_id").type), pa.array(range(1, len(out) + 1), pa.int32()), *(pa.array(list(c), pa.int32()) for c in columns)]
+        return pa.table(values, ["gene_id", "set_id", "start", "left_end", "middle_end", "right_start", "right_end"])
+
+    kind = dict(genes.dtypes)["gene_id"]
+    sized = genes.select("gene_id", F.length("seq").alias("n"))
+    grouped = sized.join(first.select("gene_id", "start", "end", "w"), "gene_id").groupBy("gene_id")
+    out = grouped.applyInArrow(scan, f"gene_id {kind}, set_id int, start int, left_end int, middle_end int, right_start int, right_end int")
+    return out if triple else out.drop("middle_end")
 
 
 def design(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     """gene_id, set_id, start, ends, probes and gc_junction of the designed sets."""
-    return accept(feasible(genes, config), config).withColumn("gc_junction", gc_junction("left_seq"))
+    if config.inner_gap < config.max_length:
+        return accept(feasible(genes, config), config).withColumn("gc_junction", gc_junction("left_seq"))
+    first = written(_shortest(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end"), "w"))
+    out = accept_nested(first, genes, config)
+    sides = [("left", "start"), *[("middle", "left_end")] * (config.arity == 3), ("right", "right_start")]
+    for side, at in sides:
+        out = out.join(first.select("gene_id", F.col("start").alias(at), reverse_complement("w").alias(f"{side}_seq")), ["gene_id", at])
+    ends = ["start", "left_end", *["middle_end"] * (config.arity == 3), "right_start", "right_end"]
+    return out.select("gene_id", "set_id", *ends, *[f"{side}_seq" for side, _ in sides]).withColumn("gc_junction", gc_junction("left_seq"))
+
+
+def _greedy(intervals: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """key, start, end, *order of a largest choice of a key's intervals that do not touch: by end, then ``order``, each that
+    starts behind the last end."""
+    ends = F.struct(F.col("end").cast("long").alias("end"), *order)
+    # of equal ends the first in order that starts late enough may be any, so all are kept; a position is an end and start
+    marked = intervals.select(F.col(key).cast("string").alias("key"), F.col("start").cast("long").alias("start"), ends.alias("x"))
+    best = marked.groupBy("key", "start").agg(F.min("x").alias("x"))
+    behind = Window.partitionBy("key").orderBy(F.desc("at"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, 0)
+    late = F.when(F.col("asks") == 0, F.struct(F.col("x"), F.col("start")))
+    there = best.select("key", F.col("start").alias("at"), F.lit(0).alias("asks"), "x", "start")
+    asked = best.select("key", F.col("x.end").alias("at"), F.lit(1).alias("asks"), "x", "start").groupBy("key", "at", "asks").agg(F.min("x").alias("x"), F.min("start").alias("start"))
+    seen = there.union(asked).select("key", "at", "asks", F.min(late).over(behind).alias("next"))
+    # an end points to the end of the interval to take next
+    nodes = seen.filter("asks = 1").select("key", F.col("at").alias("pos"), F.col("next"))
+    nodes = written(nodes)
+    first = marked.groupBy("key").agg(F.min(F.struct(F.col("x"), F.col("start"))).alias("first"))
+    ends_ = orbit(nodes.select("key", "pos", F.col("next.x.end").alias("next")), first.select("key", F.col("first.x.end").alias("pos")))
+    taken = nodes.join(ends_, ["key", "pos"]).select("key", "next").filter("next is not null").union(first.select("key", "first"))
+    return taken.select(F.col("key").alias(key), F.col("next.start").alias("start"), F.col("next.x.end").alias("end"), *[F.col(f"next.x.{c}").alias(c) for c in order])
 
 
 def disjoint_intervals(intervals: DataFrame, key: str) -> DataFrame:
     """key, start, end: most intervals of a key that do not touch - by end, take what starts behind the last end."""
-    ordered = F.sort_array(F.collect_list(F.struct("end", "start")))
-    state = F.struct(F.lit(-1).alias("last"), F.array().cast("array<struct<end:int,start:int>>").alias("taken"))
-    step = lambda a, x: F.when(x["start"] > a["last"], F.struct(x["end"].alias("last"), F.array_append(a["taken"], x).alias("taken"))).otherwise(a)
-    return intervals.groupBy(key).agg(F.aggregate(ordered, state, step, lambda a: a["taken"]).alias("t")).select(key, F.explode("t").alias("t")).select(key, "t.start", "t.end")
+    kinds = dict(intervals.dtypes)
+    taken = _greedy(intervals.select(key, "start", "end", F.col("start").cast("long").alias("_first")), key, ["_first"])
+    return taken.select(F.col(key).cast(kinds[key]).alias(key), F.col("start").cast(kinds["start"]).alias("start"), F.col("end").cast(kinds["end"]).alias("end"))
+
+
+def scheduled_intervals(intervals: DataFrame, key: str, order: str) -> DataFrame:
+    """key, start, end, order, best, before, taken: the table of the dynamic program over a key's intervals sorted by end, equal
+    ends by ``order``: the largest number of intervals up to each, how many end before it starts, and whether the way
+    back from the last takes it - the first row of each number, as a row is taken where the number rises."""
+    kinds = dict(intervals.dtypes)
+    named = intervals.select(F.col(key).cast("string").alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(order).alias("order"))
+    taken = _greedy(named, "key", ["order"]).withColumn("taken", F.lit(True))
+    marked = named.join(taken, ["key", "start", "end", "order"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
+    upto = Window.partitionBy("key").orderBy("end", "order").rowsBetween(Window.unboundedPreceding, 0)
+    counted = marked.withColumn("best", F.sum(F.col("taken").cast("int")).over(upto))
+    # how many ends lie before a start
+    ends = named.select("key", F.col("end").alias("at"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("start"))
+    asked = named.select("key", F.col("start").alias("at"), F.lit(0).alias("n"), "start").distinct()
+    order_ = Window.partitionBy("key").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, 0)
+    before = ends.union(asked).withColumn("before", F.sum("n").over(order_)).filter("start is not null").select("key", "start", "before")
+    out = counted.join(before, ["key", "start"])
+    return out.select(F.col("key").cast(kinds[key]).alias(key), F.col("start").cast(kinds["start"]).alias("start"), F.col("end").cast(kinds["end"]).alias("end"), F.col("order").alias(order), F.col("best").cast("long").alias("best"), F.col("before").cast("long").alias("before"), "taken")

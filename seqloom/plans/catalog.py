@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -247,6 +248,38 @@ def interval_greedy(spark, sf):
     return designer.disjoint_intervals(spans, "gene_id")
 
 
+_WIDE = {arity: dataclasses.replace(base, inner_gap=gap) for arity, base, gap in ((2, designer.DUAL, 40), (3, designer.TRIPLE, 35))}
+
+
+@register(f"{Q.GENES}, {Q.designed_nested(_WIDE[2])} SELECT gene_id, set_id, start, left_end, right_start, right_end, left_seq, right_seq FROM designed", recursive=True)
+def dual_design_wide_gap(spark, sf):
+    return designer.design(derived.genes(spark, sf), _WIDE[2]).select("gene_id", "set_id", "start", "left_end", "right_start", "right_end", "left_seq", "right_seq")
+
+
+@register(f"{Q.GENES}, {Q.designed_nested(_WIDE[3])} SELECT gene_id, set_id, start, left_end, middle_end, right_start, right_end, left_seq, right_seq FROM designed", recursive=True)
+def triple_design_wide_gap(spark, sf):
+    return designer.design(derived.genes(spark, sf), _WIDE[3]).select("gene_id", "set_id", "start", "left_end", "middle_end", "right_start", "right_end", "left_seq", "right_seq")
+
+
+@register(
+    f"""{Q.GENES}, {Q.candidates(designer.DUAL)}, listed AS (SELECT gene_id, start, start + len AS "end", row_number() OVER (PARTITION BY gene_id ORDER BY md5(start || '-' || len)) AS place FROM candidates),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY gene_id ORDER BY "end", place) AS i FROM listed),
+ led AS (SELECT a.*, (SELECT count(*) FROM listed b WHERE b.gene_id = a.gene_id AND b."end" < a.start) AS before FROM ranked a),
+ table_ AS (SELECT gene_id, 1::bigint AS i, [1]::bigint[] AS best FROM led WHERE i = 1 UNION ALL
+  SELECT t.gene_id, l.i, list_append(t.best, greatest(t.best[t.i], 1 + CASE WHEN l.before > 0 THEN t.best[l.before] ELSE 0 END)) FROM table_ t JOIN led l ON l.gene_id = t.gene_id AND l.i = t.i + 1),
+ solved AS (SELECT gene_id, arg_max(best, i) best, max(i) n FROM table_ GROUP BY 1),
+ back AS (SELECT gene_id, n AS i, -1::bigint AS took FROM solved UNION ALL
+  SELECT b.gene_id, CASE WHEN b.i = 1 OR s.best[b.i] <> s.best[b.i - 1] THEN l.before ELSE b.i - 1 END, CASE WHEN b.i = 1 OR s.best[b.i] <> s.best[b.i - 1] THEN b.i ELSE -1 END
+  FROM back b JOIN solved s USING (gene_id) JOIN led l ON l.gene_id = b.gene_id AND l.i = b.i WHERE b.i > 0)
+ SELECT l.gene_id, l.start, l."end", l.place, s.best[l.i] best, l.before, k.took IS NOT NULL taken FROM led l JOIN solved s USING (gene_id) LEFT JOIN back k ON k.gene_id = l.gene_id AND k.took = l.i""",
+    recursive=True,
+)
+def interval_schedule(spark, sf):
+    found = designer.candidates(derived.genes(spark, sf)).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end"), F.md5(F.concat_ws("-", "start", "len")).alias("by"))
+    listed = found.withColumn("place", F.row_number().over(Window.partitionBy("gene_id").orderBy("by"))).drop("by")
+    return designer.scheduled_intervals(written(listed), "gene_id", "place")
+
+
 # ---- off-target evidence
 
 

@@ -125,6 +125,24 @@ def designed(config) -> str:
  designed AS (SELECT f.*, w.i set_id FROM walk w JOIN feasible f ON f.gene_id = w.gene_id AND f.start = w.start WHERE w.i > 0)"""
 
 
+def designed_nested(config) -> str:
+    """CTE designed: a literal walk over the positions of each gene with the list of bases in use, for gaps that hold sets."""
+    triple, gap, low, reach = config.arity == 3, config.inner_gap, config.min_length, config.max_length
+    free = lambda p: f"list_reduce(list_prepend({p}, used), lambda p, u: CASE WHEN u // 1000000 < p + {reach} AND p < u % 1000000 THEN u % 1000000 ELSE p END)"
+    inner = 'm."end"' if triple else 'l."end"'
+    probe = lambda t: rc(f"{t}.w")
+    together = dimer([probe("l"), *([probe("m")] if triple else []), probe("r")], config.min_complementary_length)
+    middle = f"""LEFT JOIN named m ON m.gene_id = k.gene_id AND m.start = l."end" AND {free('l."end"')} = l."end" AND NOT {dimer([probe("l"), probe("m")], config.min_complementary_length)}""" if triple else ""
+    return f"""{candidates(config)}, named AS (SELECT f.*, substr(g.seq, CAST(f.start + 1 AS int), CAST(f."end" - f.start AS int)) w FROM firsts f JOIN genes g USING (gene_id)),
+ walk AS (SELECT gene_id, length(seq)::bigint n, 0::bigint AS pos, []::bigint[] AS used, 0::bigint AS number, -1::bigint AS start, -1::bigint AS left_end, -1::bigint AS middle_end, -1::bigint AS right_start, -1::bigint AS right_end FROM genes
+ UNION ALL SELECT gene_id, n, CASE WHEN ok THEN left_end ELSE pos + 1 END, CASE WHEN ok THEN list_sort(list_filter(list_concat(used, [start * 1000000 + middle_end, right_start * 1000000 + right_end]), lambda u: u % 1000000 > left_end)) ELSE used END,
+  number + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN start ELSE -1 END, left_end, middle_end, right_start, right_end
+  FROM (SELECT k.gene_id, k.n, k.pos, k.used, k.number, l.start, l."end" left_end, {inner} middle_end, r.start right_start, r."end" right_end, coalesce(r.start IS NOT NULL AND NOT {together}, false) ok
+   FROM walk k LEFT JOIN named l ON l.gene_id = k.gene_id AND l.start = {free('k.pos')} {middle}
+   LEFT JOIN named r ON r.gene_id = k.gene_id AND {inner} + {gap} < k.n - {low} AND r.start = {free(f'{inner} + {gap}')} WHERE k.pos < k.n - 3 * {low})),
+ designed AS (SELECT w.gene_id, w.number set_id, w.start, w.left_end, {'w.middle_end,' if triple else ''} w.right_start, w.right_end, {probe('l')} left_seq, {probe('r')} right_seq FROM walk w JOIN named l ON l.gene_id = w.gene_id AND l.start = w.start JOIN named r ON r.gene_id = w.gene_id AND r.start = w.right_start WHERE w.start >= 0)"""
+
+
 def hits(probes: str) -> str:
     """CTE hits for a CTE ``probes`` (probe_seq)."""
     return f"""seeds AS (SELECT probe_seq, i - 1 AS p, substr(probe_seq, i, 10) k FROM (SELECT DISTINCT probe_seq, unnest(range(1, length(probe_seq) - 8)) i FROM {probes})),

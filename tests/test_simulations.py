@@ -2,9 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import bridge, curation, designer, selection
+from seqloom.operators import bridge, curation, designer, orbits, selection
 
 
 def scan(feasible, n, least):
@@ -45,6 +46,98 @@ def test_accept_follows_the_walk(spark):
     assert got == want
 
 
+def nested_scan(window, n, gap, triple, low=15, reach=20):
+    """The walk with its set of used positions, as a loop."""
+    used, out, pos = set(), [], 0
+
+    def find(p):
+        while p <= n - low:
+            if not used.intersection(range(p, p + reach)):
+                return (p, window[p]) if p in window else None
+            p += 1
+        return None
+
+    while pos < n - 3 * low:
+        left = find(pos)
+        middle = left and triple and (find(left[1]) if not used.intersection(range(left[1], left[1] + reach)) else None)
+        last = middle if triple else left
+        right = find(last[1] + gap) if last and last[1] + gap < n - low else None
+        if not right:
+            pos += 1
+            continue
+        out.append((left[0], left[1], last[1], *right))
+        for a, b in (left, *([middle] if triple else []), right):
+            used.update(range(a, b))
+        pos = left[1]
+    return out
+
+
+@pytest.mark.parametrize("triple", [False, True])
+def test_nested_scan_follows_the_walk(spark, triple):
+    rng = random.Random(8 + triple)
+    for gap in (0, 7, 19, 20, 25, 33, 40):
+        windows, genes, want = [], [], {}
+        for gene in range(25):
+            n = rng.randint(60, 400)
+            seq = "A" * n  # no dimers
+            found = {p: p + rng.randint(15, 20) for p in range(n - 20) if rng.random() < 0.6}
+            windows += [(gene, p, e, seq[p:e]) for p, e in found.items()]
+            genes.append((gene, seq))
+            want[gene] = nested_scan(found, n, gap, triple)
+        config = designer.Config(inner_gap=gap, arity=3 if triple else 2)
+        rows = designer.accept_nested(spark.createDataFrame(windows, "gene_id long, start int, end int, w string"), spark.createDataFrame(genes, "gene_id long, seq string"), config).orderBy("gene_id", "set_id").collect()
+        got = {g: [] for g in want}
+        for r in rows:
+            got[r.gene_id].append((r.start, r.left_end, r.middle_end if triple else r.left_end, r.right_start, r.right_end))
+        assert got == want
+        if gap > 25 and not triple:
+            assert any(b[0] < a[3] for v in want.values() for a, b in zip(v, v[1:]))  # sets start inside others
+
+
+def test_orbits_over_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(orbits, "TILE", 16)
+    rng, nodes, first, want = random.Random(4), [], [], set()
+    for key in "abc":
+        at = sorted(rng.sample(range(3000), 900 if key != "c" else 3))
+        jump = {p: next((q for q in at if q >= p + rng.choice([1, 5, 90])), None) for p in at}
+        nodes += [(key, p, q) for p, q in jump.items()]
+        p = at[rng.randrange(3)]
+        first.append((key, p))
+        while p is not None:
+            want.add((key, p))
+            p = jump[p]
+    got = orbits.orbit(spark.createDataFrame(nodes, "key string, pos long, next long"), spark.createDataFrame(first, "key string, pos long"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 150
+
+
+def scheduled(rows):
+    """The dynamic program with its table, search and way back. rows: (start, end, place)."""
+    rows = sorted(rows, key=lambda r: (r[1], r[2]))
+    before = [sum(e < s for _, e, _ in rows) for s, _, _ in rows]
+    best = []
+    for i, b in enumerate(before):
+        best.append(max(best[i - 1] if i else 0, 1 + (best[b - 1] if b else 0)))
+    i, taken = len(rows) - 1, set()
+    while i >= 0:
+        if i == 0 or best[i] != best[i - 1]:
+            taken.add(i)
+            i = before[i] - 1
+        else:
+            i -= 1
+    return [(*r, best[i], before[i], i in taken) for i, r in enumerate(rows)]
+
+
+def test_schedules_follow_the_dynamic_program(spark):
+    rng, rows, want = random.Random(12), [], []
+    for key in range(30):
+        mine = [(s, s + rng.randint(0, 9), i) for i, s in enumerate(rng.choices(range(60), k=rng.randint(1, 50)))]
+        rows += [(key, *r) for r in mine]
+        want += [(key, *r) for r in scheduled(mine)]
+    got = designer.scheduled_intervals(spark.createDataFrame(rows, "gene_id long, start int, end int, place int"), "gene_id", "place")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def close(a, b, d=15):
     return any(not (x[1] < y[0] - d or y[1] < x[0] - d) for x in a for y in b)
 
