@@ -58,7 +58,7 @@ BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 20
 #: Words that a task lays out in arrays at once (a longer text is laid out alone).
 CHUNK = 125_000
 #: Words whose edges a task merges and deals over the buckets at once.
-DEALT = 500_000
+DEALT = 250_000
 
 _BLOCK = "bucket int, n int, label binary, doc binary, row binary, start binary, count binary, before binary, after binary, print binary, more binary, flags binary"
 #: What a bucket returns: aliases, occurrences of pieces in larger documents, pieces.
