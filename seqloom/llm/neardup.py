@@ -17,11 +17,11 @@ members are compared with leaders by the exact similarity of their weighted shin
 are the connected components.  A bucket that still holds several classes mixed texts that are
 similar, but not enough; its nodes go on to finer buckets, of two and then three
 bands joined, with leaders of their own.  That costs n comparisons a level for a bucket of n texts
-and joins most of what is similar.  The band buckets that even then hold several classes are finished
-exactly: every two of their texts that are in different classes are compared, in blocks of ``BLOCK`` texts
-dealt over the tasks, each pair in the first bucket that it shares.  So two similar texts are in one class
-unless they share no band at all, at the threshold 3e-6; only texts that share bands but are not similar
-can cost n * n comparisons.
+and joins most of what is similar.  The texts of band buckets that
+even then hold several classes are finished by a prefix-filtered join, exact among them: elements ordered by rarity, the
+first ones of the smaller text against the first ones of the larger, sizes bounded, candidates verified.  So two
+similar texts are in one class unless they share no band at all, at the threshold 3e-6.  Texts that share bands but are
+not similar differ first of all in elements of their own, which meet nobody, so a family of them costs what its elements do.
 
 Edge cases: a text of 1 to ``size - 1`` words is one shingle; a text without words
 (null, empty, blank) is in a class of its own; rows that share a doc_id are in one
@@ -47,8 +47,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Levels of buckets (bands joined in a key), and the distances of the bands that are joined.
 LEVELS, STEPS = 3, (1, 5, 11)
-#: Texts of an open bucket that a task compares with as many others.
-BLOCK = 256
 #: Shingles that a task lays out in arrays at once.
 CHUNK = 100_000
 _GOLDEN = U(0x9E3779B97F4A7C15)
@@ -200,65 +198,42 @@ def _similar(edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(verify, "a long, b long")
 
 
-def _links(nodes: list, labels: list, own: list, band: int, bands: list, items: list, least: float) -> list[tuple[int, int]]:
-    """Links that join the classes of some texts of one bucket, of blocks ``own``: of two blocks only pairs across,
-    and no pair that shares an earlier band, as that is compared there."""
-    sets = [np.frombuffer(x, np.uint32) for x in items]
-    size, block = np.array([len(x) for x in sets]), np.array(own)
-    across = block.min() < block.max()
-    label = np.unique(np.array(labels), return_inverse=True)[1]
-    earlier = np.array([b[:band] for b in bands], np.int64).reshape(len(nodes), band)
-    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ids = np.split(ids, np.cumsum(size)[:-1])
-    mark, out = np.zeros(len(words), bool), []
-    for i in range(len(nodes) - 1):
-        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-9]
-        if across:
-            j = j[block[j] != block[i]]
-        j = j[~(earlier[j] == earlier[i]).any(axis=1)]
-        if not len(j):
-            continue
-        mark[ids[i]] = True
-        both = np.add.reduceat(mark[np.concatenate([ids[k] for k in j])], np.cumsum(size[j]) - size[j], dtype=np.int64)
-        mark[ids[i]] = False
-        for k in j[both >= least * (size[i] + size[j] - both) - 1e-9]:
-            if label[k] != label[i]:
-                out.append((nodes[i], nodes[k]))
-                label[label == label[k]] = label[i]
-    return out
-
-
-def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float, size: int = BLOCK) -> DataFrame:
-    """The edges (a, b) that still join classes, after comparing all texts of different classes that share a band."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def linked() -> list[tuple[int, int]]:
-            node, label, own, bands, items = zip(*held, strict=True)
-            return _links(node, label, own, key[3], bands, items, least) if len(held) > 1 else []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _elements(members: DataFrame) -> DataFrame:
+    """node, label, size, token: every element of the nodes (node, label, items)."""
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for bucket, lo, hi, band, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, lo, hi, band) != key:
-                    found += linked() if held else []
-                    key, held = (bucket, lo, hi, band), []
-                held.append(row)
-            yield out(found)
-        if held:
-            yield out(linked())
-
-    buckets = nodes.select("node", "bands", F.posexplode("bands").alias("band", "bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = cut(buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket", F.ceil(F.col("n") / size).cast("int").alias("blocks")))
-    members = cut(buckets.join(mixed, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")))
-    each = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    laid = each.join(sets, "node").select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "band", "node", "label", "own", "bands", "items")
-    return laid.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(compare, "a long, b long")
+            found = [np.frombuffer(x.as_py(), np.uint32) for x in batch.column(2)]
+            if not found:
+                continue
+            size = np.array([len(x) for x in found])
+            of = pa.array(np.repeat(np.arange(len(found)), size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(np.concatenate(found).view(np.int32))], ["node", "label", "size", "token"])
+
+    return members.select("node", "label", "items").mapInArrow(explode, "node long, label long, size int, token int")
+
+
+def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The similar pairs (a, b) of different classes among the nodes of buckets that hold several classes.
+
+    Elements are ordered by rarity.  Of a pair at the threshold, the smaller text shares one of its first
+    ``n - ceil(2 * least / (1 + least) * n) + 1`` elements with the first ``m - ceil(least * m) + 1`` of the larger; texts that differ in
+    more than that differ there in elements of their own, which meet nobody.  Elements that one class alone holds keep
+    their place in the order and are not joined."""
+    buckets = nodes.select("node", F.explode("bands").alias("bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
+    members = cut(buckets.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(sets, "node"))
+    each = _elements(members)
+    common = each.groupBy("token").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("across")).filter("n > 1")
+    met = each.join(common, "token").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", "across"))).alias("tokens"))
+    # an element of a text's own is rarer than all of these
+    own = F.col("size") - F.size("tokens")
+    first = lambda share: F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9).cast("int") + 1 - own
+    reach = cut(met.withColumn("smaller", first(2 * least / (1 + least))).withColumn("larger", first(least)).filter("larger > 0").select("node", "label", "size", "smaller", F.posexplode(F.slice("tokens", 1, F.col("larger"))).alias("at", "x")).select("node", "label", "size", (F.col("at") < F.col("smaller")).alias("first"), "x.token", "x.across").filter("across").drop("across"))
+    x, y = (reach.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size")], "token", *["first"] * (side == "x")) for side in "xy")
+    fits = (F.col("label_x") != F.col("label_y")) & (F.struct("size_x", "node_x") < F.struct("size_y", "node_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9)
+    pairs = x.filter("first").join(y, "token").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    return _similar(cut(pairs), sets, least)
 
 
 def components(edges: DataFrame) -> DataFrame:

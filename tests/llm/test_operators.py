@@ -175,8 +175,44 @@ def test_near_duplicates_among_unlike_relatives(spark):
     sets = neardup._sets(frame, frame.select(F.col("doc_id").alias("node")), 5)
     nodes = frame.select(F.col("doc_id").alias("node"), F.array(F.lit(7).cast("long")).alias("bands"))
     alone = frame.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
-    edges = neardup._finish(nodes, alone, sets, 0.8, 20).collect()  # one bucket of 13 blocks
-    assert {(min(e), max(e)) for e in edges} == {(i, 1000 - i) for i in range(130)}
+    edges = neardup._finish(nodes, alone, sets, 0.8).collect()  # one bucket
+    assert sorted((min(e), max(e)) for e in edges) == [(i, 1000 - i) for i in range(130)]
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8, 0.93])
+def test_finish_is_exact_among_its_texts(spark, similarity):
+    """Few elements, many sizes and similarities on either side of the threshold; some texts are in one class already."""
+    rng = random.Random(int(similarity * 100))
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(90)}" for _ in range(rng.randint(6, 120))]
+        for _ in range(6):
+            one = base[: rng.randint(max(5, int(0.6 * len(base))), len(base))]
+            for _ in range(rng.randint(0, 3)):
+                one[rng.randrange(len(one))] = f"w{rng.randrange(90)}"
+            texts.append(one)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets = neardup._sets(frame, frame.select(F.col("doc_id").alias("node")), 5)
+    nodes = frame.select(F.col("doc_id").alias("node"), F.array(F.lit(7).cast("long")).alias("bands"))
+    label = {i: i - i % 6 if i % 6 < 2 else i for i in range(len(texts))}
+    counts = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if label[i] != label[j] and (counts[i] & counts[j]).total() >= similarity * (counts[i] | counts[j]).total() - 1e-9}
+    edges = neardup._finish(nodes, spark.createDataFrame(list(label.items()), "node long, label long"), sets, similarity).collect()
+    assert len(edges) == len(want) and {(min(e), max(e)) for e in edges} == want and len(want) > 5
+
+
+def test_a_family_below_the_threshold_makes_no_pairs(spark, monkeypatch):
+    rng, seen = random.Random(10), []
+    verify = neardup._similar
+    monkeypatch.setattr(neardup, "_similar", lambda pairs, *rest: seen.append(pairs.count()) or verify(pairs, *rest))
+    base = [f"w{i}" for i in range(304)]
+    for n in (60, 240):
+        frame = spark.createDataFrame([(i, " ".join(changed(rng, base, 10, f"c{i}"))) for i in range(n)], "doc_id long, text string")
+        sets = neardup._sets(frame, frame.select(F.col("doc_id").alias("node")), 5)
+        nodes = frame.select(F.col("doc_id").alias("node"), F.array(F.lit(7).cast("long")).alias("bands"))
+        alone = frame.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label"))
+        assert neardup._finish(nodes, alone, sets, 0.8).collect() == []
+    assert seen == [0, 0]
 
 
 def test_weights_count(spark):
