@@ -172,14 +172,16 @@ def choose(sets, wanted):
     return [s[0] for s in chain]
 
 
-def test_selection_follows_the_loop(spark):
-    rng, rows, want = random.Random(5), [], {}
+@pytest.mark.parametrize("gap", [5, 90])
+def test_selection_follows_the_loop(spark, gap):
+    """Sets apart from each other, and sets that lie in each other's gaps."""
+    rng, rows, want = random.Random(gap), [], {}
     for gene in range(40):
         sets = []
         for i in range(rng.randint(1, 14)):
             a = rng.randint(0, 500)
             b = a + rng.randint(15, 20)
-            c = b + rng.randint(0, 5)
+            c = b + rng.randint(0, gap if gene % 2 else 5)
             sets.append((i + 1, [(a, b), (c, c + rng.randint(15, 20))], float(rng.randint(0, 9))))
         sets.sort(key=lambda s: (s[1][0][0], s[0]))
         want[gene] = sorted(choose(sets, 4))
