@@ -7,6 +7,7 @@ id below every other (:data:`NO_ID`) and is returned as null again.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only in local mode, where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -67,6 +68,11 @@ def own_id(name: str = "doc_id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")
 
 
+def every(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 #: A column that tells the rows of a table apart.
 NUMBER = "__seqloom_number"
 

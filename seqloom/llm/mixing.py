@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBER, cut, numbered, words
+from .common import NUMBER, cut, every, numbered, words
 
 #: Weights and phase rates by source rank, repeating.
 WEIGHTS = (5, 2, 1)
@@ -115,5 +115,5 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[S
     says, also where several share a doc_id."""
     rows = numbered(docs)
     taken = _placed(rows, [NUMBER], weights, schedules, cap, share).filter("n_copies > 0").select(NUMBER, F.col("positions").alias("__seqloom_positions"))
-    copies = rows.join(taken, NUMBER).select(*docs.columns, F.explode("__seqloom_positions").alias("__seqloom_position"))
+    copies = rows.join(taken, NUMBER).select(*every(docs), F.explode("__seqloom_positions").alias("__seqloom_position"))
     return copies.repartitionByRange("__seqloom_position", "doc_id").sortWithinPartitions("__seqloom_position", "doc_id").drop("__seqloom_position")

@@ -66,3 +66,12 @@ def test_stages_keep_rows_apart_that_share_an_id(spark, sf_dir):
     frame = spark.createDataFrame([(1, passage, 5), (1, "clean " * 30, 5), (None, passage, 5), (None, "also clean", 5)], "doc_id long, text string, row int")
     kept = corpus_pipeline.decontaminate(spark, frame, sf_dir).collect()
     assert {(r.doc_id, r.text, r.row) for r in kept} == {(1, "clean " * 30, 5), (None, "also clean", 5)}
+
+
+def test_stages_keep_columns_with_awkward_names(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").limit(60).selectExpr("*", "doc_id AS `x.y`", "'a' AS `b``c`", "1 AS size").cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() > 0
+        if name != "shard":
+            assert out.columns == docs.columns and all(r["doc_id"] == r["x.y"] for r in out.collect())
