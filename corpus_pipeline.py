@@ -10,20 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, mixing, neardup, quality, sharding
-from seqloom.llm.common import NUMBER, cut, numbered, row_id, table
+from seqloom.llm.common import NUMBER, cut, every, numbered, row_id, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned decision list rejects go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judged(docs, rules).filter("__seqloom_kept").select(*docs.columns)
+    return quality.judged(docs, rules).filter("__seqloom_kept").select(*every(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the least doc_id of each near-duplicate class stays, and no other."""
     rows = numbered(docs)
     first = neardup.classes(rows.withColumn("doc_id", F.col(NUMBER))).filter("doc_id = class_id").select(F.col("doc_id").alias(NUMBER))
-    return rows.join(first, NUMBER, "left_semi").select(*docs.columns)
+    return rows.join(first, NUMBER, "left_semi").select(*every(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
