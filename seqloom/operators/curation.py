@@ -52,12 +52,20 @@ def checked(records: DataFrame, clean_headers: bool = True, uppercase: bool = Tr
 
 
 def format_records(records: DataFrame, filter_invalid: bool = True, deduplicate: bool = True, compat_drop: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The formatted records (id, seq) and one row of counts: total, invalid, kept, removed, kind."""
+    """The formatted records (id, seq, ord) and one row of counts: total, invalid, kept, removed, kind.
+
+    Of equal ids the last sequence wins at the first one's place; then, if asked for, the longest of a base id's at the place where
+    the base id is first met.  ord orders them so.  kind is that of most records, invalid ones too."""
     rows = checked(records).filter(F.length("seq") > 0)
     rows = drop_after_invalid(rows) if compat_drop else rows
     valid = rows.filter("not invalid") if filter_invalid else rows
-    kept = longest_variant(valid).select(F.col("base_id").alias("id"), "seq") if deduplicate else valid.groupBy("id").agg(F.max_by("seq", "ord").alias("seq"))
-    tally = rows.agg(F.count("*").alias("total"), F.sum(F.col("invalid").cast("int")).alias("invalid"), F.sum((~F.col("invalid") & (F.col("kind") == "NT")).cast("int")).alias("nt"), F.sum((~F.col("invalid") & (F.col("kind") == "AA")).cast("int")).alias("aa"))
+    named = valid.groupBy("id").agg(F.max_by("seq", "ord").alias("seq"), F.min("ord").alias("ord"))
+    kept = named
+    if deduplicate:
+        best = F.min_by("seq", F.struct(-F.length("seq"), F.col("ord")))
+        kept = named.groupBy(base_gene_id("id").alias("id")).agg(best.alias("seq"), F.min("ord").alias("ord"))
+    tally = rows.agg(F.count("*").alias("total"), F.sum(F.col("invalid").cast("int")).alias("invalid"), F.sum((F.col("kind") == "NT").cast("int")).alias("nt"), F.sum((F.col("kind") == "AA").cast("int")).alias("aa"))
     kind = F.when(F.col("nt") > F.col("aa"), "NT").when(F.col("aa") > F.col("nt"), "AA").otherwise("Mixed")
-    stats = tally.join(F.broadcast(kept.agg(F.count("*").alias("kept")))).select("total", "invalid", "kept", (F.col("nt") + F.col("aa") - F.col("kept")).alias("removed"), kind.alias("kind"))
-    return kept, stats
+    # one row each
+    sizes = tally.join(F.broadcast(kept.agg(F.count("*").alias("kept")))).join(F.broadcast(named.agg(F.count("*").alias("ids"))))
+    return kept, sizes.select("total", "invalid", "kept", (F.col("ids") - F.col("kept")).alias("removed"), kind.alias("kind"))

@@ -30,16 +30,16 @@ def exact(requests: DataFrame, *libraries: DataFrame) -> DataFrame:
 def fuzzy(requests: DataFrame, reference: DataFrame) -> DataFrame:
     """locus, ref_id, seq: for requests without an exact hit, the first reference id that contains the locus.
 
-    Containment has no equi-key, so requests are reduced to distinct names first and the
-    names meet the ids by their trigrams where they have one; only candidate pairs are tested."""
-    names = requests.filter("seq is null").select("locus").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("id") - 2, F.lit(1))), lambda i: F.substring(F.col("id"), i, F.lit(3))))
-    ids = reference.select(F.col("id").alias("ref_id"), "seq", "ord", F.explode(grams).alias("gram"))
-    long_ = names.filter(F.length("locus") >= 3).withColumn("gram", F.substring("locus", F.length("locus") - 2, F.lit(3)))
-    pairs = long_.join(ids, "gram").drop("gram")
-    short = names.filter(F.length("locus") < 3).join(reference.select(F.col("id").alias("ref_id"), "seq", "ord"), F.contains("ref_id", "locus"))
-    hits = pairs.filter(F.contains("ref_id", "locus")).unionByName(short)
-    return hits.groupBy("locus").agg(F.min_by(F.struct("ref_id", "seq"), "ord").alias("b")).select("locus", "b.ref_id", "b.seq")
+    The pieces of an id that are as long as some name are its keys, so a name of any length meets the ids that contain it in
+    an equi-join, and nothing else."""
+    names = requests.filter("seq is null and locus is not null").select("locus").distinct()
+    lengths = [r[0] for r in names.select(F.length("locus")).distinct().collect()]  # no more than an id has letters, or they match none
+    size = F.length("id")
+    pieces = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("id"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
+    index = reference.select(F.col("id").alias("ref_id"), "ord", F.explode(keys).alias("locus"))
+    first = index.join(names, "locus").groupBy("locus").agg(F.min_by("ref_id", F.struct("ord", "ref_id")).alias("ref_id"), F.min("ord").alias("ord"))
+    return first.join(reference.select(F.col("id").alias("ref_id"), "seq", "ord"), ["ref_id", "ord"]).select("locus", "ref_id", "seq")
 
 
 def resolve(requests: DataFrame, aliases: DataFrame, coding: DataFrame, transcript: DataFrame, reference: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..functions import sql as sql_names
 from ..functions.thermo import NN3, NN4, is_valid_probe, tm
 from ..operators import assembly, batch, bridge, curation, designer, expression, generator, hits, kmers, offtarget, resolution, selection
 from ..sources import derived, readers, writers
-from ..sources.scratch import scratch_dir, written
+from ..sources.scratch import numbered, scratch_dir, written
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,14 @@ def probe_valid(spark, sf):
     return derived.bridge(spark, sf).select("bp_id", is_valid_probe("seq").alias("valid"))
 
 
+@register(f"""{Q.BRIDGE} SELECT bp_id, {Q.rc('seq')} rc, round({Q.gc('seq')}, 4) gc_percent, round({Q.tm('seq', NN3)}, 4) nn3, round({Q.tm('seq', NN4)}, 4) nn4, length(seq) BETWEEN 17 AND 20 AND {Q.gc('seq')} BETWEEN 40 AND 60 AND {Q.tm('seq')} BETWEEN 47 AND 53 AND {Q.poly_ok('seq', 4)} AS valid,
+ {Q.comp_local('seq', 'seq', 5)} pairs, regexp_matches(seq, '^[GC]') junction, ord::int AS number FROM bridge""")
+def sql_functions(spark, sf):
+    sql_names.register(spark)
+    derived.bridge(spark, sf).createOrReplaceTempView("seqloom_bridge")
+    return spark.sql("SELECT bp_id, reverse_complement(seq) rc, round(gc_percent(seq), 4) gc_percent, round(tm_nn3(seq), 4) nn3, round(tm_nn4(seq), 4) nn4, is_valid_probe(seq) valid, has_complementarity(seq, seq, 5) pairs, gc_junction(seq) junction, bp_number(bp_id) number FROM seqloom_bridge")
+
+
 _REASONS = f"""concat_ws('；', CASE WHEN NOT regexp_full_match(seq,'[ATCG]+') THEN '序列包含非法字符' END, CASE WHEN NOT length(seq) BETWEEN 17 AND 20 THEN printf('长度不符合要求: %dbp', length(seq)) END,
  CASE WHEN NOT {Q.gc('seq')} BETWEEN 40 AND 60 THEN printf('GC含量不适合: %.1f%%', {Q.gc('seq')}) END, CASE WHEN NOT {Q.tm('seq')} BETWEEN 47 AND 53 THEN printf('Tm值不适合: %.1f°C', {Q.tm('seq')}) END,
  CASE WHEN NOT ({Q.poly_ok('seq', 4)}) THEN '存在4个以上连续碱基' END)"""
@@ -488,8 +497,8 @@ def variant_shortest(spark, sf):
     return curation.shortest_isoform(derived.isoforms(spark, sf))
 
 
-_FORMAT = "valid AS (SELECT *, " + Q.BASE_ID + " base_id FROM rows WHERE bad = ''), formatted AS (SELECT base_id id, seq FROM (SELECT *, row_number() OVER (PARTITION BY base_id ORDER BY length(seq) DESC, ord) r FROM valid) WHERE r = 1)"
-_STATS = "SELECT count(*) total, count(*) FILTER (bad <> '') invalid, (SELECT count(*) FROM formatted) kept, count(*) FILTER (bad = '') - (SELECT count(*) FROM formatted) removed, CASE WHEN count(*) FILTER (bad = '' AND kind = 'NT') > count(*) FILTER (bad = '' AND kind = 'AA') THEN 'NT' WHEN count(*) FILTER (bad = '' AND kind = 'NT') < count(*) FILTER (bad = '' AND kind = 'AA') THEN 'AA' ELSE 'Mixed' END kind FROM rows"
+_FORMAT = "named AS (SELECT id, arg_max(seq, ord) seq, min(ord) ord FROM rows WHERE bad = '' GROUP BY 1), valid AS (SELECT *, " + Q.BASE_ID + " base_id FROM named), formatted AS (SELECT base_id id, seq, met FROM (SELECT *, min(ord) OVER (PARTITION BY base_id) met, row_number() OVER (PARTITION BY base_id ORDER BY length(seq) DESC, ord) r FROM valid) WHERE r = 1)"
+_STATS = "SELECT count(*) total, count(*) FILTER (bad <> '') invalid, (SELECT count(*) FROM formatted) kept, (SELECT count(*) FROM named) - (SELECT count(*) FROM formatted) removed, CASE WHEN count(*) FILTER (kind = 'NT') > count(*) FILTER (kind = 'AA') THEN 'NT' WHEN count(*) FILTER (kind = 'NT') < count(*) FILTER (kind = 'AA') THEN 'AA' ELSE 'Mixed' END kind FROM rows"
 
 
 @register(f"{Q.RECORDS}, {Q.CHECKED}, rows AS (SELECT * FROM checked WHERE length(seq) > 0), {_FORMAT} {_STATS}")
@@ -499,7 +508,13 @@ def format_stats(spark, sf):
 
 @register(f"{Q.RECORDS}, {Q.CHECKED}, rows AS (SELECT * FROM checked WHERE length(seq) > 0), {_FORMAT} SELECT id, seq FROM formatted")
 def format_records(spark, sf):
-    return curation.format_records(derived.records(spark, sf))[0]
+    return curation.format_records(derived.records(spark, sf))[0].select("id", "seq")
+
+
+@register(f"{Q.RECORDS}, {Q.CHECKED}, rows AS (SELECT * FROM checked WHERE length(seq) > 0), {_FORMAT} SELECT row_number() OVER (ORDER BY met) AS place, id, seq FROM formatted")
+def format_order(spark, sf):
+    """In order of first mention, numbered range by range."""
+    return numbered(curation.format_records(derived.records(spark, sf))[0], "ord", "place").select("place", "id", "seq")
 
 
 @register(
@@ -595,9 +610,102 @@ def filter_stage_counts(spark, sf):
     return generator.stage_counts(generator.screen(derived.bridge(spark, sf), min_tm=45.0, max_tm=52.0))
 
 
+@register(
+    f"""pool AS (SELECT DISTINCT substr({Q.dna('cast(p_partkey AS varchar)')}, 1, CAST(24 + p_partkey % 2 AS int)) seq, 0 AS part FROM part), wanted AS (SELECT count(*) n FROM part),
+ drawn AS (SELECT substr({Q.dna("'7-' || i || '-0'")}, 1, 25) seq, 1 AS part FROM (SELECT unnest(range(0, n * 4)) i FROM wanted)),
+ screened AS (SELECT seq, part, {_STAGE('seq')} stage FROM (SELECT * FROM pool WHERE length(seq) = 25 UNION ALL SELECT * FROM drawn))
+ SELECT seq, round({Q.tm('seq', NN3)}, 2) tm, round({Q.gc('seq', '1.0')}, 2) gc FROM screened WHERE stage = 'valid' ORDER BY part, seq LIMIT (SELECT n FROM wanted)"""
+)
+def generator_pool(spark, sf):
+    """As many probes as the table of parts has rows: those of its own that pass, then random ones."""
+    parts = derived.read(spark, sf, "part")
+    own = parts.select(F.substring(derived.dna(F.col("p_partkey").cast("string")), F.lit(1), (24 + F.col("p_partkey") % 2).cast("int")).alias("seq")).distinct()
+    return generator.generate(spark, parts.count(), existing=own, seed=7, factor=4, min_tm=45.0, max_tm=52.0)
+
+
+@register(f"{Q.BRIDGE} SELECT bp_id, round({Q.gc('seq')}, 4) gc_upper, NOT regexp_matches(mixed, '[^ATCG]') is_dna, mixed = upper(mixed) is_upper FROM (SELECT *, CASE WHEN ord % 3 = 0 THEN lower(seq) WHEN ord % 5 = 0 THEN seq || 'N' ELSE seq END mixed FROM bridge)")
+def check_letters(spark, sf):
+    mixed = F.when(F.col("ord") % 3 == 0, F.lower("seq")).when(F.col("ord") % 5 == 0, F.concat("seq", F.lit("N"))).otherwise(F.col("seq"))
+    rows = derived.bridge(spark, sf).withColumn("mixed", mixed)
+    return rows.select("bp_id", F.round(S.gc_percent_upper(F.lower("seq")), 4).alias("gc_upper"), S.is_dna("mixed").alias("is_dna"), (F.col("mixed") == F.upper("mixed")).alias("is_upper"))
+
+
 # ---- sources and sinks: written, and read again
 
 
+@register(f"{Q.GENES} SELECT 'SYM' || gene_id AS symbol, 'ÅL' || gene_id AS locus FROM genes WHERE gene_id % 3 = 0")
+def io_gene_alias(spark, sf):
+    path = _file(spark)
+    rows = derived.aliases(spark, sf).select(F.concat_ws("\t", F.concat(F.lit("å"), F.lower("locus")), F.lower("symbol"), F.lit("more")))
+    rows.write.option("encoding", "ISO-8859-1").option("compression", "gzip").csv(path, sep="\x01", quote="", escape="")
+    return readers.gene_alias(spark, path)
+
+
+@register(f"{Q.BRIDGE} SELECT seq FROM bridge WHERE ord % 4 <> 1")
+def io_existing_probes(spark, sf):
+    path = _file(spark)
+    line = F.when(F.col("ord") % 4 == 0, F.concat_ws(" ", "seq", "bp_id")).when(F.col("ord") % 4 == 1, F.concat(F.lit("# "), "seq")).when(F.col("ord") % 4 == 2, F.concat(F.lit("  "), "seq", F.lit("\t60.0\t0.5\n\n"))).otherwise(F.col("seq"))
+    derived.bridge(spark, sf).select(line).write.text(path)
+    return readers.existing_probes(spark, path)
+
+
+@register(f"{Q.BRIDGE} SELECT bp_id AS probe_id, seq FROM bridge")
+def io_probe_csv(spark, sf):
+    path = _file(spark)
+    derived.bridge(spark, sf).select(F.concat(F.lit(" "), "bp_id").alias("Name, or id"), F.concat("seq", F.lit(" ")).alias("Sequence"), F.lit("x").alias("note")).write.option("header", True).csv(path)
+    return readers.probe_csv(spark, path)
+
+
+@register(f"{_RANKED} SELECT gene_id, CAST(set_id AS int) id, left_seq, right_seq, CAST(start AS int) AS left_start, CAST(left_end AS int) left_end, CAST(right_start AS int) right_start, CAST(right_end AS int) right_end, quality::double AS score FROM ranked", recursive=True)
+def io_probe_sets(spark, sf):
+    """One nested document a gene, over many lines."""
+    path = _file(spark)
+    probe = lambda side, a, b: F.struct(F.col(f"{side}_seq").alias("sequence"), F.struct(F.col(a).alias("start"), F.col(b).alias("end")).alias("position"))
+    one = F.struct(F.col("set_id").alias("id"), probe("left", "start", "left_end").alias("left_probe"), probe("right", "right_start", "right_end").alias("right_probe"), F.struct(F.col("score").cast("string").alias("quality_score")).alias("evaluation"))
+    documents = _ranked(spark, sf).groupBy("gene_id").agg(F.collect_list(one).alias("probe_sets"))
+    text = F.regexp_replace(F.to_json(F.struct("probe_sets")), ",", ",\n")
+    documents.select("gene_id", text.alias("value")).repartition("gene_id").write.partitionBy("gene_id").text(path)
+    sets = readers.probe_sets(spark, f"{path}/gene_id=*", "_metadata.file_path")
+    at = lambda i, c: F.get("intervals", F.lit(i))[c]
+    return sets.select(F.regexp_extract("source", "gene_id=([0-9]+)", 1).cast("long").alias("gene_id"), "id", F.col("left_probe.sequence").alias("left_seq"), F.col("right_probe.sequence").alias("right_seq"), at(0, "start").alias("left_start"), at(0, "end").alias("left_end"), at(1, "start").alias("right_start"), at(1, "end").alias("right_end"), "score")
+
+
+@register(f"{Q.BRIDGE} SELECT DISTINCT bp_id AS id FROM bridge WHERE ord % 3 = 0 UNION SELECT unnest(['BP_00000', 'extra', 'BP_00001'])")
+def io_id_list(spark, sf):
+    path = _file(spark)
+    ids = derived.bridge(spark, sf).filter("ord % 3 = 0")
+    ids.select(F.concat(F.lit(" "), "bp_id")).union(ids.select("bp_id")).write.text(path)
+    return readers.id_list(spark, path, "BP_00000, extra,,BP_00001, extra").select("id")
+
+
+@register(f"{Q.GENES}, {Q.BRIDGE}, {Q.designed(designer.DUAL)}, oligos AS (SELECT 'T' || d.gene_id AS task, b.bp_id, d.left_seq || '{assembly.ANCHOR}' || '{assembly.DUAL_TAIL}' left_oligo, '{assembly.DUAL_HEAD}' || {_FREE} || {_ARM} || d.right_seq right_oligo FROM designed d JOIN bridge b ON b.ord = d.gene_id) SELECT task || '-L' AS name, left_oligo AS oligo FROM oligos UNION ALL SELECT task || '-R-' || bp_id, right_oligo FROM oligos", recursive=True)
+def io_oligo_csv(spark, sf):
+    path = _file(spark)
+    writers.oligo_csv(assembly.dual_oligos(_bridged(spark, sf, designer.DUAL), assembly.free_base(F.col("task"))), path)
+    return spark.read.option("header", True).csv(path).select("name", "oligo")
+
+
+@register(f"{Q.GENES}, {Q.COUNTS}, {_TPM} SELECT CAST(gene_id AS varchar) gene_id, printf('%.2f', round(tpm, 2)) tpm FROM tpms")
+def io_tpm_csv(spark, sf):
+    path = _file(spark)
+    writers.tpm_csv(_tpm(spark, sf).select("gene_id", F.format_string("%.2f", F.round("tpm", 2)).alias("tpm")), path)
+    return spark.read.option("header", True).csv(path).select("gene_id", "tpm")
+
+
+@register(f"{Q.BRIDGE} SELECT seq, printf('%.2f', round({Q.tm('seq', NN3)}, 2)) tm, printf('%.2f', round({Q.gc('seq', '1.0')}, 2)) gc FROM bridge")
+def io_pool_tsv(spark, sf):
+    path = _file(spark)
+    writers.pool_tsv(derived.bridge(spark, sf).select("seq", F.round(tm("seq", NN3), 2).alias("tm"), F.round(S.gc_fraction("seq"), 2).alias("gc")), path)
+    return spark.read.csv(path, sep="\t").toDF("seq", "tm", "gc")
+
+
+@register(f"{Q.BRIDGE} SELECT bp_id AS id, bp_id || ' GC=' || printf('%.2f', round({Q.gc('seq')}, 2)) || '% Tm=' || printf('%.2f', round({Q.tm('seq')}, 2)) || '°C' AS header, lower(seq) seq FROM bridge")
+def io_annotated_fasta(spark, sf):
+    path = _file(spark)
+    writers.fasta(derived.bridge(spark, sf).withColumn("seq", F.lower("seq")), path, header="bp_id", annotate=writers.annotation("seq"))
+    return readers.fasta(spark, path).select("id", "header", "seq")
+
+
 def _file(spark) -> str:
     return scratch_dir(spark)
 

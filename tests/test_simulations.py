@@ -218,3 +218,32 @@ def test_independent_set_is_greedy(spark):
     frame = spark.createDataFrame(probes, "bp_id string, seq string, ord long")
     got = bridge.independent_set(frame, frame.filter(F.col("ord") == 0), k=4)
     assert sorted(r.bp_id for r in got.collect()) == want
+
+
+def test_formatted_records_keep_the_order_of_first_mention(spark):
+    """Of equal ids the last sequence at the first place; of a base id's the longest where the base id is first met."""
+    rng = random.Random(15)
+    rows = [(f"{rng.choice('ABCDEF')}{rng.choice(['', '.1', '.2', '-3'])} note", "".join(rng.choice("ACGT") for _ in range(rng.randint(3, 9))), i) for i in range(60)]
+    last, groups = {}, {}
+    for header, seq, _ in rows:
+        last[header.split(" ")[0]] = seq
+    for name, seq in last.items():
+        groups.setdefault(name.split(".")[0].split("-")[0], []).append((name, seq))
+    want = [(base, max(v, key=lambda x: len(x[1]))[1]) for base, v in groups.items()]
+    kept, stats = curation.format_records(spark.createDataFrame(rows, "header string, seq string, ord long"))
+    assert [(r.id, r.seq) for r in kept.orderBy("ord").collect()] == want
+    assert stats.first().removed == len(last) - len(groups)
+    plain, _ = curation.format_records(spark.createDataFrame(rows, "header string, seq string, ord long"), deduplicate=False)
+    assert [(r.id, r.seq) for r in plain.orderBy("ord").collect()] == list(last.items())
+
+
+def test_names_of_any_length_meet_the_first_id_that_contains_them(spark):
+    from seqloom.operators import resolution
+
+    rng = random.Random(16)
+    ids = [("".join(rng.choice("AB1.") for _ in range(rng.randint(1, 12))), f"seq{i}", i) for i in range(150)]
+    names = sorted({"".join(rng.choice("AB1.") for _ in range(rng.randint(1, 6))) for _ in range(120)} | {"", "A" * 40})
+    want = {n: next((i, s) for i, s, _ in ids if n in i) for n in names if any(n in i for i, _, _ in ids)}
+    found = resolution.fuzzy(spark.createDataFrame([(n, None) for n in names] + [("B", "known"), (None, None)], "locus string, seq string"), spark.createDataFrame(ids, "id string, seq string, ord long"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.locus: (r.ref_id, r.seq) for r in found.collect()} == want and {len(n) for n in want} >= {0, 1, 2, 3}
