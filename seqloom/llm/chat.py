@@ -8,8 +8,9 @@ keys, with keys twice, with NaN or infinite numbers, nested too deep, without ca
 Calls and results are hash-joined by (conv_id, identifier).  A call that names
 other calls in its arguments as ``"${id}"`` comes after their results, a result right after its
 call.  Its level is the length of its longest chain of needs: conversations of up to ``LINKS`` needs are ordered each in
-a task; in larger ones needs are joined to what is done, round by round over written tables, and a need of a call that
-has one need alone is replaced by that one, so that a chain halves with each round.  Only calls on a cycle, and those that
+a task; larger ones are cut in parts of ``LINKS`` calls by turn, and in each round over written tables every part orders
+what it can from what is done, and a need of a call that has one need alone is replaced by that one, so that a
+chain halves with each round and a conversation that needs what came before takes a round a part.  Only calls on a cycle, and those that
 need one, are ``cyclic`` and keep their own turn.  Arguments are checked against the
 tool's schema.  Every piece becomes one canonical JSON message: keys sorted, no
 spaces, text unescaped (but lone surrogates).
@@ -49,7 +50,7 @@ SCHEMAS: dict[str, dict] = {
 _NEEDS = re.compile(r"\$\{([^{}]+)\}")
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 _SURROGATE = re.compile("[\ud800-\udfff]")
-#: Needs of a conversation that one task orders.
+#: Needs of a conversation that one task orders; calls of a part of a larger one.
 LINKS = 100_000
 
 
@@ -186,18 +187,44 @@ def _order(block: pa.Table) -> pa.Table:
     return pa.table({"conv": pa.array([conv] * len(calls), pa.string()), "call_id": pa.array(calls, pa.string()), "at": pa.array([at[c] for c in calls], pa.int64()), "level": pa.array([level.get(c, 0) for c in calls], pa.int32()), "cyclic": pa.array([c not in level for c in calls], pa.bool_())})
 
 
+def _order_part(block: pa.Table) -> pa.Table:
+    """Turn and level of the calls of one part of a conversation whose needs are done or become so within it, given as
+    (conv, call_id, at, need, steps, over, need_at, need_level): ``steps`` calls lie between a call and a need, ``over`` at most
+    their turn."""
+    at, needs, waiting, known = {}, {}, {}, {}
+    for call, own, need, steps, over, need_at, level in zip(*(block.column(c).to_pylist() for c in ("call_id", "at", "need", "steps", "over", "need_at", "need_level")), strict=True):
+        at[call] = own
+        needs.setdefault(call, []).append((need, steps, over))
+        waiting.setdefault(need, []).append(call)
+        if level is not None:
+            known[need] = level, need_at
+    open_ = {c: sum(n not in known for n, _, _ in x) for c, x in needs.items()}
+    ready, placed = [c for c, n in open_.items() if not n], []
+    while ready:
+        c = ready.pop()
+        turns = [at[c], *(x for n, _, over in needs[c] for x in (over, known[n][1]))]
+        known[c] = max(known[n][0] + steps for n, steps, _ in needs[c]), max((t for t in turns if t is not None), default=None)
+        placed.append(c)
+        for later in waiting.get(c, ()):
+            open_[later] -= 1
+            if not open_[later]:
+                ready.append(later)
+    conv = block.column("conv")[0].as_py()
+    return pa.table({"conv": pa.array([conv] * len(placed), pa.string()), "call_id": pa.array(placed, pa.string()), "at": pa.array([known[c][1] for c in placed], pa.int64()), "level": pa.array([known[c][0] for c in placed], pa.int32())})
+
+
 def _order_large(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """The same for conversations of any size, in rounds. ``calls``: conv, call_id, at; ``edges``: conv, call_id, need."""
     edges = cut(edges.select("conv", "call_id", "need", F.lit(1).alias("steps"), F.lit(None).cast("long").alias("over")))
     linked = edges.select("conv", "call_id").distinct()
     done = cut(calls.join(edges.select("conv", F.col("need").alias("call_id")).distinct(), ["conv", "call_id"], "left_semi").join(linked, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0)))
-    left = cut(calls.join(linked, ["conv", "call_id"], "left_semi"))
+    place = F.row_number().over(Window.partitionBy("conv").orderBy("at", "call_id")) - 1
+    left = cut(calls.join(linked, ["conv", "call_id"], "left_semi").withColumn("part", F.floor(place / LINKS)))
     # a chain is folded after so many rounds: what frees no call for longer is a cycle
     patience = idle = math.ceil(math.log2(edges.count() + 2)) + 1
     while idle and not left.isEmpty():
-        met = edges.join(done.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"), F.col("level").alias("need_level")), ["conv", "need"], "left")
-        ready = met.groupBy("conv", "call_id").agg(F.max(F.greatest("over", "need_at")).alias("need_at"), F.max(F.col("need_level") + F.col("steps")).alias("level"), F.min(F.col("need_level").isNotNull()).alias("met")).filter("met")
-        new = cut(left.join(ready, ["conv", "call_id"]).select("conv", "call_id", F.greatest("at", "need_at").alias("at"), "level"))
+        met = edges.join(done.select("conv", F.col("call_id").alias("need"), F.col("at").alias("need_at"), F.col("level").alias("need_level")), ["conv", "need"], "left").join(left, ["conv", "call_id"])
+        new = cut(met.groupBy("conv", "part").applyInArrow(_order_part, "conv string, call_id string, at long, level int"))
         idle = idle - 1 if new.isEmpty() else patience
         done, left = cut(done.unionByName(new)), cut(left.join(new, ["conv", "call_id"], "left_anti"))
         edges = edges.join(new, ["conv", "call_id"], "left_anti")

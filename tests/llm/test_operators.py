@@ -735,6 +735,25 @@ def test_chat_orders_calls(spark, monkeypatch, links):
     assert [(r.conv_id, r.at, r.level) for r in got] == sorted((r.conv_id, r.at, r.level) for r in got)
 
 
+def test_chat_orders_ladders_and_crossing_chains(spark, monkeypatch):
+    """Every call needs the two before it, and two chains whose links cross between parts."""
+    call = lambda i, *needs: json.dumps({"tool_calls": [{"id": i, "name": "q", "arguments": {"v": [f"${{{n}}}" for n in needs]}}]})
+    turns = [(1, i, "assistant", call(f"c{i}", *(f"c{k}" for k in (i - 2, i - 1) if k >= 0))) for i in range(48)]
+    for i in range(60):
+        one, other = ("a", "b") if i % 3 else ("b", "a")
+        turns.append((2, i, "assistant", call(f"a{i}", *([f"{one}{i - 1}"] if i else []), *([f"b{i - 5}"] if i >= 5 else []))))
+        turns.append((2, 100 - i, "assistant", call(f"b{i}", *([f"{other}{i - 1}"] if i else []))))
+    monkeypatch.setattr(chat, "LINKS", 10)
+    rounds, whole = [], chat._order_part
+    monkeypatch.setattr(chat, "_order_part", lambda block: whole(block))
+    cut_ = chat.cut
+    monkeypatch.setattr(chat, "cut", lambda df: rounds.append(1) or cut_(df))
+    got = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    want = brute_levels(turns)
+    assert {(r.conv_id, json.loads(r.message)["tool_call"]["id"]): (r.status, r.level, r.at) for r in got} == want
+    assert [r.level for r in got if r.conv_id == 1] == list(range(48)) and len(rounds) < 4 * 25
+
+
 def test_chat_loses_no_text(spark):
     texts_ = [
         ("user", '{"tool_calls":[],"note":"keep me"}'), ("user", '{"tool_calls":[{"id":"a","name":"q"}]}'), ("assistant", '{"tool_calls":[{"id":"a","name":"q","extra":1}]}'),
