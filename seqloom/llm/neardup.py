@@ -218,8 +218,9 @@ def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float)
 
     Elements are ordered by rarity.  Of a pair at the threshold, the smaller text shares one of its first
     ``n - ceil(2 * least / (1 + least) * n) + 1`` elements with the first ``m - ceil(least * m) + 1`` of the larger; texts that differ in
-    more than that differ there in elements of their own, which meet nobody.  Elements that one class alone holds keep
-    their place in the order and are not joined."""
+    more than that differ there in elements of their own, which meet nobody.  At the first element that two texts share, as much
+    must be left of both as the threshold asks for.  Elements that one class alone holds keep their place in the order
+    and are not joined."""
     buckets = nodes.select("node", F.explode("bands").alias("bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
     members = cut(buckets.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(sets, "node"))
@@ -229,10 +230,14 @@ def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float)
     # an element of a text's own is rarer than all of these
     own = F.col("size") - F.size("tokens")
     first = lambda share: F.col("size") - F.ceil(F.lit(share) * F.col("size") - 1e-9).cast("int") + 1 - own
-    reach = cut(met.withColumn("smaller", first(2 * least / (1 + least))).withColumn("larger", first(least)).filter("larger > 0").select("node", "label", "size", "smaller", F.posexplode(F.slice("tokens", 1, F.col("larger"))).alias("at", "x")).select("node", "label", "size", (F.col("at") < F.col("smaller")).alias("first"), "x.token", "x.across").filter("across").drop("across"))
-    x, y = (reach.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size")], "token", *["first"] * (side == "x")) for side in "xy")
+    reached = met.withColumn("own", own).withColumn("smaller", first(2 * least / (1 + least))).withColumn("larger", first(least)).filter("larger > 0")
+    listed = reached.select("node", "label", "size", "own", "smaller", F.posexplode(F.slice("tokens", 1, F.col("larger"))).alias("at", "x"))
+    reach = cut(listed.filter("x.across").select("node", "label", F.col("size") - F.col("own") - F.col("at"), "size", (F.col("at") < F.col("smaller")).alias("first"), "x.token").toDF("node", "label", "rest", "size", "first", "token"))
+    x, y = (reach.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "rest")], "token", *["first"] * (side == "x")) for side in "xy")
+    # nothing before their first common element is shared, so what is left of both must be enough
+    enough = F.least("rest_x", "rest_y") >= F.ceil(F.lit(least / (1 + least)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
     fits = (F.col("label_x") != F.col("label_y")) & (F.struct("size_x", "node_x") < F.struct("size_y", "node_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9)
-    pairs = x.filter("first").join(y, "token").filter(fits).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+    pairs = x.filter("first").join(y, "token").filter(fits & enough).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     return _similar(cut(pairs), sets, least)
 
 
