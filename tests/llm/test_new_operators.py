@@ -271,10 +271,16 @@ def test_toxicity_of_awkward_rows(spark):
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
-def test_the_sample_is_bounded(spark, monkeypatch):
-    rows, seen = labelled(spark, n=200), []
-    monkeypatch.setattr(toxicity, "EPOCHS", 1)
-    for most in (5000, 10**6):
-        laid = toxicity._laid(rows, rows, 50)
-        seen.append((laid.count(), len(toxicity.fit(rows, rows, 50, most).hashes)))
-    assert seen[0][0] == seen[1][0] == 50
+def test_the_sample_is_bounded_and_whole(spark, monkeypatch):
+    """So many rows and features at most, in the order of a hash, whole rows, and the same ones however the tables are dealt."""
+    rows = labelled(spark, n=300)
+    train = toxicity.train
+    laid = toxicity._laid(rows, rows, 50).orderBy(toxicity.F.xxhash64("doc_id")).collect()
+    assert len(laid) == 50 and not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in laid)
+    size = [r.n for r in laid]
+    assert [len(r.features) // 8 for r in laid] == size
+    most = sum(size[:20]) + size[20] - 1  # the next row does not fit
+    weights = [toxicity.fit(f, f, 50, most) for f in (rows, rows.repartition(7))]
+    want = train([np.frombuffer(r.features, np.uint64) for r in laid[:20]], [r.label for r in laid[:20]])
+    for w in weights:
+        assert w.bias == want.bias and (w.hashes == want.hashes).all() and (w.values == want.values).all()

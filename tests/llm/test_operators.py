@@ -309,6 +309,39 @@ def test_covering_finds_a_conjunction():
     assert rules and {("symbols", "above", 2.5), ("upper", "at most", 1.5)} <= set(rules[0].terms)
 
 
+def test_covering_orders_three_rules_and_prunes_a_term():
+    """Three kinds of bad texts, the first needing two terms; a term that luck suggests among the rows to grow on is pruned on the
+    others."""
+    rng = random.Random(6)
+    cells = Counter()
+    for n in range(9000):
+        bins = [rng.randrange(5) for _ in quality.FEATURES]
+        held = rng.random() < 0.33
+        one, two, three = bins[0] > 2 and bins[1] <= 1, bins[2] > 3, bins[4] > 3 and n % 2
+        if bins[4] > 3 and not n % 2:
+            bins[4] = 0
+        bad = one or two or three
+        if two and not one and not three and bins[5] > 2 and rng.random() < 0.15:
+            bad = held  # good ones among the rows to grow on alone
+        cells[(tuple(bins), held, bool(bad))] += 1
+    keys = sorted({(b, h) for b, h, _ in cells})
+    counted = [(b, h, cells[b, h, True], cells[b, h, False]) for b, h in keys]
+    edges = {f: [0.5, 1.5, 2.5, 3.5] for f in quality.FEATURES}
+    rules = quality.cover(counted, edges)
+    assert {r.terms if len(r.terms) == 1 else frozenset(r.terms) for r in rules} == {(("marks", "above", 3.5),), (("repeats", "above", 3.5),), frozenset({("symbols", "above", 2.5), ("upper", "at most", 1.5)})}
+    # without rows to prune on, the lucky term stays
+    grown = quality.cover([(b, False, x, y) for b, h, x, y in counted if not h] + [(b, True, x, y) for b, h, x, y in counted if not h], edges)
+    assert any(("marks", "above", 3.5) in r.terms and ("word_len", "at most", 2.5) in r.terms for r in grown)
+    # each rule judges what the ones before it leave
+    left, seen = counted, []
+    for r in rules:
+        fits = lambda b, r=r: all((b[quality.FEATURES.index(f)] > t) == (way == "above") for f, way, t in r.terms)
+        inside = [c for c in left if fits(c[0])]
+        seen.append(sum(c[2] for c in inside) / sum(c[2] + c[3] for c in inside))
+        left = [c for c in left if not fits(c[0])]
+    assert len(rules) == 3 and min(seen) > 0.9 and sum(c[2] for c in left) == 0
+
+
 def test_quality_measures(spark, docs, rows):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.score(docs, labels).collect()
@@ -400,6 +433,24 @@ def test_extraction_generalises():
     assert right / total > 0.97
 
 
+_LAYOUTS = {
+    "blog": ("""<html><head><title>My blog</title><style>p{}</style></head><body><div id="header"><a href="/">My blog</a><ul class="menu"><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></div>
+<div class="post"><h2>A walk along the river</h2><div class="entry-content"><p>We set out early in the morning, when the mist still lay over the water and nobody else was about.</p><ul><li>Bring good shoes and something to drink for the whole day.</li></ul></div></div>
+<div class="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b> says: Nice walk!</div><form><input name=a><button>Send</button></form></div><div class="sidebar"><h4>Recent posts</h4><ul><li><a href="/1">Cooking soup</a></li></ul></div><div id="footer">Copyright 2020 My blog. <a href="/p">Privacy</a></div></body></html>""",
+             "A walk along the river We set out early in the morning, when the mist still lay over the water and nobody else was about. Bring good shoes and something to drink for the whole day."),
+    "main": ("""<!doctype html><html><body><div class="cookie-banner">We use cookies to improve your visit. <button>Accept</button></div><header><nav><a href=/>Start</a><a href=/shop>Shop</a></nav></header><main><h1>How bees find their way home</h1><p>Bees learn the look of the land around their hive on short flights, and remember it for the rest of their lives.</p><div class="ad">Advertisement: buy honey now!</div><p>When the sun is hidden they read the pattern of light in the sky, which tells them where it stands.</p></main><aside><h2>Related</h2><a href=/r1>Wasps</a></aside><footer><p>Imprint</p></footer></body></html>""",
+             "How bees find their way home Bees learn the look of the land around their hive on short flights, and remember it for the rest of their lives. When the sun is hidden they read the pattern of light in the sky, which tells them where it stands."),
+    "story": ("""<html><body><div class="page"><div class="topnav"><span>Login</span> <span>Subscribe</span></div><div id="story"><h1>Old ships</h1><div>Wooden ships were built by eye, and every yard had its own way of bending planks over steam.</div><blockquote>A ship is never finished, said the last master of the yard.</blockquote></div><div class="share">Share on: <a href=#>Mail</a> <a href=#>Print</a></div><div class="related"><a href=/z>More stories</a></div></div></body></html>""",
+              "Old ships Wooden ships were built by eye, and every yard had its own way of bending planks over steam. A ship is never finished, said the last master of the yard."),
+}
+
+
+@pytest.mark.parametrize("layout", sorted(_LAYOUTS))
+def test_extraction_of_layouts_without_an_article(layout):
+    page, want = _LAYOUTS[layout]
+    assert extraction.default_tagger().text(page) == want
+
+
 def test_blocks_of_pages_with_omitted_end_tags():
     text = lambda page: [b.text for b in html_blocks.blocks(page)]
     assert text("<html><head><title>t</title><script>x='<p>'</script><body><article><p>One<p>two</article>") == ["One", "two"]
