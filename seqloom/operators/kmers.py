@@ -61,7 +61,7 @@ def repeat_kmers(genes: DataFrame, k: int = 8, least: int = 2) -> DataFrame:
 
 
 def most_frequent_kmer(probes: DataFrame, background: DataFrame, k: int = 9, key: str = "bp_id") -> DataFrame:
-    """key, kmer, cnt: a probe's k-mer with the highest background count, ties to the least; NA, 0 if it has none."""
+    """key, kmer, cnt, a row a key: the k-mer of its rows with the highest background count, ties to the least; NA, 0 if it has none."""
     own = probes.select(key, F.explode(F.array_distinct(kmers(F.upper("seq"), k))).alias("kmer"))
     best = own.join(background, "kmer", "left").groupBy(key).agg(F.min_by(F.struct("kmer", F.coalesce("cnt", F.lit(0)).alias("cnt")), F.struct(-F.coalesce("cnt", F.lit(0)), F.col("kmer"))).alias("b"))
-    return probes.select(key).join(best, key, "left").select(key, F.coalesce("b.kmer", F.lit("NA")).alias("kmer"), F.coalesce("b.cnt", F.lit(0)).cast("long").alias("cnt"))
+    return probes.select(key).distinct().join(best, key, "left").select(key, F.coalesce("b.kmer", F.lit("NA")).alias("kmer"), F.coalesce("b.cnt", F.lit(0)).cast("long").alias("cnt"))

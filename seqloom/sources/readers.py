@@ -13,9 +13,9 @@ from .scratch import written
 _LINE_BITS, PIECE = 33, 4096
 
 
-def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _records(lines: DataFrame, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Records of FASTA lines (file, block, line, value), as a segmented scan: names (record, id, header, ord) and
-    pieces (record, offset, piece) of the records that stay, of equal ids the last one at the first one's place.
+    pieces (record, offset, piece) of the records that stay, of equal ids the last one at the first one's place, or ``every`` one.
 
     A header is ``>`` at a line's start.  Each range of a file numbers its bases behind its own headers; the table of
     ranges, one row each, carries the open record and its bases so far to the lines before a range's first header."""
@@ -35,7 +35,7 @@ def _records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     full = placed.join(carried, ["file", "block"]).withColumn("record", F.when(F.col("own").isNotNull(), record("own")).otherwise(F.col("carried")))
     headers = full.filter("header is not null").select("record", F.get(F.split("header", r"\s+"), F.lit(0)).alias("id"), "header")
-    names = headers.groupBy("id").agg(F.max_by(F.struct("record", "header"), "record").alias("x"), F.min("record").alias("ord")).select("x.record", "id", "x.header", "ord")
+    names = headers.select("record", "id", "header", F.col("record").alias("ord")) if every else headers.groupBy("id").agg(F.max_by(F.struct("record", "header"), "record").alias("x"), F.min("record").alias("ord")).select("x.record", "id", "x.header", "ord")
     pieces = full.filter("piece is not null and record is not null").select("record", (F.col("at") + F.when(F.col("own").isNull(), F.col("carried_bases")).otherwise(0)).alias("offset"), "piece")
     return names, pieces
 
@@ -51,10 +51,11 @@ def _whole(names: DataFrame, pieces: DataFrame) -> DataFrame:
     return names.join(pieces.groupBy("record").agg(joined.alias("seq")), "record", "left").select("id", "header", F.coalesce("seq", F.lit("")).alias("seq"), "ord")
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
+def fasta(spark: SparkSession, path: str, every: bool = False) -> DataFrame:
     """id, header, seq, ord: a row holds a whole sequence. ord rises with a record's place in the files; of equal ids the
-    last sequence wins, at the first one's place.  Lines before the first header are none's."""
-    return _whole(*_records(_lines(spark, path)))
+    last sequence wins, at the first one's place, but ``every`` record stays where that is asked for.  Lines before the first
+    header are none's."""
+    return _whole(*_records(_lines(spark, path), every))
 
 
 def fasta_pieces(spark: SparkSession, path: str) -> DataFrame:
