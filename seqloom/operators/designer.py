@@ -5,20 +5,23 @@ chain from s (left, then middle, then right after the inner gap) and do not dime
 scan accepts feasible starts in order, each at or behind the end of the set before: an orbit of pointers from
 start to start, walked tile by tile.
 
-Windows are expressions over substrings of a row, so enumeration and filtering shuffle nothing; the
-self-joins are equi-joins on (gene, position).
+A block of a sequence holds all windows and sets that start in it, so they are enumerated, tested and chained block by
+block, in arrays, and shuffle nothing; the k-mers of sequences longer than a block alone are shuffled, to find repeats.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequence import gc_junction, gc_percent, has_dimer, once, poly_n_ok, reverse_complement
-from ..functions.thermo import NN4, Table, pair_values, tm_of_pairs
+from ..functions.sequence import gc_junction, once, reverse_complement
+from ..functions.thermo import GAS, NN4, SALT, STRANDS, Table, pair_values
 from ..sources.scratch import spread, written
 from .kmers import BLOCK, blocks, explode_kmers, repeat_kmers
 from .orbits import orbit
@@ -70,14 +73,6 @@ def windows(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     return sized.filter(F.col("len") <= F.length("piece")).select("gene_id", "start", "len", once(F.substring("piece", F.lit(1), F.col("len")), "w"), "at", "values")
 
 
-def _thermodynamic(w: DataFrame, config: Config) -> DataFrame:
-    """Cheap predicates first; temperature behind them."""
-    cheap = w.filter(gc_percent("w").between(config.gc_min, config.gc_max) & poly_n_ok("w", config.poly_n))
-    heat = tm_of_pairs(F.slice("values", F.col("at") + 1, F.col("len") - 1), F.substring("w", 1, 1), F.right("w", F.lit(1)), F.col("len"), config.table)
-    warm = cheap.select("gene_id", "start", "len", "w", once(heat, "tm"))
-    return warm.filter(F.col("tm").between(config.tm_min, config.tm_max))
-
-
 def _first_repeat(genes: DataFrame, config: Config) -> DataFrame:
     """gene_id, start, repeat: the first repeated k-mer at or after ``start``, where one is in reach of a window."""
     k, reach = config.kmer_size, config.max_length - config.kmer_size
@@ -86,15 +81,172 @@ def _first_repeat(genes: DataFrame, config: Config) -> DataFrame:
     return near.groupBy("gene_id", "start").agg(F.min("pos").alias("repeat"))
 
 
+def _laid(genes: DataFrame, config: Config, reach: int) -> DataFrame:
+    """gene_id, n, offset, b, repeated: the blocks of the genes and where they hold repeated k-mers; null where a block is the
+    whole gene, which tells them itself.  The k-mers of longer genes alone are shuffled."""
+    k, width = config.kmer_size, BLOCK + reach - 1
+    cut = spread(blocks(genes.select("gene_id", "seq", F.length("seq").alias("n")), reach, "gene_id", "n"), "gene_id", "offset")
+    long_ = genes.filter(F.length("seq") > BLOCK)
+    found = explode_kmers(long_, k, "gene_id").join(repeat_kmers(long_, k, config.min_kmer_count), ["gene_id", "kmer"], "left_semi")
+    first = F.greatest(F.ceil((F.col("pos") + k - width) / BLOCK), F.lit(0)).cast("int")
+    near = found.select("gene_id", "pos", F.explode(F.sequence(first, F.floor(F.col("pos") / BLOCK).cast("int"))).alias("block"))
+    marks = near.groupBy("gene_id", (F.col("block") * BLOCK).alias("offset")).agg(F.collect_list(F.col("pos") - F.col("block") * BLOCK).alias("repeated"))
+    whole = cut.filter(F.col("n") <= BLOCK).withColumn("repeated", F.lit(None).cast("array<int>"))
+    rest = cut.filter(F.col("n") > BLOCK).join(marks, ["gene_id", "offset"], "left").withColumn("repeated", F.coalesce("repeated", F.array().cast("array<int>")))
+    return whole.unionByName(rest.select(*whole.columns))
+
+
+#: Blocks that a task works on at once.
+_ROWS = 256
+_LETTER = np.full(256, -1, np.int64)
+_LETTER[list(b"ACGT")] = range(4)
+
+
+def _codes(letters: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for the k-mer at each place of the rows, and for its reverse complement."""
+    n = max(letters.shape[1] - k + 1, 0)
+    code, other = np.zeros((len(letters), n), np.int64), np.zeros((len(letters), n), np.int64)
+    for i in range(k):
+        code += letters[:, i : i + n] << (2 * (k - 1 - i))
+        other += (3 - letters[:, i : i + n]) << (2 * i)
+    return code, other
+
+
+class _Windows:
+    """The windows of some blocks, in arrays: a row a block, a column a start."""
+
+    def __init__(self, texts: list[bytes], repeated: list[list[int] | None], config: Config) -> None:
+        self.config, self.size = config, np.array([len(t) for t in texts])
+        wide = max(int(self.size.max()), config.max_length)
+        self.bytes = np.frombuffer(b"".join(t.ljust(wide, b"A") for t in texts), np.uint8).reshape(len(texts), wide)
+        self.letters = _LETTER[self.bytes]
+        if (self.letters < 0).any():
+            raise ValueError("a sequence to design on has letters other than ACGT")
+        self.repeat = self._repeats(repeated)
+        since = lambda x: np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(x, axis=1, dtype=np.int64)], axis=1)
+        self.gc = since((self.letters == 1) | (self.letters == 2))
+        known = dict(config.table.pairs) | {reverse: v for p, v in config.table.pairs.items() for reverse in [p[::-1].translate(str.maketrans("ACGT", "TGCA"))]}
+        pair = self.letters[:, :-1] * 4 + self.letters[:, 1:]
+        self.heat, self.entropy = (since(np.array([known[a + b][i] for a in "ACGT" for b in "ACGT"])[pair]) for i in (0, 1))
+        runs = np.ones((len(texts), max(wide - config.poly_n + 1, 0)), bool)
+        for i in range(1, config.poly_n):
+            runs &= self.letters[:, i : i + runs.shape[1]] == self.letters[:, : runs.shape[1]]
+        self.runs = since(runs)
+
+    def _repeats(self, repeated: list[list[int] | None]) -> np.ndarray:
+        """How many repeated k-mers start before each place."""
+        k = self.config.kmer_size
+        code, other = _codes(self.letters, k)
+        marks = np.zeros(code.shape, bool)
+        for i, places in enumerate(repeated):
+            if places is not None:
+                marks[i, places] = True
+            elif self.size[i] >= k:
+                own = code[i, : self.size[i] - k + 1]
+                kinds, at, n = np.unique(own, return_index=True, return_counts=True)
+                often = n >= self.config.min_kmer_count
+                if often.any():
+                    marks[i, : len(own)] = np.isin(own, np.concatenate([kinds[often], other[i, at[often]]]))
+        return np.concatenate([np.zeros((len(marks), 1), np.int64), np.cumsum(marks, axis=1)], axis=1)
+
+    def valid(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which starts have a window of this length that passes every test, and its temperature."""
+        c, n = self.config, self.letters.shape[1] - length + 1
+        within = lambda total, size: total[:, length - size + 1 : length - size + 1 + n] - total[:, :n]
+        gc = within(self.gc, 1) * 100.0 / length
+        ok = (np.arange(n) + length <= self.size[:, None]) & (gc >= c.gc_min) & (gc <= c.gc_max)
+        if length >= c.poly_n:
+            ok &= within(self.runs, c.poly_n) == 0
+        if length >= c.kmer_size:
+            ok &= within(self.repeat, c.kmer_size) == 0
+        weak = (self.letters[:, :n] % 3 == 0).astype(np.int64) + (self.letters[:, length - 1 : length - 1 + n] % 3 == 0)  # ends of A or T
+        end = lambda i: weak * c.table.end_at[i] + (2 - weak) * c.table.end_gc[i] + c.table.start[i]
+        heat, entropy = within(self.heat, 2) + end(0), within(self.entropy, 2) + end(1)
+        tm = 1000.0 * (heat / 10.0) / ((entropy / 10.0 + 0.368 * (length - 1) * math.log(SALT)) + GAS * math.log(STRANDS)) - 273.15
+        return ok & (tm >= c.tm_min) & (tm <= c.tm_max), tm
+
+    def ends(self) -> np.ndarray:
+        """The end of the shortest valid window at each start; 0 without one."""
+        out = np.zeros(self.letters.shape, np.int64)
+        for length in range(self.config.max_length, self.config.min_length - 1, -1):
+            ok, _ = self.valid(length)
+            out[:, : ok.shape[1]] = np.where(ok, np.arange(ok.shape[1]) + length, out[:, : ok.shape[1]])
+        return out
+
+    def texts(self, row: np.ndarray, start: np.ndarray, end: np.ndarray, turned: bool = False) -> pa.Array:
+        """The bases from ``start`` to ``end``, or their reverse complements."""
+        size = end - start
+        step = np.arange(int(size.max()) if len(size) else 0)
+        at = end[:, None] - 1 - step if turned else start[:, None] + step
+        inside = step < size[:, None]
+        found = self.bytes[row[:, None], np.where(inside, at, 0)]
+        if turned:
+            found = np.frombuffer(bytes.maketrans(b"ACGT", b"TGCA"), np.uint8)[found]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(found[inside].tobytes())])
+
+    def dimers(self, row: np.ndarray, probes: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which sets of windows have halves, or two windows, that pair over the least complementary length."""
+        m = self.config.min_complementary_length
+        code, other = _codes(self.letters, m)
+        step = np.arange(max(self.config.max_length - m + 1, 0))
+
+        def meet(a, b, c, d):
+            x, y = a[:, None] + step, c[:, None] + step
+            left = np.where(x <= b[:, None] - m, other[row[:, None], np.minimum(x, code.shape[1] - 1)], -1)
+            right = np.where(y <= d[:, None] - m, code[row[:, None], np.minimum(y, code.shape[1] - 1)], -2)
+            return (left[:, :, None] == right[:, None, :]).any(axis=(1, 2))
+
+        out = np.zeros(len(row), bool)
+        for i, (a, b) in enumerate(probes):
+            half = b - (b - a) // 2  # of the turned probe the first half ends here
+            out |= (b - a >= 2 * m) & meet(half, b, a, half)
+            for c, d in probes[i + 1 :]:
+                out |= meet(a, b, c, d)
+        return out
+
+
+def _scanned(laid: DataFrame, config: Config, rows, columns: str) -> DataFrame:
+    """What ``rows`` (windows, sizes of genes, offsets -> row of the block, further columns) finds in the blocks, by gene_id."""
+    kind = dict(laid.dtypes)["gene_id"]
+    names = ["gene_id", *[c.split()[0] for c in columns.split(", ")]]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                found = _Windows(part.column(3).to_pylist(), part.column(4).to_pylist(), config)
+                row, *values = rows(found, np.asarray(part.column(1)), np.asarray(part.column(2)))
+                plain = [v if isinstance(v, pa.Array) else pa.array(v if v.dtype == np.float64 else v.astype(np.int32)) for v in values]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *plain], names)
+
+    return laid.select("gene_id", "n", "offset", "b", "repeated").mapInArrow(scan, f"gene_id {kind}, {columns}")
+
+
 def candidates(genes: DataFrame, config: Config = DUAL) -> DataFrame:
     """gene_id, start, len, w, tm of the windows that pass every test."""
-    good = _thermodynamic(windows(genes, config), config)
-    return good.join(_first_repeat(genes, config), ["gene_id", "start"], "left").filter(F.col("repeat").isNull() | (F.col("repeat") + config.kmer_size > F.col("start") + F.col("len"))).drop("repeat")
+
+    def rows(found: _Windows, n: np.ndarray, offset: np.ndarray):
+        parts = []
+        for length in range(config.min_length, config.max_length + 1):
+            ok, tm = found.valid(length)
+            row, at = np.nonzero(ok[:, :BLOCK])
+            parts.append((row, at, np.full(len(row), length), tm[row, at]))
+        row, at, size, tm = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return row, at + offset[row], size, found.texts(row, at, at + size), tm
+
+    return _scanned(_laid(genes, config, config.max_length), config, rows, "start int, len int, w string, tm double")
 
 
 def _shortest(genes: DataFrame, config: Config) -> DataFrame:
     """gene_id, start, len, w: the shortest valid window of each position that has one."""
-    return candidates(genes, config).groupBy("gene_id", "start").agg(F.min(F.struct("len", "w")).alias("x")).select("gene_id", "start", "x.len", "x.w")
+
+    def rows(found: _Windows, n: np.ndarray, offset: np.ndarray):
+        end = found.ends()[:, :BLOCK]
+        row, at = np.nonzero(end)
+        return row, at + offset[row], end[row, at] - at, found.texts(row, at, end[row, at])
+
+    return _scanned(_laid(genes, config, config.max_length), config, rows, "start int, len int, w string")
 
 
 def first_valid(genes: DataFrame, config: Config = DUAL) -> DataFrame:
@@ -103,20 +255,31 @@ def first_valid(genes: DataFrame, config: Config = DUAL) -> DataFrame:
 
 
 def feasible(genes: DataFrame, config: Config = DUAL) -> DataFrame:
-    """gene_id, n, start, left_end, [middle_end,] right_start, right_end and the probes, reverse-complemented."""
-    # joined with itself, so it is written: a row for each position, with the window's own text alone
-    first = written(_shortest(genes, config).select("gene_id", "start", (F.col("start") + F.col("len")).alias("end"), "w"))
-    left = first.select("gene_id", "start", F.col("end").alias("left_end"), F.col("w").alias("left_w"))
-    if config.arity == 3:
-        middle = first.select("gene_id", F.col("start").alias("left_end"), F.col("end").alias("middle_end"), F.col("w").alias("middle_w"))
-        left = left.join(middle, ["gene_id", "left_end"])
-    inner = F.col("middle_end") if config.arity == 3 else F.col("left_end")
-    right = first.select("gene_id", F.col("start").alias("right_start"), F.col("end").alias("right_end"), F.col("w").alias("right_w"))
-    chained = left.withColumn("right_start", inner + config.inner_gap).join(right, ["gene_id", "right_start"])
-    named = chained.join(genes.select("gene_id", F.length("seq").alias("n")), "gene_id").filter(F.col("right_start") < F.col("n") - config.min_length)
-    probes = [(f"{p}_seq", reverse_complement(f"{p}_w")) for p in ("left", *["middle"] * (config.arity == 3), "right")]
-    out = named.select("gene_id", "n", "start", "left_end", *["middle_end"] * (config.arity == 3), "right_start", "right_end", *[c.alias(k) for k, c in probes])
-    return out.filter(~has_dimer([k for k, _ in probes], config.min_complementary_length))
+    """gene_id, n, start, left_end, [middle_end,] right_start, right_end and the probes, reverse-complemented.
+
+    Blocks reach as far as a set, so its windows chain within the block of its start."""
+    triple = config.arity == 3
+    sides = ["left", *["middle"] * triple, "right"]
+
+    def rows(found: _Windows, n: np.ndarray, offset: np.ndarray):
+        ends = found.ends()
+        ends = np.concatenate([ends, np.zeros((len(ends), config.max_length + config.inner_gap + 1), np.int64)], axis=1)
+        row, start = np.nonzero(ends[:, :BLOCK])
+        left_end = ends[row, start]
+        inner = ends[row, left_end] if triple else left_end
+        right_start = inner + config.inner_gap
+        right_end = np.where(inner > 0, ends[row, right_start], 0)
+        keep = (right_end > 0) & (right_start + offset[row] < n[row] - config.min_length)
+        row, start, left_end, inner, right_start, right_end = (x[keep] for x in (row, start, left_end, inner, right_start, right_end))
+        probes = [(start, left_end), *[(left_end, inner)] * triple, (right_start, right_end)]
+        keep = ~found.dimers(row, probes)
+        row, probes = row[keep], [(a[keep], b[keep]) for a, b in probes]
+        places = [probes[0][0], probes[0][1], *[probes[1][1]] * triple, probes[-1][0], probes[-1][1]]
+        return row, n[row], *[x + offset[row] for x in places], *[found.texts(row, a, b, turned=True) for a, b in probes]
+
+    columns = ["n int", "start int", "left_end int", *["middle_end int"] * triple, "right_start int", "right_end int", *[f"{s}_seq string" for s in sides]]
+    reach = config.arity * config.max_length + config.inner_gap
+    return _scanned(_laid(genes, config, reach), config, rows, ", ".join(columns))
 
 
 def accept(sets: DataFrame, config: Config = DUAL) -> DataFrame:
