@@ -3,7 +3,7 @@
 ``local`` lays a band of diagonals about every diagonal with an exact seed and takes the best local alignment there, with
 affine gap costs; with a band of 0 it is the maximal-scoring segment of the diagonal.  ``gapped`` keeps those as long as
 the probe, whose mismatches and gap openings count together.  ``detailed`` finds every place of a probe within ``most``
-mismatches: cut in ``most + 1`` parts, a probe has one without any, so its parts are the seeds.
+mismatches: one of a probe's halves has half of them or fewer there, so the words about its halves are the seeds.
 
 Subjects are read from a seed index, a table of their k-mers with the bases about them, so a seed's place is verified on
 the row it is found in.  ``kept_index`` writes it once as a bucketed table named by the subjects' content; later
@@ -13,14 +13,17 @@ searches join it without moving it.  Work in Python is numpy over Arrow batches
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import once
 from ..sources.scratch import written
 from .kmers import BLOCK, blocks, explode_kmers
 from .offtarget import mismatches
@@ -44,14 +47,14 @@ class Scores:
 
 def seed_index(subjects: DataFrame, k: int, reach: int) -> DataFrame:
     """kmer, subject_id, strand, pos, around: every k-mer of the subjects (subject_id, strand, seq) with ``reach`` bases on
-    both sides, cut block by block; OUTSIDE stands for what is beyond a subject."""
+    both sides, cut block by block; OUTSIDE stands for what is beyond a subject.  In ``kmer`` N stands for any letter but ACGT."""
     padded = subjects.select("subject_id", "strand", F.concat(F.lit(OUTSIDE * reach), "seq", F.lit(OUTSIDE * reach)).alias("seq"))
     width = k + 2 * reach
     cut = blocks(padded, width, "subject_id", "strand", least=width)
     last = F.least(F.octet_length("b") - width, F.lit(BLOCK - 1))
     at = cut.select("subject_id", "strand", "offset", "b", F.explode(F.sequence(F.lit(0), last)).alias("at"))
     each = at.select("subject_id", "strand", (F.col("offset") + F.col("at")).alias("pos"), F.substring("b", F.col("at") + 1, F.lit(width)).cast("string").alias("around"))
-    return each.select(F.substring("around", reach + 1, k).alias("kmer"), "subject_id", "strand", "pos", "around")
+    return each.select(F.regexp_replace(F.substring("around", reach + 1, k), "[^ACGT]", "N").alias("kmer"), "subject_id", "strand", "pos", "around")
 
 
 def content_digest(subjects: DataFrame) -> str:
@@ -65,7 +68,7 @@ def content_digest(subjects: DataFrame) -> str:
 def kept_index(spark: SparkSession, subjects: DataFrame, k: int, reach: int, folder: str, buckets: int = 64) -> DataFrame:
     """The seed index as a table below ``folder``, bucketed by k-mer: built where the folder has none for this content yet.
     Searches against it shuffle their probes alone."""
-    name = f"seeds_{k}_{reach}_{buckets}_{content_digest(subjects)}"
+    name = f"seeds_n_{k}_{reach}_{buckets}_{content_digest(subjects)}"
     path = f"{folder.rstrip('/')}/{name}"
     if not spark.catalog.tableExists(name):
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -92,30 +95,67 @@ def problems(subjects: DataFrame) -> DataFrame:
 # ---- all places within some mismatches
 
 
-def parts(probes: DataFrame, most: int) -> DataFrame:
-    """probe_seq, offset, kmer: each probe in ``most + 1`` parts, whose lengths differ by one base at most."""
-    n, size = F.lit(most + 1), F.length("probe_seq")
-    first = lambda i: F.floor(i * size / n).cast("int")
-    numbered = probes.select("probe_seq").distinct().filter(size > most).select("probe_seq", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("i"))
-    return numbered.select("probe_seq", first(F.col("i")).alias("offset"), F.substring("probe_seq", first(F.col("i")) + 1, first(F.col("i") + 1) - first(F.col("i"))).alias("kmer"))
+def halves(n: int, most: int) -> list[tuple[int, int, int]]:
+    """Offset, length and most mismatches of the halves of ``n`` bases: with ``most`` mismatches in all, the first half has at most
+    half of them, or the second one the rest without one."""
+    first = -(-n // 2)
+    return [h for h in ((0, first, most // 2), (first, n - first, most - most // 2 - 1)) if h[2] >= 0 and h[1]]
+
+
+def variants(word: str, most: int, letters: str) -> Iterator[str]:
+    """The words that differ from ``word`` in ``most`` places or fewer."""
+    for n in range(min(most, len(word)) + 1):
+        for places in itertools.combinations(range(len(word)), n):
+            for change in itertools.product(*[[x for x in letters if x != word[p]] for p in places]):
+                out = list(word)
+                for p, x in zip(places, change, strict=True):
+                    out[p] = x
+                yield "".join(out)
+
+
+def _seeds(probes: DataFrame, most: int, letters: str) -> DataFrame:
+    """probe_seq, offset, kmer: the words that a half of a probe may be where the probe lies with ``most`` mismatches."""
+
+    def vary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for probe in batch.column(0).to_pylist():
+                plain = re.sub("[^ACGT]", "N", probe)
+                for offset, size, n in halves(len(probe), most):
+                    words = list(variants(plain[offset : offset + size], n, letters))
+                    yield pa.RecordBatch.from_arrays([pa.array([probe] * len(words)), pa.array([offset] * len(words), pa.int32()), pa.array(words)], ["probe_seq", "offset", "kmer"])
+
+    return probes.mapInArrow(vary, "probe_seq string, offset int, kmer string")
+
+
+def _hamming(a: str, b: str, longest: int) -> Column:
+    """As :func:`mismatches`, written out where sequences are short."""
+    if longest > 64:
+        return mismatches(F.col(a), F.col(b))
+    return sum(((F.substring(a, i, 1) != F.substring(b, i, 1)).cast("int") for i in range(1, longest + 1)), F.lit(0))
 
 
 def detailed(probes: DataFrame, subjects: DataFrame, most: int = 4, index=None) -> DataFrame:
     """probe_seq, subject_id, strand, start, mm, alignment: every place where a whole probe lies with ``most`` mismatches or
     fewer.  ``index``: k, reach -> a seed index of the subjects, such as a kept one."""
-    seeds = written(parts(probes, most).withColumn("k", F.length("kmer")))
-    sizes = seeds.groupBy("k").agg(F.max(F.length("probe_seq")).alias("longest")).orderBy("k").collect()  # the lengths of parts
+    queries = written(probes.select("probe_seq").distinct().filter(F.length("probe_seq") > most))
+    subjects = subjects if index else written(subjects.select("subject_id", "strand", "seq"))
+    letters = "ACGT" if subjects.filter(F.col("seq").rlike("[^ACGT]")).isEmpty() else "ACGTN"
+    lengths = [r[0] for r in queries.select(F.length("probe_seq").alias("n")).distinct().collect()]  # the lengths of probes
+    longest = max(lengths, default=0)
     found = None
-    for k, longest in sizes:
-        table = (index or (lambda k, reach: seed_index(subjects, k, reach)))(k, longest)
+    for k in sorted({size for n in lengths for _, size, _ in halves(n, most)}):
+        mine = [n for n in lengths if any(size == k for _, size, _ in halves(n, most))]
+        reach = -(-max(mine) // 2)
+        table = (index or (lambda k, reach: seed_index(subjects, k, reach)))(k, reach)
+        seeds = _seeds(queries.filter(F.length("probe_seq").isin(mine)), most, letters).filter(F.length("kmer") == k)
         place = F.col("pos") - F.col("offset")
-        window = F.substring("around", longest - F.col("offset") + 1, F.length("probe_seq"))
-        met = seeds.filter(F.col("k") == k).join(table, "kmer").select("probe_seq", "subject_id", "strand", place.alias("start"), window.alias("w"))
-        good = met.filter(~F.contains("w", F.lit(OUTSIDE))).withColumn("mm", mismatches(F.col("probe_seq"), F.col("w"))).filter(F.col("mm") <= most)
+        window = F.substring("around", reach - F.col("offset") + 1, F.length("probe_seq"))
+        met = seeds.join(table, "kmer").select("probe_seq", "subject_id", "strand", place.alias("start"), once(window, "w"))
+        good = met.filter(~F.contains("w", F.lit(OUTSIDE))).select("*", once(_hamming("probe_seq", "w", longest), "mm")).filter(F.col("mm") <= most)
         found = good if found is None else found.union(good)
     if found is None:
         return probes.sparkSession.createDataFrame([], "probe_seq string, subject_id long, strand string, start int, mm int, alignment string")
-    # a place is found by each of its parts without a mismatch
+    # a place may be found by both halves
     text = F.concat(F.lit("Query:  "), "probe_seq", F.lit("\nSubject: "), "w")
     return found.distinct().select("probe_seq", "subject_id", "strand", "start", "mm", text.alias("alignment"))
 

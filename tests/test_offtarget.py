@@ -27,3 +27,25 @@ def test_search_is_all_seeded_diagonals_once(spark):
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
     # what is found is not moved again
     assert "Distinct" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+
+
+def test_detailed_seeds_are_few_and_miss_no_place():
+    """The candidates of a probe in random bases, and every placing of the mismatches."""
+    import itertools
+
+    from seqloom.operators import hits
+
+    for n, most in ((20, 4), (9, 3), (5, 4), (8, 0)):
+        for places in itertools.combinations(range(n), most):
+            assert any(sum(a <= p < a + size for p in places) <= m for a, size, m in hits.halves(n, most))
+    words = [w for a, size, m in hits.halves(20, 4) for w in hits.variants("ACGTTGCAAG"[:size], m, "ACGT")]
+    assert len(words) == 436 + 31 and sum(4.0 ** -len(w) for w in words) < 5e-4
+
+
+def test_detailed_takes_other_letters_for_mismatches(spark):
+    from seqloom.operators import hits
+
+    p, n = "ACGTTGCAAGCTTCAGGACT", "ANGTTGCAAGCTTCNGGACT"
+    subjects = spark.createDataFrame([(1, "+", "GG" + n + "T"), (2, "+", n.replace("N", "a")), (3, "+", p)], "subject_id long, strand string, seq string")
+    got = {(r.subject_id, r.start, r.mm) for r in hits.detailed(spark.createDataFrame([(p,)], "probe_seq string"), subjects, 2).collect()}
+    assert got == {(1, 2, 2), (2, 0, 2), (3, 0, 0)}
