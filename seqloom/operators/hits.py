@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,47 +213,100 @@ def banded(probes: np.ndarray, lengths: np.ndarray, windows: np.ndarray, band: i
 _ALIGNED = "probe_seq string, subject_id long, strand string, q_start int, q_end int, start int, end int, score int, columns int, matches int, mm int, gapopen int, gaps int"
 
 
+#: Bases of the longest probe up to which the places of seeds carry the bases about them.
+_CARRIED = 64
+
+
+def _seeded(queries: DataFrame, subjects: DataFrame, seed: int, longest: int, band: int) -> DataFrame:
+    """probe_seq, subject_id, strand, diagonal, probe_pos, w: the diagonals with a seed, and the subject from three bands before
+    the diagonal to one behind the probe.  A row is a seed, found at ``probe_pos``; of long probes it is a diagonal, without one."""
+    # written, as Spark then knows how many they are
+    seeds = written(explode_kmers(queries, seed, "probe_seq", seq="probe_seq").select("probe_seq", "kmer", F.col("pos").alias("probe_pos")))
+    size = F.length("probe_seq") + 4 * band
+    if longest <= _CARRIED:
+        reach = longest - seed + 3 * band
+        kmer = F.substring("around", reach + 1, seed)
+        places = seed_index(subjects, seed, reach).select("subject_id", "strand", "pos", "around", F.xxhash64(kmer).alias("code"))
+        met = seeds.withColumn("code", F.xxhash64("kmer")).join(places, "code").filter(kmer == F.col("kmer"))
+        window = F.substring("around", F.lit(reach - 3 * band + 1) - F.col("probe_pos"), size)
+        return met.select("probe_seq", "subject_id", "strand", (F.col("pos") - F.col("probe_pos")).alias("diagonal"), "probe_pos", window.alias("w"))
+    places = explode_kmers(subjects, seed, "subject_id", "strand").select("subject_id", "strand", "kmer", F.col("pos").alias("subject_pos"))
+    diagonals = seeds.join(places, "kmer").select("probe_seq", "subject_id", "strand", (F.col("subject_pos") - F.col("probe_pos")).alias("diagonal")).distinct()
+    pad = longest + 3 * band
+    padded = subjects.select("subject_id", "strand", F.concat(F.lit(OUTSIDE * pad), "seq", F.lit(OUTSIDE * pad)).alias("seq"))
+    pieces = blocks(padded, longest + 4 * band, "subject_id", "strand")
+    at = F.col("diagonal") + (pad - 3 * band)
+    placed = written(diagonals).withColumn("offset", at - F.pmod(at, F.lit(BLOCK)))
+    window = F.substring("b", at - F.col("offset") + 1, size).cast("string")
+    return placed.join(pieces, ["subject_id", "strand", "offset"]).select("probe_seq", "subject_id", "strand", "diagonal", F.lit(None).cast("int").alias("probe_pos"), window.alias("w"))
+
+
+def _letters(texts: pa.Array, wide: int, fill: str) -> np.ndarray:
+    """The bytes of texts, a row each, filled up behind."""
+    flat = texts.cast(pa.large_binary())
+    at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    raw = np.frombuffer(flat.buffers()[2], np.uint8)
+    step = np.arange(wide)
+    return np.where(step < np.diff(at)[:, None], raw[np.minimum(at[:-1, None] + step, len(raw) - 1)], np.uint8(ord(fill)))
+
+
+def _first_seed(probes: np.ndarray, lengths: np.ndarray, windows: np.ndarray, seed: int) -> np.ndarray:
+    """Where the first exact seed of the probes starts on the diagonal that a window begins with; -1 without one."""
+    size = probes.shape[1]
+    same = (probes == windows[:, :size]) & (windows[:, :size] != ord(OUTSIDE)) & (np.arange(size) < lengths[:, None])
+    since = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+    whole = since[:, seed:] - since[:, :-seed] == seed
+    return np.where(whole.any(axis=1), whole.argmax(axis=1), -1)
+
+
 def local(probes: DataFrame, subjects: DataFrame, seed: int = 10, band: int = 3, scores: Scores = Scores(), least: int | None = None) -> DataFrame:
     """probe_seq, subject_id, strand, q_start, q_end, start, end, score, columns, matches, mm, gapopen, gaps: the best local
     alignments about the diagonals with an exact ``seed``, of ``least`` or more.
 
-    ``start`` and ``end`` are the subject's; columns are those of the alignment, gaps included.  Alignments that several
-    diagonals lead to are one.  Probes have up to 4,095 bases, a band has up to 31."""
+    ``start`` and ``end`` are the subject's; columns are those of the alignment, gaps included.  A diagonal counts at its first
+    seed, and an alignment that several diagonals lead to at the lowest of them: all of them lie within two bands, so a row tells
+    by itself and what is found is not shuffled.  Probes have up to 4,095 bases, a band has up to 31."""
     least = seed * scores.match if least is None else least
     queries = written(probes.select("probe_seq").distinct().filter(F.length("probe_seq") >= seed))
     longest = queries.agg(F.max(F.length("probe_seq"))).first()[0] or seed
     if longest > 4095 or not 0 <= band <= 31:
         raise ValueError("a probe has up to 4,095 bases and a band up to 31")
-    subjects = written(subjects.select("subject_id", "strand", "seq"))
-    seeds = explode_kmers(queries, seed, "probe_seq", seq="probe_seq").select("probe_seq", "kmer", F.col("pos").alias("probe_pos"))
-    places = explode_kmers(subjects, seed, "subject_id", "strand").select("subject_id", "strand", "kmer", F.col("pos").alias("subject_pos"))
-    diagonals = seeds.join(places, "kmer").select("probe_seq", "subject_id", "strand", (F.col("subject_pos") - F.col("probe_pos")).alias("diagonal")).distinct()
-    pad = longest + band
-    padded = subjects.select("subject_id", "strand", F.concat(F.lit(OUTSIDE * pad), "seq", F.lit(OUTSIDE * pad)).alias("seq"))
-    pieces = blocks(padded, longest + 2 * band, "subject_id", "strand")
-    at = F.col("diagonal") + (pad - band)
-    placed = written(diagonals).withColumn("offset", at - F.pmod(at, F.lit(BLOCK)))
-    laid = placed.join(pieces, ["subject_id", "strand", "offset"]).select("probe_seq", "subject_id", "strand", "diagonal", F.substring("b", at - F.col("offset") + 1, F.length("probe_seq") + 2 * band).alias("w"))
+    subjects = written(subjects.select("subject_id", "strand", "seq").filter("subject_id is not null and strand is not null"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, windows = [x.encode() for x in batch.column(0).to_pylist()], batch.column(4).to_pylist()
-            lengths = np.array([len(t) for t in texts])
-            if not len(lengths):
+            if not batch.num_rows:
                 continue
+            lengths = pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
             size = int(lengths.max())
-            p = np.frombuffer(b"".join(t.ljust(size, b" ") for t in texts), np.uint8).reshape(len(texts), size)
-            w = np.frombuffer(b"".join(x.ljust(size + 2 * band, OUTSIDE.encode()) for x in windows), np.uint8).reshape(len(texts), size + 2 * band)
-            x = banded(p, lengths, w, band, scores)
+            p, w = _letters(batch.column(0), size, " "), _letters(batch.column(5), size + 4 * band, OUTSIDE)
+            on = lambda s: w[:, 3 * band - s :]  # noqa: E731, B023
+            about = lambda s: w[:, 2 * band - s : 4 * band - s + size]  # noqa: E731, B023
+            at = batch.column(4)
+            keep = np.ones(len(p), bool) if at.null_count else _first_seed(p, lengths, on(0), seed) == np.asarray(at)
+            found = banded(p, lengths, about(0), band, scores)
+            keep &= found["score"] >= least
+            for s in range(1, 2 * band + 1):
+                rows = np.nonzero(keep & (_first_seed(p, lengths, on(s), seed) >= 0))[0]
+                if len(rows):
+                    lower = banded(p[rows], lengths[rows], about(s)[rows], band, scores)
+                    again = np.ones(len(rows), bool)
+                    for name, values in lower.items():
+                        again &= values - s * name.startswith("s_") == found[name][rows]
+                    keep[rows[again]] = False
+            x = {name: values[keep] for name, values in found.items()}
             matches = (x["score"] - scores.mismatch * x["mm"] + scores.opening * x["gapopen"] + scores.column * x["gaps"]) // scores.match
-            first = np.asarray(batch.column(3)) - band
+            first = np.asarray(batch.column(3))[keep] - band
             values = [x["q_start"], x["q_end"], first + x["s_start"], first + x["s_end"], x["score"], matches + x["mm"] + x["gaps"], matches, x["mm"], x["gapopen"], x["gaps"]]
-            keep = pa.array(x["score"] >= least)
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (*batch.columns[:3], *(pa.array(v.astype(np.int32)) for v in values))], names)
+            kept = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([*(c.filter(kept) for c in batch.columns[:3]), *(pa.array(v.astype(np.int32)) for v in values)], names)
 
     names = [c.split()[0] for c in _ALIGNED.split(", ")]
-    typed = laid.withColumn("subject_id", F.col("subject_id").cast("long")).withColumn("diagonal", F.col("diagonal").cast("long"))
-    return typed.mapInArrow(align, _ALIGNED).distinct()
+    laid = _seeded(queries, subjects, seed, longest, band)
+    out = laid.withColumn("subject_id", F.col("subject_id").cast("long")).withColumn("diagonal", F.col("diagonal").cast("long")).mapInArrow(align, _ALIGNED)
+    # sequences that share an id may hold the same alignment
+    shared = subjects.groupBy("subject_id", "strand").count().filter("count > 1")
+    return out if shared.isEmpty() else out.distinct()
 
 
 def gapped(probes: DataFrame, subjects: DataFrame, seed: int = 10, band: int = 3, identity: float = 0.8, scores: Scores = Scores()) -> DataFrame:

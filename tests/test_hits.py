@@ -103,6 +103,23 @@ def test_local_is_best_of_each_seeded_diagonal(spark):
         assert got == want and len(want) > 30
 
 
+def test_local_alignments_are_found_once_and_not_moved(spark, monkeypatch):
+    """No row comes twice, though seeds and diagonals lead to it several times, and nothing is shuffled behind the join of seeds."""
+    _, genes, p, s = world(spark)
+    for band in (0, 3):
+        found = hits.local(p, s, band=band)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) > 30
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Distinct" not in plan and "Aggregate" not in plan
+        with monkeypatch.context() as m:
+            m.setattr(hits, "_CARRIED", 0)  # as long probes are found
+            assert sorted(tuple(r) for r in hits.local(p, s, band=band).collect()) == sorted(got)
+        twice = s.union(spark.createDataFrame([(1, "+", genes[1][900:1100])], s.schema))
+        both = [tuple(r) for r in hits.local(p, twice, band=band).collect()]
+        assert len(both) == len(set(both)) and set(got) < set(both)
+
+
 def test_gapped_hits_count_in_the_scores_of_sets(spark):
     """A base that the subject lacks: 20 columns, one opening."""
     p = "ACGTTGCAAGCTTCAGGACT"
