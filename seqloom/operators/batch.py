@@ -1,7 +1,7 @@
 """A batch of requests in one plan: resolved sequences to design, selection and oligos.
 
 Each distinct sequence is designed once and each (sequence, number wanted) selected once, however many requests
-name them; requests meet the kept sets in equi-joins.
+name them; requests meet the kept sets in merge joins, as both grow.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def kept_oligos(resolved: DataFrame, probes: DataFrame, config: designer.Config
         tried = written(sets.select(F.explode(F.array(*sides)).alias("probe_seq")).distinct())
         sets = written(offtarget.rank(offtarget.set_scores(sets, offtarget.evidence(tried, offtarget.search(tried, subjects)), sides)))
     asked = plan.select(F.col("locus").alias("gene_id"), "max_selected").distinct()
-    entered = intervals(sets).withColumn("score", F.col("set_id") - 1).join(asked, "gene_id")
+    entered = intervals(sets).withColumn("score", F.col("set_id") - 1).join(asked.hint("merge"), "gene_id")
     kept = selection.select_sets(entered, F.col("max_selected"), keys=("gene_id", "max_selected")).filter("keep")
-    chosen = kept.join(sets, ["gene_id", "set_id"]).select(F.col("gene_id").alias("locus"), "max_selected", "set_id", *sides)
+    chosen = kept.join(sets.hint("merge"), ["gene_id", "set_id"]).select(F.col("gene_id").alias("locus"), "max_selected", "set_id", *sides)
     base = assembly.free_base(F.col("task"))
-    oligos = (assembly.triple_oligos if config.arity == 3 else assembly.dual_oligos)(plan.join(chosen, ["locus", "max_selected"]), base)
+    oligos = (assembly.triple_oligos if config.arity == 3 else assembly.dual_oligos)(plan.join(chosen.hint("merge"), ["locus", "max_selected"]), base)
     return oligos.select("task", "bp_id", "locus", "set_id", *[s.replace("_seq", "_oligo") for s in sides])

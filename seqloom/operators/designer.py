@@ -299,7 +299,7 @@ def accept(sets: DataFrame, config: Config = DUAL) -> DataFrame:
     pointed = seen.filter("asks = 1").select("key", "pos", F.when(F.col("on") & (F.col("any") == F.col("at")), F.col("any")).otherwise(F.col("free")).alias("next"))
     first = slim.filter("free").groupBy("key").agg(F.min("pos").alias("pos"))
     taken = orbit(pointed, first).select(F.col("key").alias("_key"), F.col("pos").alias("_pos"))
-    kept = sets.join(taken, (F.col("gene_id").cast("string") == F.col("_key")) & (F.col("start") == F.col("_pos"))).drop("_key", "_pos")
+    kept = sets.join(taken.hint("merge"), (F.col("gene_id").cast("string") == F.col("_key")) & (F.col("start") == F.col("_pos"))).drop("_key", "_pos")
     return _numbered(kept)
 
 

@@ -1,6 +1,7 @@
 """Resolving gene names to sequences, and batches of requests.
 
-Library tables are small next to the requests in production or not; the planner decides by their sizes.
+Each distinct locus is resolved once.  Libraries hold whole sequences and grow with the requests, and the planner takes a
+derived sequence for 20 bytes, so joins with them are asked to be merge joins: nothing of them goes through the driver.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import numbered
+from ..sources.scratch import numbered, written
 
 
 def to_locus(requests: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def exact(requests: DataFrame, *libraries: DataFrame) -> DataFrame:
     """``requests`` (locus) with ``seq`` and ``source`` (1, 2, ...): the first library that has the id."""
     out = requests
     for i, lib in enumerate(libraries):
-        out = out.join(lib.select(F.col("id").alias("locus"), F.col("seq").alias(f"_s{i}")), "locus", "left")
+        out = out.join(lib.select(F.col("id").alias("locus"), F.col("seq").alias(f"_s{i}")).hint("merge"), "locus", "left")
     found = [f"_s{i}" for i in range(len(libraries))]
     source = F.coalesce(*[F.when(F.col(c).isNotNull(), i + 1) for i, c in enumerate(found)])
     return out.withColumn("seq", F.coalesce(*found)).withColumn("source", source).drop(*found)
@@ -38,21 +39,23 @@ def fuzzy(requests: DataFrame, reference: DataFrame) -> DataFrame:
     pieces = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("id"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     keys = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in sorted(lengths)]))) if lengths else F.array().cast("array<string>")
     index = reference.select(F.col("id").alias("ref_id"), "ord", F.explode(keys).alias("locus"))
-    first = index.join(names, "locus").groupBy("locus").agg(F.min_by("ref_id", F.struct("ord", "ref_id")).alias("ref_id"), F.min("ord").alias("ord"))
-    return first.join(reference.select(F.col("id").alias("ref_id"), "seq", "ord"), ["ref_id", "ord"]).select("locus", "ref_id", "seq")
+    first = index.hint("merge").join(names, "locus").groupBy("locus").agg(F.min_by("ref_id", F.struct("ord", "ref_id")).alias("ref_id"), F.min("ord").alias("ord"))
+    return first.join(reference.select(F.col("id").alias("ref_id"), "seq", "ord").hint("merge"), ["ref_id", "ord"]).select("locus", "ref_id", "seq")
 
 
 def resolve(requests: DataFrame, aliases: DataFrame, coding: DataFrame, transcript: DataFrame, reference: DataFrame) -> DataFrame:
     """``requests`` with locus, seq and source (1 coding, 2 transcript, 3 reference, 4 fuzzy)."""
-    first = exact(to_locus(requests, aliases), coding, transcript, reference)
+    located = to_locus(requests, aliases)
+    first = written(exact(located.filter("locus is not null").select("locus").distinct(), coding, transcript, reference))
     loose = fuzzy(first, reference).select("locus", F.col("seq").alias("_seq"))
-    return first.join(loose, "locus", "left").withColumn("source", F.coalesce("source", F.when(F.col("_seq").isNotNull(), 4))).withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq")
+    found = first.join(loose, "locus", "left").withColumn("source", F.coalesce("source", F.when(F.col("_seq").isNotNull(), 4))).withColumn("seq", F.coalesce("seq", "_seq")).drop("_seq")
+    return located.join(written(found).hint("merge"), "locus", "left")
 
 
 def plan(requests: DataFrame, probes: DataFrame, default: int = 5) -> DataFrame:
     """task, bp_id, bridge, locus, max_selected: requests whose probe is known; an unreadable limit is the default."""
     limit = F.coalesce(F.expr("try_cast(max_selected AS INT)"), F.lit(default))
-    return requests.withColumn("max_selected", limit).join(probes.select("bp_id", F.col("seq").alias("bridge")), "bp_id")
+    return requests.withColumn("max_selected", limit).join(probes.select("bp_id", F.col("seq").alias("bridge")).hint("merge"), "bp_id")
 
 
 def number_genes(genes: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 From every start a chain picks the next sets that keep the distance; of the chains with the wanted
 number, the most even one wins, then the least score, then the earliest.  Without such a chain, sets are taken
 greedily by score.  Sets that do not nest point to the next that keeps the distance, and chains are doubled along these
-pointers, so a gene's sets are rows; only where sets lie in each other's gaps is a gene one fold.
+pointers, so a gene's sets are rows; only where sets lie in each other's gaps is a gene one fold.  Chains are small in a
+file and large in memory, so their joins are asked to be merge joins: none is sent through the driver.
 """
 
 from __future__ import annotations
@@ -69,7 +70,7 @@ def _pointed(sets: DataFrame, keys: Sequence[str], distance: int) -> DataFrame:
     asks = placed.select(*keys, (F.col("end") + distance + 1).cast("long").alias("at"), F.lit(1).alias("asks"), "i", F.lit(None).cast("int").alias("node"))
     behind = Window.partitionBy(*keys).orderBy(F.desc("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)
     seen = there.union(asks).withColumn("next", F.min("node").over(behind)).filter("asks = 1").select(*keys, "i", "next")
-    return placed.join(seen, [*keys, "i"])
+    return placed.join(seen.hint("merge"), [*keys, "i"])
 
 
 def _best_chains(sets: DataFrame, wanted: Column, most: int, keys: Sequence[str], distance: int) -> DataFrame:
@@ -81,7 +82,7 @@ def _best_chains(sets: DataFrame, wanted: Column, most: int, keys: Sequence[str]
     length = 1
     while length < most:
         further = chains.select(*keys, F.col("i").alias("next"), F.col("next").alias("then"), F.col("c").alias("more"))
-        chains = written(chains.join(further, [*keys, "next"], "left").select(*keys, "i", F.col("then").alias("next"), F.when(F.col("more").isNull(), F.col("c")).otherwise(F.concat("c", "more")).alias("c")))
+        chains = written(chains.join(further.hint("merge"), [*keys, "next"], "left").select(*keys, "i", F.col("then").alias("next"), F.when(F.col("more").isNull(), F.col("c")).otherwise(F.concat("c", "more")).alias("c")))
         length *= 2
     full = chains.withColumn("c", F.slice("c", F.lit(1), wanted)).filter(F.size("c") == wanted)
     ranked = F.struct(coverage(F.col("c")).alias("even"), (-F.aggregate("c", F.lit(0.0), lambda a, x: a + x["score"])).alias("score"), (-F.col("i")).alias("i"))
@@ -114,16 +115,16 @@ def select_sets(sets: DataFrame, wanted: int | Column = 5, distance: int = MIN_D
     # a set fits into another's gap only where that leaves the distance on both sides
     wide = base.groupBy(*keys).agg(F.max("gap").alias("gap")).filter(F.col("gap") > 2 * distance + 1).select(*keys)
     nested = not wide.isEmpty()
-    chosen = _best_chains(base.join(wide, list(keys), "left_anti") if nested else base, wanted, most, keys, distance)
+    chosen = _best_chains(base.join(wide.hint("merge"), list(keys), "left_anti") if nested else base, wanted, most, keys, distance)
     if nested:
-        chosen = chosen.unionByName(_tried_chains(base.join(wide, list(keys), "left_semi"), wanted, keys, distance))
+        chosen = chosen.unionByName(_tried_chains(base.join(wide.hint("merge"), list(keys), "left_semi"), wanted, keys, distance))
     chosen = written(chosen)
     # by score where no chain is full; a fold over the sets of such a key
-    rest = base.join(chosen, list(keys), "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("score", "start", "set_id", "end", "intervals"))).alias("s"))
+    rest = base.join(chosen.hint("merge"), list(keys), "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("score", "start", "set_id", "end", "intervals"))).alias("s"))
     greedy = rest.select(*keys, F.transform(_grown(F.col("s"), rest.schema["s"].dataType.simpleString(), wanted, distance), lambda x: F.struct(*[x[c].alias(c) for c in _ITEM[:-1]])).alias("c"))
     listed = chosen.unionByName(greedy).select(*keys, F.posexplode("c").alias("at", "x")).select(*keys, "at", "x.set_id")
-    taken = listed.join(base.select(*keys, "set_id", "intervals"), [*keys, "set_id"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "set_id", "intervals"))).alias("chosen"))
-    out = base.join(taken, list(keys))
+    taken = listed.join(base.select(*keys, "set_id", "intervals").hint("merge"), [*keys, "set_id"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "set_id", "intervals"))).alias("chosen"))
+    out = base.join(taken.hint("merge"), list(keys))
     blocking = F.filter("chosen", lambda t: sets_too_close(t["intervals"], F.col("intervals"), distance))
     keep = F.exists("chosen", lambda t: t["set_id"] == F.col("set_id"))
     reason = F.when(keep, KEPT).when(F.size(blocking) > 0, F.format_string("Too close to selected set %d.", F.get(blocking, F.lit(0))["set_id"])).otherwise(DROPPED)

@@ -22,7 +22,7 @@ def dna(text: Column) -> Column:
 def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     parts = [dna(F.concat(key, F.lit(f"-{i}"))) for i in range(GENE_PARTS)]
-    return spread(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("gene_id"), F.concat(*parts).alias("seq")), "gene_id")
+    return spread(read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("gene_id"), F.concat(*parts).alias("seq"))
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
