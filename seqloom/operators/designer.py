@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -407,9 +408,47 @@ def _greedy(intervals: DataFrame, key: str, order: list[str]) -> DataFrame:
     return taken.select(F.col("key").alias(key), F.col("next.start").alias("start"), F.col("next.x.end").alias("end"), *[F.col(f"next.x.{c}").alias(c) for c in order])
 
 
+#: Intervals of a key that a task takes at once.
+_HELD = 1 << 16
+
+
+def _by_size(intervals: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The intervals of keys that a task takes at once, and those of the others, where there are some."""
+    known = written(intervals.filter(F.col(key).isNotNull()))
+    whole = (F.count("*") <= _HELD) & (F.count("start") == F.count("*")) & (F.count("end") == F.count("*"))
+    large = written(known.groupBy(key).agg(whole.alias("whole")).filter("not whole").select(key))
+    if large.isEmpty():
+        return known, None
+    return known.join(large, key, "left_anti"), known.join(large, key, "left_semi")
+
+
+def _walked(block: pa.Table, order: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """The intervals of a key by end, then ``order``, and which of them start behind the end of the one taken before."""
+    by = pc.sort_indices(block, [(c, "ascending") for c in ("end", *order, "start")], null_placement="at_start")
+    block, last = block.take(by), None
+    taken = np.zeros(len(block), bool)
+    for i, (start, end) in enumerate(zip(block.column("start").to_pylist(), block.column("end").to_pylist(), strict=True)):
+        if last is None or start > last:
+            taken[i], last = True, end
+    return block, taken
+
+
 def disjoint_intervals(intervals: DataFrame, key: str) -> DataFrame:
     """key, start, end: most intervals of a key that do not touch - by end, take what starts behind the last end."""
     kinds = dict(intervals.dtypes)
+
+    def walk(block: pa.Table) -> pa.Table:
+        block, taken = _walked(block, [])
+        return block.filter(pa.array(taken))
+
+    small, large = _by_size(intervals.select(key, "start", "end"), key)
+    out = small.groupBy(key).applyInArrow(walk, f"`{key}` {kinds[key]}, start {kinds['start']}, end {kinds['end']}")
+    return out if large is None else out.unionByName(_disjoint_large(large, key))
+
+
+def _disjoint_large(intervals: DataFrame, key: str) -> DataFrame:
+    """The same along an orbit, for keys of any number of intervals."""
+    kinds = dict(intervals.dtypes)
     taken = _greedy(intervals.select(key, "start", "end", F.col("start").cast("long").alias("_first")), key, ["_first"])
     return taken.select(F.col(key).cast(kinds[key]).alias(key), F.col("start").cast(kinds["start"]).alias("start"), F.col("end").cast(kinds["end"]).alias("end"))
 
@@ -419,6 +458,22 @@ def scheduled_intervals(intervals: DataFrame, key: str, order: str) -> DataFrame
     ends by ``order``: the largest number of intervals up to each, how many end before it starts, and whether the way
     back from the last takes it - the first row of each number, as a row is taken where the number rises."""
     kinds = dict(intervals.dtypes)
+
+    def solve(block: pa.Table) -> pa.Table:
+        block, taken = _walked(block, [order])
+        before = np.searchsorted(block.column("end").to_numpy(), block.column("start").to_numpy())
+        for name, values in (("best", np.cumsum(taken)), ("before", before), ("taken", taken)):
+            block = block.append_column(name, pa.array(values))
+        return block
+
+    small, large = _by_size(intervals.select(key, "start", "end", order), key)
+    out = small.groupBy(key).applyInArrow(solve, f"`{key}` {kinds[key]}, start {kinds['start']}, end {kinds['end']}, `{order}` {kinds[order]}, best long, before long, taken boolean")
+    return out if large is None else out.unionByName(_scheduled_large(large, key, order))
+
+
+def _scheduled_large(intervals: DataFrame, key: str, order: str) -> DataFrame:
+    """The same along an orbit, for keys of any number of intervals."""
+    kinds = dict(intervals.dtypes)
     named = intervals.select(F.col(key).cast("string").alias("key"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(order).alias("order"))
     taken = _greedy(named, "key", ["order"]).withColumn("taken", F.lit(True))
     marked = named.join(taken, ["key", "start", "end", "order"], "left").withColumn("taken", F.coalesce("taken", F.lit(False)))
