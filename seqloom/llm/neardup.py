@@ -17,8 +17,8 @@ members are compared with leaders by the exact similarity of their weighted shin
 are the connected components.  A bucket that still holds several classes mixed texts that are
 similar, but not enough; its nodes go on to finer buckets, of two and then three
 bands joined, with leaders of their own.  That costs n comparisons a level for a bucket of n texts
-and joins most of what is similar.  The texts of band buckets that
-even then hold several classes are finished by a prefix-filtered join, exact among them: elements ordered by rarity, the
+and joins most of what is similar.  The texts of all band buckets that
+held several classes at first are finished by a prefix-filtered join, exact among them: elements ordered by rarity, the
 first ones of the smaller text against the first ones of the larger, sizes bounded, candidates verified.  So two
 similar texts are in one class unless they share no band at all, at the threshold 3e-6.  Texts that share bands but are
 not similar differ first of all in elements of their own, which meet nobody, so a family of them costs what its elements do.
@@ -213,17 +213,39 @@ def _elements(members: DataFrame) -> DataFrame:
     return members.select("node", "label", "items").mapInArrow(explode, "node long, label long, size int, token int")
 
 
+def _fits(least: float) -> Column:
+    """Whether rows x and y that share a token are of different classes and of sizes and rests that may be similar."""
+    # nothing before their first common element is shared, so what is left of both must be enough
+    enough = F.least("rest_x", "rest_y") >= F.ceil(F.lit(least / (1 + least)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
+    return (F.col("label_x") != F.col("label_y")) & (F.col("size_x") <= F.col("size_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9) & enough
+
+
+def _meetings(reach: DataFrame, least: float) -> DataFrame:
+    """token, label_x, size_x, label_y, size_y: the classes and sizes whose members may meet at a token, by the member of
+    each with most left.  So a class counts once a size, however many of its texts hold the token."""
+    groups = cut(reach.groupBy("token", "label", "size").agg(F.max("rest").alias("rest"), F.max(F.when(F.col("first"), F.col("rest"))).alias("first_rest")))
+    x = groups.filter("first_rest is not null").selectExpr("token", "label label_x", "size size_x", "first_rest rest_x")
+    y = groups.selectExpr("token", "label label_y", "size size_y", "rest rest_y")
+    return x.join(y, "token").filter(_fits(least)).drop("rest_x", "rest_y")
+
+
+def _candidates(reach: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) to verify among the rows (node, label, rest, size, first, token) of prefixes."""
+    x, y = (reach.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "rest")], *["first"] * (side == "x")) for side in "xy")
+    met = cut(_meetings(reach, least))
+    pairs = x.filter("first").join(met, ["token", "label_x", "size_x"]).join(y, ["token", "label_y", "size_y"])
+    return pairs.filter(_fits(least) & (F.struct("size_x", "node_x") < F.struct("size_y", "node_y"))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
 def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The similar pairs (a, b) of different classes among the nodes of buckets that hold several classes.
+    """The similar pairs (a, b) of different classes among the nodes.
 
     Elements are ordered by rarity.  Of a pair at the threshold, the smaller text shares one of its first
     ``n - ceil(2 * least / (1 + least) * n) + 1`` elements with the first ``m - ceil(least * m) + 1`` of the larger; texts that differ in
     more than that differ there in elements of their own, which meet nobody.  At the first element that two texts share, as much
-    must be left of both as the threshold asks for.  Elements that one class alone holds keep their place in the order
+    must be left of both as the threshold asks for; classes and sizes that cannot have it do not meet (:func:`_meetings`).  Elements that one class alone holds keep their place in the order
     and are not joined."""
-    buckets = nodes.select("node", F.explode("bands").alias("bucket")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = buckets.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
-    members = cut(buckets.join(mixed, "bucket", "left_semi").select("node", "label").distinct().join(sets, "node"))
+    members = cut(nodes.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sets, "node"))
     each = _elements(members)
     common = each.groupBy("token").agg(F.count("*").alias("n"), (F.min("label") != F.max("label")).alias("across")).filter("n > 1")
     met = each.join(common, "token").groupBy("node", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token", "across"))).alias("tokens"))
@@ -233,12 +255,15 @@ def _finish(nodes: DataFrame, labels: DataFrame, sets: DataFrame, least: float)
     reached = met.withColumn("own", own).withColumn("smaller", first(2 * least / (1 + least))).withColumn("larger", first(least)).filter("larger > 0")
     listed = reached.select("node", "label", "size", "own", "smaller", F.posexplode(F.slice("tokens", 1, F.col("larger"))).alias("at", "x"))
     reach = cut(listed.filter("x.across").select("node", "label", F.col("size") - F.col("own") - F.col("at"), "size", (F.col("at") < F.col("smaller")).alias("first"), "x.token").toDF("node", "label", "rest", "size", "first", "token"))
-    x, y = (reach.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "rest")], "token", *["first"] * (side == "x")) for side in "xy")
-    # nothing before their first common element is shared, so what is left of both must be enough
-    enough = F.least("rest_x", "rest_y") >= F.ceil(F.lit(least / (1 + least)) * (F.col("size_x") + F.col("size_y")) - 1e-9)
-    fits = (F.col("label_x") != F.col("label_y")) & (F.struct("size_x", "node_x") < F.struct("size_y", "node_y")) & (F.col("size_x") >= F.lit(least) * F.col("size_y") - 1e-9)
-    pairs = x.filter("first").join(y, "token").filter(fits & enough).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    return _similar(cut(pairs), sets, least)
+    return _similar(cut(_candidates(reach, least)), sets, least)
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of the buckets (bucket, node) that hold several classes, each row of a bucket once at most."""
+    named = shared.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("label"))
+    # written, so that the join below is dealt for itself and the rows of a hot bucket can be split
+    mixed = cut(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket"))
+    return shared.select("bucket", "node").join(mixed, "bucket", "left_semi").select("node").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,10 +334,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         tested = pairs if tested is None else tested.union(pairs)
         if 1 < level == levels:
             break
-        named = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y and n > 2").select("bucket")
-        open_ = named.join(mixed, "bucket", "left_semi").select("node").distinct()
-        nodes = cut(nodes.join(open_, "node", "left_semi"))
+        nodes = cut(nodes.join(_open(shared, labels), "node", "left_semi"))
         if level == 1:
             first_nodes = nodes
         if nodes.isEmpty():

@@ -201,6 +201,32 @@ def test_finish_is_exact_among_its_texts(spark, similarity):
     assert len(edges) == len(want) and {(min(e), max(e)) for e in edges} == want and len(want) > 5
 
 
+def test_finish_joins_all_texts_that_were_left_open(spark):
+    """Similar texts are found whether or not a bucket of theirs still holds several classes."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    frame = spark.createDataFrame([(i, " ".join(changed(rng, base, 2, f"c{i}"))) for i in range(3)], "doc_id long, text string")
+    sets = neardup._sets(frame, frame.select(F.col("doc_id").alias("node")), 5)
+    nodes = frame.select(F.col("doc_id").alias("node"), F.array("doc_id").alias("bands"))  # a bucket each
+    labels = spark.createDataFrame([], "node long, label long")
+    edges = neardup._finish(nodes, labels, sets, 0.8).collect()
+    assert {(min(e), max(e)) for e in edges} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_classes_meet_at_a_token_once_a_size(spark):
+    """A class of n texts and three strays at one token: what is joined on the token does not grow with n."""
+    met = []
+    for n in (20, 200):
+        rows = [(i, 0, 95 - i % 3, 100, True, 7) for i in range(n)] + [(1000 + i, 1000 + i, 82, 100 + i, False, 7) for i in range(3)] + [(2000, 2000, 100, 105, False, 7)]
+        reach = spark.createDataFrame(rows, "node long, label long, rest int, size int, first boolean, token int")
+        met.append(sorted(tuple(r) for r in neardup._meetings(reach, 0.8).collect()))
+        enough = lambda x, y: min(x[2], y[2]) >= math.ceil(0.8 / 1.8 * (x[3] + y[3]) - 1e-9)
+        want = {(x[0], y[0]) for x in rows for y in rows if x[4] and x[1] != y[1] and (x[3], x[0]) < (y[3], y[0]) and x[3] >= 0.8 * y[3] and enough(x, y)}
+        got = [tuple(r) for r in neardup._candidates(reach, 0.8).collect()]
+        assert len(got) == len(want) and set(got) == want and len(want) == n
+    assert met[0] == met[1] == [(7, 0, 100, 2000, 105)]
+
+
 def test_a_family_below_the_threshold_makes_no_pairs(spark, monkeypatch):
     rng, seen = random.Random(10), []
     verify = neardup._similar
