@@ -100,7 +100,8 @@ def search(probes: DataFrame, subjects: DataFrame, seed: int = 10, identity: flo
     seeds = seeds.withColumnsRenamed({f"{side}{i}": f"{side}{i}_p" for side in ("ahead", "behind") for i in range(words)})
     # written, as subjects may be costly to derive and are cut into many rows
     places = packed_places(written(subjects.select("subject_id", "strand", "seq")), seed, reach, "subject_id", "strand")
-    met = seeds.join(places, "code").filter((F.col("room") >= F.col("at")) & (F.col("rest") >= F.col("rest_p")))
+    # what a probe's seeds and a subject's places come to is not in their files' sizes, so neither is to be sent through the driver
+    met = seeds.join(places.hint("merge"), "code").filter((F.col("room") >= F.col("at")) & (F.col("rest") >= F.col("rest_p")))
     most = F.floor(F.length("probe_seq") * F.lit(1 - identity) + 1e-9) if max_mismatches is None else F.lit(max_mismatches)
     before, behind = _differing("ahead", F.col("at"), words), _differing("behind", F.col("rest_p"), words)
     # an equal base before the seed means an earlier seed, and so does any run of a seed's length further ahead
@@ -128,7 +129,7 @@ def histogram(hits: DataFrame) -> DataFrame:
 def evidence(probes: DataFrame, hits: DataFrame) -> DataFrame:
     """probe_seq, n_hits, min_mm, exact, one: no hit counts as mismatch 0."""
     per = hits.groupBy("probe_seq").agg(F.count("*").alias("n_hits"), F.min("mm").alias("min_mm"), F.sum((F.col("mm") == 0).cast("int")).alias("exact"), F.sum((F.col("mm") == 1).cast("int")).alias("one"))
-    return probes.select("probe_seq").distinct().join(per, "probe_seq", "left").na.fill(0, ["n_hits", "min_mm", "exact", "one"])
+    return probes.select("probe_seq").distinct().join(per.hint("merge"), "probe_seq", "left").na.fill(0, ["n_hits", "min_mm", "exact", "one"])
 
 
 def set_scores(sets: DataFrame, per_probe: DataFrame, probes: list[str]) -> DataFrame:
@@ -137,7 +138,7 @@ def set_scores(sets: DataFrame, per_probe: DataFrame, probes: list[str]) -> Data
     out, score, specificity = sets, F.lit(0), F.lit(0)
     for p in probes:
         e = per_probe.select(F.col("probe_seq").alias(p), F.struct("n_hits", "min_mm", "exact", "one").alias(f"_{p}"))
-        out = out.join(e, p, "left")
+        out = out.join(e.hint("merge"), p, "left")
         score = score + F.coalesce(F.col(f"_{p}.min_mm"), F.lit(0)) * 10 + F.greatest(F.coalesce(F.col(f"_{p}.n_hits"), F.lit(0)) - 1, F.lit(0)) * 5
         specificity = specificity + F.coalesce(F.col(f"_{p}.exact"), F.lit(0)) * 10 + F.coalesce(F.col(f"_{p}.one"), F.lit(0)) * 2
     return out.withColumn("score", score.cast("long")).withColumn("specificity", specificity.cast("long")).drop(*[f"_{p}" for p in probes])

@@ -1,6 +1,8 @@
 """Tables that grow with the requests are not sent through the driver to be broadcast."""
 
-from seqloom.operators import batch, resolution
+from pyspark.sql import functions as F
+
+from seqloom.operators import batch, offtarget, resolution
 from seqloom.plans import catalog
 from seqloom.sources import derived
 
@@ -26,3 +28,21 @@ def test_a_locus_is_resolved_once_for_all_its_requests(spark):
     got = sorted((r.task, r.locus, r.seq, r.source) for r in found.collect())
     want = [(t, "L1", s, 1) for t in "abcg" for s in ("AC", "AG")] + [("d", "L2", "GG", 4), ("e", None, None, None), ("f", "ZZ", None, None)]
     assert got == sorted(want)
+
+
+def test_seeds_meet_places_in_a_merge_join(spark):
+    """A probe's seeds are far more than its file's size tells."""
+    probes = spark.createDataFrame([("ACGTTGCAACGTGGCATTAC",)], "probe_seq string")
+    subjects = spark.createDataFrame([(1, "+", "TTACGTTGCAACGTGGCATTACGG")], "subject_id long, strand string, seq string")
+    found = offtarget.search(probes, subjects)
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("ACGTTGCAACGTGGCATTAC", 1, "+", 2, 0)]
+
+
+def test_scores_of_sets_meet_in_merge_joins(spark):
+    sets = spark.createDataFrame([(1, 1, "ACGT", "CCGT"), (1, 2, "ACGT", "GGGG")], "gene_id long, set_id int, left_seq string, right_seq string")
+    hits = spark.createDataFrame([("ACGT", 0), ("ACGT", 2), ("CCGT", 1)], "probe_seq string, mm int")
+    probes = sets.select(F.explode(F.array("left_seq", "right_seq")).alias("probe_seq"))
+    scored = offtarget.set_scores(sets, offtarget.evidence(probes, hits), ["left_seq", "right_seq"])
+    assert "Broadcast" not in plan(scored)
+    assert sorted((r.set_id, r.score, r.specificity) for r in scored.collect()) == [(1, 15, 12), (2, 5, 10)]
