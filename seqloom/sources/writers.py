@@ -92,7 +92,7 @@ def set_json(sets: DataFrame, path: str) -> None:
 
 def filtered_json(sets: DataFrame, selected: DataFrame, path: str) -> None:
     """The documents of all sets with ``keep`` and ``reason``."""
-    set_json(sets.join(selected, ["gene_id", "set_id"]), path)
+    set_json(sets.join(selected.hint("merge"), ["gene_id", "set_id"]), path)
 
 
 def tpm_csv(rows: DataFrame, path: str) -> None:
@@ -105,7 +105,7 @@ def pool_tsv(rows: DataFrame, path: str) -> None:
 
 def filtered_rows(sets: DataFrame, selected: DataFrame) -> DataFrame:
     """The rows of the filtered probe file, with ``keep`` and ``reason`` of the set; positions from 0."""
-    return probe_rows(sets, one_based=False).join(selected, ["gene_id", "set_id"])
+    return probe_rows(sets, one_based=False).join(selected.hint("merge"), ["gene_id", "set_id"])
 
 
 def filtered_csv(sets: DataFrame, selected: DataFrame, path: str) -> None:
@@ -114,4 +114,4 @@ def filtered_csv(sets: DataFrame, selected: DataFrame, path: str) -> None:
 
 def filtered_bed(sets: DataFrame, selected: DataFrame, path: str) -> None:
     """The BED file of the kept sets alone."""
-    bed(sets.join(selected.filter("keep"), ["gene_id", "set_id"], "left_semi"), path)
+    bed(sets.join(selected.filter("keep").hint("merge"), ["gene_id", "set_id"], "left_semi"), path)

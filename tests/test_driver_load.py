@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import batch, offtarget, resolution
 from seqloom.plans import catalog
-from seqloom.sources import derived
+from seqloom.sources import derived, writers
 
 
 def plan(df):
@@ -46,3 +46,16 @@ def test_scores_of_sets_meet_in_merge_joins(spark):
     scored = offtarget.set_scores(sets, offtarget.evidence(probes, hits), ["left_seq", "right_seq"])
     assert "Broadcast" not in plan(scored)
     assert sorted((r.set_id, r.score, r.specificity) for r in scored.collect()) == [(1, 15, 12), (2, 5, 10)]
+
+
+def test_sets_meet_their_selection_in_merge_joins(spark, tmp_path):
+    sets = spark.createDataFrame([(1, 1, 0, 15, 15, 30, "A" * 15, "C" * 15), (1, 2, 9, 24, 24, 39, "A" * 15, "C" * 15)], "gene_id long, set_id int, start int, left_end int, right_start int, right_end int, left_seq string, right_seq string").withColumn("gc_junction", F.lit(False))
+    chosen = spark.createDataFrame([(1, 1, True, "x"), (1, 2, False, "y")], "gene_id long, set_id int, keep boolean, reason string")
+    seen = []
+    file, writers.set_json = writers.set_json, lambda df, path: seen.append(df)
+    try:
+        writers.filtered_json(sets, chosen, str(tmp_path))
+    finally:
+        writers.set_json = file
+    for df in (*seen, writers.filtered_rows(sets, chosen)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
