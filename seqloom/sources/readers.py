@@ -140,8 +140,9 @@ PROBE_SETS = T.StructType([T.StructField("probe_sets", T.ArrayType(T.StructType(
 
 def probe_sets(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
     """One row per set of the nested documents, with ``intervals`` and the score as a number, and, if asked for, ``source``: a
-    field of the file's metadata."""
+    field of the file's metadata (``_metadata.``) or else of the documents, as text.  A file holds a document or an array of them."""
     named = [F.col(source).alias("source")] if source else []
-    sets = spark.read.schema(PROBE_SETS).json(path, multiLine=True).select(F.explode("probe_sets").alias("s"), *named).select("s.*", *["source"] * len(named))
+    own = [T.StructField(source, T.StringType())] if source and not source.startswith("_metadata.") else []
+    sets = spark.read.schema(T.StructType([*PROBE_SETS.fields, *own])).json(path, multiLine=True).select(F.explode("probe_sets").alias("s"), *named).select("s.*", *["source"] * len(named))
     position = lambda p: F.col(f"{p}.position")
     return sets.withColumn("intervals", F.array_compact(F.array(*[position(p) for p in ("left_probe", "middle_probe", "right_probe")]))).withColumn("score", F.expr("try_cast(evaluation.quality_score AS DOUBLE)"))

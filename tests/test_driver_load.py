@@ -1,5 +1,7 @@
 """Tables that grow with the requests are not sent through the driver to be broadcast."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from seqloom.operators import batch, offtarget, resolution
@@ -59,3 +61,9 @@ def test_sets_meet_their_selection_in_merge_joins(spark, tmp_path):
         writers.set_json = file
     for df in (*seen, writers.filtered_rows(sets, chosen)):
         assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
+
+
+def test_documents_of_genes_share_files(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_file", lambda spark: f"{tmp_path}/documents")
+    genes = catalog.io_probe_sets(spark, sf_dir).select("gene_id").distinct().count()
+    assert genes > 1 == len(glob.glob(f"{tmp_path}/documents/*/part-*"))
