@@ -151,7 +151,8 @@ def detailed(probes: DataFrame, subjects: DataFrame, most: int = 4, index=None)
         seeds = _seeds(queries.filter(F.length("probe_seq").isin(mine)), most, letters).filter(F.length("kmer") == k)
         place = F.col("pos") - F.col("offset")
         window = F.substring("around", reach - F.col("offset") + 1, F.length("probe_seq"))
-        met = seeds.join(table, "kmer").select("probe_seq", "subject_id", "strand", place.alias("start"), once(window, "w"))
+        # the seeds are hundreds of words a probe, which is not in the size of its file: they are not to be sent through the driver
+        met = seeds.join(table.hint("merge"), "kmer").select("probe_seq", "subject_id", "strand", place.alias("start"), once(window, "w"))
         good = met.filter(~F.contains("w", F.lit(OUTSIDE))).select("*", once(_hamming("probe_seq", "w", longest), "mm")).filter(F.col("mm") <= most)
         found = good if found is None else found.union(good)
     if found is None:

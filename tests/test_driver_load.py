@@ -2,9 +2,10 @@
 
 import glob
 
+import pytest
 from pyspark.sql import functions as F
 
-from seqloom.operators import batch, offtarget, resolution
+from seqloom.operators import batch, hits, offtarget, resolution
 from seqloom.plans import catalog
 from seqloom.sources import derived, writers
 
@@ -67,3 +68,13 @@ def test_documents_of_genes_share_files(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(catalog, "_file", lambda spark: f"{tmp_path}/documents")
     genes = catalog.io_probe_sets(spark, sf_dir).select("gene_id").distinct().count()
     assert genes > 1 == len(glob.glob(f"{tmp_path}/documents/*/part-*"))
+
+
+@pytest.mark.parametrize("kept", [False, True])
+def test_words_about_halves_meet_places_in_a_merge_join(spark, tmp_path, kept):
+    probes = spark.createDataFrame([("ACGTTGCAACGTGGCATTAC",)], "probe_seq string")
+    subjects = spark.createDataFrame([(1, "+", "TTACGTTGCAACCTGGCATTACGG")], "subject_id long, strand string, seq string")
+    index = (lambda k, reach: hits.kept_index(spark, subjects, k, reach, str(tmp_path))) if kept else None
+    found = hits.detailed(probes, subjects, index=index)
+    assert "SortMergeJoin" in plan(found) and "Broadcast" not in plan(found)
+    assert [(r.start, r.mm) for r in found.collect()] == [(2, 1)]
